@@ -1,17 +1,14 @@
-"""Cost, purchase and budget expressions."""
+"""Cost, purchase and budget expressions, as SQL text (see ``spans``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from quillguard.functions import patterns as P
-from quillguard.functions.spans import let
+from quillguard.functions.spans import Sql, each, let, lit
 from quillguard.functions.text import word_count
 from quillguard.schemas import BUDGET_INFO_DDL, BUDGET_STATUS_DDL
 
-# Price per token (input, output) by model, the model used for unknown names, and
-# the least cost that is worth a budget check.
+# Price per token (input, output) by model, the model used for unknown names, the
+# least cost that is worth a budget check, where a purchase may be named, and the warning level.
 MODEL_PRICES = {
     "gpt-4": (0.00003, 0.00006),
     "gpt-4-turbo": (0.00001, 0.00003),
@@ -28,100 +25,79 @@ WARNING_PERCENT = 90
 _NUMBER = r"(?i)^[+-]?(?:inf|infinity|nan|(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)$"
 
 
-def estimate_tokens(text: Column) -> Column:
+def estimate_tokens(text: Sql) -> Sql:
     """The larger of a character and a word estimate, at least 1."""
-    by_chars = F.length(text) / F.lit(4.0)
-    by_words = word_count(text) * F.lit(1.3)
-    return F.greatest(F.lit(1), F.floor(F.greatest(by_chars, by_words)).cast("bigint"))
+    return f"greatest(1L, CAST(floor(greatest(length({text}) / 4.0D, {word_count(text)} * 1.3D)) AS BIGINT))"
 
 
-def token_cost(tokens: Column, price_in: Column, price_out: Column) -> Column:
-    half = F.floor(tokens * F.lit(0.5)).cast("bigint")
-    return half * price_in + half * price_out
+def token_cost(tokens: Sql, price_in: Sql, price_out: Sql) -> Sql:
+    half = f"CAST(floor({tokens} * 0.5D) AS BIGINT)"
+    return f"({half} * {price_in} + {half} * {price_out})"
 
 
-def request_cost(text: Column, model: Column) -> Column:
-    """Estimated cost by the fixed price table; a null model counts as unknown."""
-    table = F.create_map(
-        *[
-            x
-            for name, (i, o) in MODEL_PRICES.items()
-            for x in (F.lit(name), F.struct(F.lit(i).alias("i"), F.lit(o).alias("o")))
-        ]
-    )
-    known = F.coalesce(model, F.lit(FALLBACK_MODEL))
-    price = F.coalesce(F.try_element_at(table, known), F.try_element_at(table, F.lit(FALLBACK_MODEL)))
-    return let(price, lambda p: token_cost(estimate_tokens(text), p["i"], p["o"]))
+def request_cost(text: Sql, model: Sql) -> Sql:
+    """Estimated cost by the fixed price table; an unknown model is billed as the fallback."""
+
+    def price(side: int) -> Sql:
+        cases = " ".join(f"WHEN {lit(m)} THEN {p[side]!r}D" for m, p in MODEL_PRICES.items())
+        return f"CASE {model} {cases} ELSE {MODEL_PRICES[FALLBACK_MODEL][side]!r}D END"
 
+    return let(estimate_tokens(text), lambda t: token_cost(t, price(0), price(1)))
 
-def to_number(value: Column) -> Column:
+
+def to_number(value: Sql) -> Sql:
     """Number written in ``value``, or null."""
-    trimmed = F.trim(value)
-    return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
+    return f"CASE WHEN trim({value}) RLIKE {lit(_NUMBER)} THEN try_cast(trim({value}) AS DOUBLE) END"
 
 
-def purchase_amount(metadata: Column) -> Column:
-    return F.coalesce(*[to_number(F.try_element_at(metadata, F.lit(k))) for k in PURCHASE_FIELDS])
+def purchase_amount(metadata: Sql) -> Sql:
+    return "coalesce(" + ", ".join(to_number(f"try_element_at({metadata}, {lit(k)})") for k in PURCHASE_FIELDS) + ")"
 
 
-def first_payment_amount(payment_findings: Column) -> Column:
+def first_payment_amount(payment_findings: Sql) -> Sql:
     """First number of the first payment span that has one."""
-    amounts = F.transform(
-        payment_findings,
-        lambda f: F.regexp_extract(f["text"], P.java(P.PAYMENT_NUMBER), 1).try_cast("double"),
-    )
-    return F.get(F.array_compact(amounts), F.lit(0))
+    number = lit(P.java(P.PAYMENT_NUMBER))
+    amounts = each(payment_findings, lambda f: f"try_cast(regexp_extract({f}.text, {number}, 1) AS DOUBLE)")
+    return f"get(array_compact({amounts}), 0)"
 
 
-def budget_check(context: Column, cost: Column, purchase: Column, guard_zero_limit: bool = True) -> Column:
+def budget_check(context: Sql, cost: Sql, purchase: Sql, guard_zero_limit: bool = True) -> Sql:
     """``struct(status, info)`` of a request against a budget context.
 
     With ``guard_zero_limit`` percentages are 0 for limits of zero or less, otherwise null for a
     limit of zero.
     """
+    limit, current, llm, bought, remaining = (
+        f"coalesce({context}.{c}, 0.0D)"
+        for c in ("monthly_limit", "current_spend", "llm_spend", "purchase_spend", "remaining_budget")
+    )
+    projected = f"(({llm} + {cost}) + ({bought} + coalesce({purchase}, 0.0D)))"
+
+    def percent(amount: Sql) -> Sql:
+        share = f"try_divide({amount}, {limit}) * 100.0D"
+        return f"CASE WHEN {limit} > 0 THEN {share} ELSE 0.0D END" if guard_zero_limit else share
+
+    def build(b: Sql) -> Sql:
+        status = (
+            f"named_struct('allowed', {b}.projected <= {limit}, 'current_spend', {current}, 'limit', {limit}, "
+            f"'remaining', {limit} - {current}, 'percent_used', {percent(current)}, 'reason', "
+            f"CASE WHEN {b}.projected > {limit} THEN 'budget_exceeded' WHEN {b}.pct > {WARNING_PERCENT} "
+            "THEN 'budget_warning' ELSE 'budget_ok' END)"
+        )
+        info = (
+            f"named_struct('monthly_limit', {limit}, 'current_spend', {current}, 'llm_spend', {llm}, "
+            f"'purchase_spend', {bought}, 'remaining_budget', {remaining}, 'estimated_cost', {cost}, "
+            f"'estimated_purchase', {purchase}, 'projected_total', {b}.projected, 'percent_used', {b}.pct, "
+            f"'budget_type', coalesce({context}.budget_type, 'user'))"
+        )
+        return (
+            f"named_struct('status', CAST({status} AS {BUDGET_STATUS_DDL}), "
+            f"'info', CAST({info} AS {BUDGET_INFO_DDL}))"
+        )
 
-    def zero_if_absent(name: str) -> Column:
-        return F.coalesce(context[name], F.lit(0.0))
-
-    limit, current = zero_if_absent("monthly_limit"), zero_if_absent("current_spend")
-    llm, bought = zero_if_absent("llm_spend"), zero_if_absent("purchase_spend")
-    projected = (llm + cost) + (bought + F.coalesce(purchase, F.lit(0.0)))
+    return let(f"named_struct('projected', {projected}, 'pct', {percent(projected)})", build)
 
-    def percent(amount: Column) -> Column:
-        share = F.try_divide(amount, limit) * F.lit(100.0)
-        return F.when(limit > 0, share).otherwise(F.lit(0.0)) if guard_zero_limit else share
 
-    def build(b: Column) -> Column:
-        reason = (
-            F.when(b["projected"] > limit, "budget_exceeded")
-            .when(b["pct"] > WARNING_PERCENT, "budget_warning")
-            .otherwise("budget_ok")
-        )
-        status = F.struct(
-            (b["projected"] <= limit).alias("allowed"),
-            current.alias("current_spend"),
-            limit.alias("limit"),
-            (limit - current).alias("remaining"),
-            percent(current).alias("percent_used"),
-            reason.alias("reason"),
-        ).cast(BUDGET_STATUS_DDL)
-        info = F.struct(
-            limit.alias("monthly_limit"),
-            current.alias("current_spend"),
-            llm.alias("llm_spend"),
-            bought.alias("purchase_spend"),
-            zero_if_absent("remaining_budget").alias("remaining_budget"),
-            cost.alias("estimated_cost"),
-            purchase.alias("estimated_purchase"),
-            b["projected"].alias("projected_total"),
-            b["pct"].alias("percent_used"),
-            F.coalesce(context["budget_type"], F.lit("user")).alias("budget_type"),
-        ).cast(BUDGET_INFO_DDL)
-        return F.struct(status.alias("status"), info.alias("info"))
-
-    return let(F.struct(projected.alias("projected"), percent(projected).alias("pct")), build)
-
-
-def worth_checking(cost: Column, purchase: Column) -> Column:
+def worth_checking(cost: Sql, purchase: Sql) -> Sql:
     """Budgets are looked at only for a purchase or a significant cost."""
-    return purchase.isNotNull() | (cost >= SIGNIFICANT_COST)
+    return f"({purchase} IS NOT NULL OR {cost} >= {SIGNIFICANT_COST}D)"

@@ -1,204 +1,247 @@
 """Span expressions: where patterns match, which spans survive, and how text is spliced.
 
-A findings column is ``array<struct<type,start,end,score,text>>`` with code point offsets.
+These expressions nest deeply, so they are composed as Spark SQL text and handed over with one
+``F.expr`` each; building them call by call takes seconds of driver time per query. Arguments and
+results named ``Sql`` are SQL expressions. A findings column is
+``array<struct<type,start,end,score,text>>`` with code point offsets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from itertools import count
 
 from quillguard.functions import patterns as P
 from quillguard.schemas import FINDING_TYPE, FINDINGS_DDL
 
+Sql = str
+_numbers = count()
+
+
+def fresh(prefix: str) -> str:
+    """A lambda variable name used nowhere else."""
+    return f"{prefix}_{next(_numbers)}"
+
+
+def name(column: str) -> Sql:
+    """A column reference; dots reach into structs."""
+    return ".".join(f"`{part}`" for part in column.split("."))
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+
+def lit(value: str) -> Sql:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(value: Sql, body: Callable[[Sql], Sql]) -> Sql:
     """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    var = fresh("v")
+    return f"get(transform(array({value}), {var} -> {body(var)}), 0)"
+
 
+def each(items: Sql, body: Callable[[Sql], Sql]) -> Sql:
+    var = fresh("x")
+    return f"transform({items}, {var} -> {body(var)})"
 
-def no_findings() -> Column:
-    return F.array().cast(FINDINGS_DDL)
 
+def keep(items: Sql, test: Callable[[Sql], Sql]) -> Sql:
+    var = fresh("k")
+    return f"filter({items}, {var} -> {test(var)})"
 
-def _gate(spec: P.PatternSpec, text: Column, traits: Column) -> Column:
+
+NO_FINDINGS: Sql = f"CAST(array() AS {FINDINGS_DDL})"
+
+
+def _gate(spec: P.PatternSpec, text: Sql, traits: Sql) -> Sql:
     if spec.gate == "digit":
-        return traits["has_digit"]
+        return f"{traits}.has_digit"
     if spec.gate == "at":
-        return text.contains("@")
+        return f"contains({text}, '@')"
     if spec.gate == "underscore":
-        return text.contains("_")
+        return f"contains({text}, '_')"
     words = spec.gate.removeprefix("words:").split(",")
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | traits["lowered"].contains(word)
+    hits = [f"contains({traits}.lowered, {lit(w)})" for w in words]
     # Case folding outside ASCII has letters that lower() does not map; let the pattern decide.
-    return hit | ~traits["is_ascii"]
+    return "(" + " OR ".join([*hits, f"NOT {traits}.is_ascii"]) + ")"
 
 
-def _traits(text: Column) -> Column:
-    return F.struct(
-        text.rlike(r"\p{Nd}").alias("has_digit"),
-        F.lower(text).alias("lowered"),
-        (F.length(text) == F.octet_length(text)).alias("is_ascii"),
+def _traits(text: Sql) -> Sql:
+    return (
+        f"named_struct('has_digit', {text} RLIKE {lit(chr(92) + 'p{Nd}')}, 'lowered', lower({text}), "
+        f"'is_ascii', length({text}) = octet_length({text}))"
     )
 
 
-def _digits(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\p{Nd}]", "")
+def _digits(text: Sql) -> Sql:
+    return f"regexp_replace({text}, {lit('[^' + chr(92) + 'p{Nd}]')}, '')"
 
 
-def luhn_ok(text: Column) -> Column:
+def luhn_ok(text: Sql) -> Sql:
     """Mod-10 checksum over the digits of ``text``."""
 
-    def checksum(reversed_digits: Column) -> Column:
-        positions = F.sequence(F.lit(1), F.length(reversed_digits))
-
-        def weight(i: Column) -> Column:
-            value = F.ascii(F.substring(reversed_digits, i, F.lit(1))) - 48
-            doubled = value * 2
-            return F.when(i % 2 == 1, value).otherwise(
-                F.when(doubled > 9, doubled - 9).otherwise(doubled)
+    def checksum(reversed_digits: Sql) -> Sql:
+        def weight(i: Sql) -> Sql:
+            return let(
+                f"ascii(substring({reversed_digits}, {i}, 1)) - 48",
+                lambda v: f"CASE WHEN {i} % 2 = 1 THEN {v} WHEN {v} * 2 > 9 THEN {v} * 2 - 9 ELSE {v} * 2 END",
             )
 
-        total = F.aggregate(positions, F.lit(0), lambda acc, i: acc + weight(i))
-        return F.when(F.length(reversed_digits) == 0, F.lit(True)).otherwise(total % 10 == 0)
-
-    return let(F.reverse(_digits(text)), checksum)
-
+        weights = each(f"sequence(1, length({reversed_digits}))", weight)
+        return (
+            f"CASE WHEN length({reversed_digits}) = 0 THEN true "
+            f"ELSE aggregate({weights}, 0, (a, w) -> a + w) % 10 = 0 END"
+        )
 
-def card_ok(text: Column) -> Column:
-    return F.length(_digits(text)).between(13, 19) & luhn_ok(text)
+    return let(f"reverse({_digits(text)})", checksum)
 
 
-def ipv4_ok(text: Column) -> Column:
-    return F.forall(F.split(text, r"\."), lambda part: part.cast("int") <= 255)
+def card_ok(text: Sql) -> Sql:
+    return f"(length({_digits(text)}) BETWEEN 13 AND 19 AND {luhn_ok(text)})"
 
 
-def iban_ok(text: Column) -> Column:
-    """ISO 13616 mod-97 test, folded digit by digit so no big number is needed."""
+def ipv4_ok(text: Sql) -> Sql:
+    return f"forall(split({text}, '[.]'), o -> CAST(o AS INT) <= 255)"
 
-    def residue(compact: Column) -> Column:
-        moved = F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))
-        chars = F.filter(F.split(moved, ""), lambda c: c != "")
 
-        def step(acc: Column, c: Column) -> Column:
-            code = F.ascii(c)
-            return F.when(code >= 65, (acc * 100 + code - 55) % 97).otherwise((acc * 10 + code - 48) % 97)
+def iban_ok(text: Sql) -> Sql:
+    """ISO 13616 mod-97 test, folded character by character so no big number is needed."""
 
-        return F.length(compact).between(15, 34) & (F.aggregate(chars, F.lit(0), step) == 1)
+    def residue(compact: Sql) -> Sql:
+        moved = f"concat(substring({compact}, 5), substring({compact}, 1, 4))"
+        step = (
+            "CASE WHEN ascii(c) >= 65 THEN (a * 100 + ascii(c) - 55) % 97 "
+            "ELSE (a * 10 + ascii(c) - 48) % 97 END"
+        )
+        return (
+            f"(length({compact}) BETWEEN 15 AND 34 AND "
+            f"aggregate(filter(split({moved}, ''), c -> c <> ''), 0, (a, c) -> {step}) = 1)"
+        )
 
-    return let(F.regexp_replace(text, " ", ""), residue)
+    return let(f"replace({text}, ' ', '')", residue)
 
 
-VALIDATORS: dict[str, Callable[[Column], Column]] = {
-    "card": card_ok,
-    "ipv4": ipv4_ok,
-    "iban": iban_ok,
-}
+VALIDATORS: dict[str, Callable[[Sql], Sql]] = {"card": card_ok, "ipv4": ipv4_ok, "iban": iban_ok}
 
 
-def pattern_spans(text: Column, spec: P.PatternSpec, score: Column | None = None) -> Column:
+def pattern_spans(text: Sql, spec: P.PatternSpec, score: Sql | None = None) -> Sql:
     """All non-overlapping matches of one pattern, left to right, validator applied.
 
-    Spark's regex functions return matched text but no positions. The pieces between the
-    matches come from ``split``; running lengths of pieces and matches give the offsets.
+    Spark's regex functions return matched text but no positions. The pieces between the matches
+    come from ``split``; running lengths of pieces and matches give the offsets.
     """
-    regex = P.java(spec.pattern)
-    score = F.lit(spec.score) if score is None else score
-
-    def locate(matches: Column) -> Column:
-        pieces = F.split(text, regex, -1)
-        pairs = F.arrays_zip(
-            F.transform(pieces, F.length).alias("gap"), F.concat(matches, F.array(F.lit(""))).alias("hit")
+    regex = lit(P.java(spec.pattern))
+    score = f"{spec.score}D" if score is None else score
+
+    def locate(matches: Sql) -> Sql:
+        acc, pair = fresh("a"), fresh("p")
+        gaps = each(f"split({text}, {regex}, -1)", lambda piece: f"length({piece})")
+        pairs = f"zip_with({gaps}, concat({matches}, array('')), (g, h) -> named_struct('gap', g, 'hit', h))"
+        found = (
+            f"named_struct('type', {lit(spec.label)}, 'start', {acc}.pos + {pair}.gap, 'end', "
+            f"{acc}.pos + {pair}.gap + length({pair}.hit), 'score', {score}, 'text', {pair}.hit)"
         )
-
-        def advance(acc: Column, pair: Column) -> Column:
-            start = acc["pos"] + pair["gap"]
-            end = start + F.length(pair["hit"])
-            found = F.struct(
-                F.lit(spec.label).alias("type"),
-                start.alias("start"),
-                end.alias("end"),
-                score.alias("score"),
-                pair["hit"].alias("text"),
-            ).cast(FINDING_TYPE)
-            return F.struct(
-                end.alias("pos"),
-                F.when(F.length(pair["hit"]) > 0, F.array_append(acc["out"], found))
-                .otherwise(acc["out"])
-                .alias("out"),
-            )
-
-        start = F.struct(F.lit(0).alias("pos"), no_findings().alias("out"))
-        return F.when(F.size(matches) == 0, no_findings()).otherwise(
-            F.aggregate(pairs, start, advance, lambda acc: acc["out"])
+        step = (
+            f"named_struct('pos', {acc}.pos + {pair}.gap + length({pair}.hit), 'found', "
+            f"CASE WHEN {pair}.hit = '' THEN {acc}.found "
+            f"ELSE array_append({acc}.found, CAST({found} AS {FINDING_TYPE})) END)"
+        )
+        start = f"named_struct('pos', 0, 'found', {NO_FINDINGS})"
+        return (
+            f"CASE WHEN size({matches}) = 0 THEN {NO_FINDINGS} "
+            f"ELSE aggregate({pairs}, {start}, ({acc}, {pair}) -> {step}, z -> z.found) END"
         )
 
-    found = let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), locate)
+    found = let(f"regexp_extract_all({text}, {regex}, 0)", locate)
     if spec.validator is not None:
-        found = F.filter(found, lambda f: VALIDATORS[spec.validator](f["text"]))
+        found = keep(found, lambda f: VALIDATORS[spec.validator](f"{f}.text"))
     return found
 
 
-def overlaps(finding: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (finding["end"] > o["start"]) & (finding["start"] < o["end"]))
+def overlaps(finding: Sql, others: Sql) -> Sql:
+    o = fresh("o")
+    return f"exists({others}, {o} -> {finding}.`end` > {o}.`start` AND {finding}.`start` < {o}.`end`)"
 
 
-def keep_first_come(candidates: Column) -> Column:
+def keep_first_come(candidates: Sql) -> Sql:
     """Fold candidates in order, dropping each that overlaps one already kept."""
-    folded = F.aggregate(
-        candidates,
-        no_findings(),
-        lambda kept, c: F.when(overlaps(c, kept), kept).otherwise(F.array_append(kept, c)),
+    kept, c = fresh("kept"), fresh("c")
+    step = f"CASE WHEN {overlaps(c, kept)} THEN {kept} ELSE array_append({kept}, {c}) END"
+    return (
+        f"CASE WHEN size({candidates}) <= 1 THEN {candidates} "
+        f"ELSE aggregate({candidates}, {NO_FINDINGS}, ({kept}, {c}) -> {step}) END"
     )
-    return F.when(F.size(candidates) <= 1, candidates).otherwise(folded)
 
 
-def find_all(text: Column, specs: Sequence[P.PatternSpec]) -> Column:
+def find_all(text: Sql, specs: Sequence[P.PatternSpec]) -> Sql:
     """Findings of several patterns in precedence order. A null text has no findings."""
 
-    def scan(traits: Column) -> Column:
+    def scan(traits: Sql) -> Sql:
         parts = [
-            F.when(_gate(s, text, traits), pattern_spans(text, s)).otherwise(no_findings()) for s in specs
+            f"CASE WHEN {_gate(s, text, traits)} THEN {pattern_spans(text, s)} ELSE {NO_FINDINGS} END"
+            for s in specs
         ]
-        return let(F.concat(*parts), keep_first_come)
+        return let(f"concat({', '.join(parts)})", keep_first_come)
 
-    return F.when(text.isNull(), no_findings()).otherwise(let(_traits(text), scan))
+    return f"CASE WHEN {text} IS NULL THEN {NO_FINDINGS} ELSE {let(_traits(text), scan)} END"
 
 
-def find_beside(text: Column, findings: Column, spec: P.PatternSpec) -> Column:
+def find_beside(text: Sql, findings: Sql, spec: P.PatternSpec) -> Sql:
     """Matches of one pattern that overlap none of ``findings``."""
-    found = let(
-        _traits(text),
-        lambda t: F.when(_gate(spec, text, t), pattern_spans(text, spec)).otherwise(no_findings()),
-    )
-    return F.when(text.isNull(), no_findings()).otherwise(F.filter(found, lambda f: ~overlaps(f, findings)))
 
+    def scan(traits: Sql) -> Sql:
+        return f"CASE WHEN {_gate(spec, text, traits)} THEN {pattern_spans(text, spec)} ELSE {NO_FINDINGS} END"
+
+    found = keep(let(_traits(text), scan), lambda f: f"NOT {overlaps(f, findings)}")
+    return f"CASE WHEN {text} IS NULL THEN {NO_FINDINGS} ELSE {found} END"
+
+
+def find_ssn(text: Sql, findings: Sql) -> Sql:
+    """``findings`` plus at most one SSN span per pattern: it must overlap nothing kept so far, and
+    either the text mentions social security or tax ids, or the span is written with dashes."""
 
-def right_to_left(findings: Column) -> Column:
+    def add(found: Sql, spec: P.PatternSpec, context: Sql) -> Sql:
+        def first(kept: Sql) -> Sql:
+            score = f"CASE WHEN {context} THEN 0.9D ELSE 0.7D END"
+            eligible = keep(
+                pattern_spans(text, spec, score),
+                lambda f: f"NOT {overlaps(f, kept)} AND ({context} OR contains({f}.text, '-'))",
+            )
+            return let(
+                f"get({eligible}, 0)",
+                lambda f: f"CASE WHEN {f} IS NULL THEN {kept} ELSE array_append({kept}, {f}) END",
+            )
+
+        return let(found, first)
+
+    def with_context(context: Sql) -> Sql:
+        found = findings
+        for spec in P.SSN_SPECS:
+            found = add(found, spec, context)
+        return found
+
+    mentioned = f"{text} RLIKE {lit(P.java(P.SSN_CONTEXT))}"
+    has_digit = f"{text} RLIKE {lit(chr(92) + 'p{Nd}')}"
+    return f"CASE WHEN {has_digit} THEN {let(mentioned, with_context)} ELSE {findings} END"
+
+
+def right_to_left(findings: Sql) -> Sql:
     """Findings by start position, last first."""
-    return F.array_sort(
-        findings,
-        lambda a, b: F.when(a["start"] > b["start"], -1).when(a["start"] < b["start"], 1).otherwise(0),
+    return (
+        f"array_sort({findings}, (l, r) -> CASE WHEN l.`start` > r.`start` THEN -1 "
+        f"WHEN l.`start` < r.`start` THEN 1 ELSE 0 END)"
     )
 
 
-def splice(text: Column, findings: Column, replacement: Callable[[Column], Column]) -> Column:
+def splice(text: Sql, findings: Sql, replacement: Callable[[Sql], Sql]) -> Sql:
     """Replace each finding, rightmost first. A null replacement leaves the span as it is."""
+    acc, f = fresh("acc"), fresh("f")
 
-    def cut(acc: Column, f: Column) -> Column:
-        return let(
-            replacement(f),
-            lambda new: F.when(new.isNull(), acc).otherwise(
-                F.concat(
-                    F.substring(acc, F.lit(1), f["start"]),
-                    new,
-                    F.substring(acc, f["end"] + 1, F.length(acc)),
-                )
-            ),
+    def cut(new: Sql) -> Sql:
+        return (
+            f"CASE WHEN {new} IS NULL THEN {acc} ELSE concat(substring({acc}, 1, {f}.`start`), {new}, "
+            f"substring({acc}, {f}.`end` + 1)) END"
         )
 
-    return F.when(F.size(findings) == 0, text).otherwise(F.aggregate(right_to_left(findings), text, cut))
+    return (
+        f"CASE WHEN size({findings}) = 0 THEN {text} ELSE aggregate({right_to_left(findings)}, {text}, "
+        f"({acc}, {f}) -> {let(replacement(f), cut)}) END"
+    )

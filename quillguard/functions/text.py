@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillguard.functions import patterns as P
 from quillguard.functions.spans import (
+    Sql,
     _gate,
     _traits,
+    each,
     let,
+    lit,
     pattern_spans,
     right_to_left,
     splice,
@@ -19,6 +24,7 @@ from quillguard.functions.spans import (
 DEFAULT_SALT = "default-salt-change-in-production"
 
 MASKED_DDL = "struct<text:string,reasons:array<string>>"
+NO_REASONS: Sql = "CAST(array() AS array<string>)"
 
 # Masking steps in order: (reason suffix, spec, replacement); the card step is conditional per span.
 _MASK_STEPS = (
@@ -29,144 +35,130 @@ _MASK_STEPS = (
 )
 
 
-def mask_text(text: Column) -> Column:
+def mask_text(text: Sql) -> Sql:
     """``struct(text, reasons)``: each reason is decided on the original text, each replacement
     works on what the steps before it left. The card reason does not ask for a valid checksum."""
 
-    def hit_flags(traits: Column) -> Column:
-        return F.struct(
-            *[
-                (_gate(spec, text, traits) & text.rlike(P.java(spec.pattern))).alias(name)
-                for name, spec, _ in _MASK_STEPS
-            ]
-        )
+    def hit_flags(traits: Sql) -> Sql:
+        flags = [
+            f"{lit(n)}, {_gate(spec, text, traits)} AND {text} RLIKE {lit(P.java(spec.pattern))}"
+            for n, spec, _ in _MASK_STEPS
+        ]
+        return f"named_struct({', '.join(flags)})"
 
-    def replace(current: Column, spec: P.PatternSpec, replacement: str | None) -> Column:
+    def replaced(current: Sql, spec: P.PatternSpec, replacement: str | None) -> Sql:
         if replacement is None:
-            return splice(current, pattern_spans(current, spec), lambda _: F.lit(P.MASKED_CARD))
-        return F.regexp_replace(current, P.java(spec.pattern), replacement)
+            return splice(current, pattern_spans(current, spec), lambda _: lit(P.MASKED_CARD))
+        return f"regexp_replace({current}, {lit(P.java(spec.pattern))}, {lit(replacement)})"
 
-    def apply(hits: Column) -> Column:
-        def from_step(i: int, current: Column) -> Column:
+    def apply(hits: Sql) -> Sql:
+        def from_step(i: int, current: Sql) -> Sql:
             if i == len(_MASK_STEPS):
                 return current
-            name, spec, replacement = _MASK_STEPS[i]
-            return let(
-                current,
-                lambda c: from_step(i + 1, F.when(hits[name], replace(c, spec, replacement)).otherwise(c)),
-            )
-
-        reasons = F.array_compact(
-            F.array(*[F.when(hits[n], F.lit(f"pii.redacted:{n}")) for n, _, _ in _MASK_STEPS])
+            n, spec, replacement = _MASK_STEPS[i]
+            done = f"CASE WHEN {hits}.{n} THEN {replaced(current, spec, replacement)} ELSE {current} END"
+            return let(done, lambda c: from_step(i + 1, c))
+
+        any_hit = " OR ".join(f"{hits}.{n}" for n, _, _ in _MASK_STEPS)
+        listed = ", ".join(f"CASE WHEN {hits}.{n} THEN {lit('pii.redacted:' + n)} END" for n, _, _ in _MASK_STEPS)
+        return (
+            f"named_struct('text', CASE WHEN {any_hit} THEN {from_step(0, text)} ELSE {text} END, "
+            f"'reasons', array_compact(array({listed})))"
         )
-        any_hit = hits[_MASK_STEPS[0][0]]
-        for name, _, _ in _MASK_STEPS[1:]:
-            any_hit = any_hit | hits[name]
-        masked = F.when(any_hit, from_step(0, text)).otherwise(text)
-        return F.struct(masked.alias("text"), reasons.alias("reasons")).cast(MASKED_DDL)
 
-    return let(let(_traits(text), hit_flags), apply)
+    return f"CAST({let(let(_traits(text), hit_flags), apply)} AS {MASKED_DDL})"
 
 
-def token(value: Column, salt: str = DEFAULT_SALT) -> Column:
+def token(value: Sql, salt: str = DEFAULT_SALT) -> Sql:
     """Stable pseudonym of a value."""
-    return F.concat(F.lit("pii_"), F.substring(F.sha2(F.concat(F.lit(salt), value), 256), 1, 8))
+    return f"concat('pii_', substring(sha2(concat({lit(salt)}, {value}), 256), 1, 8))"
 
 
-def bare_type(label: Column) -> Column:
-    return F.regexp_replace(label, "PII:", "")
+def bare_type(label: Sql) -> Sql:
+    return f"replace({label}, 'PII:', '')"
 
 
-def placeholder(label: Column) -> Column:
+def placeholder(label: Sql) -> Sql:
     """Placeholder of a finding label such as ``PII:us_npi``."""
-    table = F.create_map(*[F.lit(x) for pair in P.PLACEHOLDERS.items() for x in pair])
-    entity = bare_type(label)
-    return F.when(
-        label.startswith("PII:"),
-        F.coalesce(F.try_element_at(table, entity), F.concat(F.lit("<USER_"), F.upper(entity), F.lit(">"))),
-    ).otherwise(F.lit("<REDACTED>"))
+    cases = " ".join(f"WHEN {lit('PII:' + k)} THEN {lit(v)}" for k, v in P.PLACEHOLDERS.items())
+    return (
+        f"CASE {label} {cases} ELSE CASE WHEN startswith({label}, 'PII:') "
+        f"THEN concat('<USER_', upper({bare_type(label)}), '>') ELSE '<REDACTED>' END END"
+    )
+
+
+def redact_placeholders(text: Sql, findings: Sql) -> Sql:
+    return splice(text, findings, lambda f: placeholder(f"{f}.type"))
 
 
-def redact_placeholders(text: Column, findings: Column) -> Column:
-    return splice(text, findings, lambda f: placeholder(f["type"]))
+def redaction_reasons(findings: Sql) -> Sql:
+    labels = each(findings, lambda f: f"concat('pii.redacted:', {bare_type(f + '.type')})")
+    return f"array_sort(array_distinct({labels}))"
 
 
-def redaction_reasons(findings: Column) -> Column:
-    labels = F.transform(findings, lambda f: F.concat(F.lit("pii.redacted:"), bare_type(f["type"])))
-    return F.array_sort(F.array_distinct(labels))
+def _action(f: Sql, allow_pii: Sql) -> Sql:
+    return f"coalesce(try_element_at({allow_pii}, {f}.type), 'redact')"
 
 
 def transform_static(
-    text: Column, findings: Column, allow_pii: Column, salt: str = DEFAULT_SALT, redaction: str = "mask"
-) -> tuple[Column, Column]:
+    text: Sql, findings: Sql, allow_pii: Sql, salt: str = DEFAULT_SALT, redaction: str = "mask"
+) -> tuple[Sql, Sql]:
     """Keep, tokenise or redact each finding as the tool's rule says; anything unknown is redacted.
     ``redaction`` is ``mask`` (the span's own text is masked) or ``placeholder``."""
 
-    def action(f: Column) -> Column:
-        return F.coalesce(F.try_element_at(allow_pii, f["type"]), F.lit("redact"))
-
-    def replacement(f: Column) -> Column:
-        redacted = placeholder(f["type"]) if redaction == "placeholder" else mask_text(f["text"])["text"]
+    def replacement(f: Sql) -> Sql:
+        redacted = placeholder(f"{f}.type") if redaction == "placeholder" else mask_text(f"{f}.text") + ".text"
         return (
-            F.when(action(f) == "pass_through", F.lit(None).cast("string"))
-            .when(action(f) == "tokenize", token(f["text"], salt))
-            .otherwise(redacted)
+            f"CASE {_action(f, allow_pii)} WHEN 'pass_through' THEN NULL "
+            f"WHEN 'tokenize' THEN {token(f + '.text', salt)} ELSE {redacted} END"
         )
 
-    def reason(f: Column) -> Column:
+    def reason(f: Sql) -> Sql:
         verb = (
-            F.when(action(f) == "pass_through", "allowed")
-            .when(action(f) == "tokenize", "tokenized")
-            .otherwise("redacted")
+            f"CASE {_action(f, allow_pii)} WHEN 'pass_through' THEN 'allowed' "
+            "WHEN 'tokenize' THEN 'tokenized' ELSE 'redacted' END"
         )
-        return F.concat(F.lit("pii."), verb, F.lit(":"), f["type"])
+        return f"concat('pii.', {verb}, ':', {f}.type)"
 
-    return splice(text, findings, replacement), F.transform(right_to_left(findings), reason)
+    return splice(text, findings, replacement), each(right_to_left(findings), reason)
 
 
 def transform_payload(
-    text: Column, findings: Column, allow_pii: Column, salt: str = DEFAULT_SALT
-) -> tuple[Column, Column]:
+    text: Sql, findings: Sql, allow_pii: Sql, salt: str = DEFAULT_SALT
+) -> tuple[Sql, Sql]:
     """As ``transform_static`` with bracketed labels; kept spans and unknown actions give no reason."""
 
-    def action(f: Column) -> Column:
-        return F.coalesce(F.try_element_at(allow_pii, f["type"]), F.lit("redact"))
-
-    def replacement(f: Column) -> Column:
-        return F.when(action(f) == "tokenize", token(f["text"], salt)).when(
-            action(f).isin("redact", "deny"), F.concat(F.lit("["), F.upper(f["type"]), F.lit("]"))
+    def replacement(f: Sql) -> Sql:
+        label = f"concat('[', upper({f}.type), ']')"
+        return (
+            f"CASE {_action(f, allow_pii)} WHEN 'tokenize' THEN {token(f + '.text', salt)} "
+            f"WHEN 'redact' THEN {label} WHEN 'deny' THEN {label} END"
         )
 
-    def reason(f: Column) -> Column:
-        return F.when(action(f) == "tokenize", F.concat(F.lit("tokenized:"), f["type"])).when(
-            action(f).isin("redact", "deny"), F.concat(F.lit("redacted:"), f["type"])
+    def reason(f: Sql) -> Sql:
+        return (
+            f"CASE {_action(f, allow_pii)} WHEN 'tokenize' THEN concat('tokenized:', {f}.type) "
+            f"WHEN 'redact' THEN concat('redacted:', {f}.type) WHEN 'deny' THEN concat('redacted:', {f}.type) END"
         )
 
-    reasons = F.array_compact(F.transform(right_to_left(findings), reason))
-    return splice(text, findings, replacement), reasons
+    return splice(text, findings, replacement), f"array_compact({each(right_to_left(findings), reason)})"
 
 
-def is_password_field(name: Column) -> Column:
-    lowered = F.lower(name)
-    hit = F.lit(False)
-    for word in P.PASSWORD_FIELD_WORDS:
-        hit = hit | lowered.contains(word)
-    return hit
+def is_password_field(field: Sql) -> Sql:
+    return "(" + " OR ".join(f"contains(lower({field}), {lit(w)})" for w in P.PASSWORD_FIELD_WORDS) + ")"
 
 
-def is_password_name(name: str) -> bool:
-    return any(word in name.lower() for word in P.PASSWORD_FIELD_WORDS)
+def is_password_name(field: str) -> bool:
+    return any(word in field.lower() for word in P.PASSWORD_FIELD_WORDS)
 
 
-def word_count(text: Column) -> Column:
+def word_count(text: Sql) -> Sql:
     """Number of runs of non-space characters."""
-    return F.regexp_count(text, F.lit(P.java(r"\S+")))
+    return f"regexp_count({text}, {lit(P.java(chr(92) + 'S+'))})"
 
 
 def hmac_sha256(key: str, message: Column) -> Column:
     """Hex HMAC-SHA256 out of two plain hashes over the padded key (RFC 2104)."""
-    import hashlib
-
     raw = key.encode()
     if len(raw) > 64:
         raw = hashlib.sha256(raw).digest()

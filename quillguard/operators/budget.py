@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillguard.functions import money as M
+from quillguard.functions.spans import name
 from quillguard.functions.sizing import broadcast_if_small
 from quillguard.operators.ordered import MAX_GROUP_ROWS, running_totals
 from quillguard.schemas import BUDGET_CONTEXT_DDL, DEFAULT_MODEL
@@ -31,23 +32,23 @@ def estimate_cost(
     fallback = table.filter(F.col("model") == M.FALLBACK_MODEL).first()
     renamed = table.withColumnRenamed("model", "_model")
     wanted = F.coalesce(F.col(model_col), F.lit(DEFAULT_MODEL))
-    joined = requests.withColumn("tokens", M.estimate_tokens(F.col(text_col))).join(
+    joined = requests.withColumn("tokens", F.expr(M.estimate_tokens(name(text_col)))).join(
         broadcast_if_small(renamed), wanted == F.col("_model"), "left"
     )
     cost = M.token_cost(
-        F.col("tokens"),
-        F.coalesce(F.col("price_in"), F.lit(fallback["price_in"])),
-        F.coalesce(F.col("price_out"), F.lit(fallback["price_out"])),
+        "tokens",
+        f"coalesce(price_in, {fallback['price_in']!r}D)",
+        f"coalesce(price_out, {fallback['price_out']!r}D)",
     )
-    return joined.withColumn("est_cost", cost).drop("_model", "price_in", "price_out")
+    return joined.withColumn("est_cost", F.expr(cost)).drop("_model", "price_in", "price_out")
 
 
 def purchase_amount(requests: DataFrame, metadata_col: str = "metadata") -> DataFrame:
-    return requests.withColumn("est_purchase", M.purchase_amount(F.col(metadata_col)))
+    return requests.withColumn("est_purchase", F.expr(M.purchase_amount(name(metadata_col))))
 
 
 def payment_amount_from_text(df: DataFrame, findings_col: str = "payment_findings") -> DataFrame:
-    return df.withColumn("est_purchase", M.first_payment_amount(F.col(findings_col)))
+    return df.withColumn("est_purchase", F.expr(M.first_payment_amount(name(findings_col))))
 
 
 def check_budget_context(
@@ -57,10 +58,9 @@ def check_budget_context(
     purchase_col: str = "est_purchase",
 ) -> DataFrame:
     """Add ``budget_status`` and ``budget_info``; rows without a context get null."""
-    context = F.col(context_col)
-    check = M.budget_check(context, F.col(cost_col), F.col(purchase_col))
+    check = F.expr(M.budget_check(name(context_col), name(cost_col), name(purchase_col)))
     return (
-        requests.withColumn("_check", F.when(context.isNotNull(), check))
+        requests.withColumn("_check", F.when(F.col(context_col).isNotNull(), check))
         .withColumns({"budget_status": F.col("_check.status"), "budget_info": F.col("_check.info")})
         .drop("_check")
     )
@@ -173,9 +173,10 @@ def check_budget_ledger(
             "purchase_spend": 0.0,
         }
     )
-    check = M.budget_check(context, F.col(cost_col), F.col(purchase_col), guard_zero_limit=False)
+    check = M.budget_check("_context", name(cost_col), name(purchase_col), guard_zero_limit=False)
     return (
-        wide.withColumn("_check", check)
+        wide.withColumn("_context", context)
+        .withColumn("_check", F.expr(check))
         .withColumns({"budget_status": F.col("_check.status"), "budget_info": F.col("_check.info")})
-        .drop("_check", "monthly_limit", "budget_type", "current_spend", "llm_spend", "purchase_spend")
+        .drop("_check", "_context", "monthly_limit", "budget_type", "current_spend", "llm_spend", "purchase_spend")
     )

@@ -1,8 +1,8 @@
 """Decisions: the precedence chain as one projection over requests joined to their policy.
 
 The cheap routing columns are computed first; text is scanned only on the routes that need it,
-because each detection sits in a ``when`` branch of its route. There is no shuffle apart from the
-join to the policies, which is broadcast when their number allows.
+because each detection sits in the branch of its route. There is no shuffle apart from the join to
+the policies, which is broadcast when their number allows.
 """
 
 from __future__ import annotations
@@ -15,77 +15,77 @@ from quillguard.functions import money as M
 from quillguard.functions import patterns as P
 from quillguard.functions import text as X
 from quillguard.functions.sizing import broadcast_if_small
-from quillguard.functions.spans import find_all, find_beside, no_findings
+from quillguard.functions.spans import (
+    NO_FINDINGS,
+    Sql,
+    find_all,
+    find_beside,
+    find_ssn,
+    keep,
+    lit,
+    name,
+)
 from quillguard.operators import rules as R
-from quillguard.operators.detect import false_positive, ssn_findings
+from quillguard.operators.detect import false_positive
 
-DECISION_COLUMNS = ("decision", "raw_text_out", "reasons", "rule_id", "budget_status", "budget_info")
+_FINAL_ACTIONS = "('deny', 'pass_through', 'tokenize')"
+_NO_LIST = X.NO_REASONS
 
-_NULL_TEXT = F.lit(None).cast("string")
 
+def _texts(values: tuple[str, ...]) -> Sql:
+    return f"array({', '.join(lit(v) for v in values)})"
 
-def _one(reason: Column | str) -> Column:
-    return F.array(F.lit(reason) if isinstance(reason, str) else reason)
 
-
-def _any_prefix(value: Column, prefixes: Column) -> Column:
-    return F.exists(prefixes, lambda p: F.startswith(value, p))
-
-
-def network_hit(scope: Column, tool: Column, scopes: Column, tools: Column) -> Column:
-    in_scope = (F.coalesce(scope, F.lit("")) != "") & _any_prefix(F.coalesce(scope, F.lit("")), scopes)
-    return in_scope | _any_prefix(F.coalesce(tool, F.lit("")), tools)
+def network_hit(scope: Sql, tool: Sql, scopes: Sql, tools: Sql) -> Sql:
+    in_scope = f"(coalesce({scope}, '') <> '' AND exists({scopes}, p -> startswith({scope}, p)))"
+    return f"({in_scope} OR exists({tools}, p -> startswith(coalesce({tool}, ''), p)))"
 
 
 def default_columns(
-    action: Column, text: Column, direction: Column, deny_text: Column, salt: str = X.DEFAULT_SALT
-) -> dict[str, Column]:
+    action: Sql, text: Sql, direction: Sql, deny_text: Sql, salt: str = X.DEFAULT_SALT
+) -> dict[str, Sql]:
     """Decision columns of the direction's default action; null decision: go on to the next level."""
-    final = action.isin("deny", "pass_through", "tokenize")
     return {
-        "decision": F.when(action == "deny", "deny")
-        .when(action == "pass_through", "allow")
-        .when(action == "tokenize", "transform"),
-        "raw_text_out": F.when(action == "deny", deny_text)
-        .when(action == "pass_through", text)
-        .when(action == "tokenize", X.token(text, salt)),
-        "reasons": F.when(final, _one(F.concat(F.lit("default."), direction, F.lit("."), action))),
-        "rule_id": F.when(final, F.lit("defaults")),
+        "decision": f"CASE {action} WHEN 'deny' THEN 'deny' WHEN 'pass_through' THEN 'allow' "
+        "WHEN 'tokenize' THEN 'transform' END",
+        "raw_text_out": f"CASE {action} WHEN 'deny' THEN {deny_text} WHEN 'pass_through' THEN {text} "
+        f"WHEN 'tokenize' THEN {X.token(text, salt)} END",
+        "reasons": f"CASE WHEN {action} IN {_FINAL_ACTIONS} "
+        f"THEN array(concat('default.', {direction}, '.', {action})) END",
+        "rule_id": f"CASE WHEN {action} IN {_FINAL_ACTIONS} THEN 'defaults' END",
     }
 
 
-def error_columns(
-    on_error: Column, text: Column, static: Column, masked: Column | None = None
-) -> dict[str, Column]:
-    """Decision columns of a row whose evaluation failed."""
-    m = X.mask_text(text) if masked is None else masked
-    best = on_error == "best_effort"
-    bypass = on_error == "pass"
+def error_columns(on_error: Sql, text: Sql, static: Sql, masked: Sql) -> dict[str, Sql]:
+    """Decision columns of a row whose evaluation failed; ``masked`` is its masked text."""
     return {
-        "decision": F.when(bypass & static, "pass_through")
-        .when(bypass, "allow")
-        .when(best, "transform")
-        .otherwise("deny"),
-        "raw_text_out": F.when(bypass & static, _NULL_TEXT).when(best, m["text"]).otherwise(text),
-        "reasons": F.when(bypass, _one("precheck.bypass"))
-        .when(best & (F.size(m["reasons"]) > 0), m["reasons"])
-        .when(best, _one("precheck.best_effort"))
-        .otherwise(_one("precheck.error")),
-        "rule_id": F.when(best, "error-handler-regex").otherwise("error-handler"),
+        "decision": f"CASE {on_error} WHEN 'pass' THEN CASE WHEN {static} THEN 'pass_through' ELSE 'allow' END "
+        "WHEN 'best_effort' THEN 'transform' ELSE 'deny' END",
+        "raw_text_out": f"CASE {on_error} WHEN 'pass' THEN CASE WHEN NOT {static} THEN {text} END "
+        f"WHEN 'best_effort' THEN {masked}.text ELSE {text} END",
+        "reasons": f"CASE {on_error} WHEN 'pass' THEN array('precheck.bypass') WHEN 'best_effort' THEN "
+        f"CASE WHEN size({masked}.reasons) > 0 THEN {masked}.reasons ELSE array('precheck.best_effort') END "
+        "ELSE array('precheck.error') END",
+        "rule_id": f"CASE WHEN {on_error} = 'best_effort' THEN 'error-handler-regex' ELSE 'error-handler' END",
     }
 
 
+def _expressions(columns: dict[str, Sql]) -> dict[str, Column]:
+    return {c: F.expr(e) for c, e in columns.items()}
+
+
 def apply_default_action(
     requests: DataFrame, defaults: DataFrame, key: str = "policy_key", mode: str = "payload"
 ) -> tuple[DataFrame, DataFrame]:
     """Decisions of requests whose direction has a final default action, and the rest."""
-    looked_up = requests.join(broadcast_if_small(defaults), [key, "direction"], "left")
-    action = F.coalesce(F.col("action"), F.lit(S.DEFAULT_ACTION))
-    text = F.col("raw_text")
-    final = action.isin("deny", "pass_through", "tokenize")
-    deny_text = text if mode == "payload" else _NULL_TEXT
-    decided = looked_up.filter(final).withColumns(default_columns(action, text, F.col("direction"), deny_text))
-    return decided.drop("action"), looked_up.filter(~final).drop("action")
+    looked_up = requests.join(broadcast_if_small(defaults), [key, "direction"], "left").fillna(
+        {"action": S.DEFAULT_ACTION}
+    )
+    deny_text = "raw_text" if mode == "payload" else "NULL"
+    decided = looked_up.filter(f"action IN {_FINAL_ACTIONS}").withColumns(
+        _expressions(default_columns("action", "raw_text", "direction", deny_text))
+    )
+    return decided.drop("action"), looked_up.filter(f"action NOT IN {_FINAL_ACTIONS}").drop("action")
 
 
 def network_redact(
@@ -94,15 +94,10 @@ def network_redact(
     tools: tuple[str, ...] = S.DEFAULT_NETWORK_TOOLS,
 ) -> tuple[DataFrame, DataFrame]:
     """Masked decisions of requests with a network scope or tool, and the rest."""
-    hit = network_hit(
-        F.col("scope"),
-        F.col("tool"),
-        F.array(*[F.lit(s) for s in scopes]),
-        F.array(*[F.lit(t) for t in tools]),
-    )
+    hit = network_hit("scope", "tool", _texts(scopes), _texts(tools))
     decided = (
         requests.filter(hit)
-        .withColumn("_m", X.mask_text(F.col("raw_text")))
+        .withColumn("_m", F.expr(X.mask_text("raw_text")))
         .withColumns(
             {
                 "decision": F.lit("transform"),
@@ -113,12 +108,28 @@ def network_redact(
         )
         .drop("_m")
     )
-    return decided, requests.filter(~hit)
+    return decided, requests.filter(f"NOT {hit}")
 
 
 def resolve_errors(failed: DataFrame, on_error_col: str = "on_error", mode: str = "payload") -> DataFrame:
-    cols = error_columns(F.col(on_error_col), F.col("raw_text"), F.lit(mode == "static"))
-    return failed.withColumns(cols)
+    on_error = name(on_error_col)
+    best = f"CASE WHEN {on_error} = 'best_effort' THEN {X.mask_text('raw_text')} END"
+    static = "true" if mode == "static" else "false"
+    columns = error_columns(on_error, "raw_text", static, "_m")
+    return failed.withColumn("_m", F.expr(best)).withColumns(_expressions(columns)).drop("_m")
+
+
+def fallback_over_budget(policy_model: Sql) -> Sql:
+    """A payment is named in the text, a budget is known, and the first amount does not fit it.
+    Works on ``_pay``, ``tool_config`` and ``budget_context``."""
+    model = f"coalesce({_METADATA_MODEL}, {policy_model})"
+    check = M.budget_check(
+        "budget_context", M.request_cost("raw_text", model), M.first_payment_amount("_pay")
+    )
+    return f"CASE WHEN size(_pay) > 0 AND budget_context IS NOT NULL THEN NOT {check}.status.allowed ELSE false END"
+
+
+_METADATA_MODEL = "try_element_at(tool_config.metadata, 'model')"
 
 
 def strict_fallback(requests: DataFrame, findings_col: str = "findings", budgets: bool = False) -> DataFrame:
@@ -128,174 +139,140 @@ def strict_fallback(requests: DataFrame, findings_col: str = "findings", budgets
     that names a payment the budget cannot bear is denied. Passwords and payments may overlap each
     other; they are then spliced right to left with their original offsets, as specified.
     """
-    text, found = F.col("raw_text"), F.col(findings_col)
+    found = name(findings_col)
     df = requests.withColumns(
-        {
-            "_pw": find_beside(text, found, P.PASSWORD_SPEC),
-            "_pay": find_beside(text, found, P.PAYMENT_SPEC),
-        }
+        _expressions(
+            {
+                "_pw": find_beside("raw_text", found, P.PASSWORD_SPEC),
+                "_pay": find_beside("raw_text", found, P.PAYMENT_SPEC),
+            }
+        )
     )
-    return _fallback_columns(df, findings_col, budgets).drop("_pw", "_pay")
-
-
-def _fallback_columns(df: DataFrame, findings_col: str, budgets: bool) -> DataFrame:
-    text = F.col("raw_text")
-    every = F.concat(F.col(findings_col), F.col("_pw"), F.col("_pay"))
-    over = fallback_over_budget(text, F.col("model")) if budgets else F.lit(False)
-    some = F.size(every) > 0
-    return df.withColumns(
-        {
-            "decision": F.when(over, "deny").when(some, "transform").otherwise("allow"),
-            "raw_text_out": F.when(over | ~some, text).otherwise(X.redact_placeholders(text, every)),
-            "reasons": F.when(over, _one("budget_exceeded:budget_exceeded"))
-            .when(some, X.redaction_reasons(every))
-            .otherwise(_one("strict_fallback.allow")),
-            "rule_id": F.lit("strict-fallback"),
-        }
+    df = df.withColumns(
+        _expressions(
+            {
+                "_every": f"concat({found}, _pw, _pay)",
+                "_over": fallback_over_budget("model") if budgets else "false",
+            }
+        )
     )
+    return df.withColumns(
+        _expressions(
+            {
+                "decision": "CASE WHEN _over THEN 'deny' WHEN size(_every) > 0 THEN 'transform' ELSE 'allow' END",
+                "raw_text_out": f"CASE WHEN _over THEN raw_text ELSE {X.redact_placeholders('raw_text', '_every')} END",
+                "reasons": "CASE WHEN _over THEN array('budget_exceeded:budget_exceeded') WHEN size(_every) > 0 "
+                f"THEN {X.redaction_reasons('_every')} ELSE array('strict_fallback.allow') END",
+                "rule_id": "'strict-fallback'",
+            }
+        )
+    ).drop("_pw", "_pay", "_every", "_over")
 
 
-def fallback_over_budget(text: Column, policy_model: Column) -> Column:
-    """A payment is named in the text, a budget is known, and the first amount does not fit it."""
-    model = F.coalesce(F.try_element_at(F.col("tool_config.metadata"), F.lit("model")), policy_model)
-    check = M.budget_check(
-        F.col("budget_context"), M.request_cost(text, model), M.first_payment_amount(F.col("_pay"))
+def first_blocked(findings: Sql, allow_pii: Sql) -> Sql:
+    blocked = keep(
+        findings, lambda f: f"coalesce(try_element_at({allow_pii}, {f}.type) IN ('block', 'deny'), false)"
     )
-    asked = (F.size("_pay") > 0) & F.col("budget_context").isNotNull()
-    return F.when(asked, ~check["status"]["allowed"]).otherwise(F.lit(False))
+    return X.bare_type(f"get({blocked}, 0).type")
 
 
 def block_on_pii(
     requests: DataFrame, allow_col: str, findings_col: str = "findings"
 ) -> tuple[DataFrame, DataFrame]:
     """Split off requests with a finding whose type the rule blocks; the first one is named."""
-    df = requests.withColumn("_blocked", first_blocked(F.col(findings_col), F.col(allow_col)))
-    hits = (
-        df.filter(F.col("_blocked").isNotNull())
-        .withColumns(
+    df = requests.withColumn("_blocked", F.expr(first_blocked(name(findings_col), name(allow_col))))
+    hits = df.filter("_blocked IS NOT NULL").withColumns(
+        _expressions(
             {
-                "decision": F.lit("deny"),
-                "raw_text_out": F.col("raw_text"),
-                "reasons": _one(F.concat(F.lit("pii.blocked:"), F.col("_blocked"))),
-                "rule_id": F.lit("tool-access"),
+                "decision": "'deny'",
+                "raw_text_out": "raw_text",
+                "reasons": "array(concat('pii.blocked:', _blocked))",
+                "rule_id": "'tool-access'",
             }
         )
-        .drop("_blocked")
-    )
-    return hits, df.filter(F.col("_blocked").isNull()).drop("_blocked")
-
-
-def first_blocked(findings: Column, allow_pii: Column) -> Column:
-    blocked = F.filter(
-        findings,
-        lambda f: F.coalesce(F.try_element_at(allow_pii, f["type"]).isin("block", "deny"), F.lit(False)),
     )
-    return X.bare_type(F.get(blocked, F.lit(0))["type"])
+    return hits.drop("_blocked"), df.filter("_blocked IS NULL").drop("_blocked")
 
 
-def _policy_model(policy: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.col("tool_config.metadata"), F.lit("model")), policy["model"])
-
-
-def _has_budget_inputs() -> Column:
-    return (
-        (F.coalesce(F.col("user_id"), F.lit("")) != "")
-        & F.col("tool_config").isNotNull()
-        & F.col("budget_context").isNotNull()
-    )
-
-
-def budget_columns(df: DataFrame, model: Column) -> DataFrame:
-    """Add ``_cost``, ``_purchase`` and, where the guard holds, ``_check`` (status and info)."""
+def budget_columns(df: DataFrame, model: Sql, where: Sql = "true") -> DataFrame:
+    """Add ``_check`` (status and info), null where user, tool settings or budget are unknown,
+    where neither a purchase nor a significant cost calls for a check, or where not ``where``."""
+    known = f"(coalesce(user_id, '') <> '' AND tool_config IS NOT NULL AND budget_context IS NOT NULL AND {where})"
     out = df.withColumns(
-        {
-            "_cost": F.when(_has_budget_inputs(), M.request_cost(F.col("raw_text"), model)),
-            "_purchase": M.purchase_amount(F.col("tool_config.metadata")),
-        }
+        _expressions(
+            {
+                "_cost": f"CASE WHEN {known} THEN {M.request_cost('raw_text', model)} END",
+                "_purchase": f"CASE WHEN {known} THEN {M.purchase_amount('tool_config.metadata')} END",
+            }
+        )
     )
-    check = M.budget_check(F.col("budget_context"), F.col("_cost"), F.col("_purchase"))
-    guard = _has_budget_inputs() & M.worth_checking(F.col("_cost"), F.col("_purchase"))
-    return out.withColumn("_check", F.when(guard, check))
+    check = M.budget_check("budget_context", "_cost", "_purchase")
+    guarded = f"CASE WHEN _cost IS NOT NULL AND {M.worth_checking('_cost', '_purchase')} THEN {check} END"
+    return out.withColumn("_check", F.expr(guarded)).drop("_cost", "_purchase")
 
 
-def budget_reason(check: Column) -> Column:
-    reason = check["status"]["reason"]
-    return F.when(reason == "budget_ok", "budget_check_passed").otherwise(reason)
+def no_finding_columns(text: Sql, action: Sql, check: Sql, salt: str = X.DEFAULT_SALT) -> dict[str, Sql]:
+    """Decision columns of a matched rule when nothing was found: the rule's action, under the
+    budget gate. Refusing and tokenising actions need no budget."""
+    act = f"coalesce({action}, '')"
+    fixed = f"{act} IN ('deny', 'block', 'tokenize')"
+    verdict = f"CASE WHEN {fixed} THEN NULL ELSE {check}.status.reason END"
+    return {
+        "decision": f"CASE WHEN {act} IN ('deny', 'block') THEN 'deny' WHEN {act} = 'tokenize' THEN 'transform' "
+        f"WHEN {verdict} = 'budget_exceeded' THEN 'deny' "
+        f"WHEN {verdict} = 'budget_warning' OR {act} = 'confirm' THEN 'confirm' ELSE 'allow' END",
+        "raw_text_out": f"CASE WHEN {act} = 'tokenize' THEN {X.token(text, salt)} ELSE {text} END",
+        "reasons": f"CASE WHEN {act} IN ('deny', 'block') THEN array('tool-specific.block') "
+        f"WHEN {act} = 'tokenize' THEN array('tool-specific.tokenize') "
+        f"WHEN {verdict} IN ('budget_exceeded', 'budget_warning') THEN array({verdict}) "
+        f"WHEN {act} = 'confirm' AND {verdict} IS NOT NULL THEN array('tool-specific.confirm', 'budget_check_passed') "
+        f"WHEN {act} = 'confirm' THEN array('tool-specific.confirm') "
+        f"WHEN {verdict} IS NOT NULL THEN array('budget_check_passed') END",
+        "rule_id": f"CASE WHEN {verdict} IN ('budget_exceeded', 'budget_warning') THEN 'budget-check' "
+        "ELSE 'tool-access' END",
+        "budget_status": f"CASE WHEN {fixed} THEN NULL ELSE {check}.status END",
+        "budget_info": f"CASE WHEN {fixed} THEN NULL ELSE {check}.info END",
+    }
 
 
 def no_finding_action(requests: DataFrame, action_col: str, model_col: str = "model") -> DataFrame:
-    """Decisions of a matched rule when nothing was found: its action, under the budget gate."""
-    df = budget_columns(requests, F.coalesce(_metadata_model(), F.col(model_col)))
-    cols = _no_finding_columns(F.col("raw_text"), F.col(action_col), F.col("_check"))
-    return df.withColumns(cols).drop("_cost", "_purchase", "_check")
-
-
-def _metadata_model() -> Column:
-    return F.try_element_at(F.col("tool_config.metadata"), F.lit("model"))
-
-
-def _no_finding_columns(text: Column, action: Column, check: Column) -> dict[str, Column]:
-    action = F.coalesce(action, F.lit(""))
-    fixed = action.isin("deny", "block", "tokenize")
-    verdict = F.when(~fixed, check["status"]["reason"])
-    exceeded, warned = verdict == "budget_exceeded", verdict == "budget_warning"
-    confirm = action == "confirm"
-    passed = verdict == "budget_ok"
-    none = F.lit(None).cast("array<string>")
-    return {
-        "decision": F.when(action.isin("deny", "block"), "deny")
-        .when(action == "tokenize", "transform")
-        .when(exceeded, "deny")
-        .when(warned | confirm, "confirm")
-        .otherwise("allow"),
-        "raw_text_out": F.when(action == "tokenize", X.token(text)).otherwise(text),
-        "reasons": F.when(action.isin("deny", "block"), _one("tool-specific.block"))
-        .when(action == "tokenize", _one("tool-specific.tokenize"))
-        .when(exceeded, _one("budget_exceeded"))
-        .when(warned, _one("budget_warning"))
-        .when(confirm & passed, F.array(F.lit("tool-specific.confirm"), F.lit("budget_check_passed")))
-        .when(confirm, _one("tool-specific.confirm"))
-        .when(passed, _one("budget_check_passed"))
-        .otherwise(none),
-        "rule_id": F.when(exceeded | warned, "budget-check").otherwise("tool-access"),
-        "budget_status": F.when(~fixed, check["status"]),
-        "budget_info": F.when(~fixed, check["info"]),
-    }
+    df = budget_columns(requests, f"coalesce({_METADATA_MODEL}, {name(model_col)})")
+    columns = no_finding_columns("raw_text", name(action_col), "_check")
+    return df.withColumns(_expressions(columns)).drop("_check")
 
 
 def budget_gate(decisions: DataFrame) -> DataFrame:
     """Overlay: deny what exceeds the budget, ask for confirmation above the warning level. Rows
     need ``_check`` from ``budget_columns``."""
-    verdict = F.col("_check.status.reason")
-    stop, warn = verdict == "budget_exceeded", verdict == "budget_warning"
-    either = F.coalesce(stop | warn, F.lit(False))
+    acts = "coalesce(_check.status.reason IN ('budget_exceeded', 'budget_warning'), false)"
+    overlay = {
+        "decision": "CASE _check.status.reason WHEN 'budget_exceeded' THEN 'deny' ELSE 'confirm' END",
+        "reasons": "array(_check.status.reason)",
+        "rule_id": "'budget-check'",
+        "raw_text_out": "raw_text",
+        "budget_status": "_check.status",
+        "budget_info": "_check.info",
+    }
     return decisions.withColumns(
-        {
-            "decision": F.when(stop, "deny").when(warn, "confirm").otherwise(F.col("decision")),
-            "reasons": F.when(either, F.array(verdict)).otherwise(F.col("reasons")),
-            "rule_id": F.when(either, "budget-check").otherwise(F.col("rule_id")),
-            "raw_text_out": F.when(either, F.col("raw_text")).otherwise(F.col("raw_text_out")),
-            "budget_status": F.when(either, F.col("_check.status")).otherwise(F.col("budget_status")),
-            "budget_info": F.when(either, F.col("_check.info")).otherwise(F.col("budget_info")),
-        }
+        {c: F.expr(f"CASE WHEN {acts} THEN {e} ELSE {c} END") for c, e in overlay.items()}
     )
 
 
 def annotate_budget(decisions: DataFrame) -> DataFrame:
     """Add status and info and append the budget's reason. A decision whose reasons are explicitly
     none (network redaction without a hit) gets status and info only."""
-    check = F.col("_check")
-    known = check.isNotNull()
-    explicit_none = F.col("reasons").isNull() & F.startswith(F.col("rule_id"), F.lit("net-redact"))
-    appended = F.concat(
-        F.coalesce(F.col("reasons"), F.array().cast("array<string>")), F.array(budget_reason(check))
-    )
+    known = "_check IS NOT NULL"
+    explicit_none = "(reasons IS NULL AND startswith(rule_id, 'net-redact'))"
+    noted = "CASE _check.status.reason WHEN 'budget_ok' THEN 'budget_check_passed' ELSE _check.status.reason END"
     return decisions.withColumns(
-        {
-            "budget_status": F.when(known, check["status"]).otherwise(F.col("budget_status")),
-            "budget_info": F.when(known, check["info"]).otherwise(F.col("budget_info")),
-            "reasons": F.when(known & ~explicit_none, appended).otherwise(F.col("reasons")),
-        }
+        _expressions(
+            {
+                "budget_status": f"CASE WHEN {known} THEN _check.status ELSE budget_status END",
+                "budget_info": f"CASE WHEN {known} THEN _check.info ELSE budget_info END",
+                "reasons": f"CASE WHEN {known} AND NOT {explicit_none} "
+                f"THEN concat(coalesce(reasons, {_NO_LIST}), array({noted})) ELSE reasons END",
+            }
+        )
     )
 
 
@@ -313,25 +290,20 @@ def _with_optional_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def _route(static: Column) -> Column:
-    policy, tool, direction = F.col("_policy"), F.col("tool"), F.col("direction")
-    fixed_deny = F.array(*[F.lit(t) for t in S.DEFAULT_DENY_TOOLS])
-    denied = F.array_contains(F.when(static, fixed_deny).otherwise(policy["deny_tools"]), tool)
-    action = R.default_action(policy, direction)
+def _route() -> Sql:
+    """Which level of the chain decides the row. Levels in order: deny list, tool rule, default
+    action, network, fallback; a malformed policy fails where it would first be read."""
+    deny = f"array_contains(CASE WHEN _static THEN {_texts(S.DEFAULT_DENY_TOOLS)} ELSE _policy.deny_tools END, tool)"
     net = network_hit(
-        F.when(static, F.col("scope")).otherwise(policy["scope"]),
-        F.when(static, tool).otherwise(policy["tool"]),
-        F.when(static, F.array(*[F.lit(s) for s in S.DEFAULT_NETWORK_SCOPES])).otherwise(policy["network_scopes"]),
-        F.when(static, F.array(*[F.lit(s) for s in S.DEFAULT_NETWORK_TOOLS])).otherwise(policy["network_tools"]),
+        "CASE WHEN _static THEN scope ELSE _policy.scope END",
+        "CASE WHEN _static THEN tool ELSE _policy.tool END",
+        f"CASE WHEN _static THEN {_texts(S.DEFAULT_NETWORK_SCOPES)} ELSE _policy.network_scopes END",
+        f"CASE WHEN _static THEN {_texts(S.DEFAULT_NETWORK_TOOLS)} ELSE _policy.network_tools END",
     )
     return (
-        F.when(denied, "deny")
-        .when(policy["bad_rules"], "error")
-        .when(F.col("_rule").isNotNull(), "rule")
-        .when(policy["bad_defaults"], "error")
-        .when(action.isin("deny", "pass_through", "tokenize"), "default")
-        .when(net, "network")
-        .otherwise("fallback")
+        f"CASE WHEN {deny} THEN 'deny' WHEN _policy.bad_rules THEN 'error' WHEN _rule IS NOT NULL THEN 'rule' "
+        f"WHEN _policy.bad_defaults THEN 'error' WHEN _action IN {_FINAL_ACTIONS} THEN 'default' "
+        f"WHEN {net} THEN 'network' ELSE 'fallback' END"
     )
 
 
@@ -351,162 +323,120 @@ def decide(
     budget_context`` and the policy key. ``policies`` has ``(key, doc, form)``. ``mode``:
     ``static`` judges all rows by ``static_policy`` (JSON text of a policy file), ``payload`` all
     rows by their own policy, ``auto`` by their own policy where there is one.
+
+    The result has the input columns and ``decision, raw_text_out, reasons, rule_id, budget_status,
+    budget_info``, and ``_check``, the budget check ``annotate_budget`` uses.
     """
     df = _with_optional_columns(requests)
+    inputs = df.columns
+    bare = '{"version":"v1"}'
+    in_force = bare if static_policy.strip() in ("", "{}", "null") else static_policy
+    file_policy = R.policy_struct(F.lit(in_force), F.lit(True))
     if mode == "static" or policies is None:
-        df = df.withColumn("_own", F.lit(None).cast("boolean"))
-        own_policy = None
+        df = df.withColumns({"_static": F.lit(True), "_policy": file_policy})
     else:
         table = R.load_policies(policies).select(key, F.col("policy").alias("_own"))
         df = df.join(broadcast_if_small(table), key, "left")
-        own_policy = F.col("_own")
-    file_policy = R.policy_struct(F.lit(static_policy), F.lit(True))
-    bare = R.policy_struct(F.lit('{"version":"v1"}'), F.lit(True))
-    fallback_policy = F.coalesce(file_policy, bare)
-    if own_policy is None:
-        static, policy = F.lit(True), fallback_policy
-    elif mode == "payload":
-        static, policy = F.lit(False), F.coalesce(own_policy, bare)
-    else:
-        static, policy = own_policy.isNull(), F.coalesce(own_policy, fallback_policy)
-    df = df.withColumns({"_policy": policy, "_static": static}).drop("_own")
-
-    rules, tool, direction = F.col("_policy.rules"), F.col("tool"), F.col("direction")
-    df = df.withColumn(
-        "_rule",
-        F.when(F.col("_static"), R.exact_rule(rules, tool, direction, False)).otherwise(
-            R.payload_rule(rules, tool, direction)
-        ),
-    )
-    df = df.withColumn("_route", _route(F.col("_static")))
-    return _decide_routed(df, static_rule_detector, static_on_error, salt)
-
+        if mode == "payload":
+            fallback, static = R.policy_struct(F.lit(bare)), F.lit(False)
+        else:
+            fallback, static = file_policy, F.col("_own").isNull()
+        df = df.withColumns({"_static": static, "_policy": F.coalesce("_own", fallback)}).drop("_own")
+    df = df.withColumns(
+        {
+            "_rule": F.when(
+                F.col("_static"), R.exact_rule(F.col("_policy.rules"), F.col("tool"), F.col("direction"), False)
+            ).otherwise(R.payload_rule(F.col("_policy.rules"), F.col("tool"), F.col("direction"))),
+            "_action": R.default_action(F.col("_policy"), F.col("direction")),
+            "_on_error": F.when(F.col("_static"), F.lit(static_on_error)).otherwise(F.col("_policy.on_error")),
+        }
+    ).withColumn("_route", F.expr(_route()))
+    return _decide_routed(df, inputs, static_rule_detector, salt)
 
-def _decide_routed(df: DataFrame, static_rule_detector: str, static_on_error: str, salt: str) -> DataFrame:
-    text, route, static = F.col("raw_text"), F.col("_route"), F.col("_static")
-    policy, rule = F.col("_policy"), F.col("_rule")
-    inputs = [c for c in df.columns if not c.startswith("_")]
 
+def _decide_routed(df: DataFrame, inputs: list[str], static_rule_detector: str, salt: str) -> DataFrame:
+    own_rule, file_rule, fallback = (
+        "(NOT _static AND _route = 'rule')",
+        "(_static AND _route = 'rule')",
+        "_route = 'fallback'",
+    )
     # Detection, each in the branch of the routes that need it.
-    static_rule = static & (route == "rule")
-    payload_rule = ~static & (route == "rule")
-    plain = F.when(payload_rule | (route == "fallback"), find_all(text, P.REGEX_PROFILE))
+    specific = NO_FINDINGS
     if static_rule_detector != "none":
-        specific = F.filter(
-            find_all(text, P.PROFILES[static_rule_detector]),
-            lambda f: ~false_positive(f["type"], F.lit(""), text),
+        specific = keep(
+            find_all("raw_text", P.PROFILES[static_rule_detector]),
+            lambda f: f"NOT {false_positive(f + '.type', lit(''), 'raw_text')}",
         )
-        plain = plain.when(static_rule, specific)
-    masked_route = (route == "network") | (
-        (route == "error")
-        & (F.when(static, F.lit(static_on_error)).otherwise(policy["on_error"]) == "best_effort")
-    )
+    masked_route = "(_route = 'network' OR (_route = 'error' AND _on_error = 'best_effort'))"
     df = df.withColumns(
-        {
-            "_found": plain.otherwise(no_findings()),
-            "_m": F.when(masked_route, X.mask_text(text)).otherwise(
-                F.lit(None).cast(X.MASKED_DDL)
-            ),
-        }
+        _expressions(
+            {
+                "_found": f"CASE WHEN {own_rule} OR {fallback} THEN {find_all('raw_text', P.REGEX_PROFILE)} "
+                f"WHEN {file_rule} THEN {specific} ELSE {NO_FINDINGS} END",
+                "_m": f"CASE WHEN {masked_route} THEN {X.mask_text('raw_text')} END",
+            }
+        )
     )
     df = df.withColumns(
-        {
-            "_found": F.when(payload_rule, ssn_findings(text, F.col("_found"))).otherwise(F.col("_found")),
-            "_pw": F.when(route == "fallback", find_beside(text, F.col("_found"), P.PASSWORD_SPEC)).otherwise(
-                no_findings()
-            ),
-            "_pay": F.when(route == "fallback", find_beside(text, F.col("_found"), P.PAYMENT_SPEC)).otherwise(
-                no_findings()
-            ),
-        }
+        _expressions(
+            {
+                "_found": f"CASE WHEN {own_rule} THEN {find_ssn('raw_text', '_found')} ELSE _found END",
+                "_pw": f"CASE WHEN {fallback} THEN {find_beside('raw_text', '_found', P.PASSWORD_SPEC)} "
+                f"ELSE {NO_FINDINGS} END",
+                "_pay": f"CASE WHEN {fallback} THEN {find_beside('raw_text', '_found', P.PAYMENT_SPEC)} "
+                f"ELSE {NO_FINDINGS} END",
+            }
+        )
     )
-    df = budget_columns(df, _policy_model(policy))
-    df = df.withColumn("_check", F.when(~static, F.col("_check")))
-
-    found, allow = F.col("_found"), rule["allow_pii"]
-    has_found = F.size(found) > 0
-    blocked = F.when(payload_rule, first_blocked(found, allow))
-    every = F.concat(found, F.col("_pw"), F.col("_pay"))
-    over = F.when(~static & (route == "fallback"), fallback_over_budget(text, policy["model"])).otherwise(
-        F.lit(False)
+    df = budget_columns(df, f"coalesce({_METADATA_MODEL}, _policy.model)", "NOT _static")
+    over = f"CASE WHEN NOT _static AND {fallback} THEN {fallback_over_budget('_policy.model')} ELSE false END"
+    df = df.withColumns(
+        _expressions(
+            {
+                "_every": "concat(_found, _pw, _pay)",
+                "_over": over,
+                "_blocked": f"CASE WHEN {own_rule} THEN {first_blocked('_found', '_rule.allow_pii')} END",
+                "_calm": f"{own_rule} AND size(_found) = 0",
+            }
+        )
     )
-    static_redaction = "mask" if static_rule_detector in ("none", "regex") else "placeholder"
-    static_text, static_reasons = X.transform_static(text, found, allow, salt, static_redaction)
-    payload_text, payload_reasons = X.transform_payload(text, found, allow, salt)
-    quiet = _no_finding_columns(text, rule["action"], F.col("_check"))
+    redaction = "mask" if static_rule_detector in ("none", "regex") else "placeholder"
+    static_text, static_reasons = X.transform_static("raw_text", "_found", "_rule.allow_pii", salt, redaction)
+    payload_text, payload_reasons = X.transform_payload("raw_text", "_found", "_rule.allow_pii", salt)
+    quiet = no_finding_columns("raw_text", "_rule.action", "_check", salt)
     default = default_columns(
-        R.default_action(policy, F.col("direction")),
-        text,
-        F.col("direction"),
-        F.when(~static, text),
-        salt,
-    )
-    error = error_columns(
-        F.when(static, F.lit(static_on_error)).otherwise(policy["on_error"]), text, static, F.col("_m")
-    )
-    none = F.lit(None).cast("array<string>")
-    df = df.withColumn("_blocked", blocked)
-    is_blocked = F.col("_blocked").isNotNull()
-    calm = payload_rule & ~has_found
-
-    decision = (
-        F.when(route == "deny", "deny")
-        .when(route == "error", error["decision"])
-        .when(is_blocked, "deny")
-        .when(calm, quiet["decision"])
-        .when((route == "rule") & has_found, "transform")
-        .when(route == "rule", "allow")
-        .when(route == "default", default["decision"])
-        .when(route == "network", "transform")
-        .when(over, "deny")
-        .when(F.size(every) > 0, "transform")
-        .otherwise("allow")
-    )
-    text_out = (
-        F.when(route == "deny", F.when(~static, text))
-        .when(route == "error", error["raw_text_out"])
-        .when(is_blocked, text)
-        .when(calm, quiet["raw_text_out"])
-        .when(payload_rule, payload_text)
-        .when(static_rule, static_text)
-        .when(route == "default", default["raw_text_out"])
-        .when(route == "network", F.col("_m.text"))
-        .when(over, text)
-        .otherwise(X.redact_placeholders(text, every))
-    )
-    reasons = (
-        F.when(route == "deny", _one("blocked tool: code/exec"))
-        .when(route == "error", error["reasons"])
-        .when(is_blocked, _one(F.concat(F.lit("pii.blocked:"), F.col("_blocked"))))
-        .when(calm, quiet["reasons"])
-        .when(payload_rule, payload_reasons)
-        .when(static_rule & has_found, static_reasons)
-        .when(static_rule, none)
-        .when(route == "default", default["reasons"])
-        .when(route == "network", F.when(F.size("_m.reasons") > 0, F.array_sort("_m.reasons")))
-        .when(over, _one("budget_exceeded:budget_exceeded"))
-        .when(F.size(every) > 0, X.redaction_reasons(every))
-        .otherwise(_one("strict_fallback.allow"))
-    )
-    rule_id = (
-        F.when(route == "deny", "deny-exec")
-        .when(route == "error", error["rule_id"])
-        .when(calm, quiet["rule_id"])
-        .when(route == "rule", "tool-access")
-        .when(route == "default", "defaults")
-        .when(route == "network", "net-redact-regex")
-        .otherwise("strict-fallback")
-    )
-    return df.select(
-        *inputs,
-        decision.alias("decision"),
-        text_out.alias("raw_text_out"),
-        reasons.alias("reasons"),
-        rule_id.alias("rule_id"),
-        F.when(calm, quiet["budget_status"]).alias("budget_status"),
-        F.when(calm, quiet["budget_info"]).alias("budget_info"),
-        F.col("_check"),
+        "_action", "raw_text", "direction", "CASE WHEN NOT _static THEN raw_text END", salt
     )
+    error = error_columns("_on_error", "raw_text", "_static", "_m")
+    some = "size(_every) > 0"
+    decided = {
+        "decision": f"CASE WHEN _route = 'deny' THEN 'deny' WHEN _route = 'error' THEN {error['decision']} "
+        f"WHEN _blocked IS NOT NULL THEN 'deny' WHEN _calm THEN {quiet['decision']} "
+        f"WHEN _route = 'default' THEN {default['decision']} WHEN _route = 'network' THEN 'transform' "
+        f"WHEN _over THEN 'deny' WHEN {some} THEN 'transform' ELSE 'allow' END",
+        "raw_text_out": "CASE WHEN _route = 'deny' THEN CASE WHEN NOT _static THEN raw_text END "
+        f"WHEN _route = 'error' THEN {error['raw_text_out']} WHEN _blocked IS NOT NULL THEN raw_text "
+        f"WHEN _calm THEN {quiet['raw_text_out']} WHEN {own_rule} THEN {payload_text} "
+        f"WHEN {file_rule} THEN {static_text} WHEN _route = 'default' THEN {default['raw_text_out']} "
+        "WHEN _route = 'network' THEN _m.text WHEN _over THEN raw_text "
+        f"ELSE {X.redact_placeholders('raw_text', '_every')} END",
+        "reasons": "CASE WHEN _route = 'deny' THEN array('blocked tool: code/exec') "
+        f"WHEN _route = 'error' THEN {error['reasons']} "
+        "WHEN _blocked IS NOT NULL THEN array(concat('pii.blocked:', _blocked)) "
+        f"WHEN _calm THEN {quiet['reasons']} WHEN {own_rule} THEN {payload_reasons} "
+        f"WHEN {file_rule} THEN CASE WHEN {some} THEN {static_reasons} END "
+        f"WHEN _route = 'default' THEN {default['reasons']} "
+        "WHEN _route = 'network' THEN CASE WHEN size(_m.reasons) > 0 THEN array_sort(_m.reasons) END "
+        f"WHEN _over THEN array('budget_exceeded:budget_exceeded') WHEN {some} "
+        f"THEN {X.redaction_reasons('_every')} ELSE array('strict_fallback.allow') END",
+        "rule_id": f"CASE WHEN _route = 'deny' THEN 'deny-exec' WHEN _route = 'error' THEN {error['rule_id']} "
+        f"WHEN _calm THEN {quiet['rule_id']} WHEN _route = 'rule' THEN 'tool-access' "
+        "WHEN _route = 'default' THEN 'defaults' WHEN _route = 'network' THEN 'net-redact-regex' "
+        "ELSE 'strict-fallback' END",
+        "budget_status": f"CASE WHEN _calm THEN {quiet['budget_status']} END",
+        "budget_info": f"CASE WHEN _calm THEN {quiet['budget_info']} END",
+    }
+    return df.select(*inputs, *[F.expr(e).alias(c) for c, e in decided.items()], "_check")
 
 
 PASS_NAMES = {"ingress": "precheck", "egress": "postcheck"}
@@ -522,6 +452,7 @@ def check_pass(
     annotation that follows every evaluation. The reason of a budget that was already noted by the
     rule's own gate appears twice, as specified."""
     decided = decide(requests, policies, static_policy, **options)
-    table = F.create_map(*[F.lit(x) for kv in PASS_NAMES.items() for x in kv])
-    annotated = annotate_budget(decided).withColumn("pass", F.try_element_at(table, F.col("direction")))
-    return annotated.drop("_check")
+    cases = " ".join(f"WHEN {lit(d)} THEN {lit(p)}" for d, p in PASS_NAMES.items())
+    return (
+        annotate_budget(decided).withColumn("pass", F.expr(f"CASE direction {cases} END")).drop("_check")
+    )

@@ -7,21 +7,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.functions import patterns as P
 from quillguard.functions.shipping import ship
-from quillguard.functions.spans import (
-    find_all,
-    find_beside,
-    let,
-    overlaps,
-    pattern_spans,
-)
+from quillguard.functions.spans import Sql, find_all, find_beside, find_ssn, lit, name
 from quillguard.functions.text import is_password_field
 from quillguard.schemas import FINDINGS_DDL
 
@@ -40,70 +33,46 @@ def scan_findings(
     if engine == "arrow":
         ship(df.sparkSession)
         return df.withColumn(out, _arrow_finder(specs)(F.col(text_col)))
-    return df.withColumn(out, find_all(F.col(text_col), specs))
-
-
-def ssn_findings(text: Column, findings: Column) -> Column:
-    """``findings`` plus at most one SSN span per pattern: it must overlap nothing kept so far, and
-    either the text mentions social security or tax ids, or the span is written with dashes."""
-
-    def add(found: Column, spec: P.PatternSpec, context: Column) -> Column:
-        def first(kept: Column) -> Column:
-            score = F.when(context, F.lit(0.9)).otherwise(F.lit(0.7))
-            eligible = F.filter(
-                pattern_spans(text, spec, score),
-                lambda f: ~overlaps(f, kept) & (context | f["text"].contains("-")),
-            )
-            return let(
-                F.get(eligible, F.lit(0)),
-                lambda f: F.when(f.isNull(), kept).otherwise(F.array_append(kept, f)),
-            )
-
-        return let(found, first)
-
-    def with_context(context: Column) -> Column:
-        return reduce(lambda found, spec: add(found, spec, context), P.SSN_SPECS, findings)
-
-    has_digit = text.rlike(r"\p{Nd}")
-    return F.when(F.coalesce(has_digit, F.lit(False)), let(text.rlike(P.java(P.SSN_CONTEXT)), with_context)).otherwise(
-        findings
-    )
+    return df.withColumn(out, F.expr(find_all(name(text_col), specs)))
 
 
 def scan_ssn_context(df: DataFrame, text_col: str, findings_col: str = "findings") -> DataFrame:
-    return df.withColumn(findings_col, ssn_findings(F.col(text_col), F.col(findings_col)))
+    """Add at most one SSN span per SSN pattern to the findings (see ``find_ssn``)."""
+    return df.withColumn(findings_col, F.expr(find_ssn(name(text_col), name(findings_col))))
 
 
 def scan_password_payment(df: DataFrame, text_col: str, findings_col: str = "findings") -> DataFrame:
     """Password phrases and payment amounts beside the standard findings. The two lists are not
     checked against each other."""
-    text, findings = F.col(text_col), F.col(findings_col)
-    return df.withColumn("password_findings", find_beside(text, findings, P.PASSWORD_SPEC)).withColumn(
-        "payment_findings", find_beside(text, findings, P.PAYMENT_SPEC)
+    text, findings = name(text_col), name(findings_col)
+    return df.withColumns(
+        {
+            "password_findings": F.expr(find_beside(text, findings, P.PASSWORD_SPEC)),
+            "payment_findings": F.expr(find_beside(text, findings, P.PAYMENT_SPEC)),
+        }
     )
 
 
 def scan_credentials(df: DataFrame, text_col: str, out: str = "findings") -> DataFrame:
     """API keys and JSON web tokens."""
-    return df.withColumn(out, find_all(F.col(text_col), P.CREDENTIAL_SPECS))
+    return df.withColumn(out, F.expr(find_all(name(text_col), P.CREDENTIAL_SPECS)))
 
 
-def false_positive(pii_type: Column, field: Column, value: Column) -> Column:
+def false_positive(pii_type: Sql, field: Sql, value: Sql) -> Sql:
     """True for SSN findings whose field or whole value shows they are none."""
-    nine_equal = value.rlike(r"^(\p{Nd})\1{8}$")
-    literal = F.lower(value).isin(*P.PASSWORD_WORDS)
-    is_ssn = F.lower(F.regexp_replace(pii_type, "PII:", "")) == "us_ssn"
-    return is_ssn & (
-        F.coalesce(is_password_field(field), F.lit(False))
-        | F.coalesce(literal, F.lit(False))
-        | F.coalesce(nine_equal, F.lit(False))
+    nine_equal = lit(r"^(\p{Nd})\1{8}$")
+    words = ", ".join(lit(w) for w in P.PASSWORD_WORDS)
+    signs = (
+        f"coalesce({is_password_field(field)}, false) OR coalesce(lower({value}) IN ({words}), false) "
+        f"OR coalesce({value} RLIKE {nine_equal}, false)"
     )
+    return f"(replace({pii_type}, 'PII:', '') = 'us_ssn' AND ({signs}))"
 
 
 def drop_false_positives(
     findings: DataFrame, field_col: str, value_col: str, type_col: str = "type"
 ) -> DataFrame:
-    return findings.filter(~false_positive(F.col(type_col), F.col(field_col), F.col(value_col)))
+    return findings.filter(f"NOT {false_positive(name(type_col), name(field_col), name(value_col))}")
 
 
 def findings_long(df: DataFrame, keep: Sequence[str], findings_col: str = "findings") -> DataFrame:

@@ -3,18 +3,18 @@ the collision report."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillguard.functions import text as X
-from quillguard.functions.spans import let
+from quillguard.functions.spans import Sql, each, fresh, keep, let, lit, name
 
 
 def mask_text(df: DataFrame, text_col: str, out: str = "masked", reasons: str = "reasons") -> DataFrame:
-    return df.withColumn("_m", X.mask_text(F.col(text_col))).withColumns(
+    return df.withColumn("_m", F.expr(X.mask_text(name(text_col)))).withColumns(
         {out: F.col("_m.text"), reasons: F.col("_m.reasons")}
     ).drop("_m")
 
@@ -22,11 +22,11 @@ def mask_text(df: DataFrame, text_col: str, out: str = "masked", reasons: str =
 def redact_placeholders(
     df: DataFrame, text_col: str, findings_cols: Sequence[str] = ("findings",), out: str = "redacted"
 ) -> DataFrame:
-    findings = F.concat(*[F.col(c) for c in findings_cols])
+    findings = f"concat({', '.join(name(c) for c in findings_cols)})"
     return df.withColumns(
         {
-            out: X.redact_placeholders(F.col(text_col), findings),
-            "reasons": X.redaction_reasons(findings),
+            out: F.expr(X.redact_placeholders(name(text_col), findings)),
+            "reasons": F.expr(X.redaction_reasons(findings)),
         }
     )
 
@@ -41,20 +41,22 @@ def transform_by_tool(
     redaction: str = "mask",
 ) -> DataFrame:
     """Keep, tokenise or redact each finding by the row's ``allow_pii`` map."""
-    args = (F.col(text_col), F.col(findings_col), F.col(allow_col), salt)
+    args = (name(text_col), name(findings_col), name(allow_col), salt)
     if mode == "static":
         text_out, reasons = X.transform_static(*args, redaction=redaction)
     elif mode == "payload":
         text_out, reasons = X.transform_payload(*args)
     else:
         raise ValueError(f"mode must be static or payload, not {mode!r}")
-    return df.withColumns({"text_out": text_out, "reasons": reasons})
+    return df.withColumns({"text_out": F.expr(text_out), "reasons": F.expr(reasons)})
 
 
 def tokenize_column(
     df: DataFrame, cols: Sequence[str], salt: str = X.DEFAULT_SALT, suffix: str = "_token"
 ) -> DataFrame:
-    return df.withColumns({f"{c}{suffix}": X.token(F.col(c).cast("string"), salt) for c in cols})
+    return df.withColumns(
+        {f"{c}{suffix}": F.expr(X.token(f"CAST({name(c)} AS STRING)", salt)) for c in cols}
+    )
 
 
 def token_collisions(df: DataFrame, value_col: str, token_col: str) -> DataFrame:
@@ -72,64 +74,63 @@ def token_collisions(df: DataFrame, value_col: str, token_col: str) -> DataFrame
 # Nested payloads
 # -------------------------------------------------------------------------------------------------
 FIELD_REASON = "field.redacted:password"
-_LEAF_DDL = "struct<value:string,reasons:array<string>>"
-
 
-def _no_reasons() -> Column:
-    return F.array().cast("array<string>")
 
-
-def _mask_leaf(value: Column) -> tuple[Column, Column]:
+def _mask_leaf(value: Sql) -> tuple[Sql, Sql]:
     """Masked string and the reasons, which count only where the masking changed something."""
-    leaf = let(
+    reasons = let(
         X.mask_text(value),
-        lambda m: F.struct(
-            m["text"].alias("value"),
-            F.when(m["text"] != value, m["reasons"]).otherwise(_no_reasons()).alias("reasons"),
-        ).cast(_LEAF_DDL),
+        lambda m: f"CASE WHEN {m}.text <> {value} THEN {m}.reasons ELSE {X.NO_REASONS} END",
     )
-    return leaf["value"], F.coalesce(leaf["reasons"], _no_reasons())
+    return f"{X.mask_text(value)}.text", reasons
 
 
-def _redact_value(value: Column, dtype: T.DataType, key: str) -> tuple[Column, Column]:
+def _hidden(value: Sql) -> tuple[Sql, Sql]:
+    return (
+        f"CASE WHEN {value} IS NOT NULL THEN '<PASSWORD>' END",
+        f"CASE WHEN {value} IS NOT NULL THEN array({lit(FIELD_REASON)}) ELSE {X.NO_REASONS} END",
+    )
+
+
+def _redact_value(value: Sql, dtype: T.DataType, key: str) -> tuple[Sql, Sql]:
+    """The redacted value and its reasons, as SQL over a value of type ``dtype`` under ``key``."""
     if isinstance(dtype, T.StringType):
-        if X.is_password_name(key):
-            hidden = F.when(value.isNotNull(), F.lit("<PASSWORD>"))
-            return hidden, F.when(value.isNotNull(), F.array(F.lit(FIELD_REASON))).otherwise(_no_reasons())
-        return _mask_leaf(value)
+        return _hidden(value) if X.is_password_name(key) else _mask_leaf(value)
     if isinstance(dtype, T.StructType):
-        parts = [(f.name, *_redact_value(value[f.name], f.dataType, f.name)) for f in dtype.fields]
-        rebuilt = F.struct(*[col.alias(name) for name, col, _ in parts])
+        parts = [(f.name, *_redact_value(f"{value}.`{f.name}`", f.dataType, f.name)) for f in dtype.fields]
+        rebuilt = ", ".join(f"{lit(n)}, {v}" for n, v, _ in parts)
+        reasons = ", ".join(r for _, _, r in parts)
         return (
-            F.when(value.isNotNull(), rebuilt),
-            F.when(value.isNotNull(), F.concat(*[r for _, _, r in parts])).otherwise(_no_reasons()),
+            f"CASE WHEN {value} IS NOT NULL THEN named_struct({rebuilt}) END",
+            f"CASE WHEN {value} IS NOT NULL THEN concat({reasons}) ELSE {X.NO_REASONS} END",
         )
     if isinstance(dtype, T.ArrayType):  # elements lose the key name
+        element = dtype.elementType
         return (
-            F.transform(value, lambda x: _redact_value(x, dtype.elementType, "")[0]),
-            F.coalesce(
-                F.flatten(F.transform(value, lambda x: _redact_value(x, dtype.elementType, "")[1])),
-                _no_reasons(),
-            ),
+            each(value, lambda x: _redact_value(x, element, "")[0]),
+            f"coalesce(flatten({each(value, lambda x: _redact_value(x, element, '')[1])}), {X.NO_REASONS})",
         )
     if isinstance(dtype, T.MapType):
         return _redact_map(value, dtype)
-    return value, _no_reasons()
+    return value, X.NO_REASONS
 
 
-def _redact_map(value: Column, dtype: T.MapType) -> tuple[Column, Column]:
-    def by_key(k: Column, v: Column) -> tuple[Column, Column]:
-        plain, plain_reasons = _redact_value(v, dtype.valueType, "")
+def _redact_map(value: Sql, dtype: T.MapType) -> tuple[Sql, Sql]:
+    def by_key(k: Sql, v: Sql) -> tuple[Sql, Sql]:
+        plain = _redact_value(v, dtype.valueType, "")
         if not isinstance(dtype.valueType, T.StringType):
-            return plain, plain_reasons
-        hide = X.is_password_field(k) & v.isNotNull()
-        return (
-            F.when(hide, F.lit("<PASSWORD>")).otherwise(plain),
-            F.when(hide, F.array(F.lit(FIELD_REASON))).otherwise(plain_reasons),
+            return plain
+        hidden = _hidden(v)
+        return tuple(
+            f"CASE WHEN {X.is_password_field(k)} THEN {h} ELSE {p} END" for h, p in zip(hidden, plain)
         )
 
-    reasons = F.flatten(F.transform(F.map_entries(value), lambda e: by_key(e["key"], e["value"])[1]))
-    return F.transform_values(value, lambda k, v: by_key(k, v)[0]), F.coalesce(reasons, _no_reasons())
+    k, v = fresh("k"), fresh("v")
+    reasons = f"flatten({each(f'map_entries({value})', lambda e: by_key(f'{e}.key', f'{e}.value')[1])})"
+    return (
+        f"transform_values({value}, ({k}, {v}) -> {by_key(k, v)[0]})",
+        f"coalesce({reasons}, {X.NO_REASONS})",
+    )
 
 
 def redact_nested(df: DataFrame, col: str, schema: str | T.DataType | None = None) -> DataFrame:
@@ -137,18 +138,20 @@ def redact_nested(df: DataFrame, col: str, schema: str | T.DataType | None = Non
     (``"infer"`` takes the schema from the data in one distributed pass)."""
     dtype = df.schema[col].dataType
     if not isinstance(dtype, T.StringType):
-        out, reasons = _redact_value(F.col(col), dtype, col)
-        return df.withColumns({f"{col}_out": out, "reasons": F.array_sort(F.array_distinct(reasons))})
+        out, reasons = _redact_value(name(col), dtype, col)
+        return df.withColumns(
+            {f"{col}_out": F.expr(out), "reasons": F.expr(f"array_sort(array_distinct({reasons}))")}
+        )
     if schema is None or schema == "infer":
         schema = infer_json_schema(df, col)
     if isinstance(schema, str):
-        schema = T.DataType.fromDDL(schema) if hasattr(T.DataType, "fromDDL") else T._parse_datatype_string(schema)
+        schema = T.DataType.fromDDL(schema)
     parsed = df.withColumn("_doc", F.from_json(col, schema))
-    out, reasons = _redact_value(F.col("_doc"), schema, "")
+    out, reasons = _redact_value("_doc", schema, "")
     return parsed.withColumns(
         {
-            f"{col}_out": F.to_json(out, {"ignoreNullFields": "false"}),
-            "reasons": F.array_sort(F.array_distinct(reasons)),
+            f"{col}_out": F.to_json(F.expr(out), {"ignoreNullFields": "false"}),
+            "reasons": F.expr(f"array_sort(array_distinct({reasons}))"),
         }
     ).drop("_doc")
 
@@ -156,19 +159,19 @@ def redact_nested(df: DataFrame, col: str, schema: str | T.DataType | None = Non
 def infer_json_schema(df: DataFrame, col: str) -> T.DataType:
     """Schema that fits every row of a JSON text column."""
     found = df.select(F.schema_of_variant_agg(F.try_parse_json(col)).alias("s")).first()["s"]
-    return T._parse_datatype_string(found.replace("OBJECT<", "STRUCT<"))
+    return T.DataType.fromDDL(found.replace("OBJECT<", "STRUCT<"))
 
 
 # -------------------------------------------------------------------------------------------------
 # Findings addressed by path
 # -------------------------------------------------------------------------------------------------
-def _leaf_text(value: Column, dtype: T.DataType) -> Column:
+def _leaf_text(value: Sql, dtype: T.DataType) -> Sql:
     """Text form a token is made of."""
     if isinstance(dtype, T.BooleanType):
-        return F.when(value, "True").otherwise("False")
+        return f"CASE WHEN {value} THEN 'True' ELSE 'False' END"
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(value)
-    return value.cast("string")
+        return f"to_json({value})"
+    return f"CAST({value} AS STRING)"
 
 
 def _paths(dtype: T.StructType, prefix: str = "$") -> list[tuple[str, T.DataType]]:
@@ -181,27 +184,26 @@ def _paths(dtype: T.StructType, prefix: str = "$") -> list[tuple[str, T.DataType
     return out
 
 
-def _at(doc: Column, path: str) -> Column:
-    for part in path.split(".")[1:]:
-        doc = doc[part]
-    return doc
+def _at(doc: Sql, path: str) -> Sql:
+    return doc + "".join(f".`{part}`" for part in path.split(".")[1:])
 
 
-def _rebuild(doc: Column, dtype: T.StructType, edits: Column, prefix: str = "$") -> Column:
-    """The document as variant fields; an edit on a parent hides edits below it."""
+def _edited(doc: Sql, dtype: T.StructType, prefix: str = "$") -> Sql:
+    """The document with each edited path replaced, as variant fields. The last edit of a path
+    wins, and an edit of a parent hides edits below it."""
     fields = []
     for f in dtype.fields:
-        path, value = f"{prefix}.{f.name}", doc[f.name]
+        path, value = f"{prefix}.{f.name}", f"{doc}.`{f.name}`"
         if isinstance(f.dataType, T.StructType):
-            kept = F.when(value.isNotNull(), _rebuild(value, f.dataType, edits, path))
-            as_variant = F.to_variant_object(kept)
+            kept = f"CASE WHEN {value} IS NOT NULL THEN to_variant_object({_edited(value, f.dataType, path)}) END"
         elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
-            as_variant = F.to_variant_object(value)
+            kept = f"to_variant_object({value})"
         else:
-            as_variant = value.cast("variant")
-        edit = F.try_element_at(edits, F.lit(path))
-        fields.append(F.when(edit.isNotNull(), edit.cast("variant")).otherwise(as_variant).alias(f.name))
-    return F.struct(*fields)
+            kept = f"CAST({value} AS VARIANT)"
+        mine = f"element_at(filter(_edits, e -> e.path = {lit(path)}), -1)"
+        touched = f"exists(_edits, e -> e.path = {lit(path)})"
+        fields.append(f"{lit(f.name)}, CASE WHEN {touched} THEN CAST({mine}.value AS VARIANT) ELSE {kept} END")
+    return f"named_struct({', '.join(fields)})"
 
 
 def redact_paths(
@@ -215,69 +217,54 @@ def redact_paths(
 ) -> DataFrame:
     """Transform only the values the findings point at.
 
-    ``path_findings`` has ``(key, ord, type, path)``. Findings are grouped per payload after a
-    partial aggregation, joined on the payload key, and applied in order; the document itself is
-    read and written by expressions over the known schema. ``allow_col`` maps type to action.
+    ``path_findings`` has ``(key, ord, type, path)`` and is gathered per payload: one output row
+    lists one reason per finding. The document is read and written by expressions over the known
+    schema; ``allow_col`` maps type to action.
     """
     grouped = path_findings.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("ord", "type", "path"))).alias("_path_findings")
     )
-    joined = payloads.join(grouped, key, "left").withColumn("_doc", F.from_json(doc_col, schema))
-    doc = F.col("_doc")
-    entries = []
-    for path, dtype in _paths(schema):
-        value = _at(doc, path)
-        redacted = X.mask_text(value)["text"] if isinstance(dtype, T.StringType) else F.lit("<REDACTED>")
-        entries.append(
-            F.struct(
-                F.lit(path).alias("path"),
-                value.isNotNull().alias("present"),
-                F.when(value.isNotNull(), X.token(_leaf_text(value, dtype), salt)).alias("token"),
-                F.when(value.isNotNull(), redacted).alias("redacted"),
-            )
-        )
-    joined = joined.withColumn(
-        "_values", F.map_from_entries(F.transform(F.array(*entries), lambda e: F.struct(e["path"], e)))
+    none = "CAST(array() AS array<struct<ord:int,type:string,path:string>>)"
+    joined = payloads.join(grouped, key, "left").withColumns(
+        {"_doc": F.from_json(doc_col, schema), "_path_findings": F.expr(f"coalesce(_path_findings, {none})")}
     )
+    allow = name(allow_col)
 
-    def action(f: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.col(allow_col), f["type"]), F.lit("redact"))
-
-    def present(f: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.col("_values"), f["path"])["present"], F.lit(False))
+    def on_path(f: Sql, pick: Callable[[str, T.DataType], Sql], otherwise: Sql) -> Sql:
+        cases = " ".join(f"WHEN {lit(p)} THEN {pick(_at('_doc', p), t)}" for p, t in _paths(schema))
+        return f"CASE {f}.path {cases} ELSE {otherwise} END"
 
-    def reason(f: Column) -> Column:
+    def found(f: Sql) -> Sql:
+        present = on_path(f, lambda value, _: f"{value} IS NOT NULL", "false")
         return (
-            F.when(action(f) == "pass_through", F.concat(F.lit("pii.allowed:"), f["type"]))
-            .when(~present(f), F.lit(None).cast("string"))
-            .when(action(f) == "tokenize", F.concat(F.lit("pii.tokenized:"), f["type"]))
-            .otherwise(F.concat(F.lit("pii.redacted:"), f["type"]))
+            f"named_struct('type', {f}.type, 'path', {f}.path, 'present', {present}, "
+            f"'action', coalesce(try_element_at({allow}, {f}.type), 'redact'))"
         )
 
-    def edit(f: Column) -> Column:
-        hit = F.try_element_at(F.col("_values"), f["path"])
-        return F.struct(
-            f["path"].alias("path"),
-            F.when(action(f) == "tokenize", hit["token"]).otherwise(hit["redacted"]).alias("value"),
+    def new_value(f: Sql) -> Sql:
+        def redacted(value: Sql, dtype: T.DataType) -> Sql:
+            masked = f"{X.mask_text(value)}.text" if isinstance(dtype, T.StringType) else "'<REDACTED>'"
+            return f"CASE WHEN {f}.action = 'tokenize' THEN {X.token(_leaf_text(value, dtype), salt)} ELSE {masked} END"
+
+        return f"named_struct('path', {f}.path, 'value', {on_path(f, redacted, 'NULL')})"
+
+    def reason(f: Sql) -> Sql:
+        return (
+            f"CASE WHEN {f}.action = 'pass_through' THEN concat('pii.allowed:', {f}.type) "
+            f"WHEN NOT {f}.present THEN NULL WHEN {f}.action = 'tokenize' THEN concat('pii.tokenized:', {f}.type) "
+            f"ELSE concat('pii.redacted:', {f}.type) END"
         )
 
-    findings = F.coalesce(
-        F.col("_path_findings"), F.array().cast("array<struct<ord:int,type:string,path:string>>")
-    )
-    edits = F.transform(F.filter(findings, lambda f: (action(f) != "pass_through") & present(f)), edit)
-    # The last finding on a path wins.
-    final = F.aggregate(
-        edits,
-        F.create_map().cast("map<string,string>"),
-        lambda acc, e: F.map_concat(
-            F.map_filter(acc, lambda k, _: k != e["path"]), F.create_map(e["path"], e["value"])
-        ),
-    )
-    with_edits = joined.withColumns(
-        {"_edits": final, "reasons": F.array_compact(F.transform(findings, reason))}
+    judged = joined.withColumn("_found", F.expr(each("_path_findings", found)))
+    edits = keep("_found", lambda f: f"{f}.present AND {f}.action <> 'pass_through'")
+    planned = judged.withColumns(
+        {
+            "_edits": F.expr(each(edits, new_value)),
+            "reasons": F.expr(f"array_compact({each('_found', reason)})"),
+        }
     )
-    rebuilt = F.to_json(F.to_variant_object(_rebuild(doc, schema, F.col("_edits"))))
-    out = F.when(F.size("_edits") == 0, F.col(doc_col)).otherwise(rebuilt)
-    return with_edits.withColumn(f"{doc_col}_out", out).drop(
-        "_doc", "_values", "_edits", "_path_findings"
+    rebuilt = f"to_json(to_variant_object({_edited('_doc', schema)}))"
+    out = f"CASE WHEN size(_edits) = 0 THEN {name(doc_col)} ELSE {rebuilt} END"
+    return planned.withColumn(f"{doc_col}_out", F.expr(out)).drop(
+        "_doc", "_path_findings", "_found", "_edits"
     )
