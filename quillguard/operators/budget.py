@@ -85,7 +85,7 @@ def spend_transactions(decisions: DataFrame) -> DataFrame:
     )
     paid = decisions.filter(F.col("decision").isin("allow", "transform", "confirm"))
     return paid.select(
-        "user_id", "tool", F.col("corr_id").alias("correlation_id"), "ts", F.explode(entries).alias("e")
+        "user_id", "tool", F.col("corr_id").alias("correlation_id"), "ts", F.explode_outer(entries).alias("e")
     ).filter("e.amount > 0").select("user_id", "e.*", "tool", "correlation_id", "ts")
 
 

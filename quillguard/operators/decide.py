@@ -14,6 +14,7 @@ from quillguard import schemas as S
 from quillguard.functions import money as M
 from quillguard.functions import patterns as P
 from quillguard.functions import text as X
+from quillguard.functions.once import compute_once
 from quillguard.functions.sizing import broadcast_if_small
 from quillguard.functions.spans import (
     NO_FINDINGS,
@@ -96,8 +97,7 @@ def network_redact(
     """Masked decisions of requests with a network scope or tool, and the rest."""
     hit = network_hit("scope", "tool", _texts(scopes), _texts(tools))
     decided = (
-        requests.filter(hit)
-        .withColumn("_m", F.expr(X.mask_text("raw_text")))
+        compute_once(requests.filter(hit), {"_m": X.mask_text("raw_text")})
         .withColumns(
             {
                 "decision": F.lit("transform"),
@@ -140,13 +140,12 @@ def strict_fallback(requests: DataFrame, findings_col: str = "findings", budgets
     other; they are then spliced right to left with their original offsets, as specified.
     """
     found = name(findings_col)
-    df = requests.withColumns(
-        _expressions(
-            {
-                "_pw": find_beside("raw_text", found, P.PASSWORD_SPEC),
-                "_pay": find_beside("raw_text", found, P.PAYMENT_SPEC),
-            }
-        )
+    df = compute_once(
+        requests,
+        {
+            "_pw": find_beside("raw_text", found, P.PASSWORD_SPEC),
+            "_pay": find_beside("raw_text", found, P.PAYMENT_SPEC),
+        },
     )
     df = df.withColumns(
         _expressions(
@@ -377,16 +376,16 @@ def _decide_routed(df: DataFrame, inputs: list[str], static_rule_detector: str,
             }
         )
     )
-    df = df.withColumns(
-        _expressions(
-            {
-                "_found": f"CASE WHEN {own_rule} THEN {find_ssn('raw_text', '_found')} ELSE _found END",
-                "_pw": f"CASE WHEN {fallback} THEN {find_beside('raw_text', '_found', P.PASSWORD_SPEC)} "
-                f"ELSE {NO_FINDINGS} END",
-                "_pay": f"CASE WHEN {fallback} THEN {find_beside('raw_text', '_found', P.PAYMENT_SPEC)} "
-                f"ELSE {NO_FINDINGS} END",
-            }
-        )
+    df = compute_once(
+        df,
+        {
+            "_found": f"CASE WHEN {own_rule} THEN {find_ssn('raw_text', '_found')} ELSE _found END",
+            "_pw": f"CASE WHEN {fallback} THEN {find_beside('raw_text', '_found', P.PASSWORD_SPEC)} "
+            f"ELSE {NO_FINDINGS} END",
+            "_pay": f"CASE WHEN {fallback} THEN {find_beside('raw_text', '_found', P.PAYMENT_SPEC)} "
+            f"ELSE {NO_FINDINGS} END",
+            "_m": "_m",
+        },
     )
     df = budget_columns(df, f"coalesce({_METADATA_MODEL}, _policy.model)", "NOT _static")
     over = f"CASE WHEN NOT _static AND {fallback} THEN {fallback_over_budget('_policy.model')} ELSE false END"

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.functions import patterns as P
+from quillguard.functions.once import compute_once
 from quillguard.functions.shipping import ship
 from quillguard.functions.spans import Sql, find_all, find_beside, find_ssn, lit, name
 from quillguard.functions.text import is_password_field
@@ -33,29 +34,30 @@ def scan_findings(
     if engine == "arrow":
         ship(df.sparkSession)
         return df.withColumn(out, _arrow_finder(specs)(F.col(text_col)))
-    return df.withColumn(out, F.expr(find_all(name(text_col), specs)))
+    return compute_once(df, {out: find_all(name(text_col), specs)})
 
 
 def scan_ssn_context(df: DataFrame, text_col: str, findings_col: str = "findings") -> DataFrame:
     """Add at most one SSN span per SSN pattern to the findings (see ``find_ssn``)."""
-    return df.withColumn(findings_col, F.expr(find_ssn(name(text_col), name(findings_col))))
+    return compute_once(df, {findings_col: find_ssn(name(text_col), name(findings_col))})
 
 
 def scan_password_payment(df: DataFrame, text_col: str, findings_col: str = "findings") -> DataFrame:
     """Password phrases and payment amounts beside the standard findings. The two lists are not
     checked against each other."""
     text, findings = name(text_col), name(findings_col)
-    return df.withColumns(
+    return compute_once(
+        df,
         {
-            "password_findings": F.expr(find_beside(text, findings, P.PASSWORD_SPEC)),
-            "payment_findings": F.expr(find_beside(text, findings, P.PAYMENT_SPEC)),
-        }
+            "password_findings": find_beside(text, findings, P.PASSWORD_SPEC),
+            "payment_findings": find_beside(text, findings, P.PAYMENT_SPEC),
+        },
     )
 
 
 def scan_credentials(df: DataFrame, text_col: str, out: str = "findings") -> DataFrame:
     """API keys and JSON web tokens."""
-    return df.withColumn(out, F.expr(find_all(name(text_col), P.CREDENTIAL_SPECS)))
+    return compute_once(df, {out: find_all(name(text_col), P.CREDENTIAL_SPECS)})
 
 
 def false_positive(pii_type: Sql, field: Sql, value: Sql) -> Sql:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.functions.sizing import broadcast_if_small
-from quillguard.functions.spans import let
-from quillguard.functions.text import hmac_sha256
+from quillguard.functions.spans import Sql, each, keep, let, lit, name
+from quillguard.functions.text import NO_REASONS, hmac_sha256
+from quillguard.functions.times import utc_date, utc_iso
 
 # How an event names itself, what confidence a reason carries, delivery settings.
 EVENT_TYPE = "INGEST"
@@ -23,38 +24,35 @@ NO_ENDPOINT_ERROR = "webhook_url_not_configured"
 CHANNEL_SUFFIX = ":decisions"
 
 
-def summarize_reasons(reasons: Column, intended: bool = False) -> Column:
+def summarize_reasons(reasons: Sql, intended: bool = False) -> Column:
     """``struct(pii_types, confidence)`` from reason codes of three or more ``:`` parts.
 
     The confidence table is looked up by the second part, which for these codes is always ``PII``;
     ``intended`` looks it up by the verb in the first part instead.
     """
-    parts = F.filter(
-        F.transform(
-            F.filter(F.coalesce(reasons, F.array().cast("array<string>")), lambda r: r.startswith("pii.")),
-            lambda r: F.split(r, ":"),
-        ),
-        lambda p: F.size(p) >= 3,
+    parts = keep(
+        each(keep(f"coalesce({reasons}, {NO_REASONS})", lambda r: f"startswith({r}, 'pii.')"), lambda r: f"split({r}, ':')"),
+        lambda p: f"size({p}) >= 3",
     )
-    table = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
+    cases = " ".join(f"WHEN {lit(verb)} THEN {score}D" for verb, score in CONFIDENCE.items())
 
-    def score(p: Column) -> Column:
-        verb = F.regexp_replace(p[0], r"^pii\.", "") if intended else p[1]
-        return F.coalesce(F.try_element_at(table, verb), F.lit(OTHER_CONFIDENCE))
+    def score(p: Sql) -> Sql:
+        verb = f"substring({p}[0], 5)" if intended else f"{p}[1]"
+        return f"CASE {verb} {cases} ELSE {OTHER_CONFIDENCE}D END"
 
-    def summary(ps: Column) -> Column:
-        total = F.aggregate(F.transform(ps, score), F.lit(0.0), lambda a, x: a + x)
-        return F.struct(
-            F.transform(ps, lambda p: p[2]).alias("pii_types"),
-            F.when(F.size(ps) == 0, F.lit(NO_FINDING_CONFIDENCE)).otherwise(total / F.size(ps)).alias("confidence"),
+    def summary(ps: Sql) -> Sql:
+        total = f"aggregate({each(ps, score)}, 0.0D, (a, x) -> a + x)"
+        return (
+            f"named_struct('pii_types', {each(ps, lambda p: f'{p}[2]')}, 'confidence', "
+            f"CASE WHEN size({ps}) = 0 THEN {NO_FINDING_CONFIDENCE}D ELSE {total} / size({ps}) END)"
         )
 
-    return let(parts, summary)
+    return F.expr(let(parts, summary))
 
 
 def detector_summary(decisions: DataFrame, reasons_col: str = "reasons", intended: bool = False) -> DataFrame:
     return (
-        decisions.withColumn("_s", summarize_reasons(F.col(reasons_col), intended))
+        decisions.withColumn("_s", summarize_reasons(name(reasons_col), intended))
         .withColumns({"pii_types": F.col("_s.pii_types"), "confidence": F.col("_s.confidence")})
         .drop("_s")
     )
@@ -66,10 +64,6 @@ def correlation_id(corr: Column, row_key: Column) -> Column:
     return F.when(F.coalesce(corr, F.lit("")) != "", corr).otherwise(made)
 
 
-def iso_utc(epoch_s: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch_s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-
-
 def decision_events(
     decisions: DataFrame,
     org_id: str | None = None,
@@ -86,7 +80,7 @@ def decision_events(
     explicit_none = F.startswith(F.col("rule_id"), F.lit("net-redact"))
     reasons = F.when(F.col("reasons").isNull() & ~explicit_none, no_list).otherwise(F.col("reasons"))
     api_key = F.col(api_key_col) if api_key_col else F.lit(None).cast("string")
-    summary = summarize_reasons(F.col("reasons"))
+    summary = summarize_reasons("reasons")
     df = decisions.withColumns({"_corr": corr, "_reasons": reasons, "_s": summary})
     event = F.struct(
         F.lit(EVENT_TYPE).alias("type"),
@@ -111,7 +105,7 @@ def decision_events(
             (F.col("latency_ms") if "latency_ms" in cols else F.lit(0)).cast("bigint").alias("latencyMs"),
             F.col("_corr").alias("correlationId"),
             no_list.alias("tags"),
-            iso_utc(F.col("ts")).alias("ts"),
+            utc_iso(F.col("ts")).alias("ts"),
             F.struct(
                 F.col("user_id").alias("userId"),
                 F.when(F.coalesce(api_key, F.lit("")) != "", F.substring(F.sha2(api_key, 256), 1, 16)).alias(
@@ -122,7 +116,7 @@ def decision_events(
     )
     return df.select(
         F.col(row_key),
-        F.to_date(F.timestamp_seconds("ts")).alias("event_date"),
+        utc_date(F.col("ts")).alias("event_date"),
         event.alias("event"),
     )
 
@@ -143,7 +137,7 @@ def endpoint_config(urls: DataFrame, url_col: str = "url") -> DataFrame:
         raw = F.regexp_extract(query, f"(?:^|&){name}=([^&]+)", 1)
         return F.when(raw != "", F.try_url_decode(raw))
 
-    channels = F.transform(F.split(parameter("channels"), ","), F.trim)
+    channels = F.transform(F.split(parameter("channels"), ","), lambda c: F.trim(c))
     return urls.withColumns(
         {
             "org_id": parameter("org"),

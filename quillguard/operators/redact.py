@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillguard.functions import text as X
+from quillguard.functions.once import compute_once
 from quillguard.functions.spans import Sql, each, fresh, keep, let, lit, name
 
 
 def mask_text(df: DataFrame, text_col: str, out: str = "masked", reasons: str = "reasons") -> DataFrame:
-    return df.withColumn("_m", F.expr(X.mask_text(name(text_col)))).withColumns(
-        {out: F.col("_m.text"), reasons: F.col("_m.reasons")}
-    ).drop("_m")
+    return (
+        compute_once(df, {"_m": X.mask_text(name(text_col))})
+        .withColumns({out: F.col("_m.text"), reasons: F.col("_m.reasons")})
+        .drop("_m")
+    )
 
 
 def redact_placeholders(

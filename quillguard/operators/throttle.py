@@ -15,6 +15,7 @@ from pyspark.sql import Window
 
 from quillguard.functions.shipping import ship
 from quillguard.functions.sizing import broadcast_if_small
+from quillguard.functions.times import micros
 from quillguard.operators.ordered import MAX_GROUP_ROWS, has_hot_group, running_totals
 
 # Fixed values.
@@ -30,10 +31,6 @@ def throttle_key(endpoint: Column, user: Column, api_key: Column) -> Column:
     return F.concat(endpoint, F.lit(":"), F.when(known, user).otherwise(F.concat(F.lit("key:"), api_key)))
 
 
-def _micros(ts_col: str) -> Column:
-    return F.unix_micros(F.col(ts_col))
-
-
 def _prior_windowed(log: DataFrame, key: str, id_col: str, width: int) -> DataFrame:
     by_time = Window.partitionBy(key).orderBy("_us").rangeBetween(-(width - 1), -1)
     same_instant = Window.partitionBy(key, "_us").orderBy(id_col)
@@ -74,7 +71,7 @@ def throttle_attempts(
     if window_s <= 0:
         return log.withColumns({"prior": F.lit(0).cast("bigint"), "allowed": F.lit(False)})
     width = int(window_s * 1_000_000)
-    timed = log.withColumn("_us", _micros(ts_col))
+    timed = log.withColumn("_us", micros(log, ts_col))
     if has_hot_group(log, [key], max_group_rows):
         counted = _prior_piecewise(timed, key, id_col, width, max_group_rows)
     else:
@@ -102,7 +99,7 @@ def throttle_admitted(
         return log.withColumn("allowed", F.lit(False))
     ship(log.sparkSession)
     width = int(window_s * 1_000_000)
-    timed = log.withColumn("_us", _micros(ts_col))
+    timed = log.withColumn("_us", micros(log, ts_col))
     if has_hot_group(log, [key], max_group_rows):
         counted = _prior_piecewise(timed, key, id_col, width, max_group_rows).withColumn(
             "_start", F.col("prior") == 0

@@ -191,9 +191,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return request_frame(table(spark, sf_dir, "conversations"))
+
+
+def request_frame(conversations: DataFrame) -> DataFrame:
     """Chat turns as tool requests with a policy key, tool metadata and a budget context."""
     columns = [F.expr(e).alias(n) for n, e in request_columns(SPARK).items()]
-    df = table(spark, sf_dir, "conversations").select(*columns)
+    df = conversations.select(*columns)
     current = F.col("llm_spend") + F.col("purchase_spend")
     tool_config = F.struct(
         F.col("tool").alias("tool_name"), F.col("scope"), F.col("direction"), F.col("metadata")

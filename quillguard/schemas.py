@@ -34,8 +34,3 @@ BUDGET_INFO_DDL = (
     "remaining_budget:double,estimated_cost:double,estimated_purchase:double,"
     "projected_total:double,percent_used:double,budget_type:string>"
 )
-REQUEST_DDL = (
-    "tool string, scope string, raw_text string, tags array<string>, corr_id string, "
-    f"user_id string, policy_config string, tool_config {TOOL_CONFIG_DDL}, "
-    f"budget_context {BUDGET_CONTEXT_DDL}, bad_record string"
-)

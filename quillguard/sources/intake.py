@@ -86,6 +86,44 @@ def _field_error(doc: Column, path: str, required: bool, kind: str) -> Column:
     return F.when(wrong.isNotNull(), F.struct(F.lit(f"body.{path}").alias("loc"), wrong.alias("kind")))
 
 
+def _request_columns(value_col: str) -> list[Column]:
+    """Typed request columns. The policy stays JSON text, whose rule order counts; numbers may be
+    written as text."""
+
+    def get(path: str, ddl: str) -> Column:
+        return F.try_variant_get("_doc", f"$.{path}", ddl)
+
+    def struct(path: str, fields: dict[str, tuple[str, object]], ddl: str) -> Column:
+        present = F.schema_of_variant(get(path, "variant")).startswith("OBJECT")
+        made = F.struct(
+            *[F.coalesce(get(f"{path}.{f}", t), F.lit(default).cast(t)).alias(f) for f, (t, default) in fields.items()]
+        )
+        return F.when(present, made.cast(ddl)).alias(path)
+
+    amounts = ("monthly_limit", "current_spend", "llm_spend", "purchase_spend", "remaining_budget")
+    return [
+        *[get(c, "string").alias(c) for c in ("tool", "scope", "raw_text")],
+        get("tags", "array<string>").alias("tags"),
+        *[get(c, "string").alias(c) for c in ("corr_id", "user_id")],
+        F.get_json_object(value_col, "$.policy_config").alias("policy_config"),
+        struct(
+            "tool_config",
+            {
+                "tool_name": ("string", ""),
+                "scope": ("string", None),
+                "direction": ("string", "ingress"),
+                "metadata": ("map<string,string>", None),
+            },
+            S.TOOL_CONFIG_DDL,
+        ),
+        struct(
+            "budget_context",
+            {**{a: ("double", 0.0) for a in amounts}, "budget_type": ("string", "user")},
+            S.BUDGET_CONTEXT_DDL,
+        ),
+    ]
+
+
 def request_intake(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """Split raw JSON records into accepted requests and rejected rows.
 
@@ -105,15 +143,7 @@ def request_intake(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame,
     )
     keep = [c for c in raw.columns if c != value_col]
     rejected = checked.filter(F.size("errors") > 0).select(*keep, "errors")
-    parsed = F.from_json(
-        F.col(value_col), S.REQUEST_DDL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_record"}
-    )
-    accepted = (
-        checked.filter(F.size("errors") == 0)
-        .withColumn("_r", parsed)
-        .select(*keep, "_r.*")
-        .drop("bad_record")
-    )
+    accepted = checked.filter(F.size("errors") == 0).select(*keep, *_request_columns(value_col)).drop("_doc")
     return accepted, rejected
 
 
