@@ -31,7 +31,7 @@ def stream_throttle(spark, sf):
     log = _stream(spark, sf, "events").select(
         F.col("event_id").alias("id"), "ts", F.concat(F.lit("u"), F.col("user_id")).alias("key")
     )
-    judged = jobs.stream_throttle(log, "key", "ts", "id", LIMIT, WINDOW_S)
+    judged = jobs.stream_throttle(log, "key", "ts", "id", LIMIT, WINDOW_S, expire_idle=False)
     return jobs.run_to_files(judged, _folder(spark)).select("id", "key", "allowed")
 
 
@@ -64,13 +64,15 @@ def stream_budget(spark, sf):
 
 
 # The last window of an append-mode stream stays open: the watermark never passes its end.
-_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+_DAYS = (
+    "(SELECT *, date_trunc('day', ts) AS window_start FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= "
+    "(SELECT max(ts) - INTERVAL 1 HOUR FROM events))"
+)
 
 
 @query(
     "stream_counts",
-    "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL "
-    f"HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED}",
+    f"SELECT window_start, event_type, count(*) AS n FROM {_DAYS} GROUP BY ALL",
 )
 def stream_counts(spark, sf):
     rows = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -79,9 +81,9 @@ def stream_counts(spark, sf):
 
 @query(
     "stream_histogram",
-    "WITH b AS (SELECT unnest([5.0, 25.0, NULL]::DOUBLE[]) AS le), g AS (SELECT date_trunc('day', ts) AS window_start, "
-    "event_type, count(*) AS n, count(*) FILTER (value <= 5) AS b5, count(*) FILTER (value <= 25) AS b25 FROM events "
-    f"GROUP BY ALL HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED}) SELECT window_start, event_type, le, "
+    "WITH b AS (SELECT unnest([5.0, 25.0, NULL]::DOUBLE[]) AS le), g AS (SELECT window_start, "
+    f"event_type, count(*) AS n, count(*) FILTER (value <= 5) AS b5, count(*) FILTER (value <= 25) AS b25 FROM {_DAYS} "
+    "GROUP BY ALL) SELECT window_start, event_type, le, "
     "CASE WHEN le IS NULL THEN n WHEN le = 5 THEN b5 ELSE b25 END AS cum_count FROM g CROSS JOIN b",
 )
 def stream_histogram(spark, sf):
