@@ -35,14 +35,18 @@ def token_cost(tokens: Sql, price_in: Sql, price_out: Sql) -> Sql:
     return f"({half} * {price_in} + {half} * {price_out})"
 
 
-def request_cost(text: Sql, model: Sql) -> Sql:
-    """Estimated cost by the fixed price table; an unknown model is billed as the fallback."""
+def model_prices(model: Sql) -> tuple[Sql, Sql]:
+    """Prices by the fixed table; an unknown model is billed as the fallback."""
+
+    def side(k: int) -> Sql:
+        cases = " ".join(f"WHEN {lit(m)} THEN {p[k]!r}D" for m, p in MODEL_PRICES.items())
+        return f"CASE {model} {cases} ELSE {MODEL_PRICES[FALLBACK_MODEL][k]!r}D END"
 
-    def price(side: int) -> Sql:
-        cases = " ".join(f"WHEN {lit(m)} THEN {p[side]!r}D" for m, p in MODEL_PRICES.items())
-        return f"CASE {model} {cases} ELSE {MODEL_PRICES[FALLBACK_MODEL][side]!r}D END"
+    return side(0), side(1)
 
-    return let(estimate_tokens(text), lambda t: token_cost(t, price(0), price(1)))
+
+def request_cost(text: Sql, model: Sql) -> Sql:
+    return let(estimate_tokens(text), lambda t: token_cost(t, *model_prices(model)))
 
 
 def to_number(value: Sql) -> Sql:

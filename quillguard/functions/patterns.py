@@ -70,13 +70,15 @@ MASKED_CARD = "**** **** **** ****"
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 
-# Code points Python treats as white space in str patterns; Java and RE2 classes are narrower.
+# Code points Python treats as white space in str patterns, spelled out, and the ones Java's
+# Unicode class leaves out of them.
 SPACE_CHARS = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+JAVA_SPACE_CHARS = r"\s\x1c-\x1f"
 
 
-def portable(pattern: str) -> str:
+def portable(pattern: str, space: str = SPACE_CHARS) -> str:
     r"""Spell ``\d``, ``\s`` and ``\S`` out so every engine reads them the Unicode way."""
     out, in_class, i = [], False, 0
     while i < len(pattern):
@@ -84,9 +86,9 @@ def portable(pattern: str) -> str:
         if pair == r"\d":
             out.append(r"\p{Nd}")
         elif pair == r"\s":
-            out.append(SPACE_CHARS if in_class else f"[{SPACE_CHARS}]")
+            out.append(space if in_class else f"[{space}]")
         elif pair == r"\S":
-            out.append(f"[^{SPACE_CHARS}]")
+            out.append(f"[^{space}]")
         elif pair.startswith("\\"):
             out.append(pair)
         else:
@@ -99,8 +101,9 @@ def portable(pattern: str) -> str:
 
 
 def java(pattern: str) -> str:
-    """The pattern for Spark's regex functions; ``(?U)`` makes word boundaries Unicode-aware."""
-    return "(?U)" + portable(pattern)
+    """The pattern for Spark's regex functions; ``(?U)`` makes classes and word boundaries
+    Unicode-aware. Java's own white space class is much faster than the one spelled out."""
+    return "(?U)" + portable(pattern, JAVA_SPACE_CHARS)
 
 
 def python_regex(pattern: str) -> re.Pattern[str]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillguard.functions import money as M
-from quillguard.functions.spans import name
+from quillguard.functions.once import compute_once
+from quillguard.functions.spans import lit, name
 from quillguard.functions.sizing import broadcast_if_small
 from quillguard.operators.ordered import MAX_GROUP_ROWS, running_totals
 from quillguard.schemas import BUDGET_CONTEXT_DDL, DEFAULT_MODEL
@@ -19,28 +20,30 @@ DEFAULT_MONTHLY_LIMIT = 10.0
 DEFAULT_BUDGET_TYPE = "user"
 
 
-def price_table(spark: SparkSession) -> DataFrame:
-    rows = [(m, i, o) for m, (i, o) in M.MODEL_PRICES.items()]
-    return spark.createDataFrame(rows, "model string, price_in double, price_out double")
-
-
 def estimate_cost(
     requests: DataFrame, prices: DataFrame | None = None, model_col: str = "model", text_col: str = "raw_text"
 ) -> DataFrame:
-    """Add ``tokens`` and ``est_cost``. A model without a price is billed at the fallback model's."""
-    table = price_table(requests.sparkSession) if prices is None else prices
-    fallback = table.filter(F.col("model") == M.FALLBACK_MODEL).first()
-    renamed = table.withColumnRenamed("model", "_model")
-    wanted = F.coalesce(F.col(model_col), F.lit(DEFAULT_MODEL))
-    joined = requests.withColumn("tokens", F.expr(M.estimate_tokens(name(text_col)))).join(
-        broadcast_if_small(renamed), wanted == F.col("_model"), "left"
-    )
+    """Add ``tokens`` and ``est_cost``. A model without a price is billed at the fallback model's.
+
+    Without ``prices`` the fixed price table is used, with no join. A table of one's own has
+    ``(model, price_in, price_out)`` and must price the fallback model.
+    """
+    wanted = f"coalesce({name(model_col)}, {lit(DEFAULT_MODEL)})"
+    counted = compute_once(requests, {"tokens": M.estimate_tokens(name(text_col))})
+    if prices is None:
+        return counted.withColumn("est_cost", F.expr(M.token_cost("tokens", *M.model_prices(wanted))))
+    fallback = prices.filter(F.col("model") == M.FALLBACK_MODEL).first()
+    table = broadcast_if_small(prices.withColumnRenamed("model", "_model"))
     cost = M.token_cost(
         "tokens",
         f"coalesce(price_in, {fallback['price_in']!r}D)",
         f"coalesce(price_out, {fallback['price_out']!r}D)",
     )
-    return joined.withColumn("est_cost", F.expr(cost)).drop("_model", "price_in", "price_out")
+    return (
+        counted.join(table, F.expr(wanted) == F.col("_model"), "left")
+        .withColumn("est_cost", F.expr(cost))
+        .drop("_model", "price_in", "price_out")
+    )
 
 
 def purchase_amount(requests: DataFrame, metadata_col: str = "metadata") -> DataFrame:

@@ -77,62 +77,71 @@ def token_collisions(df: DataFrame, value_col: str, token_col: str) -> DataFrame
 # Nested payloads
 # -------------------------------------------------------------------------------------------------
 FIELD_REASON = "field.redacted:password"
+_REASON_SET = "array_sort(array_distinct(_done.r))"
 
 
-def _mask_leaf(value: Sql) -> tuple[Sql, Sql]:
-    """Masked string and the reasons, which count only where the masking changed something."""
-    reasons = let(
+def _result(value: Sql, reasons: Sql) -> Sql:
+    return f"named_struct('v', {value}, 'r', {reasons})"
+
+
+def _mask_leaf(value: Sql) -> Sql:
+    """Masked string; its reasons count only where the masking changed something."""
+    return let(
         X.mask_text(value),
-        lambda m: f"CASE WHEN {m}.text <> {value} THEN {m}.reasons ELSE {X.NO_REASONS} END",
+        lambda m: _result(f"{m}.text", f"CASE WHEN {m}.text <> {value} THEN {m}.reasons ELSE {X.NO_REASONS} END"),
     )
-    return f"{X.mask_text(value)}.text", reasons
 
 
-def _hidden(value: Sql) -> tuple[Sql, Sql]:
-    return (
-        f"CASE WHEN {value} IS NOT NULL THEN '<PASSWORD>' END",
-        f"CASE WHEN {value} IS NOT NULL THEN array({lit(FIELD_REASON)}) ELSE {X.NO_REASONS} END",
+def _hidden(value: Sql) -> Sql:
+    present = f"{value} IS NOT NULL"
+    return _result(
+        f"CASE WHEN {present} THEN '<PASSWORD>' END",
+        f"CASE WHEN {present} THEN array({lit(FIELD_REASON)}) ELSE {X.NO_REASONS} END",
     )
 
 
-def _redact_value(value: Sql, dtype: T.DataType, key: str) -> tuple[Sql, Sql]:
-    """The redacted value and its reasons, as SQL over a value of type ``dtype`` under ``key``."""
+def _redact_value(value: Sql, dtype: T.DataType, key: str) -> Sql:
+    """``struct(v, r)``: the redacted value of type ``dtype`` found under ``key``, and the reasons.
+    Each level is evaluated once and taken apart afterwards."""
     if isinstance(dtype, T.StringType):
         return _hidden(value) if X.is_password_name(key) else _mask_leaf(value)
     if isinstance(dtype, T.StructType):
-        parts = [(f.name, *_redact_value(f"{value}.`{f.name}`", f.dataType, f.name)) for f in dtype.fields]
-        rebuilt = ", ".join(f"{lit(n)}, {v}" for n, v, _ in parts)
-        reasons = ", ".join(r for _, _, r in parts)
-        return (
-            f"CASE WHEN {value} IS NOT NULL THEN named_struct({rebuilt}) END",
-            f"CASE WHEN {value} IS NOT NULL THEN concat({reasons}) ELSE {X.NO_REASONS} END",
+        parts = ", ".join(
+            f"{lit(f.name)}, {_redact_value(f'{value}.`{f.name}`', f.dataType, f.name)}" for f in dtype.fields
         )
+
+        def rebuild(done: Sql) -> Sql:
+            values = ", ".join(f"{lit(f.name)}, {done}.`{f.name}`.v" for f in dtype.fields)
+            reasons = ", ".join(f"{done}.`{f.name}`.r" for f in dtype.fields)
+            return _result(
+                f"CASE WHEN {value} IS NOT NULL THEN named_struct({values}) END",
+                f"CASE WHEN {value} IS NOT NULL THEN concat({reasons}) ELSE {X.NO_REASONS} END",
+            )
+
+        return let(f"named_struct({parts})", rebuild)
     if isinstance(dtype, T.ArrayType):  # elements lose the key name
-        element = dtype.elementType
-        return (
-            each(value, lambda x: _redact_value(x, element, "")[0]),
-            f"coalesce(flatten({each(value, lambda x: _redact_value(x, element, '')[1])}), {X.NO_REASONS})",
-        )
+        done = each(value, lambda x: _redact_value(x, dtype.elementType, ""))
+        return let(done, lambda xs: _result(each(xs, lambda x: f"{x}.v"), _gathered(xs)))
     if isinstance(dtype, T.MapType):
         return _redact_map(value, dtype)
-    return value, X.NO_REASONS
+    return _result(value, X.NO_REASONS)
 
 
-def _redact_map(value: Sql, dtype: T.MapType) -> tuple[Sql, Sql]:
-    def by_key(k: Sql, v: Sql) -> tuple[Sql, Sql]:
+def _gathered(results: Sql) -> Sql:
+    return f"coalesce(flatten({each(results, lambda x: f'{x}.r')}), {X.NO_REASONS})"
+
+
+def _redact_map(value: Sql, dtype: T.MapType) -> Sql:
+    def by_key(k: Sql, v: Sql) -> Sql:
         plain = _redact_value(v, dtype.valueType, "")
         if not isinstance(dtype.valueType, T.StringType):
             return plain
-        hidden = _hidden(v)
-        return tuple(
-            f"CASE WHEN {X.is_password_field(k)} THEN {h} ELSE {p} END" for h, p in zip(hidden, plain)
-        )
+        return f"CASE WHEN {X.is_password_field(k)} THEN {_hidden(v)} ELSE {plain} END"
 
     k, v = fresh("k"), fresh("v")
-    reasons = f"flatten({each(f'map_entries({value})', lambda e: by_key(f'{e}.key', f'{e}.value')[1])})"
-    return (
-        f"transform_values({value}, ({k}, {v}) -> {by_key(k, v)[0]})",
-        f"coalesce({reasons}, {X.NO_REASONS})",
+    return let(
+        f"transform_values({value}, ({k}, {v}) -> {by_key(k, v)})",
+        lambda m: _result(f"transform_values({m}, (_, x) -> x.v)", _gathered(f"map_values({m})")),
     )
 
 
@@ -141,22 +150,20 @@ def redact_nested(df: DataFrame, col: str, schema: str | T.DataType | None = Non
     (``"infer"`` takes the schema from the data in one distributed pass)."""
     dtype = df.schema[col].dataType
     if not isinstance(dtype, T.StringType):
-        out, reasons = _redact_value(name(col), dtype, col)
-        return df.withColumns(
-            {f"{col}_out": F.expr(out), "reasons": F.expr(f"array_sort(array_distinct({reasons}))")}
-        )
+        done = compute_once(df, {"_done": _redact_value(name(col), dtype, col)})
+        return done.withColumns({f"{col}_out": F.col("_done.v"), "reasons": F.expr(_REASON_SET)}).drop("_done")
     if schema is None or schema == "infer":
         schema = infer_json_schema(df, col)
     if isinstance(schema, str):
         schema = T.DataType.fromDDL(schema)
     parsed = df.withColumn("_doc", F.from_json(col, schema))
-    out, reasons = _redact_value("_doc", schema, "")
-    return parsed.withColumns(
+    done = compute_once(parsed, {"_done": _redact_value("_doc", schema, "")})
+    return done.withColumns(
         {
-            f"{col}_out": F.to_json(F.expr(out), {"ignoreNullFields": "false"}),
-            "reasons": F.expr(f"array_sort(array_distinct({reasons}))"),
+            f"{col}_out": F.to_json("_done.v", {"ignoreNullFields": "false"}),
+            "reasons": F.expr(_REASON_SET),
         }
-    ).drop("_doc")
+    ).drop("_doc", "_done")
 
 
 def infer_json_schema(df: DataFrame, col: str) -> T.DataType:
@@ -258,13 +265,11 @@ def redact_paths(
             f"ELSE concat('pii.redacted:', {f}.type) END"
         )
 
-    judged = joined.withColumn("_found", F.expr(each("_path_findings", found)))
+    judged = compute_once(joined, {"_found": each("_path_findings", found)})
     edits = keep("_found", lambda f: f"{f}.present AND {f}.action <> 'pass_through'")
-    planned = judged.withColumns(
-        {
-            "_edits": F.expr(each(edits, new_value)),
-            "reasons": F.expr(f"array_compact({each('_found', reason)})"),
-        }
+    planned = compute_once(
+        judged,
+        {"_edits": each(edits, new_value), "reasons": f"array_compact({each('_found', reason)})"},
     )
     rebuilt = f"to_json(to_variant_object({_edited('_doc', schema)}))"
     out = f"CASE WHEN size(_edits) = 0 THEN {name(doc_col)} ELSE {rebuilt} END"

@@ -354,7 +354,7 @@ _PATH_ALLOW = {
 
 
 def _path_columns(spark, sf) -> tuple[DataFrame, DataFrame]:
-    payloads = I.payloads(spark, sf)
+    payloads = spread(I.payloads(spark, sf), "event_id")
     listed = F.array(
         *[
             F.struct(F.lit(i).alias("ord"), F.lit(t).alias("type"), F.lit(p).alias("path"))
