@@ -181,6 +181,8 @@ def find_all(text: Sql, specs: Sequence[P.PatternSpec]) -> Sql:
         ]
         return let(f"concat({', '.join(parts)})", keep_first_come)
 
+    if not specs:
+        return NO_FINDINGS
     return f"CASE WHEN {text} IS NULL THEN {NO_FINDINGS} ELSE {let(_traits(text), scan)} END"
 
 
