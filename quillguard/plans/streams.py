@@ -31,7 +31,7 @@ def stream_throttle(spark, sf):
     log = _stream(spark, sf, "events").select(
         F.col("event_id").alias("id"), "ts", F.concat(F.lit("u"), F.col("user_id")).alias("key")
     )
-    judged = jobs.stream_throttle(log, "key", "ts", "id", LIMIT, WINDOW_S, expire_idle=False)
+    judged = jobs.stream_throttle(log, "key", "ts", "id", LIMIT, WINDOW_S, idle_ms=None)
     return jobs.run_to_files(judged, _folder(spark)).select("id", "key", "allowed")
 
 

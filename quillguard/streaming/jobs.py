@@ -48,14 +48,14 @@ def stream_decisions(
 
 
 def stream_throttle(
-    log: DataFrame, key: str, ts_col: str, id_col: str, limit: int, window_s: int, expire_idle: bool = True
+    log: DataFrame, key: str, ts_col: str, id_col: str, limit: int, window_s: int, idle_ms: int | None = IDLE_MS
 ) -> DataFrame:
     """Throttle by admitted rows. State per key: the last ``limit`` admissions. Rows of a batch are
     judged in time order; a row older than those of earlier batches meets the state as it is.
 
-    With ``expire_idle`` the state of a key without rows for an hour, or a whole window if that is
-    longer, is dropped. Processing-time timers keep a query alive, so turn it off where the query
-    should end by itself (``availableNow``).
+    The state of a key without rows for ``idle_ms``, or a whole window if that is longer, is
+    dropped. Processing-time timers keep a query alive, so pass None where the query should end by
+    itself (``availableNow``).
     """
     ship(log.sparkSession)
     width = int(window_s * 1_000_000)
@@ -73,8 +73,8 @@ def stream_throttle(
         else:
             allowed = [False] * len(rows)
         state.update((list(recent),))
-        if expire_idle:
-            state.setTimeoutDuration(max(IDLE_MS, window_s * 1000))
+        if idle_ms is not None:
+            state.setTimeoutDuration(max(idle_ms, window_s * 1000))
         yield rows.assign(allowed=allowed)[[key, "id", "us", "allowed"]]
 
     key_type = log.schema[key].dataType.simpleString()
@@ -84,7 +84,7 @@ def stream_throttle(
         f"{key} {key_type}, id {id_type}, us bigint, allowed boolean",
         "recent array<bigint>",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout if expire_idle else GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
