@@ -211,7 +211,9 @@ def match_tool_rule(
 
     ``static``: exact name and exact direction, an equi join. ``payload``: exact name first, then
     the first rule in document order whose name is a suffix of the tool name; ``both`` fits either
-    direction. The suffix join runs on the distinct (policy, tool, direction) combinations only.
+    direction. Suffixes are matched by an equi join too: each distinct (policy, tool, direction) is
+    unfolded into the suffixes of its tool name, one row per letter, instead of being compared with
+    every rule.
     """
     one_per_rule = rules.select(
         key,
@@ -227,13 +229,15 @@ def match_tool_rule(
         return requests.join(broadcast_if_small(named), [key, "tool", "direction"], "left")
     if mode != "payload":
         raise ValueError(f"mode must be static or payload, not {mode!r}")
-    asked = requests.select(key, "tool", "direction").distinct()
+    suffixes = F.expr("transform(sequence(1, length(tool) + 1), i -> substring(tool, i))")
+    asked = (
+        requests.select(key, "tool", "direction")
+        .distinct()
+        .select(key, "tool", "direction", F.explode(suffixes).alias("rule_tool"))
+    )
     ranked = (
-        asked.join(broadcast_if_small(one_per_rule), key)
-        .filter(
-            F.endswith(F.col("tool"), F.col("rule_tool"))
-            & ((F.col("rule_direction") == F.col("direction")) | (F.col("rule_direction") == "both"))
-        )
+        asked.join(broadcast_if_small(one_per_rule), [key, "rule_tool"])
+        .filter((F.col("rule_direction") == F.col("direction")) | (F.col("rule_direction") == "both"))
         .groupBy(key, "tool", "direction")
         .agg(
             F.min(

@@ -32,16 +32,18 @@ def throttle_key(endpoint: Column, user: Column, api_key: Column) -> Column:
 
 
 def _prior_windowed(log: DataFrame, key: str, id_col: str, width: int) -> DataFrame:
-    by_time = Window.partitionBy(key).orderBy("_us").rangeBetween(-(width - 1), -1)
-    same_instant = Window.partitionBy(key, "_us").orderBy(id_col)
-    return log.withColumn(
-        "prior", F.count("*").over(by_time) + F.row_number().over(same_instant) - F.lit(1)
-    )
+    """Attempts so far minus attempts that have left the window. Both frames only ever grow, so the
+    work is linear however many rows a window holds; a sliding frame would be read again per row."""
+    so_far = Window.partitionBy(key).orderBy("_us", id_col)
+    gone = Window.partitionBy(key).orderBy("_us").rangeBetween(Window.unboundedPreceding, -width)
+    return log.withColumn("_n", F.row_number().over(so_far)).withColumn(
+        "prior", F.col("_n") - 1 - F.count("*").over(gone)
+    ).drop("_n")
 
 
 def _prior_piecewise(log: DataFrame, key: str, id_col: str, width: int, max_group_rows: int) -> DataFrame:
-    """Attempts so far minus attempts that have left the window. Both counts come from one running
-    total over the log and its probes: a probe stands where the row's window begins."""
+    """The same difference for hot keys: both counts come from one running total over the log and
+    its probes, where a probe stands at the time the row's window begins."""
     events = log.select(key, id_col, F.col("_us").alias("_at"), F.lit(0).alias("_probe"))
     probes = log.select(key, id_col, (F.col("_us") - width).alias("_at"), F.lit(1).alias("_probe"))
     counted = running_totals(
