@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 # adaptive execution splits skewed partitions.
 MAX_BROADCAST_ROWS = 200_000
 
+# Inputs up to this estimated size may be shuffled once to use all cores.
+MAX_SPREAD_BYTES = 1 << 30
+
 
 def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting: at most ``max_rows + 1`` rows are looked at."""
@@ -16,12 +19,14 @@ def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) ->
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give heavy per-row work at least one partition per core.
+    """Give heavy per-row work over a small input one partition per core.
 
     A scan with fewer splits than cores (one small file, one row group) would run the text
-    expressions in a few tasks; inputs with enough splits are left alone.
+    expressions in a few tasks. Inputs above ``MAX_SPREAD_BYTES`` have splits enough and are never
+    shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > MAX_SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
