@@ -103,22 +103,31 @@ def throttle_admitted(
     width = int(window_s * 1_000_000)
     timed = log.withColumn("_us", micros(log, ts_col))
     if has_hot_group(log, [key], max_group_rows):
-        counted = _prior_piecewise(timed, key, id_col, width, max_group_rows).withColumn(
-            "_start", F.col("prior") == 0
+        narrow = timed.select(key, id_col, "_us")
+        stretched = _stretches_piecewise(narrow, key, id_col, width, max_group_rows)
+        judged = _judge(stretched, key, id_col, limit, width)
+        # The admissions of a stretch are few however many rows it has: the rest need no second look.
+        return log.join(judged.filter("allowed").select(id_col, "allowed"), id_col, "left").fillna(
+            {"allowed": False}
         )
-        counted = running_totals(
-            counted, [key], ["_us", id_col], {"_seg": F.col("_start").cast("bigint")}, max_group_rows
-        )
-        stretched = counted.withColumn("_seg", F.col("_seg") + F.col("_start").cast("bigint")).drop("prior")
-    else:
-        w = Window.partitionBy(key).orderBy("_us", id_col)
-        pause = F.coalesce(F.col("_us") - F.lag("_us").over(w) >= width, F.lit(True))
-        stretched = timed.withColumn("_start", pause).withColumn(
-            "_seg", F.sum(F.col("_start").cast("bigint")).over(w)
-        )
-    ordered = stretched.drop("_start").repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_us", id_col)
+    w = Window.partitionBy(key).orderBy("_us", id_col)
+    pause = F.coalesce(F.col("_us") - F.lag("_us").over(w) >= width, F.lit(True))
+    stretched = timed.withColumn("_start", pause).withColumn("_seg", F.sum(F.col("_start").cast("bigint")).over(w))
+    return _judge(stretched.drop("_start"), key, id_col, limit, width).drop("_us", "_seg")
+
+
+def _stretches_piecewise(log: DataFrame, key: str, id_col: str, width: int, max_group_rows: int) -> DataFrame:
+    """Number the stretches of hot keys: one starts wherever no attempt lies in the window before."""
+    counted = _prior_piecewise(log, key, id_col, width, max_group_rows)
+    starts = counted.withColumn("_start", (F.col("prior") == 0).cast("bigint"))
+    before = running_totals(starts, [key], ["_us", id_col], {"_seg": F.col("_start")}, max_group_rows)
+    return before.withColumn("_seg", F.col("_seg") + F.col("_start")).drop("_start", "prior")
+
+
+def _judge(stretched: DataFrame, key: str, id_col: str, limit: int, width: int) -> DataFrame:
+    ordered = stretched.repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_us", id_col)
     schema = T.StructType([*ordered.schema.fields, T.StructField("allowed", T.BooleanType())])
-    return ordered.mapInPandas(_admit(key, limit, width), schema).drop("_us", "_seg")
+    return ordered.mapInPandas(_admit(key, limit, width), schema)
 
 
 def admit_stretch(times: np.ndarray, recent: deque, limit: int, width: int) -> np.ndarray:

@@ -33,7 +33,7 @@ def request_intake_accepted(spark, sf):
 @query(
     "request_intake_rejected",
     f"SELECT conv_id, turn, CASE {_BUCKET} WHEN 0 THEN 'body.tool:missing' WHEN 1 THEN 'body.tool:string_type' "
-    "WHEN 2 THEN 'body:json_invalid' WHEN 3 THEN 'body.budget_context.monthly_limit:float_type' "
+    "WHEN 2 THEN 'body:json_invalid' WHEN 3 THEN 'body.budget_context.monthly_limit:float_parsing' "
     "WHEN 5 THEN 'body.tags:list_type|body.user_id:string_type' ELSE 'body:model_attributes_type' END AS errors "
     f"FROM conversations WHERE {_BUCKET} IN (0, 1, 2, 3, 5, 6)",
 )
@@ -48,7 +48,7 @@ def request_intake_rejected(spark, sf):
     f"SELECT e.loc AS loc, e.kind AS kind, count(*) AS n FROM (SELECT unnest(CASE {_BUCKET} "
     "WHEN 0 THEN [{'loc': 'body.tool', 'kind': 'missing'}] WHEN 1 THEN [{'loc': 'body.tool', 'kind': 'string_type'}] "
     "WHEN 2 THEN [{'loc': 'body', 'kind': 'json_invalid'}] "
-    "WHEN 3 THEN [{'loc': 'body.budget_context.monthly_limit', 'kind': 'float_type'}] "
+    "WHEN 3 THEN [{'loc': 'body.budget_context.monthly_limit', 'kind': 'float_parsing'}] "
     "WHEN 5 THEN [{'loc': 'body.tags', 'kind': 'list_type'}, {'loc': 'body.user_id', 'kind': 'string_type'}] "
     "WHEN 6 THEN [{'loc': 'body', 'kind': 'model_attributes_type'}] END) AS e "
     "FROM conversations) GROUP BY ALL",

@@ -17,9 +17,9 @@ _FIELDS = (
     ("tags", False, "list"),
     ("corr_id", False, "string"),
     ("user_id", False, "string"),
-    ("policy_config", False, "object"),
-    ("tool_config", False, "object"),
-    ("budget_context", False, "object"),
+    ("policy_config", False, "model"),
+    ("tool_config", False, "model"),
+    ("budget_context", False, "model"),
     ("budget_context.monthly_limit", False, "number"),
     ("budget_context.current_spend", False, "number"),
     ("budget_context.llm_spend", False, "number"),
@@ -53,7 +53,8 @@ _NULLABLE = {
 _ERROR_KIND = {
     "string": "string_type",
     "list": "list_type",
-    "object": "model_type",
+    "object": "dict_type",
+    "model": "model_attributes_type",
     "number": "float_type",
 }
 _ERRORS_DDL = "array<struct<loc:string,kind:string>>"
@@ -65,7 +66,7 @@ def _fits(value: Column, kind: str) -> Column:
         return shape == "STRING"
     if kind == "list":
         return shape.startswith("ARRAY")
-    if kind == "object":
+    if kind in ("object", "model"):
         return shape.startswith("OBJECT")
     numeric_text = (shape == "STRING") & F.try_variant_get(value, "$", "string").try_cast("double").isNotNull()
     return shape.isin("BIGINT", "DOUBLE", "BOOLEAN") | shape.startswith("DECIMAL") | numeric_text
@@ -77,8 +78,11 @@ def _field_error(doc: Column, path: str, required: bool, kind: str) -> Column:
     absent = value.isNull()
     void = F.coalesce(F.is_variant_null(value), F.lit(False))
     ok_null = F.lit(path in _NULLABLE)
+    name = F.lit(_ERROR_KIND[kind])
+    if kind == "number":  # text that is no number, as opposed to something else altogether
+        name = F.when(F.schema_of_variant(value) == "STRING", "float_parsing").otherwise(name)
     wrong = F.when(absent, F.lit("missing") if required else F.lit(None).cast("string")).when(
-        ~(void & ok_null) & (void | ~_fits(value, kind)), _ERROR_KIND[kind]
+        ~(void & ok_null) & (void | ~_fits(value, kind)), name
     )
     if parent:
         holder = F.try_variant_get(doc, f"$.{parent}", "variant")
@@ -86,6 +90,39 @@ def _field_error(doc: Column, path: str, required: bool, kind: str) -> Column:
     return F.when(wrong.isNotNull(), F.struct(F.lit(f"body.{path}").alias("loc"), wrong.alias("kind")))
 
 
+def _element_errors(doc: Column, path: str) -> Column:
+    """One error per list element that is no text."""
+    elements = F.try_variant_get(doc, f"$.{path}", "array<variant>")
+
+    def error(value: Column, i: Column) -> Column:
+        loc = F.concat(F.lit(f"body.{path}."), i.cast("string"))
+        return F.when(
+            F.schema_of_variant(value) != "STRING", F.struct(loc.alias("loc"), F.lit("string_type").alias("kind"))
+        )
+
+    return _compacted(F.transform(elements, error))
+
+
+def _rule_errors(doc: Column) -> Column:
+    """One error per tool rule that is no object or whose direction is missing or no text."""
+    entries = F.map_entries(F.try_variant_get(doc, "$.policy_config.tool_access", "map<string,variant>"))
+
+    def error(e: Column) -> Column:
+        loc = F.concat(F.lit("body.policy_config.tool_access."), e["key"])
+        direction = F.try_variant_get(e["value"], "$.direction", "variant")
+        found = F.when(~F.schema_of_variant(e["value"]).startswith("OBJECT"), F.struct(loc, F.lit(_ERROR_KIND["model"])))
+        at_direction = F.concat(loc, F.lit(".direction"))
+        return found.when(direction.isNull(), F.struct(at_direction, F.lit("missing"))).when(
+            F.schema_of_variant(direction) != "STRING", F.struct(at_direction, F.lit("string_type"))
+        )
+
+    return _compacted(F.transform(entries, error))
+
+
+def _compacted(errors: Column) -> Column:
+    return F.coalesce(F.array_compact(errors.cast(_ERRORS_DDL)), F.array().cast(_ERRORS_DDL))
+
+
 def _request_columns(value_col: str) -> list[Column]:
     """Typed request columns. The policy stays JSON text, whose rule order counts; numbers may be
     written as text."""
@@ -131,7 +168,12 @@ def request_intake(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame,
     the content itself is not carried on. Unknown fields are dropped from accepted rows.
     """
     doc = F.try_parse_json(F.col(value_col))
-    checks = F.array_compact(F.array(*[_field_error(F.col("_doc"), *f) for f in _FIELDS]))
+    lists = [path for path, _, kind in _FIELDS if kind == "list"]
+    checks = F.concat(
+        _compacted(F.array(*[_field_error(F.col("_doc"), *f) for f in _FIELDS])),
+        *[_element_errors(F.col("_doc"), path) for path in lists],
+        _rule_errors(F.col("_doc")),
+    )
     unreadable = F.array(F.struct(F.lit("body").alias("loc"), F.lit("json_invalid").alias("kind")))
     not_object = F.array(F.struct(F.lit("body").alias("loc"), F.lit("model_attributes_type").alias("kind")))
     checked = raw.withColumn("_doc", doc).withColumn(

@@ -199,6 +199,8 @@ def test_intake(spark):
         '{"tool":"t"',
         '{"tool":"t","raw_text":"x","budget_context":{"monthly_limit":null,"budget_type":3}}',
         "[1]",
+        '{"tool":"t","raw_text":"x","tags":["a",1],"policy_config":{"tool_access":{"a":{},"b":{"direction":1},"c":2}}}',
+        '{"tool":"t","raw_text":"x","budget_context":{"llm_spend":"lots","current_spend":{}},"tool_config":5}',
     ]
     df = spark.createDataFrame(list(enumerate(raw)), "i int, value string")
     accepted, rejected = intake.request_intake(df)
@@ -214,6 +216,17 @@ def test_intake(spark):
         3: [("body", "json_invalid")],
         4: [("body.budget_context.monthly_limit", "float_type"), ("body.budget_context.budget_type", "string_type")],
         5: [("body", "model_attributes_type")],
+        6: [
+            ("body.tags.1", "string_type"),
+            ("body.policy_config.tool_access.a.direction", "missing"),
+            ("body.policy_config.tool_access.b.direction", "string_type"),
+            ("body.policy_config.tool_access.c", "model_attributes_type"),
+        ],
+        7: [
+            ("body.tool_config", "model_attributes_type"),
+            ("body.budget_context.current_spend", "float_type"),
+            ("body.budget_context.llm_spend", "float_parsing"),
+        ],
     }
     assert "value" not in rejected.columns
 
