@@ -17,6 +17,10 @@ def compute_once(df: DataFrame, columns: Mapping[str, str | Column]) -> DataFram
     columns still move below it.
     """
     named = [F.expr(e).alias(c) if isinstance(e, str) else e.alias(c) for c, e in columns.items()]
-    kept = [c for c in df.columns if c not in columns]
+    kept = [_quoted(c) for c in df.columns if c not in columns]
     made = df.select(*kept, F.inline_outer(F.array(F.struct(*named))))
-    return made.select(*dict.fromkeys([*df.columns, *columns]))
+    return made.select(*[_quoted(c) for c in dict.fromkeys([*df.columns, *columns])])
+
+
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"

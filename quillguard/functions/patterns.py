@@ -112,8 +112,8 @@ def python_regex(pattern: str) -> re.Pattern[str]:
 
 @dataclass(frozen=True)
 class PatternSpec:
-    """One finding type. ``gate`` names a cheap test that holds for every text with a match:
-    ``digit``, ``at``, ``underscore``, or ``words:a,b`` (some word, any case)."""
+    """One finding type. ``gate`` names cheap tests that all hold for every text with a match:
+    ``digit``, ``at``, ``underscore``, and ``words:a,b`` (some word, any case)."""
 
     pii_type: str
     pattern: str
@@ -132,11 +132,11 @@ CARD_SPEC = PatternSpec("credit_card", CARD, 0.9, "digit", "card")
 HEALTH_AND_PAYMENT_SPECS = (
     PatternSpec("us_medical_record_number", MRN, 0.82, "words:mrn,medical,patient"),
     PatternSpec("us_health_member_id", MEMBER_ID, 0.8, "words:member,policy,insurance"),
-    PatternSpec("us_npi", NPI, 0.85, "digit"),
-    PatternSpec("us_dea", DEA, 0.85, "digit"),
-    PatternSpec("us_date_of_birth", DOB, 0.78, "digit"),
-    PatternSpec("pci_cvv", CVV, 0.88, "digit"),
-    PatternSpec("pci_expiry", EXPIRY, 0.84, "digit"),
+    PatternSpec("us_npi", NPI, 0.85, "digit words:npi,national"),
+    PatternSpec("us_dea", DEA, 0.85, "digit words:dea"),
+    PatternSpec("us_date_of_birth", DOB, 0.78, "digit words:dob,date"),
+    PatternSpec("pci_cvv", CVV, 0.88, "digit words:cvv,cvc,cvn,security"),
+    PatternSpec("pci_expiry", EXPIRY, 0.84, "digit words:exp,valid"),
 )
 PASSWORD_SPEC = PatternSpec("password", PASSWORD, 0.8, "words:pass,pwd")
 PAYMENT_SPEC = PatternSpec("payment_amount", PAYMENT, 0.9, "digit")

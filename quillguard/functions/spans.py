@@ -51,23 +51,32 @@ def keep(items: Sql, test: Callable[[Sql], Sql]) -> Sql:
 NO_FINDINGS: Sql = f"CAST(array() AS {FINDINGS_DDL})"
 
 
+_GATES = {"digit": "{t}.has_digit", "at": "contains({x}, '@')", "underscore": "contains({x}, '_')"}
+
+
 def _gate(spec: P.PatternSpec, text: Sql, traits: Sql) -> Sql:
-    if spec.gate == "digit":
-        return f"{traits}.has_digit"
-    if spec.gate == "at":
-        return f"contains({text}, '@')"
-    if spec.gate == "underscore":
-        return f"contains({text}, '_')"
-    words = spec.gate.removeprefix("words:").split(",")
-    hits = [f"contains({traits}.lowered, {lit(w)})" for w in words]
-    # Case folding outside ASCII has letters that lower() does not map; let the pattern decide.
-    return "(" + " OR ".join([*hits, f"NOT {traits}.is_ascii"]) + ")"
+    tests = []
+    for part in spec.gate.split():
+        if part.startswith("words:"):
+            words = part.removeprefix("words:").split(",")
+            hits = [f"contains({traits}.lowered, {lit(w)})" for w in words]
+            tests.append("(" + " OR ".join([*hits, f"{traits}.folds"]) + ")")
+        else:
+            tests.append(_GATES[part].format(t=traits, x=text))
+    return "(" + " AND ".join(tests) + ")"
+
+
+# The letters outside ASCII that a case-blind pattern takes for an ASCII one and lower() does not
+# turn into it.
+_FOLDING = ("\u0130", "\u0131", "\u017f", "\u212a")
 
 
 def _traits(text: Sql) -> Sql:
+    """What the gates look at. Most texts are ASCII, where no letter folds."""
+    folds = " OR ".join(f"contains({text}, {lit(c)})" for c in _FOLDING)
     return (
         f"named_struct('has_digit', {text} RLIKE {lit(chr(92) + 'p{Nd}')}, 'lowered', lower({text}), "
-        f"'is_ascii', length({text}) = octet_length({text}))"
+        f"'folds', length({text}) <> octet_length({text}) AND ({folds}))"
     )
 
 
@@ -122,35 +131,42 @@ def iban_ok(text: Sql) -> Sql:
 VALIDATORS: dict[str, Callable[[Sql], Sql]] = {"card": card_ok, "ipv4": ipv4_ok, "iban": iban_ok}
 
 
+# Two private-use letters no pattern can tell apart: one marks matches, the other stands in for it
+# where a text contains it.
+_MARK, _STAND_IN = "\ue000", "\ue001"
+
+
 def pattern_spans(text: Sql, spec: P.PatternSpec, score: Sql | None = None) -> Sql:
     """All non-overlapping matches of one pattern, left to right, validator applied.
 
-    Spark's regex functions return matched text but no positions. The pieces between the matches
-    come from ``split``; running lengths of pieces and matches give the offsets.
+    Spark's regex functions return matched text but no positions. One replacement pass puts a mark
+    on both sides of each match; split at the marks, the odd pieces are the matches, and running
+    lengths give the offsets.
     """
-    regex = lit(P.java(spec.pattern))
     score = f"{spec.score}D" if score is None else score
-
-    def locate(matches: Sql) -> Sql:
-        acc, pair = fresh("a"), fresh("p")
-        gaps = each(f"split({text}, {regex}, -1)", lambda piece: f"length({piece})")
-        pairs = f"zip_with({gaps}, concat({matches}, array('')), (g, h) -> named_struct('gap', g, 'hit', h))"
+    has_mark = f"contains({text}, {lit(_MARK)})"
+    clean = f"CASE WHEN {has_mark} THEN translate({text}, {lit(_MARK)}, {lit(_STAND_IN)}) ELSE {text} END"
+    marked = f"regexp_replace({clean}, {lit(P.java(spec.pattern))}, {lit(_MARK + '$0' + _MARK)})"
+
+    def locate(marks: Sql) -> Sql:
+        acc, piece = fresh("a"), fresh("p")
+        end = f"{acc}.pos + length({piece})"
+        own = f"CASE WHEN {has_mark} THEN substring({text}, {acc}.pos + 1, length({piece})) ELSE {piece} END"
         found = (
-            f"named_struct('type', {lit(spec.label)}, 'start', {acc}.pos + {pair}.gap, 'end', "
-            f"{acc}.pos + {pair}.gap + length({pair}.hit), 'score', {score}, 'text', {pair}.hit)"
+            f"named_struct('type', {lit(spec.label)}, 'start', {acc}.pos, 'end', {end}, "
+            f"'score', {score}, 'text', {own})"
         )
         step = (
-            f"named_struct('pos', {acc}.pos + {pair}.gap + length({pair}.hit), 'found', "
-            f"CASE WHEN {pair}.hit = '' THEN {acc}.found "
-            f"ELSE array_append({acc}.found, CAST({found} AS {FINDING_TYPE})) END)"
+            f"named_struct('pos', {end}, 'hit', NOT {acc}.hit, 'found', CASE WHEN {acc}.hit "
+            f"THEN array_append({acc}.found, CAST({found} AS {FINDING_TYPE})) ELSE {acc}.found END)"
         )
-        start = f"named_struct('pos', 0, 'found', {NO_FINDINGS})"
+        start = f"named_struct('pos', 0, 'hit', false, 'found', {NO_FINDINGS})"
         return (
-            f"CASE WHEN size({matches}) = 0 THEN {NO_FINDINGS} "
-            f"ELSE aggregate({pairs}, {start}, ({acc}, {pair}) -> {step}, z -> z.found) END"
+            f"CASE WHEN contains({marks}, {lit(_MARK)}) THEN aggregate(split({marks}, {lit(_MARK)}, -1), {start}, "
+            f"({acc}, {piece}) -> {step}, z -> z.found) ELSE {NO_FINDINGS} END"
         )
 
-    found = let(f"regexp_extract_all({text}, {regex}, 0)", locate)
+    found = let(marked, locate)
     if spec.validator is not None:
         found = keep(found, lambda f: VALIDATORS[spec.validator](f"{f}.text"))
     return found

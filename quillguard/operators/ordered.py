@@ -49,7 +49,7 @@ def running_totals(
 
 def _piecewise(df: DataFrame, keys: Sequence[str], order: Sequence[str], names: list[str]) -> DataFrame:
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     # Piece numbers are stored with the rows: a recomputed range partitioning might cut elsewhere.
     pieces = cut(df.repartitionByRange(n, *keys, *order).withColumn("_piece", F.spark_partition_id()))
     totals = pieces.groupBy(*keys, "_piece").agg(*[F.sum(f"_v_{v}").alias(f"_t_{v}") for v in names])

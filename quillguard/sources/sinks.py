@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def write_decision_events(events: DataFrame, path: str, fmt: str = "json", mode: str = "append") -> None:
-    """One event per decision, in one folder per date."""
-    flat = events.select("event.*", "event_date")
+    """One event per decision, in one folder per date. Rebalancing gives each date files of a good
+    size: small dates are written by one task, a large one is split over several."""
+    flat = events.select("event.*", "event_date").hint("rebalance", F.col("event_date"))
     writer = flat.write.mode(mode).partitionBy("event_date")
     if fmt == "json":
         writer = writer.option("ignoreNullFields", "false")
@@ -66,6 +67,5 @@ def usage_events(decisions: DataFrame) -> DataFrame:
 
 
 def write_usage(decisions: DataFrame, path: str) -> None:
-    usage_events(decisions).withColumn("usage_date", F.to_date("created_at")).write.mode("append").partitionBy(
-        "usage_date"
-    ).parquet(path)
+    dated = usage_events(decisions).withColumn("usage_date", F.to_date("created_at"))
+    dated.hint("rebalance", F.col("usage_date")).write.mode("append").partitionBy("usage_date").parquet(path)

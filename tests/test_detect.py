@@ -180,6 +180,7 @@ def random_texts(n):
         "mrn#ab-12-34", "Member ID 99-ABC-1", "NPI: 1234567890", "DEA AB1234567", "DOB: 1/2/1990", "cvv 123",
         "exp: 12/29", "valid thru 01/2031", "x", "@", "12", "٣٤٥٦٧٨٩٠١٢", " ", "\x1c", "\n", "+1 (555) 867-5309", ".",
         "policy number: QWERTY12", "security code: 9999", "-", " ", "word", "ſsn", "patIent id K12345678",
+        "patıent ID ABC123456", "ſecurity code: 123", "poliCy NUMBER x1y2z3w4", "\ue000", "\ue001", "\ue000a@b.com\ue000",
     ]
     return ["".join(rng.choice(parts) + rng.choice(["", " ", "-"]) for _ in range(rng.randint(0, 14))) for _ in range(n)]
 
