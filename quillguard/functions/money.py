@@ -65,6 +65,16 @@ def first_payment_amount(payment_findings: Sql) -> Sql:
     return f"get(array_compact({amounts}), 0)"
 
 
+def projected_total(context: Sql, cost: Sql, purchase: Sql) -> Sql:
+    """Spend of the month if the request goes ahead."""
+    llm, bought = (f"coalesce({context}.{c}, 0.0D)" for c in ("llm_spend", "purchase_spend"))
+    return f"(({llm} + {cost}) + ({bought} + coalesce({purchase}, 0.0D)))"
+
+
+def exceeds_limit(context: Sql, cost: Sql, purchase: Sql) -> Sql:
+    return f"({projected_total(context, cost, purchase)} > coalesce({context}.monthly_limit, 0.0D))"
+
+
 def budget_check(context: Sql, cost: Sql, purchase: Sql, guard_zero_limit: bool = True) -> Sql:
     """``struct(status, info)`` of a request against a budget context.
 
@@ -75,7 +85,7 @@ def budget_check(context: Sql, cost: Sql, purchase: Sql, guard_zero_limit: bool
         f"coalesce({context}.{c}, 0.0D)"
         for c in ("monthly_limit", "current_spend", "llm_spend", "purchase_spend", "remaining_budget")
     )
-    projected = f"(({llm} + {cost}) + ({bought} + coalesce({purchase}, 0.0D)))"
+    projected = projected_total(context, cost, purchase)
 
     def percent(amount: Sql) -> Sql:
         share = f"try_divide({amount}, {limit}) * 100.0D"

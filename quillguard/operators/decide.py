@@ -123,10 +123,10 @@ def fallback_over_budget(policy_model: Sql) -> Sql:
     """A payment is named in the text, a budget is known, and the first amount does not fit it.
     Works on ``_pay``, ``tool_config`` and ``budget_context``."""
     model = f"coalesce({_METADATA_MODEL}, {policy_model})"
-    check = M.budget_check(
+    over = M.exceeds_limit(
         "budget_context", M.request_cost("raw_text", model), M.first_payment_amount("_pay")
     )
-    return f"CASE WHEN size(_pay) > 0 AND budget_context IS NOT NULL THEN NOT {check}.status.allowed ELSE false END"
+    return f"CASE WHEN size(_pay) > 0 AND budget_context IS NOT NULL THEN {over} ELSE false END"
 
 
 _METADATA_MODEL = "try_element_at(tool_config.metadata, 'model')"
