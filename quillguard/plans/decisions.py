@@ -579,7 +579,7 @@ _ON_ERROR = ("'block'", "'pass'", "'best_effort'", "'other'")
 
 
 def _errors_sql(mode: str) -> str:
-    steps = K.Steps(f"SELECT * FROM ({I.REQUESTS_SQL}) WHERE length(tool) % 2 = 0")
+    steps = K.Steps(I.REQUESTS_SQL)
     steps.add(oe=I.DUCK.pick(_ON_ERROR, "ts % 4"))
     K.mask(steps, "raw_text", "m")
     bypass = "'pass_through'" if mode == "static" else "'allow'"
@@ -594,8 +594,7 @@ def _errors_sql(mode: str) -> str:
 
 
 def _errors(spark, sf, mode: str) -> DataFrame:
-    failed = _requests(spark, sf).filter("length(tool) % 2 = 0")
-    failed = failed.withColumn("on_error", F.expr(I.SPARK.pick(_ON_ERROR, "ts % 4")))
+    failed = _requests(spark, sf).withColumn("on_error", F.expr(I.SPARK.pick(_ON_ERROR, "ts % 4")))
     out = decide.resolve_errors(failed, mode=mode)
     return out.select(
         "request_id", "decision", "raw_text_out", F.array_join("reasons", "|").alias("reasons"), "rule_id"

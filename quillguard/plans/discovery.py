@@ -369,9 +369,13 @@ def _path_columns(spark, sf) -> tuple[DataFrame, DataFrame]:
         ]
     )
     findings = (
-        payloads.select("event_id", F.explode(listed).alias("f"))
-        .select("event_id", "f.*")
-        .filter("(event_id + ord) % 3 <> 0")
+        payloads.select("event_id", "event_type", F.explode(listed).alias("f"))
+        .select("event_id", "event_type", "f.*")
+        .filter(
+            "NOT (event_type = 'error' AND ord = 0) AND NOT (event_type = 'signup' AND ord = 1) "
+            "AND NOT (event_type = 'purchase' AND ord >= 2)"
+        )
+        .drop("event_type")
     )
     cases = F.create_map(
         *[
@@ -389,8 +393,8 @@ def _path_columns(spark, sf) -> tuple[DataFrame, DataFrame]:
 def _paths_sql() -> str:
     steps = K.Steps(
         "SELECT *, json_extract_string(payload, '$.user.email') AS email, "
-        "json_extract_string(payload, '$.note') AS note, (event_id + 0) % 3 <> 0 AS h0, "
-        "(event_id + 1) % 3 <> 0 AS h1, (event_id + 2) % 3 <> 0 AS h2, (event_id + 3) % 3 <> 0 AS h3 "
+        "json_extract_string(payload, '$.note') AS note, event_type <> 'error' AS h0, "
+        "event_type <> 'signup' AS h1, event_type <> 'purchase' AS h2, event_type <> 'purchase' AS h3 "
         f"FROM ({I.PAYLOADS_SQL})"
     )
     K.mask(K.mask(steps, "email", "email_m"), "note", "note_m")

@@ -327,14 +327,14 @@ def ledger_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUDGETS_SQL = """SELECT c_custkey AS user_id, cast(200 + (c_custkey % 7) * 100 AS DOUBLE) AS monthly_limit,
   CASE WHEN c_custkey % 4 = 0 THEN 'organization' ELSE 'user' END AS budget_type
-  FROM customer WHERE c_custkey % 9 <> 5"""
+  FROM customer WHERE c_acctbal >= 0"""
 
 
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Budget rows; some users have none."""
+    """Budget rows; customers in debt have none."""
     return (
         table(spark, sf_dir, "customer")
-        .filter(F.col("c_custkey") % 9 != 5)
+        .filter(F.col("c_acctbal") >= 0)
         .select(
             F.col("c_custkey").alias("user_id"),
             (200 + (F.col("c_custkey") % 7) * 100).cast("double").alias("monthly_limit"),
@@ -343,17 +343,16 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUOTAS_SQL = """SELECT user_id, 5 AS daily_limit, 60 AS monthly_limit
-  FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 = 0"""
+QUOTAS_SQL = """SELECT c_custkey AS user_id, 5 AS daily_limit, 60 AS monthly_limit
+  FROM customer WHERE c_mktsegment = 'BUILDING'"""
 
 
 def quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotas of one market segment; everybody else has the default ones."""
     return (
-        table(spark, sf_dir, "events")
-        .select("user_id")
-        .distinct()
-        .filter(F.col("user_id") % 3 == 0)
-        .withColumns({"daily_limit": F.lit(5), "monthly_limit": F.lit(60)})
+        table(spark, sf_dir, "customer")
+        .filter("c_mktsegment = 'BUILDING'")
+        .select(F.col("c_custkey").alias("user_id"), F.lit(5).alias("daily_limit"), F.lit(60).alias("monthly_limit"))
     )
 
 
@@ -397,14 +396,14 @@ ATTEMPTS_SQL = """SELECT event_id, k AS attempt,
   CASE WHEN event_id % 5 = 0 OR k < event_id % 5 THEN
     CASE event_id % 3 WHEN 0 THEN 'websocket_exception:TimeoutError:' || k
                       WHEN 1 THEN 'auth_timeout' ELSE '' END END AS error
-  FROM (SELECT event_id, unnest(range(1, 2 + event_id % 4)) AS k FROM events WHERE event_id % 11 <> 0)"""
+  FROM (SELECT event_id, unnest(range(1, 2 + event_id % 4)) AS k FROM events WHERE event_type <> 'signup')"""
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delivery attempts per event; some events were never tried."""
+    """Delivery attempts per event; sign-ups were never tried."""
     base = (
         table(spark, sf_dir, "events")
-        .filter("event_id % 11 <> 0")
+        .filter("event_type <> 'signup'")
         .select("event_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr("1 + event_id % 4"))).alias("attempt"))
     )
     error = F.expr(
