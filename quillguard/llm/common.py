@@ -33,6 +33,15 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more, and let the driver find the shuffle files that no
+    table needs (executors drop those once the driver has collected its garbage)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, all other characters unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

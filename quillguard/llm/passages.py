@@ -15,7 +15,8 @@ A window is 13 words. It is removed from a document if it also starts in one of
    read by several tasks, each with the same automaton.
 
 Copies of a whole text are settled before, by the hash of their words: all but the first lose all
-words, and only the first goes through the steps. Hashes only choose what is looked at.
+words, and only the first goes through the steps. Hashes only choose what is looked at. Tables between
+the steps are written to the shared folder and deleted once the next one stands.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillguard.llm.common import joined, ragged, small_batches, text_bytes, words_of, work_dir, written
+from quillguard.llm.common import forget, joined, ragged, small_batches, text_bytes, words_of, work_dir, written
 
 WINDOW = 13
 GRAM = 5
@@ -429,9 +430,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     bits = sent.groupBy("part").applyInArrow(_recurring, "part int, chunk long, bits binary")
     replies = bits.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("replies"))  # a row per part
     answered = chunks.drop("multi").join(replies, "chunk").mapInArrow(_answered, "doc_id long, tkey long, anchors binary")
-    wanted = answered.join(copies, ["doc_id", "tkey"], "left_anti")
+    wanted = written(answered.join(copies, ["doc_id", "tkey"], "left_anti"), f"{work}/wanted")
+    forget(spark, f"{work}/scan")
 
     stretches = written(base.join(wanted, ["doc_id", "tkey"]).mapInArrow(cut_out, _STRETCHES), f"{work}/stretches")
+    forget(spark, f"{work}/wanted")
     fields = {"hashes": 8, "first": 8, "times": 4, "before": 4, "flags": 1}
     kinds = ", ".join(f"{f} binary" for f in fields)
     sent = stretches.select("chunk", *fields, "part_ends").mapInArrow(_sent(fields), f"part int, chunk long, {kinds}")
@@ -441,6 +444,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shards = parts * SHARDS_PER_PART
     dealt = written(chunks.mapInArrow(_dealt(shards), _DEALT), f"{work}/dealt")
 
+    forget(spark, f"{work}/stretches")
     to_read = dealt.filter("kind = 1")
     most = max(LEAST_READ, (to_read.agg(F.sum("n_words")).first()[0] or 0) // (2 * shards))
     loads = to_read.groupBy("shard").agg(F.sum("n_words").alias("load"))  # a row per shard
@@ -450,6 +454,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     salt = F.explode(F.coalesce(all_salts, F.array(F.pmod(F.xxhash64("doc_id", "at"), "salts").cast("int")))).alias("salt")
     streams = salted.select("shard", salt, "kind", "doc_id", "tkey", "at", "words").repartition("shard", "salt")
     places = written(streams.sortWithinPartitions("shard", "salt", "kind").mapInArrow(_located, "doc_id long, tkey long, at long, to long"), f"{work}/places")
+    forget(spark, f"{work}/dealt")
     spans = places.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set(F.struct("at", "to"))).alias("spans"))
     none = F.array().cast("array<struct<at:bigint,to:bigint>>")
     return spans.select("doc_id", "tkey", F.lit(False).alias("copy"), "spans").union(copies.select("doc_id", "tkey", F.lit(True), none))
