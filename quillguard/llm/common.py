@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -35,11 +37,15 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 def forget(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more, and let the driver find the shuffle files that no
-    table needs (executors drop those once the driver has collected its garbage)."""
+    table needs: executors drop those once the driver has collected its garbage, the second time after
+    its listeners have let go of the last job."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in map(jvm.org.apache.hadoop.fs.Path, paths):
         path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
 
 
 def lower_ascii(text: Column) -> Column:
