@@ -64,9 +64,9 @@ def error_columns(on_error: Sql, text: Sql, static: Sql, masked: Sql) -> dict[st
         "WHEN 'best_effort' THEN 'transform' ELSE 'deny' END",
         "raw_text_out": f"CASE {on_error} WHEN 'pass' THEN CASE WHEN NOT {static} THEN {text} END "
         f"WHEN 'best_effort' THEN {masked}.text ELSE {text} END",
-        "reasons": f"CASE {on_error} WHEN 'pass' THEN array('precheck.bypass') WHEN 'best_effort' THEN "
-        f"CASE WHEN size({masked}.reasons) > 0 THEN {masked}.reasons ELSE array('precheck.best_effort') END "
-        "ELSE array('precheck.error') END",
+        "reasons": f"CASE {on_error} WHEN 'pass' THEN array('evaluation.bypass') WHEN 'best_effort' THEN "
+        f"CASE WHEN size({masked}.reasons) > 0 THEN {masked}.reasons ELSE array('evaluation.best_effort') END "
+        "ELSE array('evaluation.error') END",
         "rule_id": f"CASE WHEN {on_error} = 'best_effort' THEN 'error-handler-regex' ELSE 'error-handler' END",
     }
 
@@ -438,7 +438,7 @@ def _decide_routed(df: DataFrame, inputs: list[str], static_rule_detector: str,
     return df.select(*inputs, *[F.expr(e).alias(c) for c, e in decided.items()], "_check")
 
 
-PASS_NAMES = {"ingress": "precheck", "egress": "postcheck"}
+PASS_NAMES = {"ingress": "input", "egress": "output"}
 
 
 def check_pass(

@@ -124,9 +124,27 @@ def _redact_value(value: Sql, dtype: T.DataType, key: str) -> Sql:
         return let(done, lambda xs: _result(each(xs, lambda x: f"{x}.v"), _gathered(xs)))
     if isinstance(dtype, T.MapType):
         return _redact_map(value, dtype)
+    if isinstance(dtype, T.VariantType):
+        return _redact_variant(value, key)
     return _result(value, X.NO_REASONS)
 
 
+def _redact_variant(value: Sql, key: str) -> Sql:
+    """A value of no fixed type: a string is masked as one; any other value by its JSON text, which
+    replaces it (as a string, if it is JSON no more) when something is found. Nothing leaves unread."""
+    is_text = f"schema_of_variant({value}) = 'STRING'"
+    if X.is_password_name(key):
+        hidden = _hidden(value)
+        return let(hidden, lambda h: _result(f"CAST({h}.v AS VARIANT)", f"{h}.r"))
+    text = f"CASE WHEN {is_text} THEN CAST({value} AS STRING) ELSE to_json({value}) END"
+
+    def rebuild(masked: Sql) -> Sql:
+        parsed = f"CASE WHEN {is_text} THEN CAST({masked}.v AS VARIANT) ELSE coalesce(try_parse_json({masked}.v), CAST({masked}.v AS VARIANT)) END"
+        return _result(f"CASE WHEN size({masked}.r) = 0 THEN {value} ELSE {parsed} END", f"{masked}.r")
+
+    return let(_mask_leaf(text), rebuild)
+
+
 def _gathered(results: Sql) -> Sql:
     return f"coalesce(flatten({each(results, lambda x: f'{x}.r')}), {X.NO_REASONS})"
 
@@ -158,12 +176,15 @@ def redact_nested(df: DataFrame, col: str, schema: str | T.DataType | None = Non
         schema = T.DataType.fromDDL(schema)
     parsed = df.withColumn("_doc", F.from_json(col, schema))
     done = compute_once(parsed, {"_done": _redact_value("_doc", schema, "")})
-    return done.withColumns(
+    # text that is no JSON, or not of the schema's kind, is masked as it stands
+    unread = F.expr(f"{name(col)} IS NOT NULL AND (_doc IS NULL OR try_parse_json({name(col)}) IS NULL)")
+    whole = compute_once(done.withColumn("_unread", unread), {"_whole": f"CASE WHEN _unread THEN {_mask_leaf(name(col))} END"})
+    return whole.withColumns(
         {
-            f"{col}_out": F.to_json("_done.v", {"ignoreNullFields": "false"}),
-            "reasons": F.expr(_REASON_SET),
+            f"{col}_out": F.when(F.col("_unread"), F.col("_whole.v")).otherwise(F.to_json("_done.v", {"ignoreNullFields": "false"})),
+            "reasons": F.when(F.col("_unread"), F.array_sort(F.array_distinct("_whole.r"))).otherwise(F.expr(_REASON_SET)),
         }
-    ).drop("_doc", "_done")
+    ).drop("_doc", "_done", "_unread", "_whole")
 
 
 def infer_json_schema(df: DataFrame, col: str) -> T.DataType:

@@ -388,9 +388,9 @@ def decision_steps(mode: str, detector: str = "specific_first") -> K.Steps:
     )
     reasons = (
         "CASE WHEN route = 'deny' THEN ['blocked tool: code/exec'] "
-        "WHEN route = 'error' THEN CASE WHEN on_error = 'pass' THEN ['precheck.bypass'] "
-        "WHEN on_error = 'best_effort' THEN CASE WHEN len(m_r) > 0 THEN m_r ELSE ['precheck.best_effort'] END "
-        "ELSE ['precheck.error'] END "
+        "WHEN route = 'error' THEN CASE WHEN on_error = 'pass' THEN ['evaluation.bypass'] "
+        "WHEN on_error = 'best_effort' THEN CASE WHEN len(m_r) > 0 THEN m_r ELSE ['evaluation.best_effort'] END "
+        "ELSE ['evaluation.error'] END "
         f"WHEN blocked IS NOT NULL THEN ['pii.blocked:' || {K.bare('blocked')}] "
         "WHEN calm THEN CASE WHEN ract IN ('deny', 'block') THEN ['tool-specific.block'] "
         "WHEN ract = 'tokenize' THEN ['tool-specific.tokenize'] WHEN v = 'budget_exceeded' THEN ['budget_exceeded'] "
@@ -430,7 +430,7 @@ def pass_steps(mode: str = "auto") -> K.Steps:
         f"THEN coalesce(reasons, []) || [{noted}] ELSE reasons END",
         status_reason="CASE WHEN guarded THEN verdict ELSE status_reason END",
         projected_total="CASE WHEN guarded THEN projected ELSE projected_total END",
-    ).add(**{"pass": "CASE direction WHEN 'ingress' THEN 'precheck' ELSE 'postcheck' END"})
+    ).add(**{"pass": "CASE direction WHEN 'ingress' THEN 'input' ELSE 'output' END"})
 
 
 _OUT = (
@@ -587,8 +587,8 @@ def _errors_sql(mode: str) -> str:
     return steps.select(
         f"request_id, CASE oe WHEN 'pass' THEN {bypass} WHEN 'best_effort' THEN 'transform' ELSE 'deny' END "
         f"AS decision, CASE oe WHEN 'pass' THEN {bypass_text} WHEN 'best_effort' THEN m ELSE raw_text END "
-        "AS raw_text_out, CASE WHEN oe = 'pass' THEN 'precheck.bypass' WHEN oe = 'best_effort' AND len(m_r) > 0 "
-        f"THEN {K.joined('m_r')} WHEN oe = 'best_effort' THEN 'precheck.best_effort' ELSE 'precheck.error' END "
+        "AS raw_text_out, CASE WHEN oe = 'pass' THEN 'evaluation.bypass' WHEN oe = 'best_effort' AND len(m_r) > 0 "
+        f"THEN {K.joined('m_r')} WHEN oe = 'best_effort' THEN 'evaluation.best_effort' ELSE 'evaluation.error' END "
         "AS reasons, CASE WHEN oe = 'best_effort' THEN 'error-handler-regex' ELSE 'error-handler' END AS rule_id"
     )
 

@@ -17,19 +17,19 @@ def test_single_types(spark):
     out = found(
         spark,
         [
-            "Contact us at alice@example.com for help",
+            "Please mail to nadia@mill.test by noon",
             "From: a@x.com To: b@y.co",
-            "Call 555-867-5309 for details",
-            "Patient intake MRN: A1234567 for encounter",
+            "Ring 415-555-0132 after six",
+            "Ward list has MRN: K7654321 admitted",
             "415.555.1234",
             "",
             None,
         ],
     )
-    assert out[0] == [("email_address", 14, 31, "alice@example.com")]
+    assert out[0] == [("email_address", 15, 30, "nadia@mill.test")]
     assert out[1] == [("email_address", 6, 13, "a@x.com"), ("email_address", 18, 24, "b@y.co")]
-    assert out[2] == [("phone_number", 5, 17, "555-867-5309")]
-    assert out[3] == [("us_medical_record_number", 15, 28, "MRN: A1234567")]
+    assert out[2] == [("phone_number", 5, 17, "415-555-0132")]
+    assert out[3] == [("us_medical_record_number", 14, 27, "MRN: K7654321")]
     assert out[4] == out[5] == out[6] == []
 
 
@@ -37,12 +37,12 @@ def test_phone_takes_cards_and_npis_first(spark):
     out = found(
         spark,
         [
-            "Card: 4532015112830366",
+            "Card: 4111111111111111",
             "NPI: 1234567890 DEA Number: AB1234567 DOB: 01/09/1982",
-            "Card 4532 0151 1283 0366 cvv: 123 exp: 12/29",
+            "Card 4111 1111 1111 1111 cvv: 123 exp: 12/29",
         ],
     )
-    assert out[0] == [("phone_number", 6, 22, "4532015112830366")]
+    assert out[0] == [("phone_number", 6, 22, "4111111111111111")]
     assert [f[0] for f in out[1]] == ["phone_number", "us_dea", "us_date_of_birth"]
     assert [f[0] for f in out[2]] == ["phone_number", "pci_cvv", "pci_expiry"]
 
@@ -51,7 +51,7 @@ def test_specific_first_finds_the_specific_type(spark):
     out = found(
         spark,
         [
-            "Card: 4532015112830366",
+            "Card: 4111111111111111",
             "Not a card: 1234567890123456",
             "NPI: 1234567890",
             "host 10.0.0.1 not 300.1.1.1",
@@ -61,7 +61,7 @@ def test_specific_first_finds_the_specific_type(spark):
         ],
         profile="specific_first",
     )
-    assert out[0] == [("credit_card", 6, 22, "4532015112830366")]
+    assert out[0] == [("credit_card", 6, 22, "4111111111111111")]
     assert [f[0] for f in out[1]] == ["phone_number"]
     assert [f[0] for f in out[2]] == ["us_npi"]
     assert [(f[0], f[3]) for f in out[3]] == [("ip_address", "10.0.0.1")]
@@ -176,7 +176,7 @@ def brute_force(text, specs):
 def random_texts(n):
     rng = random.Random(7)
     parts = [
-        "a@b.com", "é", "🙂", " ", "  ", "555-867-5309", "4532015112830366", "4532 0151 1283 0366", "MRN: A1234567",
+        "a@b.com", "é", "🙂", " ", "  ", "555-867-5309", "4111111111111111", "4111 1111 1111 1111", "MRN: A1234567",
         "mrn#ab-12-34", "Member ID 99-ABC-1", "NPI: 1234567890", "DEA AB1234567", "DOB: 1/2/1990", "cvv 123",
         "exp: 12/29", "valid thru 01/2031", "x", "@", "12", "٣٤٥٦٧٨٩٠١٢", " ", "\x1c", "\n", "+1 (555) 867-5309", ".",
         "policy number: QWERTY12", "security code: 9999", "-", " ", "word", "ſsn", "patIent id K12345678",

@@ -36,8 +36,8 @@ DECISIONS = (
 
 def decisions(spark):
     rows = [
-        ("r1", "precheck", "t", None, "raw é", None, "deny", None, "tool-access", "u", "c1", 1704067200, "secret"),
-        ("r2", "postcheck", "t", "net.x", "raw", "raw", "transform", None, "net-redact-regex", None, None, 1704067201, ""),
+        ("r1", "input", "t", None, "raw é", None, "deny", None, "tool-access", "u", "c1", 1704067200, "secret"),
+        ("r2", "output", "t", "net.x", "raw", "raw", "transform", None, "net-redact-regex", None, None, 1704067201, ""),
     ]
     return spark.createDataFrame(rows, DECISIONS)
 
@@ -54,10 +54,10 @@ def test_decision_event(spark):
         "type": "INGEST",
         "channel": "org:decisions",
         "schema": "decision.v1",
-        "idempotencyKey": "precheck-1704067200-c1",
+        "idempotencyKey": "input-1704067200-c1",
         "data": {
             "orgId": "org",
-            "direction": "precheck",
+            "direction": "input",
             "decision": "deny",
             "tool": "t",
             "scope": None,
@@ -251,7 +251,7 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "events" / "event_date=2024-01-01").is_dir()
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
     back = spark.read.json(str(tmp_path / "events"))
-    assert {r["idempotencyKey"].split("-")[0] for r in back.collect()} == {"precheck", "postcheck"}
+    assert {r["idempotencyKey"].split("-")[0] for r in back.collect()} == {"input", "output"}
 
     failed = out.withColumn("err", F.lit("auth_timeout"))
     for _ in range(2):
@@ -262,7 +262,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_audit_trail(judged, str(tmp_path / "audit"))
     audit = sorted(r["value"] for r in spark.read.text(str(tmp_path / "audit")).collect())
     assert audit[0] == (
-        '{"t":1704067200,"event":"precheck","user_id":"u","tool":"t","decision":"deny","corr_id":"c1",'
+        '{"t":1704067200,"event":"input","user_id":"u","tool":"t","decision":"deny","corr_id":"c1",'
         '"policy_id":"tool-access","reasons":[]}'
     )
     assert audit[1].endswith('"policy_id":"net-redact-regex","reasons":null}')

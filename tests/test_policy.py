@@ -12,11 +12,11 @@ from quillguard.operators import rules as R
 FILE = {
     "defaults": {"ingress": {"action": "redact"}, "egress": {"action": "redact"}},
     "tool_access": {
-        "verify_identity": {
+        "book_courier": {
             "direction": "ingress",
             "allow_pii": {"PII:email_address": "pass_through", "PII:us_ssn": "tokenize"},
         },
-        "data_export": {"direction": "egress", "allow_pii": {"PII:email_address": "pass_through"}},
+        "print_label": {"direction": "egress", "allow_pii": {"PII:email_address": "pass_through"}},
         "anything": {"direction": "both"},
     },
 }
@@ -68,23 +68,23 @@ def test_code_tools_are_denied(spark, tool):
 
 
 def test_static_rule(spark):
-    out = static(spark, "verify_identity", "a@x.com ssn 123-45-6789 cvv: 123")
+    out = static(spark, "book_courier", "a@x.com ssn 123-45-6789 cvv: 123")
     assert out == (
         "transform",
         f"a@x.com ssn {tok('123-45-6789')} <PCI_CVV>",
         ["pii.redacted:PII:pci_cvv", "pii.tokenized:PII:us_ssn", "pii.allowed:PII:email_address"],
         "tool-access",
     )
-    assert static(spark, "verify_identity", "clean") == ("allow", "clean", None, "tool-access")
+    assert static(spark, "book_courier", "clean") == ("allow", "clean", None, "tool-access")
 
 
 def test_static_rule_without_detector_allows_unchanged(spark):
-    out = static(spark, "verify_identity", "a@x.com", static_rule_detector="none")
+    out = static(spark, "book_courier", "a@x.com", static_rule_detector="none")
     assert out == ("allow", "a@x.com", None, "tool-access")
 
 
 def test_static_rule_needs_its_direction_and_both_is_not_one(spark):
-    assert static(spark, "data_export", "clean")[3] == "strict-fallback"
+    assert static(spark, "print_label", "clean")[3] == "strict-fallback"
     assert static(spark, "anything", "clean")[3] == "strict-fallback"
 
 
@@ -125,7 +125,7 @@ def test_strict_fallback(spark):
 
 def test_missing_and_unreadable_policy_files_count_as_empty(spark):
     for doc in ("{}", "", "not json"):
-        df = spark.createDataFrame([("verify_identity", "clean", "ingress")], "tool string, raw_text string, direction string")
+        df = spark.createDataFrame([("book_courier", "clean", "ingress")], "tool string, raw_text string, direction string")
         assert D.decide(df, None, doc, mode="static").first()["rule_id"] == "strict-fallback"
 
 
@@ -212,9 +212,9 @@ def test_payload_network_branch_reads_the_policy_not_the_request(spark):
 @pytest.mark.parametrize(
     "on_error, expected",
     [
-        ("block", ("deny", "a@x.com", ["precheck.error"], "error-handler")),
-        ("odd", ("deny", "a@x.com", ["precheck.error"], "error-handler")),
-        ("pass", ("allow", "a@x.com", ["precheck.bypass"], "error-handler")),
+        ("block", ("deny", "a@x.com", ["evaluation.error"], "error-handler")),
+        ("odd", ("deny", "a@x.com", ["evaluation.error"], "error-handler")),
+        ("pass", ("allow", "a@x.com", ["evaluation.bypass"], "error-handler")),
         ("best_effort", ("transform", "a***@x.com", ["pii.redacted:email"], "error-handler-regex")),
     ],
 )
@@ -231,7 +231,7 @@ def test_static_errors(spark):
 
 
 def test_empty_policy_falls_back_to_the_file(spark):
-    assert payload(spark, {}, "verify_identity", "a@x.com")["reasons"] == ["pii.allowed:PII:email_address"]
+    assert payload(spark, {}, "book_courier", "a@x.com")["reasons"] == ["pii.allowed:PII:email_address"]
 
 
 # ----------------------------------------------------------------------------------------- budgets
@@ -256,7 +256,7 @@ def test_no_budget_check_below_the_guard_or_without_a_user(spark):
 
 def test_pass_notes_the_budget_twice(spark):
     r = payload(spark, CHAT, "chat", "t", metadata={"amount": "5"}, budget=BUDGET, check=True)
-    assert r["reasons"] == ["budget_check_passed", "budget_check_passed"] and r["pass"] == "precheck"
+    assert r["reasons"] == ["budget_check_passed", "budget_check_passed"] and r["pass"] == "input"
     denied = payload(spark, {"deny_tools": ["chat"]}, "chat", "t", metadata={"amount": "5"}, budget=BUDGET, check=True)
     assert denied["reasons"] == ["blocked tool: code/exec", "budget_check_passed"]
 
@@ -277,7 +277,7 @@ def test_document_tables(spark):
     docs = [("a", json.dumps(FILE), "file"), ("b", json.dumps({"deny_tools": [], "network_tools": ["x."]}), "payload"), ("c", "{}", "payload")]
     rules_df, defaults, lists = R.policy_rules(spark.createDataFrame(docs, "policy_key string, doc string, form string"))
     assert {r["tool"] for r in rules_df.collect()} == set(FILE["tool_access"])
-    first = rules_df.filter("tool = 'verify_identity'").orderBy("pii_type").collect()
+    first = rules_df.filter("tool = 'book_courier'").orderBy("pii_type").collect()
     assert [(r["rule_ord"], r["pii_type"], r["pii_action"]) for r in first] == [
         (0, "PII:email_address", "pass_through"),
         (0, "PII:us_ssn", "tokenize"),

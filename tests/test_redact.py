@@ -182,3 +182,11 @@ def test_hmac(spark):
     for key in ("k", "long" * 40):
         row = spark.range(1).select(X.hmac_sha256(key, F.lit("müsli")).alias("h")).first()
         assert row["h"] == hmac.new(key.encode(), "müsli".encode(), hashlib.sha256).hexdigest()
+
+
+def test_redact_nested_leaves_nothing_unread(spark):
+    docs = ['{"a":"mail nadia@mill.test"}', '{"a":5}', '{"a":["x","nadia@mill.test"]}', "nadia@mill.test {", '["nadia@mill.test"]']
+    out = redact.redact_nested(spark.createDataFrame([(d,) for d in docs], "doc string"), "doc", "infer").collect()
+    assert all("nadia@mill.test" not in (r["doc_out"] or "") for r in out)
+    assert [bool(r["reasons"]) for r in out] == [True, False, True, True, True]
+    assert out[1]["doc_out"] == '{"a":5}'
