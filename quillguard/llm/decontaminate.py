@@ -138,10 +138,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         raise ValueError(mode)
     head = F.regexp_extract(F.col("doc.text"), f"^{_GAP}*", 0)
     pieces = F.regexp_extract_all(F.col("doc.text"), F.lit(f"{_WORD}+{_GAP}*"), F.lit(0))
-    clean = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (i >= s["at"]) & (i < s["to"])))
-    text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(F.concat(head, F.array_join(clean, "")))
-    cut = keyed.join(found, "row_key", "left").select("doc.*", text.alias("clean_text"))
-    return cut.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    hit = F.col("hit_spans")
+    clean = F.filter(pieces, lambda p, i: ~F.exists(hit, lambda s: (i >= s["at"]) & (i < s["to"])))
+    text = F.when(hit.isNull(), F.col("doc.text")).otherwise(F.concat(head, F.array_join(clean, "")))
+    cut = keyed.join(found.withColumnRenamed("spans", "hit_spans"), "row_key", "left").select("doc", text.alias("clean"))
+    return cut.select(*[F.col("clean").alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""
