@@ -9,7 +9,7 @@ from quillguard.functions import money as M
 from quillguard.functions.once import compute_once
 from quillguard.functions.spans import lit, name
 from quillguard.functions.sizing import broadcast_if_small
-from quillguard.operators.ordered import MAX_GROUP_ROWS, running_totals
+from quillguard.operators.ordered import running_totals
 from quillguard.schemas import BUDGET_CONTEXT_DDL, DEFAULT_MODEL
 
 # Money is summed in this type, so totals are the same whatever the order of addition.
@@ -131,9 +131,10 @@ def running_spend(
     user: str = "user_id",
     time_col: str = "created_at",
     id_col: str = "id",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    piece: str = "day",
 ) -> DataFrame:
-    """Spend of the user in the month before each row."""
+    """Spend of the user in the month before each row. ``piece`` is the unit of time by which a
+    user's month is spread over tasks: a day, or an hour or a minute for busier users."""
     zero = F.lit(0).cast(MONEY)
     with_month = transactions.withColumn("month", F.trunc(time_col, "month"))
     values = {
@@ -141,7 +142,7 @@ def running_spend(
         "llm_before": F.coalesce(_spend("llm"), zero),
         "purchase_before": F.coalesce(_spend("purchase"), zero),
     }
-    totals = running_totals(with_month, [user, "month"], [time_col, id_col], values, max_group_rows)
+    totals = running_totals(with_month, [user, "month"], [time_col, id_col], values, F.date_trunc(piece, time_col))
     return totals.withColumns({c: F.col(c).cast("double") for c in values})
 
 

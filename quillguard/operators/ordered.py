@@ -1,9 +1,8 @@
 """Running totals per key that survive hot keys.
 
-A window partitioned by key puts each key into one task. That is the best plan while keys are of
-moderate size, so the size is counted first. Beyond the bound, rows are range-partitioned on (key,
-order), which cuts a hot key into as many pieces as it needs; totals are summed per piece, carried
-forward over the short list of pieces, and added to running totals inside each piece.
+Each key is cut into pieces by a monotone expression of its order, such as the day. Totals are
+summed per piece, carried forward over the short list of pieces, and enter each piece as one row
+before its own. A hot key is thus spread over its pieces, and the way is the same at every size.
 """
 
 from __future__ import annotations
@@ -14,64 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillguard.functions.lineage import cut
-
-MAX_GROUP_ROWS = 2_000_000
-
-
-def has_hot_group(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> bool:
-    """True if some key has more than ``max_rows`` rows. Reads the key columns only and counts
-    them map-side."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return not counts.filter(F.col("n") > max_rows).limit(1).isEmpty()
-
 
 def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: Mapping[str, Column],
-    max_group_rows: int = MAX_GROUP_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column], piece: Column
 ) -> DataFrame:
     """Add, for each ``name: value``, the total of ``value`` over the key's earlier rows.
 
-    ``order`` must be unique within a key. Use exact types (integers, decimals): totals then do not
-    depend on how rows were partitioned. The first row of a key gets 0.
+    ``piece`` never falls as ``order`` rises. ``order`` should be unique within a key; rows that tie
+    come in any order. Use exact types (integers, decimals): totals then do not depend on how rows
+    were partitioned. The first row of a key gets 0, and so does a null key's: it is a key like any other.
     """
-    named = df.withColumns({f"_v_{n}": v for n, v in values.items()})
-    drop = [f"_v_{n}" for n in values]
-    if not has_hot_group(df, keys, max_group_rows):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        added = {n: F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) for n in values}
-        return named.withColumns(added).drop(*drop)
-    return _piecewise(named, keys, order, list(values)).drop(*drop)
-
-
-def _piecewise(df: DataFrame, keys: Sequence[str], order: Sequence[str], names: list[str]) -> DataFrame:
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    # Piece numbers are stored with the rows: a recomputed range partitioning might cut elsewhere.
-    pieces = cut(df.repartitionByRange(n, *keys, *order).withColumn("_piece", F.spark_partition_id()))
-    totals = pieces.groupBy(*keys, "_piece").agg(*[F.sum(f"_v_{v}").alias(f"_t_{v}") for v in names])
+    named = df.withColumns({**{f"_v_{n}": v for n, v in values.items()}, "_piece": piece})
+    types = {n: named.schema[f"_v_{n}"].dataType for n in values}
+    totals = named.groupBy(*keys, "_piece").agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        totals.withColumns({f"_c_{v}": F.sum(f"_t_{v}").over(before) for v in names})
-        .withColumn("_later", F.row_number().over(Window.partitionBy(*keys).orderBy("_piece")) > 1)
-        .filter("_later")
-        .select(*keys, "_piece", *[f"_c_{v}" for v in names])
+    carry = totals.select(
+        *keys,
+        "_piece",
+        *[F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).cast(t).alias(f"_v_{n}") for n, t in types.items()],
+    )
+    rows = named.withColumn("_own", F.lit(True)).unionByName(
+        carry.withColumn("_own", F.lit(False)), allowMissingColumns=True
     )
-    # Only the first key of a piece can continue from the piece before: at most one row per piece.
     inside = (
-        Window.partitionBy("_piece", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys, "_piece").orderBy("_own", *order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    on = F.col("_piece") == F.col("_k_piece")
-    for k in keys:  # null is a key like any other
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    carry = carry.withColumnsRenamed({c: f"_k_{c.removeprefix('_')}" for c in [*keys, "_piece"]})
-    joined = pieces.join(F.broadcast(carry), on, "left")
-    return joined.withColumns(
-        {
-            v: F.coalesce(F.sum(f"_v_{v}").over(inside), F.lit(0)) + F.coalesce(F.col(f"_c_{v}"), F.lit(0))
-            for v in names
-        }
-    ).drop("_piece", "_k_piece", *[f"_k_{k}" for k in keys], *[f"_c_{v}" for v in names])
+    added = rows.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in values}).filter("_own")
+    return added.select(*df.columns, *values)

@@ -7,7 +7,7 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +16,6 @@ from pyspark.sql import Window
 from quillguard.functions.shipping import ship
 from quillguard.functions.sizing import broadcast_if_small
 from quillguard.functions.times import micros
-from quillguard.operators.ordered import MAX_GROUP_ROWS, has_hot_group, running_totals
 
 # Fixed values.
 DEFAULT_LIMIT = 100
@@ -24,6 +23,9 @@ DEFAULT_WINDOW_S = 60
 DEFAULT_DAILY_LIMIT = 1000
 DEFAULT_MONTHLY_LIMIT = 30000
 
+# The place of rows without a time, before all others.
+_NO_TIME = -(1 << 62)
+
 
 def throttle_key(endpoint: Column, user: Column, api_key: Column) -> Column:
     """Endpoint and user, or endpoint and API key where the user is unknown."""
@@ -31,32 +33,31 @@ def throttle_key(endpoint: Column, user: Column, api_key: Column) -> Column:
     return F.concat(endpoint, F.lit(":"), F.when(known, user).otherwise(F.concat(F.lit("key:"), api_key)))
 
 
-def _prior_windowed(log: DataFrame, key: str, id_col: str, width: int) -> DataFrame:
-    """Attempts so far minus attempts that have left the window. Both frames only ever grow, so the
-    work is linear however many rows a window holds; a sliding frame would be read again per row."""
-    so_far = Window.partitionBy(key).orderBy("_us", id_col)
-    gone = Window.partitionBy(key).orderBy("_us").rangeBetween(Window.unboundedPreceding, -width)
-    return log.withColumn("_n", F.row_number().over(so_far)).withColumn(
-        "prior", F.col("_n") - 1 - F.count("*").over(gone)
-    ).drop("_n")
-
-
-def _prior_piecewise(log: DataFrame, key: str, id_col: str, width: int, max_group_rows: int) -> DataFrame:
-    """The same difference for hot keys: both counts come from one running total over the log and
-    its probes, where a probe stands at the time the row's window begins."""
-    events = log.select(key, id_col, F.col("_us").alias("_at"), F.lit(0).alias("_probe"))
-    probes = log.select(key, id_col, (F.col("_us") - width).alias("_at"), F.lit(1).alias("_probe"))
-    counted = running_totals(
-        events.unionByName(probes),
-        [key],
-        ["_at", "_probe", id_col],
-        {"seen": (1 - F.col("_probe")).cast("bigint")},
-        max_group_rows,
+def _slotted(log: DataFrame, key: str, ts_col: str, width: int) -> DataFrame:
+    """Rows by time slots as long as the window, each row (``_lag`` 0) beside a copy of its key and
+    time in the slot after (``_lag`` 1): the window before a row lies within its slot. A hot key is
+    thus spread over its slots. Rows without a time share a slot of their own."""
+    at = F.coalesce(micros(log, ts_col), F.lit(_NO_TIME))
+    own = F.col("_lag") == 0
+    both = log.withColumns({"_us": at, "_lag": F.explode(F.array(F.lit(0), F.lit(1)))})
+    slot = F.expr(f"(_us - pmod(_us, {width}L)) div {width}L + _lag")
+    return both.select(
+        *[F.col(c) if c == key else F.when(own, F.col(c)).alias(c) for c in log.columns],
+        "_us",
+        "_lag",
+        slot.alias("_slot"),
     )
-    prior = counted.groupBy(id_col).agg(
-        F.sum(F.when(F.col("_probe") == 0, F.col("seen")).otherwise(-F.col("seen"))).alias("prior")
+
+
+def _prior(slotted: DataFrame, key: str, id_col: str, width: int) -> DataFrame:
+    """Attempts so far in the slot minus those that have left the window. Both frames only ever
+    grow, so the work is linear however many rows a window holds; a sliding frame would be read
+    again per row."""
+    so_far = Window.partitionBy(key, "_slot").orderBy("_us", id_col)
+    gone = Window.partitionBy(key, "_slot").orderBy("_us").rangeBetween(Window.unboundedPreceding, -width)
+    return slotted.withColumn("_n", F.row_number().over(so_far)).withColumn(
+        "prior", F.col("_n") - 1 - F.count("*").over(gone)
     )
-    return log.join(prior, id_col)
 
 
 def throttle_attempts(
@@ -66,19 +67,17 @@ def throttle_attempts(
     id_col: str = "id",
     limit: int = DEFAULT_LIMIT,
     window_s: int = DEFAULT_WINDOW_S,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Count every attempt in the window before each row, rejected ones included; allow below
-    ``limit``. Rows of one instant count in ``id`` order. ``id`` must be unique."""
+    ``limit``. Rows of one instant count in ``id`` order, those of one ``id`` in any. A row without
+    a time has no ``prior`` and is not allowed."""
     if window_s <= 0:
         return log.withColumns({"prior": F.lit(0).cast("bigint"), "allowed": F.lit(False)})
     width = int(window_s * 1_000_000)
-    timed = log.withColumn("_us", micros(log, ts_col))
-    if has_hot_group(log, [key], max_group_rows):
-        counted = _prior_piecewise(timed, key, id_col, width, max_group_rows)
-    else:
-        counted = _prior_windowed(timed, key, id_col, width)
-    return counted.withColumn("allowed", F.lit(limit > 0) & (F.col("prior") < limit)).drop("_us")
+    counted = _prior(_slotted(log, key, ts_col, width), key, id_col, width).filter("_lag = 0")
+    prior = F.when(F.col("_us") != _NO_TIME, F.col("prior"))
+    allowed = F.lit(limit > 0) & F.coalesce(prior < limit, F.lit(False))
+    return counted.select(*log.columns, prior.alias("prior"), allowed.alias("allowed"))
 
 
 def throttle_admitted(
@@ -88,46 +87,45 @@ def throttle_admitted(
     id_col: str = "id",
     limit: int = DEFAULT_LIMIT,
     window_s: int = DEFAULT_WINDOW_S,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Allow a row while fewer than ``limit`` admitted rows lie in the window before it.
 
-    The outcome depends on every earlier outcome, but only back to the last pause as long as the
-    window: there the log is empty. Keys are therefore cut into stretches at such pauses, and the
-    stretches are spread over the cluster. Each is read as a stream in time order; a task holds the
-    last ``limit`` admissions and one batch, never a whole group.
+    A row with fewer than ``limit`` attempts before it is admitted whatever came earlier. Slots that
+    hold others are busy; only runs of consecutive busy slots must be read in order, beginning with
+    the rows of the calm slot before, all of them admitted. Each run is read as a stream in time
+    order; a task holds the last ``limit`` admissions and one batch, never a whole group. A key over
+    the limit without a break stays in one task. A row without a time is not allowed.
     """
     if limit <= 0 or window_s <= 0:
         return log.withColumn("allowed", F.lit(False))
     ship(log.sparkSession)
     width = int(window_s * 1_000_000)
-    timed = log.withColumn("_us", micros(log, ts_col))
-    if has_hot_group(log, [key], max_group_rows):
-        narrow = timed.select(key, id_col, "_us")
-        stretched = _stretches_piecewise(narrow, key, id_col, width, max_group_rows)
-        judged = _judge(stretched, key, id_col, limit, width)
-        # The admissions of a stretch are few however many rows it has: the rest need no second look.
-        return log.join(judged.filter("allowed").select(id_col, "allowed"), id_col, "left").fillna(
-            {"allowed": False}
-        )
-    w = Window.partitionBy(key).orderBy("_us", id_col)
-    pause = F.coalesce(F.col("_us") - F.lag("_us").over(w) >= width, F.lit(True))
-    stretched = timed.withColumn("_start", pause).withColumn("_seg", F.sum(F.col("_start").cast("bigint")).over(w))
-    return _judge(stretched.drop("_start"), key, id_col, limit, width).drop("_us", "_seg")
-
-
-def _stretches_piecewise(log: DataFrame, key: str, id_col: str, width: int, max_group_rows: int) -> DataFrame:
-    """Number the stretches of hot keys: one starts wherever no attempt lies in the window before."""
-    counted = _prior_piecewise(log, key, id_col, width, max_group_rows)
-    starts = counted.withColumn("_start", (F.col("prior") == 0).cast("bigint"))
-    before = running_totals(starts, [key], ["_us", id_col], {"_seg": F.col("_start")}, max_group_rows)
-    return before.withColumn("_seg", F.col("_seg") + F.col("_start")).drop("_start", "prior")
-
-
-def _judge(stretched: DataFrame, key: str, id_col: str, limit: int, width: int) -> DataFrame:
-    ordered = stretched.repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_us", id_col)
+    slotted = _slotted(log, key, ts_col, width)
+    runs = _busy_runs(_prior(slotted, key, id_col, width), key, limit)
+    marked = slotted.unionByName(runs.withColumn("_lag", F.lit(2)), allowMissingColumns=True)
+    placed = (
+        marked.withColumn("_run", F.max("_first").over(Window.partitionBy(key, "_slot")))
+        .filter("_lag = 0 OR (_lag = 1 AND _slot = _run)")
+        .withColumn("_run", F.coalesce("_run", "_slot"))
+        .drop("_first", "_slot")
+    )
+    allowed = F.col("allowed") & (F.col("_us") != _NO_TIME)
+    judged = _judge(placed, key, id_col, limit, width).filter("_lag = 0")
+    return judged.select(*log.columns, allowed.alias("allowed"))
+
+
+def _busy_runs(counted: DataFrame, key: str, limit: int) -> DataFrame:
+    """Slots with a row of ``limit`` attempts or more before it, and the first slot of their run."""
+    busy = counted.filter(f"_lag = 0 AND prior >= {limit}").groupBy(key, "_slot").agg(F.count("*").alias("_n"))
+    island = F.col("_slot") - F.row_number().over(Window.partitionBy(key).orderBy("_slot"))
+    first = F.min("_slot").over(Window.partitionBy(key, "_island"))
+    return busy.withColumn("_island", island).select(key, "_slot", first.alias("_first"))
+
+
+def _judge(placed: DataFrame, key: str, id_col: str, limit: int, width: int) -> DataFrame:
+    ordered = placed.repartition(key, "_run").sortWithinPartitions(key, "_run", "_us", id_col)
     schema = T.StructType([*ordered.schema.fields, T.StructField("allowed", T.BooleanType())])
-    return ordered.mapInPandas(_admit(key, limit, width), schema)
+    return ordered.mapInArrow(_admit(key, limit, width), schema)
 
 
 def admit_stretch(times: np.ndarray, recent: deque, limit: int, width: int) -> np.ndarray:
@@ -148,21 +146,22 @@ def admit_stretch(times: np.ndarray, recent: deque, limit: int, width: int) -> n
 
 
 def _admit(key: str, limit: int, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, recent = None, deque()
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            allowed = np.zeros(len(pdf), dtype=bool)
-            times = pdf["_us"].to_numpy()
-            keys, segs = pdf[key].to_numpy(), pdf["_seg"].to_numpy()
-            change = np.flatnonzero((keys[1:] != keys[:-1]) | (segs[1:] != segs[:-1])) + 1
-            bounds = [0, *change.tolist(), len(pdf)]
+            allowed = np.zeros(batch.num_rows, dtype=bool)
+            times = batch.column("_us").to_numpy()
+            keys, runs = batch.column(key), batch.column("_run").to_numpy()
+            codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((codes[1:] != codes[:-1]) | (runs[1:] != runs[:-1])) + 1
+            bounds = [0, *change.tolist(), batch.num_rows]
             for lo, hi in zip(bounds, bounds[1:]):
-                if (keys[lo], segs[lo]) != current:
-                    current, recent = (keys[lo], segs[lo]), deque()
+                if (keys[lo].as_py(), runs[lo]) != current:
+                    current, recent = (keys[lo].as_py(), runs[lo]), deque()
                 allowed[lo:hi] = admit_stretch(times[lo:hi], recent, limit, width)
-            yield pdf.assign(allowed=allowed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed)], [*batch.schema.names, "allowed"])
 
     return run
 

@@ -254,8 +254,8 @@ def running_spend_by_month(spark, sf):
 
 @query("running_spend_hot_keys", _running_sql(I.SPEND_SQL))
 def running_spend_hot_keys(spark, sf):
-    """The way taken when a user's month outgrows one task."""
-    return budget.running_spend(I.spend(spark, sf), max_group_rows=1).select(*_RUNNING)
+    """The same in finer pieces, for users whose days outgrow one task."""
+    return budget.running_spend(I.spend(spark, sf), piece="minute").select(*_RUNNING)
 
 
 @query(
@@ -313,10 +313,8 @@ def throttle_attempts(spark, sf):
     f"SELECT id, key, prior::BIGINT AS prior, prior < {LIMIT} AS allowed FROM ({_ATTEMPTS_SQL})",
 )
 def throttle_attempts_hot_keys(spark, sf):
-    """The way taken when a key outgrows one task."""
-    out = throttle.throttle_attempts(
-        I.request_log(spark, sf), "key", limit=LIMIT, window_s=WINDOW_S, max_group_rows=1
-    )
+    """Under its earlier name: keys of all sizes go one way."""
+    out = throttle.throttle_attempts(I.request_log(spark, sf), "key", limit=LIMIT, window_s=WINDOW_S)
     return out.select("id", "key", F.col("prior").cast("bigint").alias("prior"), "allowed")
 
 
@@ -338,9 +336,8 @@ def throttle_admitted(spark, sf):
 
 @query("throttle_admitted_hot_keys", _ADMITTED_SQL)
 def throttle_admitted_hot_keys(spark, sf):
-    out = throttle.throttle_admitted(
-        I.request_log(spark, sf), "key", limit=LIMIT, window_s=WINDOW_S, max_group_rows=1
-    )
+    """Under its earlier name: keys of all sizes go one way."""
+    out = throttle.throttle_admitted(I.request_log(spark, sf), "key", limit=LIMIT, window_s=WINDOW_S)
     return out.select("id", "key", "allowed")
 
 

@@ -112,8 +112,8 @@ def test_balances_restart_each_month(spark):
     }
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 1])
-def test_running_spend_equals_a_sequential_ledger(spark, bound):
+@pytest.mark.parametrize("piece", ["day", "hour", "month"])
+def test_running_spend_equals_a_sequential_ledger(spark, piece):
     rng = random.Random(3)
     rows = []
     for i in range(900):
@@ -121,7 +121,7 @@ def test_running_spend_equals_a_sequential_ledger(spark, bound):
         when = datetime(2024, rng.choice([1, 2]), rng.randint(1, 3), rng.randint(0, 2))
         rows.append((i, user, rng.choice(["llm", "purchase"]), rng.randint(1, 999) / 100, when))
     df = spark.createDataFrame(rows, LEDGER).repartition(5)
-    out = {r["id"]: (r["spent_before"], r["llm_before"], r["purchase_before"]) for r in budget.running_spend(df, max_group_rows=bound).collect()}
+    out = {r["id"]: (r["spent_before"], r["llm_before"], r["purchase_before"]) for r in budget.running_spend(df, piece=piece).collect()}
     seen: dict = {}
     for i, user, kind, amount, when in sorted(rows, key=lambda r: (r[4], r[0])):
         state = seen.setdefault((user, when.month), {"llm": Decimal(0), "purchase": Decimal(0)})
