@@ -66,6 +66,15 @@ MASKED_PHONE = "+***-***-****"
 MASKED_CARD = "**** **** **** ****"
 # ------------------------------------ end of fixed values ------------------------------------
 
+# The same e-mail matches in time linear in the text. A match holds one @ and no white space, so each
+# stretch up to an @ is decided once, at its start or behind the match before: the part from the @ on
+# must fit, and the match begins at the first place that can begin one. Group 1 is what is skipped.
+_EMAIL_START, _EMAIL_TAIL = EMAIL.split(r"[^@\s]*", 1)
+_FITS = _EMAIL_TAIL.replace("(", "(?:", 1)
+EMAIL_SCAN = (
+    rf"(?:\G|(?<![^@\s]))(?=[^@\s]*+{_FITS})([^@\s]*?)({_EMAIL_START}[^@\s]*+{_EMAIL_TAIL})"
+)
+
 # Our own patterns for the two types that have no pattern above.
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
@@ -113,20 +122,22 @@ def python_regex(pattern: str) -> re.Pattern[str]:
 @dataclass(frozen=True)
 class PatternSpec:
     """One finding type. ``gate`` names cheap tests that all hold for every text with a match:
-    ``digit``, ``at``, ``underscore``, and ``words:a,b`` (some word, any case)."""
+    ``digit``, ``at``, ``underscore``, and ``words:a,b`` (some word, any case). ``scan`` finds the
+    same matches faster: group 1 is text it skips, group 2 the match."""
 
     pii_type: str
     pattern: str
     score: float
     gate: str
     validator: str | None = None
+    scan: str | None = None
 
     @property
     def label(self) -> str:
         return f"PII:{self.pii_type}"
 
 
-EMAIL_SPEC = PatternSpec("email_address", EMAIL, 0.8, "at")
+EMAIL_SPEC = PatternSpec("email_address", EMAIL, 0.8, "at", scan=EMAIL_SCAN)
 PHONE_SPEC = PatternSpec("phone_number", PHONE, 0.8, "digit")
 CARD_SPEC = PatternSpec("credit_card", CARD, 0.9, "digit", "card")
 HEALTH_AND_PAYMENT_SPECS = (

@@ -146,7 +146,8 @@ def pattern_spans(text: Sql, spec: P.PatternSpec, score: Sql | None = None) -> S
     score = f"{spec.score}D" if score is None else score
     has_mark = f"contains({text}, {lit(_MARK)})"
     clean = f"CASE WHEN {has_mark} THEN translate({text}, {lit(_MARK)}, {lit(_STAND_IN)}) ELSE {text} END"
-    marked = f"regexp_replace({clean}, {lit(P.java(spec.pattern))}, {lit(_MARK + '$0' + _MARK)})"
+    ends = f"{_MARK}$0{_MARK}" if spec.scan is None else f"$1{_MARK}$2{_MARK}"
+    marked = f"regexp_replace({clean}, {lit(P.java(spec.scan or spec.pattern))}, {lit(ends)})"
 
     def locate(marks: Sql) -> Sql:
         acc, piece = fresh("a"), fresh("p")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import hashlib
 
 from pyspark.sql import Column
@@ -41,7 +43,7 @@ def mask_text(text: Sql) -> Sql:
 
     def hit_flags(traits: Sql) -> Sql:
         flags = [
-            f"{lit(n)}, {_gate(spec, text, traits)} AND {text} RLIKE {lit(P.java(spec.pattern))}"
+            f"{lit(n)}, {_gate(spec, text, traits)} AND {text} RLIKE {lit(P.java(spec.scan or spec.pattern))}"
             for n, spec, _ in _MASK_STEPS
         ]
         return f"named_struct({', '.join(flags)})"
@@ -49,7 +51,9 @@ def mask_text(text: Sql) -> Sql:
     def replaced(current: Sql, spec: P.PatternSpec, replacement: str | None) -> Sql:
         if replacement is None:
             return splice(current, pattern_spans(current, spec), lambda _: lit(P.MASKED_CARD))
-        return f"regexp_replace({current}, {lit(P.java(spec.pattern))}, {lit(replacement)})"
+        if spec.scan is not None:  # groups of the pattern come after those of the scan
+            replacement = "$1" + re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 2}", replacement)
+        return f"regexp_replace({current}, {lit(P.java(spec.scan or spec.pattern))}, {lit(replacement)})"
 
     def apply(hits: Sql) -> Sql:
         def from_step(i: int, current: Sql) -> Sql:

@@ -290,22 +290,18 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPEND_SQL = """SELECT event_id AS id, user_id,
   CASE WHEN event_type = 'purchase' THEN 'purchase' ELSE 'llm' END AS transaction_type,
   CASE WHEN event_type = 'purchase' THEN value ELSE value * 0.01::DOUBLE END AS amount, ts AS created_at
-  FROM events WHERE event_type IN ('purchase', 'click')"""
+  FROM events"""
 
 
 def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases and model charges taken from the event stream."""
     is_purchase = F.col("event_type") == "purchase"
-    return (
-        table(spark, sf_dir, "events")
-        .filter(F.col("event_type").isin("purchase", "click"))
-        .select(
-            F.col("event_id").alias("id"),
-            "user_id",
-            F.when(is_purchase, "purchase").otherwise("llm").alias("transaction_type"),
-            F.when(is_purchase, F.col("value")).otherwise(F.col("value") * F.lit(0.01)).alias("amount"),
-            F.col("ts").alias("created_at"),
-        )
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"),
+        "user_id",
+        F.when(is_purchase, "purchase").otherwise("llm").alias("transaction_type"),
+        F.when(is_purchase, F.col("value")).otherwise(F.col("value") * F.lit(0.01)).alias("amount"),
+        F.col("ts").alias("created_at"),
     )
 
 

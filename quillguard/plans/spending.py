@@ -262,7 +262,7 @@ def running_spend_hot_keys(spark, sf):
     "check_budget_ledger",
     f"WITH bal AS ({_balances_sql(I.SPEND_SQL)}), r AS (SELECT event_id, user_id, "
     "date_trunc('month', ts)::DATE AS month, value * 0.1::DOUBLE AS est_cost, CASE WHEN event_id % 3 = 0 THEN value END "
-    "AS est_purchase FROM events WHERE event_type = 'view'), j AS (SELECT r.*, "
+    "AS est_purchase FROM events), j AS (SELECT r.*, "
     "coalesce(monthly_limit, 10.0::DOUBLE) AS lim, coalesce(current_spend, 0.0::DOUBLE) AS cur, "
     "(coalesce(llm_spend, 0.0::DOUBLE) + est_cost) + (coalesce(purchase_spend, 0.0::DOUBLE) + "
     "coalesce(est_purchase, 0.0::DOUBLE)) AS projected FROM r LEFT JOIN bal ON r.user_id = bal.user_id "
@@ -271,16 +271,12 @@ def running_spend_hot_keys(spark, sf):
     "projected AS projected_total, cur / lim * 100.0::DOUBLE AS percent_used, lim - cur AS remaining FROM j",
 )
 def check_budget_ledger(spark, sf):
-    asked = (
-        I.table(spark, sf, "events")
-        .filter("event_type = 'view'")
-        .select(
-            "event_id",
-            "user_id",
-            F.col("ts").alias("created_at"),
-            (F.col("value") * F.lit(0.1)).alias("est_cost"),
-            F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("est_purchase"),
-        )
+    asked = I.table(spark, sf, "events").select(
+        "event_id",
+        "user_id",
+        F.col("ts").alias("created_at"),
+        (F.col("value") * F.lit(0.1)).alias("est_cost"),
+        F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("est_purchase"),
     )
     balances = budget.ledger_balances(I.spend(spark, sf), I.budgets(spark, sf)).filter("month is not null")
     out = budget.check_budget_ledger(asked, balances)

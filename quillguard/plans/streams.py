@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,32 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
+_SLICES = 3
+
+
+def _replayed(spark: SparkSession, sf: str, job: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Run ``job`` over the events as they would arrive: slices of time are added to its source one
+    after the other, and it is started again for each, so state crosses batches and restarts."""
+    folder = _folder(spark)
+    events = I.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    us = F.unix_micros("ts")
+    lo, hi = events.agg(F.min(us), F.max(us)).first()
+    out = None
+    for i in range(_SLICES):
+        at = F.coalesce(F.floor((us - F.lit(lo)) * _SLICES / F.lit((hi or 0) - (lo or 0) + 1)), F.lit(0))
+        events.filter(at == i).write.mode("append").parquet(f"{folder}/source")
+        out = job(spark.readStream.schema(events.schema).parquet(f"{folder}/source"), folder)
+    return out
+
+
 @query("stream_throttle", _ADMITTED_SQL)
 def stream_throttle(spark, sf):
-    log = _stream(spark, sf, "events").select(
-        F.col("event_id").alias("id"), "ts", F.concat(F.lit("u"), F.col("user_id")).alias("key")
-    )
-    judged = jobs.stream_throttle(log, "key", "ts", "id", LIMIT, WINDOW_S, idle_ms=None)
-    return jobs.run_to_files(judged, _folder(spark)).select("id", "key", "allowed")
+    def job(events: DataFrame, folder: str) -> DataFrame:
+        log = events.select(F.col("event_id").alias("id"), "ts", F.concat(F.lit("u"), F.col("user_id")).alias("key"))
+        judged = jobs.stream_throttle(log, "key", "ts", "id", LIMIT, WINDOW_S, idle_ms=None)
+        return jobs.run_to_files(judged, folder).select("id", "key", "allowed")
+
+    return _replayed(spark, sf, job)
 
 
 _MONEY = "DECIMAL(28,10)"
@@ -48,10 +68,9 @@ _MONEY = "DECIMAL(28,10)"
 )
 def stream_budget(spark, sf):
     is_purchase = F.col("event_type") == "purchase"
-    spend = (
-        _stream(spark, sf, "events")
-        .filter(F.col("event_type").isin("purchase", "click"))
-        .select(
+
+    def job(events: DataFrame, folder: str) -> DataFrame:
+        spend = events.select(
             F.col("event_id").alias("id"),
             "user_id",
             F.when(is_purchase, "purchase").otherwise("llm").alias("transaction_type"),
@@ -59,15 +78,12 @@ def stream_budget(spark, sf):
             F.col("ts").alias("created_at"),
             (200 + (F.col("user_id") % 7) * 100).cast("double").alias("monthly_limit"),
         )
-    )
-    return jobs.run_to_files(jobs.stream_budget(spend, "user_id", "created_at", "id"), _folder(spark))
+        return jobs.run_to_files(jobs.stream_budget(spend, "user_id", "created_at", "id"), folder)
 
+    return _replayed(spark, sf, job)
 
-# The last window of an append-mode stream stays open: the watermark never passes its end.
-_DAYS = (
-    "(SELECT *, date_trunc('day', ts) AS window_start FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= "
-    "(SELECT max(ts) - INTERVAL 1 HOUR FROM events))"
-)
+
+_DAYS = "(SELECT *, date_trunc('day', ts) AS window_start FROM events)"
 
 
 @query(
@@ -75,8 +91,10 @@ _DAYS = (
     f"SELECT window_start, event_type, count(*) AS n FROM {_DAYS} GROUP BY ALL",
 )
 def stream_counts(spark, sf):
-    rows = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.run_to_files(jobs.stream_counts(rows, "ts", ["event_type"]), _folder(spark))
+    def job(events: DataFrame, folder: str) -> DataFrame:
+        return jobs.run_updates(jobs.stream_counts(events, "ts", ["event_type"]), folder, ["window_start", "event_type"])
+
+    return _replayed(spark, sf, job)
 
 
 @query(
@@ -87,9 +105,12 @@ def stream_counts(spark, sf):
     "CASE WHEN le IS NULL THEN n WHEN le = 5 THEN b5 ELSE b25 END AS cum_count FROM g CROSS JOIN b",
 )
 def stream_histogram(spark, sf):
-    rows = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    buckets = jobs.stream_histogram(rows, "ts", "value", ["event_type"], bounds=(5.0, 25.0))
-    return jobs.run_to_files(buckets, _folder(spark)).select("window_start", "event_type", "le", "cum_count")
+    def job(events: DataFrame, folder: str) -> DataFrame:
+        buckets = jobs.stream_histogram(events, "ts", "value", ["event_type"], bounds=(5.0, 25.0))
+        keys = ["window_start", "event_type", "le"]
+        return jobs.run_updates(buckets, folder, keys).select(*keys, "cum_count")
+
+    return _replayed(spark, sf, job)
 
 
 @query("stream_dedupe", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")

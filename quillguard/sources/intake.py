@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillguard import schemas as S
+from quillguard.functions.shipping import ship
 
 # (field path, required, kind): what a request record must look like.
 _FIELDS = (
@@ -194,18 +198,41 @@ def read_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return request_intake(spark.read.text(path))
 
 
-def read_policy_file(spark: SparkSession, path: str) -> str:
-    """JSON text of one policy file in JSON or YAML form; empty for a file that cannot be read as
-    either. A policy file is a short document, read whole by the driver."""
-    lines = spark.read.text(path, wholetext=True).limit(1).collect()
-    body = lines[0]["value"] if lines else ""
+def policy_json(body: str) -> str:
+    """JSON text of a policy in JSON or YAML form; empty for one that cannot be read as either."""
     try:
         return json.dumps(json.loads(body) or {})
     except ValueError:
         pass
-    try:
-        import yaml
+    import yaml
 
+    try:
         return json.dumps(yaml.safe_load(body) or {}, default=str)
-    except Exception:
+    except (yaml.YAMLError, ValueError):
+        return "{}"
+
+
+def read_policy_file(spark: SparkSession, path: str) -> str:
+    """JSON text of one policy file; the empty policy for a file that is missing or cannot be read.
+    A policy file is a short document, read whole by the driver. A folder of several is refused."""
+    try:
+        files = spark.read.text(path, wholetext=True).limit(2).collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return "{}"
+    if len(files) > 1:
+        raise ValueError(f"{path} holds several policy files: use read_policy_files")
+    return policy_json(files[0]["value"] if files else "")
+
+
+def read_policy_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, policy) of every policy file of a folder, as JSON text; an empty file has no row."""
+    ship(spark)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            yield pd.DataFrame({"path": files["path"], "policy": files["value"].map(policy_json)})
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.mapInPandas(parse, "path string, policy string")

@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -110,26 +112,24 @@ def stream_budget(transactions: DataFrame, user: str, time_col: str, id_col: str
     def judge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         month, llm, bought = state.get if state.exists else (-1, 0, 0)
         rows = pd.concat(list(batches)).sort_values(["us", "id"], kind="stable")
-        before, verdicts = [], []
-        for r in rows.itertuples(index=False):
-            if r.month > month:
-                month, llm, bought = int(r.month), 0, 0
-            current = r.month == month
-            spent = llm + bought if current else 0
-            projected = (spent + r.units) / 1e10
-            before.append(spent / 1e10)
-            if projected > r.monthly_limit:
-                verdicts.append("budget_exceeded")
-            elif projected > _WARNING_SHARE * r.monthly_limit:
-                verdicts.append("budget_warning")
-            else:
-                verdicts.append("budget_ok")
-            if current and r.transaction_type == "purchase":
-                bought += int(r.units)
-            elif current:
-                llm += int(r.units)
+        months, units = rows["month"].to_numpy(), rows["units"].to_numpy()
+        latest = np.maximum.accumulate(np.maximum(months, month))  # the month that is current at each row
+        current = months == latest
+        sums = pd.Series(np.where(current, units, 0)).groupby(latest).cumsum().to_numpy()
+        carried = np.where(latest == month, llm + bought, 0)
+        spent = np.where(current, carried + sums - units, 0)
+        projected, limits = (spent + units) / 1e10, rows["monthly_limit"].to_numpy()
+        verdicts = np.select(
+            [projected > limits, projected > _WARNING_SHARE * limits], ["budget_exceeded", "budget_warning"], "budget_ok"
+        )
+        if latest[-1] != month:
+            month, llm, bought = int(latest[-1]), 0, 0
+        of_month = current & (latest == month)
+        is_purchase = (rows["transaction_type"] == "purchase").to_numpy()
+        bought += int(units[of_month & is_purchase].sum())
+        llm += int(units[of_month & ~is_purchase].sum())
         state.update((month, llm, bought))
-        yield rows.assign(spent_before=before, verdict=verdicts)[[user, "id", "spent_before", "verdict"]]
+        yield rows.assign(spent_before=spent / 1e10, verdict=verdicts)[[user, "id", "spent_before", "verdict"]]
 
     user_type = transactions.schema[user].dataType.simpleString()
     id_type = transactions.schema[id_col].dataType.simpleString()
@@ -205,3 +205,24 @@ def run_to_files(df: DataFrame, path: str) -> DataFrame:
     )
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def run_updates(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Run an update-mode stream over everything available and read its result back: of each key the
+    row of the last micro-batch that changed it, open windows included."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    query = (
+        df.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{path}/state")
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return newest.select(*keys, "last.*").select(*df.columns)

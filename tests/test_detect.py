@@ -1,9 +1,12 @@
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillguard.functions import patterns as P
+from quillguard.functions import text as X
 from quillguard.operators import detect
 
 
@@ -207,6 +210,24 @@ def test_long_text_is_read_to_its_end(spark):
     assert found(spark, [text])[0] == [("email_address", 240_000, 240_011, "end@of.text")]
 
 
+def test_email_scan_equals_its_pattern(spark):
+    rng = random.Random(11)
+    letters = ["a", "b.c", "@", "@", ".co", ".c", ".org", " ", "_", "-", "é", "%", "\t", "9", "@x.yz"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    assert found(spark, texts, profile=(P.EMAIL_SPEC,)) == [brute_force(t, (P.EMAIL_SPEC,)) for t in texts]
+    masked = F.expr(X.mask_text("t")).getField("text")
+    line = "id y.z@x.org, -a%b@x.org.q"
+    out = spark.createDataFrame([(line,)], "t string").select(masked).first()[0]
+    assert out == re.sub(P.EMAIL, r"\1***\2", line)
+
+
+def test_a_megabyte_without_spaces(spark):
+    text = "x" * 1_000_000 + " a@b.org " + "y@" * 1000 + "z" * 1_000_000
+    started = time.perf_counter()
+    assert found(spark, [text], profile=(P.EMAIL_SPEC,))[0] == [("email_address", 1_000_001, 1_000_008, "a@b.org")]
+    assert time.perf_counter() - started < 20
+
+
 def test_detection_is_not_repeated_by_a_filter(spark):
     df = spark.createDataFrame([("a@x.com",), ("none",)], "t string")
     hits = detect.scan_findings(df, "t").filter("size(findings) > 0")

@@ -238,6 +238,11 @@ def test_policy_file(spark, tmp_path):
     assert json.loads(intake.read_policy_file(spark, str(tmp_path / "p.json"))) == json.loads(POLICY)
     assert intake.read_policy_file(spark, str(tmp_path / "broken.yaml")) == "{}"
     assert intake.read_policy_file(spark, str(tmp_path / "empty.yaml")) == "{}"
+    assert intake.read_policy_file(spark, str(tmp_path / "missing.yaml")) == "{}"
+    with pytest.raises(ValueError):
+        intake.read_policy_file(spark, str(tmp_path))
+    found = {r["path"].rsplit("/", 1)[1]: json.loads(r["policy"]) for r in intake.read_policy_files(spark, str(tmp_path)).collect()}
+    assert found == {"p.json": json.loads(POLICY), "broken.yaml": {}}
     yaml = pytest.importorskip("yaml")
     (tmp_path / "p.yaml").write_text(yaml.safe_dump(json.loads(POLICY), sort_keys=False))
     assert json.loads(intake.read_policy_file(spark, str(tmp_path / "p.yaml"))) == json.loads(POLICY)
