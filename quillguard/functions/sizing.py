@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A broadcast side may hold at most this many rows; beyond it the join shuffles both sides and
-# adaptive execution splits skewed partitions.
-MAX_BROADCAST_ROWS = 200_000
+# A broadcast side may have at most this many bytes by the plan's own estimate; beyond it no hint is
+# given: adaptive execution decides by the bytes measured, and splits skewed partitions.
+MAX_BROADCAST_BYTES = 16 << 20
 
 # Inputs up to this estimated size may be shuffled once to use all cores.
 MAX_SPREAD_BYTES = 1 << 30
 
 
-def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: at most ``max_rows + 1`` rows are looked at."""
-    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
+def broadcast_if_small(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast by the estimated bytes of a given table. Starts no job."""
+    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(small) if size <= max_bytes else small
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

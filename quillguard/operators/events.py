@@ -208,8 +208,10 @@ def auth_outcomes(
         .when(F.col("expires_at") < F.col(ts_col), "expired_api_key")
         .otherwise("ok")
     )
+    # rows without a key find nothing; they are spread by their time, not sent to one task
+    on = F.coalesce("key_hash", F.concat(F.lit("none:"), F.xxhash64(ts_col).cast("string")))
     return (
-        hashed.join(registry, F.col("key_hash") == F.col("_hash"), "left")
+        hashed.join(registry, on == F.col("_hash"), "left")
         .withColumn("auth_result", result)
         .drop("_hash", "is_active", "expires_at")
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quillguard import schemas as S
 from quillguard.functions.sizing import broadcast_if_small
@@ -148,17 +147,24 @@ def policy_as_of(
 
     ``versions`` holds (key, version_id, valid_from, ...). Validity ends where the next version of
     the same key begins. A request before the first version, or for an unknown key, gets null,
-    which counts as the empty policy.
+    which counts as the empty policy. The versions of a key are few and travel as one array: a request
+    meets one row, whatever the number of versions.
     """
-    w = Window.partitionBy(key).orderBy(from_col)
-    spans = versions.withColumn("_until", F.lead(from_col).over(w))
-    spans = broadcast_if_small(spans.withColumnRenamed(key, "_key"))
-    in_force = (
-        (F.col(key) == F.col("_key"))
-        & (F.col(ts_col) >= F.col(from_col))
-        & (F.col("_until").isNull() | (F.col(ts_col) < F.col("_until")))
+    rest = [c for c in versions.columns if c != key]
+
+    def by_time(left: Column, right: Column) -> Column:
+        earlier, later = left[from_col] < right[from_col], left[from_col] > right[from_col]
+        return F.when(earlier, -1).when(later, 1).otherwise(0)
+
+    packed = (
+        versions.filter(F.col(from_col).isNotNull())
+        .groupBy(F.col(key).alias("_key"))
+        .agg(F.array_sort(F.collect_list(F.struct(*rest)), by_time).alias("_versions"))
     )
-    return requests.join(spans, in_force, "left").drop("_key", "_until")
+    begun = F.filter("_versions", lambda v: v[from_col] <= F.col(ts_col))
+    joined = requests.join(packed, F.col(key) == F.col("_key"), "left")
+    picked = joined.withColumn("_picked", F.try_element_at(begun, F.lit(-1)))
+    return picked.select(*requests.columns, *[F.col("_picked")[c].alias(c) for c in rest])
 
 
 def exact_rule(rules: Column, tool: Column, direction: Column, accept_both: bool) -> Column:
@@ -251,4 +257,4 @@ def match_tool_rule(
         )
         .select(key, "tool", "direction", "r.rule_ord", "r.rule_tool", "r.rule_action")
     )
-    return requests.join(broadcast_if_small(ranked), [key, "tool", "direction"], "left")
+    return requests.join(ranked, [key, "tool", "direction"], "left")

@@ -38,7 +38,19 @@ def test_only_needed_columns_are_read(spark, small):
 
 
 def test_filters_reach_the_scan(spark, small):
-    assert "PushedFilters: [In(event_type, [click,purchase])]" in physical(catalog.QUERIES["running_spend"](spark, small))
+    assert "GreaterThanOrEqual(c_acctbal,0.0)" in physical(catalog.QUERIES["ledger_balances"](spark, small))
+
+
+@pytest.mark.parametrize("name", ["match_tool_rule_payload", "throttle_admitted", "running_spend", "policy_as_of", "auth_outcomes", "decide"])
+def test_building_a_query_reads_schemas_only(spark, small, name):
+    group = f"build-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    catalog.QUERIES[name](spark, small)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    tracker = spark.sparkContext.statusTracker()
+    names = [tracker.getStageInfo(s).name for j in jobs for s in tracker.getJobInfo(j).stageIds]
+    assert all(name.startswith("parquet at") for name in names)
 
 
 def test_counting_is_linear_in_the_window(spark, small):
