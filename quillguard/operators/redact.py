@@ -3,15 +3,16 @@ the collision report."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillguard.functions import json_text as J
 from quillguard.functions import text as X
 from quillguard.functions.once import compute_once
-from quillguard.functions.spans import Sql, each, fresh, keep, let, lit, name
+from quillguard.functions.spans import Sql, each, fresh, keep, let, lit, name, splice
 
 
 def mask_text(df: DataFrame, text_col: str, out: str = "masked", reasons: str = "reasons") -> DataFrame:
@@ -77,6 +78,7 @@ def token_collisions(df: DataFrame, value_col: str, token_col: str) -> DataFrame
 # Nested payloads
 # -------------------------------------------------------------------------------------------------
 FIELD_REASON = "field.redacted:password"
+_JSON_SPACE = " \t\r\n"
 _REASON_SET = "array_sort(array_distinct(_done.r))"
 
 
@@ -130,19 +132,30 @@ def _redact_value(value: Sql, dtype: T.DataType, key: str) -> Sql:
 
 
 def _redact_variant(value: Sql, key: str) -> Sql:
-    """A value of no fixed type: a string is masked as one; any other value by its JSON text, which
-    replaces it (as a string, if it is JSON no more) when something is found. Nothing leaves unread."""
+    """A value of no fixed type: a string is masked as one, any other value by its JSON text."""
     is_text = f"schema_of_variant({value}) = 'STRING'"
-    if X.is_password_name(key):
-        hidden = _hidden(value)
-        return let(hidden, lambda h: _result(f"CAST({h}.v AS VARIANT)", f"{h}.r"))
-    text = f"CASE WHEN {is_text} THEN CAST({value} AS STRING) ELSE to_json({value}) END"
+    own = _hidden(f"CAST({value} AS STRING)") if X.is_password_name(key) else _mask_leaf(f"CAST({value} AS STRING)")
 
-    def rebuild(masked: Sql) -> Sql:
-        parsed = f"CASE WHEN {is_text} THEN CAST({masked}.v AS VARIANT) ELSE coalesce(try_parse_json({masked}.v), CAST({masked}.v AS VARIANT)) END"
-        return _result(f"CASE WHEN size({masked}.r) = 0 THEN {value} ELSE {parsed} END", f"{masked}.r")
+    def as_variant(done: Sql) -> Sql:
+        return _result(f"CASE WHEN size({done}.r) = 0 THEN {value} ELSE try_parse_json({done}.v) END", f"{done}.r")
 
-    return let(_mask_leaf(text), rebuild)
+    whole = let(let(f"to_json({value})", _redact_document), as_variant)
+    text = let(own, lambda m: _result(f"CAST({m}.v AS VARIANT)", f"{m}.r"))
+    return f"CASE WHEN {value} IS NULL THEN {_result(value, X.NO_REASONS)} WHEN {is_text} THEN {text} ELSE {whole} END"
+
+
+def _redact_document(doc: Sql) -> Sql:
+    """``struct(v, r)`` of JSON text with every string value redacted."""
+
+    def masked(value: Sql) -> Sql:
+        return let(_mask_leaf(value), lambda m: _result(f"CASE WHEN size({m}.r) > 0 THEN {m}.v END", f"{m}.r"))
+
+    def edit(value: Sql, key: Sql) -> Sql:
+        hidden = _result("'<PASSWORD>'", f"array({lit(FIELD_REASON)})")
+        is_password = f"coalesce({X.is_password_field(key)}, false)"
+        return f"CASE WHEN {is_password} THEN {hidden} ELSE {let(value, masked)} END"
+
+    return J.edit_strings(doc, edit, X.NO_REASONS)
 
 
 def _gathered(results: Sql) -> Sql:
@@ -163,78 +176,32 @@ def _redact_map(value: Sql, dtype: T.MapType) -> Sql:
     )
 
 
-def redact_nested(df: DataFrame, col: str, schema: str | T.DataType | None = None) -> DataFrame:
-    """Redact every string leaf of a nested column, or of JSON text when ``schema`` is given
-    (``"infer"`` takes the schema from the data in one distributed pass)."""
-    dtype = df.schema[col].dataType
-    if not isinstance(dtype, T.StringType):
-        done = compute_once(df, {"_done": _redact_value(name(col), dtype, col)})
-        return done.withColumns({f"{col}_out": F.col("_done.v"), "reasons": F.expr(_REASON_SET)}).drop("_done")
-    if schema is None or schema == "infer":
-        schema = infer_json_schema(df, col)
-    if isinstance(schema, str):
-        schema = T.DataType.fromDDL(schema)
-    parsed = df.withColumn("_doc", F.from_json(col, schema))
-    done = compute_once(parsed, {"_done": _redact_value("_doc", schema, "")})
-    # text that is no JSON, or not of the schema's kind, is masked as it stands
-    unread = F.expr(f"{name(col)} IS NOT NULL AND (_doc IS NULL OR try_parse_json({name(col)}) IS NULL)")
-    whole = compute_once(done.withColumn("_unread", unread), {"_whole": f"CASE WHEN _unread THEN {_mask_leaf(name(col))} END"})
-    return whole.withColumns(
-        {
-            f"{col}_out": F.when(F.col("_unread"), F.col("_whole.v")).otherwise(F.to_json("_done.v", {"ignoreNullFields": "false"})),
-            "reasons": F.when(F.col("_unread"), F.array_sort(F.array_distinct("_whole.r"))).otherwise(F.expr(_REASON_SET)),
-        }
-    ).drop("_doc", "_done", "_unread", "_whole")
-
+def redact_nested(df: DataFrame, col: str) -> DataFrame:
+    """Redact every string leaf of a nested column or of JSON text.
 
-def infer_json_schema(df: DataFrame, col: str) -> T.DataType:
-    """Schema that fits every row of a JSON text column."""
-    found = df.select(F.schema_of_variant_agg(F.try_parse_json(col)).alias("s")).first()["s"]
-    return T.DataType.fromDDL(found.replace("OBJECT<", "STRUCT<"))
+    JSON text is read token by token: rows may differ in shape, nothing but the redacted strings
+    changes, and absent keys stay absent. Text that is no JSON object, array or string (a bare number,
+    bad syntax, repeated keys, anything behind the document) is masked as it stands.
+    """
+    column, dtype = name(col), df.schema[col].dataType
+    if isinstance(dtype, T.StringType):
+        masked = f"CASE WHEN {column} IS NULL THEN {_result(column, X.NO_REASONS)} ELSE {_mask_leaf(column)} END"
+        value = f"CASE WHEN {J.is_document(column)} THEN {_redact_document(column)} ELSE {masked} END"
+    else:
+        value = _redact_value(column, dtype, col)
+    done = compute_once(df, {"_done": value})
+    return done.withColumns({f"{col}_out": F.col("_done.v"), "reasons": F.expr(_REASON_SET)}).drop("_done")
 
 
 # -------------------------------------------------------------------------------------------------
 # Findings addressed by path
 # -------------------------------------------------------------------------------------------------
-def _leaf_text(value: Sql, dtype: T.DataType) -> Sql:
-    """Text form a token is made of."""
-    if isinstance(dtype, T.BooleanType):
-        return f"CASE WHEN {value} THEN 'True' ELSE 'False' END"
-    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        return f"to_json({value})"
-    return f"CAST({value} AS STRING)"
-
-
-def _paths(dtype: T.StructType, prefix: str = "$") -> list[tuple[str, T.DataType]]:
-    out: list[tuple[str, T.DataType]] = []
-    for f in dtype.fields:
-        path = f"{prefix}.{f.name}"
-        out.append((path, f.dataType))
-        if isinstance(f.dataType, T.StructType):
-            out.extend(_paths(f.dataType, path))
-    return out
-
-
-def _at(doc: Sql, path: str) -> Sql:
-    return doc + "".join(f".`{part}`" for part in path.split(".")[1:])
-
-
-def _edited(doc: Sql, dtype: T.StructType, prefix: str = "$") -> Sql:
-    """The document with each edited path replaced, as variant fields. The last edit of a path
-    wins, and an edit of a parent hides edits below it."""
-    fields = []
-    for f in dtype.fields:
-        path, value = f"{prefix}.{f.name}", f"{doc}.`{f.name}`"
-        if isinstance(f.dataType, T.StructType):
-            kept = f"CASE WHEN {value} IS NOT NULL THEN to_variant_object({_edited(value, f.dataType, path)}) END"
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
-            kept = f"to_variant_object({value})"
-        else:
-            kept = f"CAST({value} AS VARIANT)"
-        mine = f"element_at(filter(_edits, e -> e.path = {lit(path)}), -1)"
-        touched = f"exists(_edits, e -> e.path = {lit(path)})"
-        fields.append(f"{lit(f.name)}, CASE WHEN {touched} THEN CAST({mine}.value AS VARIANT) ELSE {kept} END")
-    return f"named_struct({', '.join(fields)})"
+def _str_of(literal: Sql) -> Sql:
+    """Text a token is made of: a string's value, True and False, anything else as it is written."""
+    return (
+        f"CASE WHEN startswith({literal}, '\"') THEN {J.string_value(literal)} "
+        f"WHEN {literal} = 'true' THEN 'True' WHEN {literal} = 'false' THEN 'False' ELSE {literal} END"
+    )
 
 
 def redact_paths(
@@ -243,42 +210,41 @@ def redact_paths(
     key: str,
     doc_col: str,
     allow_col: str,
-    schema: T.StructType,
     salt: str = X.DEFAULT_SALT,
 ) -> DataFrame:
-    """Transform only the values the findings point at.
+    """Transform only the values the findings point at, in the row's own document; all else in it
+    stays as written. A text that is no JSON document has no paths and is masked whole.
 
     ``path_findings`` has ``(key, ord, type, path)`` and is gathered per payload: one output row
-    lists one reason per finding. The document is read and written by expressions over the known
-    schema; ``allow_col`` maps type to action.
+    lists one reason per finding. The last edit of a path wins, and an edit of a parent hides edits
+    below it. ``allow_col`` maps type to action.
     """
     grouped = path_findings.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("ord", "type", "path"))).alias("_path_findings")
     )
     none = "CAST(array() AS array<struct<ord:int,type:string,path:string>>)"
-    joined = payloads.join(grouped, key, "left").withColumns(
-        {"_doc": F.from_json(doc_col, schema), "_path_findings": F.expr(f"coalesce(_path_findings, {none})")}
+    spans = "CAST(array() AS array<struct<path:string,start:int,end:int,text:string>>)"
+    doc, allow = name(doc_col), name(allow_col)
+    joined = payloads.join(grouped, key, "left").withColumn(
+        "_path_findings", F.expr(f"coalesce(_path_findings, {none})")
+    )
+    readable = compute_once(joined, {"_readable": f"coalesce({J.is_document(doc)}, false)"})
+    with_text = each(
+        J.locate(doc, "_path_findings.path"),
+        lambda s: f"named_struct('path', {s}.path, 'start', {s}.start, 'end', {s}.end, "
+        f"'text', trim({lit(_JSON_SPACE)} FROM substring({doc}, {s}.start + 1, {s}.end - {s}.start)))",
+    )
+    wanted = "_readable AND size(_path_findings) > 0"
+    located = compute_once(
+        readable, {"_at": f"CASE WHEN {wanted} THEN {keep(with_text, lambda s: f'{s}.text <> {lit('null')}')} ELSE {spans} END"}
     )
-    allow = name(allow_col)
-
-    def on_path(f: Sql, pick: Callable[[str, T.DataType], Sql], otherwise: Sql) -> Sql:
-        cases = " ".join(f"WHEN {lit(p)} THEN {pick(_at('_doc', p), t)}" for p, t in _paths(schema))
-        return f"CASE {f}.path {cases} ELSE {otherwise} END"
 
     def found(f: Sql) -> Sql:
-        present = on_path(f, lambda value, _: f"{value} IS NOT NULL", "false")
         return (
-            f"named_struct('type', {f}.type, 'path', {f}.path, 'present', {present}, "
+            f"named_struct('type', {f}.type, 'path', {f}.path, 'present', array_contains(_at.path, {f}.path), "
             f"'action', coalesce(try_element_at({allow}, {f}.type), 'redact'))"
         )
 
-    def new_value(f: Sql) -> Sql:
-        def redacted(value: Sql, dtype: T.DataType) -> Sql:
-            masked = f"{X.mask_text(value)}.text" if isinstance(dtype, T.StringType) else "'<REDACTED>'"
-            return f"CASE WHEN {f}.action = 'tokenize' THEN {X.token(_leaf_text(value, dtype), salt)} ELSE {masked} END"
-
-        return f"named_struct('path', {f}.path, 'value', {on_path(f, redacted, 'NULL')})"
-
     def reason(f: Sql) -> Sql:
         return (
             f"CASE WHEN {f}.action = 'pass_through' THEN concat('pii.allowed:', {f}.type) "
@@ -286,14 +252,21 @@ def redact_paths(
             f"ELSE concat('pii.redacted:', {f}.type) END"
         )
 
-    judged = compute_once(joined, {"_found": each("_path_findings", found)})
-    edits = keep("_found", lambda f: f"{f}.present AND {f}.action <> 'pass_through'")
-    planned = compute_once(
-        judged,
-        {"_edits": each(edits, new_value), "reasons": f"array_compact({each('_found', reason)})"},
-    )
-    rebuilt = f"to_json(to_variant_object({_edited('_doc', schema)}))"
-    out = f"CASE WHEN size(_edits) = 0 THEN {name(doc_col)} ELSE {rebuilt} END"
-    return planned.withColumn(f"{doc_col}_out", F.expr(out)).drop(
-        "_doc", "_path_findings", "_found", "_edits"
+    def last_action(s: Sql) -> Sql:
+        edits = keep("_found", lambda f: f"{f}.path = {s}.path AND {f}.action <> 'pass_through'")
+        return f"try_element_at({edits}, -1).action"
+
+    def new_text(s: Sql) -> Sql:
+        masked = f"CASE WHEN startswith({s}.text, '\"') THEN {let(J.string_value(f'{s}.text'), lambda v: X.mask_text(v) + '.text')} ELSE '<REDACTED>' END"
+        return J.string_literal(f"CASE WHEN {s}.action = 'tokenize' THEN {X.token(_str_of(f'{s}.text'), salt)} ELSE {masked} END")
+
+    judged = compute_once(located, {"_found": each("_path_findings", found)})
+    acted = each("_at", lambda s: f"named_struct('start', {s}.start, 'end', {s}.end, 'text', {s}.text, 'action', {last_action(s)})")
+    edits = let(
+        keep(acted, lambda s: f"{s}.action IS NOT NULL"),
+        lambda all_: keep(all_, lambda s: f"NOT exists({all_}, o -> o.start <= {s}.start AND {s}.`end` < o.`end`)"),
     )
+    planned = compute_once(judged, {"_edits": edits, "reasons": f"array_compact({each('_found', reason)})"})
+    unread = f"CASE WHEN {doc} IS NOT NULL THEN {X.mask_text(doc)}.text END"
+    out = f"CASE WHEN _readable THEN {splice(doc, '_edits', new_text)} ELSE {unread} END"
+    return compute_once(planned, {f"{doc_col}_out": out}).drop("_path_findings", "_readable", "_at", "_found", "_edits")

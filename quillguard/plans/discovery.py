@@ -324,29 +324,42 @@ def token_collisions(spark, sf):
     return redact.token_collisions(redact.tokenize_column(values, ["value"]), "value", "value_token")
 
 
+_LITERAL = r'"(?:[^"\\]|\\.)*"'
+_IS_DOCUMENT = r"(json_valid(payload) AND regexp_matches(payload, '^\s*[{\[\"]'))"
+
+
 def _nested_sql() -> str:
+    """Documents as rows of their pieces: strings that are values are masked or hidden by the key
+    before them. A text that is no document is one piece."""
+    pieces = K.quote(rf'{_LITERAL}(?:\s*:\s*)?|[^"]+')
     steps = K.Steps(
-        f"SELECT *, json_extract_string(payload, '$.user.email') AS email, "
-        f"json_extract_string(payload, '$.note') AS note, json_extract_string(payload, '$.tags[0]') AS tag0, "
-        f"json_extract_string(payload, '$.tags[1]') AS tag1 FROM ({I.PAYLOADS_SQL})"
+        f"SELECT event_id, ok, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT event_id, {_IS_DOCUMENT} "
+        f"AS ok, CASE WHEN {_IS_DOCUMENT} THEN regexp_extract_all(payload, {pieces}) ELSE [payload] END AS p FROM ({I.PAYLOADS_SQL}))"
     )
-    for c in ("email", "note", "tag0", "tag1"):
-        K.mask(steps, c, f"{c}_m")
-    changed = " || ".join(
-        f"(CASE WHEN {c}_m <> {c} THEN {c}_m_r ELSE [] END)" for c in ("email", "note", "tag0", "tag1")
+    steps.add(before="lag(piece) OVER (PARTITION BY event_id ORDER BY i)")
+    steps.add(
+        leaf="ok AND starts_with(piece, '\"') AND ends_with(piece, '\"')",
+        field=f"CASE WHEN starts_with(before, '\"') AND NOT ends_with(before, '\"') "
+        f"THEN lower(json_extract_string(regexp_extract(before, {K.quote(_LITERAL)}), '$')) END",
     )
-    out = (
-        "'{\"user\":{\"email\":' || coalesce('\"' || email_m || '\"', 'null') || ',\"id\":' || user_id || "
-        "',\"password\":\"<PASSWORD>\"},\"note\":\"' || note_m || '\",\"flag\":' || "
-        "json_extract_string(payload, '$.flag') || ',\"tags\":[\"' || tag0_m || '\",\"' || tag1_m || '\"]}'"
+    steps.add(value="CASE WHEN leaf THEN json_extract_string(piece, '$') WHEN NOT ok THEN piece END")
+    K.mask(steps, "value", "m")
+    words = " OR ".join(f"contains(field, {K.quote(w)})" for w in P.PASSWORD_FIELD_WORDS)
+    steps.add(hidden=f"leaf AND coalesce({words}, false)")
+    steps.add(
+        new="CASE WHEN hidden THEN '\"<PASSWORD>\"' WHEN NOT ok THEN m WHEN leaf AND m <> value THEN to_json(m)::VARCHAR ELSE piece END",
+        why=f"CASE WHEN hidden THEN [{K.quote(redact.FIELD_REASON)}] WHEN m <> value THEN m_r ELSE [] END",
+    )
+    body = (
+        "event_id, string_agg(new, '' ORDER BY i) AS payload_out, "
+        f"{K.joined('list_sort(list_distinct(flatten(list(why))))')} AS reasons"
     )
-    reasons = f"list_sort(list_distinct(['field.redacted:password'] || {changed}))"
-    return steps.select(f"event_id, {out} AS payload_out, {K.joined(reasons)} AS reasons")
+    return steps.select(body, "GROUP BY event_id")
 
 
 @query("redact_nested", _nested_sql())
 def redact_nested(spark, sf):
-    out = redact.redact_nested(spread(I.payloads(spark, sf), "event_id"), "payload", I.PAYLOAD_SCHEMA)
+    out = redact.redact_nested(I.payloads(spark, sf), "payload")
     return out.select("event_id", "payload_out", F.array_join("reasons", "|").alias("reasons"))
 
 
@@ -358,7 +371,7 @@ _PATH_ALLOW = {
 
 
 def _path_columns(spark, sf) -> tuple[DataFrame, DataFrame]:
-    payloads = spread(I.payloads(spark, sf), "event_id")
+    payloads = I.payloads(spark, sf)
     listed = F.array(
         *[
             F.struct(F.lit(i).alias("ord"), F.lit(t).alias("type"), F.lit(p).alias("path"))
@@ -395,52 +408,51 @@ def _path_columns(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def _paths_sql() -> str:
+    """The four paths read from the document as it came; a number and a string differ by their type."""
     steps = K.Steps(
-        "SELECT *, json_extract_string(payload, '$.user.email') AS email, "
-        "json_extract_string(payload, '$.note') AS note, event_type <> 'error' AS h0, "
-        "event_type <> 'signup' AS h1, event_type <> 'purchase' AS h2, event_type <> 'purchase' AS h3 "
-        f"FROM ({I.PAYLOADS_SQL})"
-    )
-    K.mask(K.mask(steps, "email", "email_m"), "note", "note_m")
-    email = (
-        "CASE WHEN email IS NULL THEN 'null' WHEN NOT h0 OR event_type = 'view' THEN '\"' || email || '\"' "
-        f"WHEN event_type = 'click' THEN '\"' || {K.token('email')} || '\"' ELSE '\"' || email_m || '\"' END"
-    )
-    ident = (
-        f"CASE WHEN NOT h1 THEN user_id::VARCHAR WHEN event_type = 'click' THEN '\"' || {K.token('user_id::VARCHAR')} "
-        "|| '\"' ELSE '\"<REDACTED>\"' END"
+        f"SELECT *, CASE WHEN {_IS_DOCUMENT} THEN payload::JSON END AS doc, event_type <> 'error' AS h0, "
+        f"event_type <> 'signup' AS h1, event_type <> 'purchase' AS h2, event_type <> 'purchase' AS h3 FROM ({I.PAYLOADS_SQL})"
     )
-    note = "CASE WHEN h3 THEN note_m ELSE note END"
-    steps.add(e_out=email, i_out=ident, n_out=note)
-    r0 = (
-        "CASE WHEN NOT h0 THEN NULL WHEN event_type = 'view' THEN 'pii.allowed:PII:email_address' "
-        "WHEN email IS NULL THEN NULL WHEN event_type = 'click' THEN 'pii.tokenized:PII:email_address' "
-        "ELSE 'pii.redacted:PII:email_address' END"
-    )
-    r1 = (
-        "CASE WHEN h1 THEN CASE WHEN event_type = 'click' THEN 'pii.tokenized:PII:user_id' "
-        "ELSE 'pii.redacted:PII:user_id' END END"
+    fields = {"email": "$.user.email", "ident": "$.user.id", "note": "$.note"}
+    for c, path in fields.items():
+        steps.add(**{c: f"json_extract_string(doc, {K.quote(path)})", f"{c}_text": f"json_type(doc, {K.quote(path)}) = 'VARCHAR'"})
+        K.mask(steps, c, f"{c}_m")
+        steps.replace(**{f"{c}_m": f"CASE WHEN {c} IS NULL THEN NULL WHEN {c}_text THEN {c}_m ELSE '<REDACTED>' END"})
+
+    def out(c: str, touched: str, kept: str, tokenised: str) -> str:
+        return f"CASE WHEN NOT {touched} OR {kept} THEN {c} WHEN {tokenised} THEN {K.token(c)} ELSE {c}_m END"
+
+    def why(label: str, c: str, touched: str, kept: str, tokenised: str) -> str:
+        return (
+            f"CASE WHEN NOT {touched} THEN NULL WHEN {kept} THEN 'pii.allowed:{label}' WHEN {c} IS NULL THEN NULL "
+            f"WHEN {tokenised} THEN 'pii.tokenized:{label}' ELSE 'pii.redacted:{label}' END"
+        )
+
+    click, view = "event_type = 'click'", "event_type = 'view'"
+    reasons = ", ".join(
+        [
+            why("PII:email_address", "email", "h0", view, click),
+            why("PII:user_id", "ident", "h1", "false", click),
+            f"CASE WHEN h2 AND {view} THEN 'pii.allowed:PII:gone' END",
+            why("PII:note", "note", "h3", "false", "false"),
+        ]
     )
-    r2 = "CASE WHEN h2 AND event_type = 'view' THEN 'pii.allowed:PII:gone' END"
-    r3 = "CASE WHEN h3 THEN 'pii.redacted:PII:note' END"
-    reasons = f"list_filter([{r0}, {r1}, {r2}, {r3}], lambda r: r IS NOT NULL)"
     return steps.select(
-        "event_id, CASE WHEN e_out = 'null' THEN NULL ELSE replace(e_out, '\"', '') END AS email_out, "
-        f"replace(i_out, '\"', '') AS id_out, n_out AS note_out, {K.joined(reasons)} AS reasons"
+        f"event_id, {out('email', 'h0', view, click)} AS email_out, {out('ident', 'h1', 'false', click)} AS id_out, "
+        f"{out('note', 'h3', 'false', 'false')} AS note_out, "
+        f"{K.joined(f'list_filter([{reasons}], lambda r: r IS NOT NULL)')} AS reasons"
     )
 
 
 @query("redact_paths", _paths_sql())
 def redact_paths(spark, sf):
-    from pyspark.sql import types as T
-
     payloads, findings = _path_columns(spark, sf)
-    schema = T._parse_datatype_string(I.PAYLOAD_SCHEMA)
-    out = redact.redact_paths(payloads, findings, "event_id", "payload", "allow", schema)
+    out = redact.redact_paths(payloads, findings, "event_id", "payload", "allow")
+    doc = F.expr("try_parse_json(payload_out)")
     return out.select(
         "event_id",
-        F.get_json_object("payload_out", "$.user.email").alias("email_out"),
-        F.get_json_object("payload_out", "$.user.id").alias("id_out"),
+        F.try_variant_get(doc, "$.user.email", "string").alias("email_out"),
+        F.try_variant_get(doc, "$.user.id", "string").alias("id_out"),
         F.get_json_object("payload_out", "$.note").alias("note_out"),
         F.array_join("reasons", "|").alias("reasons"),
     )

@@ -137,6 +137,10 @@ class Dialect:
     def text(self, value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
 
+    def json_string(self, value: str) -> str:
+        """JSON literal of a string column."""
+        return f"to_json(cast({value} as variant))" if self.name == "spark" else f"to_json({value})::VARCHAR"
+
     def texts(self, values: Sequence[str]) -> list[str]:
         return [self.text(v) for v in values]
 
@@ -353,37 +357,33 @@ def quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_expression(d: Dialect) -> str:
-    """JSON text of one nested payload per event."""
-    email = (
-        "case when event_id % 4 = 0 then 'null' "
-        "else concat('\"', concat('user', user_id, '@example.com'), '\"') end"
+    """JSON text of one payload per event, in six shapes: two kinds of object, types that differ from
+    row to row, a list at top level, a bare string, and text that breaks off."""
+    email = "concat('user', user_id, '@example.com')"
+    quoted = f"case when event_id % 4 = 0 then 'null' else concat('\"', {email}, '\"') end"
+    shapes = (
+        f"""concat('{{"user":{{"email":', {quoted}, ',"id":', user_id, ',"password":"pw', event_id, '"}},"note":"call 555-201-7788 ref ', event_id % 7, '","flag":true,"tags":["', event_type, '","m', user_id, '@mail.org"]}}')""",
+        f"""concat('{{"props": ', props, ', "note": ', coalesce({d.json_string('text')}, 'null'), ', "user": {{"id": "', user_id, '"}} }}')""",
+        f"""concat('{{"user":', user_id, ',"note":', {d.pick(["'7.50'", "'[]'", "'null'", f"concat('[', {quoted}, ']')"], 'event_id % 4')}, ',"Auth_Code":["x","m@mill.test"]}}')""",
+        f"""concat('[', {quoted}, ', {{"api_key" : "k', event_id, '", "say": "', chr(92), '"', {email}, chr(92), '" ', chr(92), 'u0041"}}, ', value, ']')""",
+        f"""concat('"mail ', {email}, '"')""",
+        f"""concat('{{"note":"mail ', {email}, '", "user":')""",
     )
-    fields = [
-        ("'{\"user\":{\"email\":'", None),
-        (None, email),
-        ("',\"id\":'", None),
-        (None, "user_id"),
-        ("',\"password\":\"pw'", None),
-        (None, "event_id"),
-        ("'\"},\"note\":\"call 555-867-5309 ref '", None),
-        (None, "event_id % 7"),
-        ("'\",\"flag\":'", None),
-        (None, "case when event_id % 2 = 0 then 'true' else 'false' end"),
-        ("',\"tags\":[\"'", None),
-        (None, "event_type"),
-        ("'\",\"m'", None),
-        (None, "user_id"),
-        ("'@mail.org\"]}'", None),
-    ]
-    return "concat(" + ", ".join(a or b for a, b in fields) + ")"
-
-
-PAYLOAD_SCHEMA = "struct<user:struct<email:string,id:bigint,password:string>,note:string,flag:boolean,tags:array<string>>"
-PAYLOADS_SQL = f"SELECT event_id, user_id, event_type, {payload_expression(DUCK)} AS payload FROM events"
+    cases = " ".join(f"when {i} then {shape}" for i, shape in enumerate(shapes))
+    return f"case event_id % 6 {cases} end"
+
+
+PAYLOADS_SQL = (
+    f"SELECT event_id, user_id, event_type, {payload_expression(DUCK)} AS payload "
+    "FROM events LEFT JOIN documents ON doc_id = event_id"
+)
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    """Payloads of all events; those of an id that a document has carry its whole text."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    events = table(spark, sf_dir, "events")
+    return events.join(texts, F.col("doc_id") == F.col("event_id"), "left").select(
         "event_id", "user_id", "event_type", F.expr(payload_expression(SPARK)).alias("payload")
     )
 

@@ -2,7 +2,6 @@ import hashlib
 import json
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillguard.functions import text as X
 from quillguard.operators import detect, redact
@@ -104,15 +103,10 @@ DOC = {
     "list": ["clean", "bob@b.com"],
     "passwords": ["p@q.com"],
 }
-DDL = (
-    "struct<msg:string,count:int,api_key:string,user:struct<email:string,none:string>,"
-    "list:array<string>,passwords:array<string>>"
-)
-
 
 def test_nested_json(spark):
     df = spark.createDataFrame([(json.dumps(DOC),), ('{"msg":"fine"}',)], "doc string")
-    first, second = redact.redact_nested(df, "doc", DDL).collect()
+    first, second = redact.redact_nested(df, "doc").collect()
     assert json.loads(first["doc_out"]) == {
         "msg": "email d***@example.com",
         "count": 5,
@@ -122,14 +116,7 @@ def test_nested_json(spark):
         "passwords": ["p***@q.com"],  # elements of a list have no key
     }
     assert first["reasons"] == ["field.redacted:password", "pii.redacted:email"]
-    assert json.loads(second["doc_out"])["msg"] == "fine" and second["reasons"] == []
-
-
-def test_nested_schema_can_be_inferred(spark):
-    df = spark.createDataFrame([(json.dumps(DOC),)], "doc string")
-    row = redact.redact_nested(df, "doc", "infer").first()
-    out = json.loads(row["doc_out"])
-    assert out["user"]["email"] == "a***@b.com" and out["api_key"] == "<PASSWORD>" and out["count"] == 5
+    assert second["doc_out"] == '{"msg":"fine"}' and second["reasons"] == []  # absent keys stay absent
 
 
 def test_nested_columns_and_maps(spark):
@@ -145,7 +132,6 @@ def test_nested_columns_and_maps(spark):
 
 
 def test_paths(spark):
-    schema = T._parse_datatype_string("struct<user:struct<email:string,age:int,ok:boolean>,note:string>")
     doc = json.dumps({"user": {"email": "a@b.com", "age": 7, "ok": True}, "note": "n"})
     payloads = spark.createDataFrame(
         [(1, doc, {"PII:e": "tokenize", "PII:p": "pass_through"}), (2, doc, {}), (3, doc, {})],
@@ -166,7 +152,7 @@ def test_paths(spark):
     )
     rows = {
         r["id"]: (json.loads(r["doc_out"]), r["reasons"])
-        for r in redact.redact_paths(payloads, findings, "id", "doc", "allow", schema).collect()
+        for r in redact.redact_paths(payloads, findings, "id", "doc", "allow").collect()
     }
     assert rows[1] == (
         {"user": {"email": tok("a@b.com"), "age": 7, "ok": tok("True")}, "note": "n"},
@@ -186,7 +172,60 @@ def test_hmac(spark):
 
 def test_redact_nested_leaves_nothing_unread(spark):
     docs = ['{"a":"mail nadia@mill.test"}', '{"a":5}', '{"a":["x","nadia@mill.test"]}', "nadia@mill.test {", '["nadia@mill.test"]']
-    out = redact.redact_nested(spark.createDataFrame([(d,) for d in docs], "doc string"), "doc", "infer").collect()
+    out = redact.redact_nested(spark.createDataFrame([(d,) for d in docs], "doc string"), "doc").collect()
     assert all("nadia@mill.test" not in (r["doc_out"] or "") for r in out)
     assert [bool(r["reasons"]) for r in out] == [True, False, True, True, True]
     assert out[1]["doc_out"] == '{"a":5}'
+
+
+def nested(spark, *docs):
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, doc string")
+    return [(r["doc_out"], r["reasons"]) for r in redact.redact_nested(rows, "doc").orderBy("i").collect()]
+
+
+def test_nested_text_keeps_what_it_does_not_redact(spark):
+    doc = '{ "n" : 1.50, "k\\"ey":[ {"pass\\u0077ord" : "x\\"y"}, null ], "late": {"new": "a\\u0062c" } }'
+    (out, reasons), = nested(spark, doc)
+    assert out == doc.replace('"x\\"y"', '"<PASSWORD>"') and reasons == ["field.redacted:password"]
+
+
+def test_nested_text_that_is_no_document_is_masked_whole(spark):
+    docs = ['{"a":1} nadia@mill.test', '{"a":1} 555-201-7788', '{"a":"nadia@mill.test","a":2}', "{'a':'nadia@mill.test'}",
+            '[1],["nadia@mill.test"]', "5552017788", "", "null"]
+    for out, _ in nested(spark, *docs):
+        assert "nadia" not in out and "7788" not in out
+    assert nested(spark, None, "", "[]") == [(None, []), ("", []), ("[]", [])]
+
+
+def test_nested_long_strings(spark):
+    (out, reasons), = nested(spark, json.dumps({"a": "\n\"x " * 200_000 + "nadia@mill.test"}))
+    assert json.loads(out)["a"].endswith("n***@mill.test") and reasons == ["pii.redacted:email"]
+
+
+def test_variants(spark):
+    df = spark.createDataFrame([('{"a":[{"secret_password":"x"},"nadia@mill.test",5]}',), ('"nadia@mill.test"',), ("5",), (None,)], "t string")
+    out = redact.redact_nested(df.selectExpr("parse_json(t) AS v"), "v").selectExpr("to_json(v_out) AS t").collect()
+    assert [r["t"] for r in out] == ['{"a":[{"secret_password":"<PASSWORD>"},"n***@mill.test",5]}', '"n***@mill.test"', "5", None]
+
+
+def test_paths_without_schema(spark):
+    docs = {
+        1: ('{ "a": {"b" : 7.50, "c":["x"]}, "extra": 1 }', ["$.a.b", "$.a.c", "$.gone"]),
+        2: ('{"a":{"b":"nadia@mill.test"},"x.y":"q"}', ["$.a.b", "$.a", "$.x.y"]),
+        3: ('["nadia@mill.test"]', ["$.a"]),
+        4: ("nadia@mill.test {", ["$.a"]),
+        5: (None, ["$.a"]),
+        6: ('{"a":{"a":{"b":null}}}', ["$.a.a.b", "$.a.b"]),
+    }
+    payloads = spark.createDataFrame([(i, d, {}) for i, (d, _) in docs.items()], "id int, doc string, allow map<string,string>")
+    findings = [(i, n, f"t{n}", p) for i, (_, paths) in docs.items() for n, p in enumerate(paths)]
+    found = spark.createDataFrame(findings, "id int, ord int, type string, path string")
+    rows = redact.redact_paths(payloads, found, "id", "doc", "allow").collect()
+    assert {r["id"]: (r["doc_out"], r["reasons"]) for r in rows} == {
+        1: ('{ "a": {"b" :"<REDACTED>", "c":"<REDACTED>"}, "extra": 1 }', ["pii.redacted:t0", "pii.redacted:t1"]),
+        2: ('{"a":"<REDACTED>","x.y":"q"}', ["pii.redacted:t0", "pii.redacted:t1"]),
+        3: ('["nadia@mill.test"]', []),
+        4: ("n***@mill.test {", []),
+        5: (None, []),
+        6: ('{"a":{"a":{"b":null}}}', []),
+    }
