@@ -123,7 +123,8 @@ def python_regex(pattern: str) -> re.Pattern[str]:
 class PatternSpec:
     """One finding type. ``gate`` names cheap tests that all hold for every text with a match:
     ``digit``, ``at``, ``underscore``, and ``words:a,b`` (some word, any case). ``scan`` finds the
-    same matches faster: group 1 is text it skips, group 2 the match."""
+    same matches faster: group 1 is text it skips, group 2 the match. ``placeholder`` is for types of
+    one's own."""
 
     pii_type: str
     pattern: str
@@ -131,6 +132,7 @@ class PatternSpec:
     gate: str
     validator: str | None = None
     scan: str | None = None
+    placeholder: str | None = None
 
     @property
     def label(self) -> str:

@@ -63,7 +63,7 @@ def _gate(spec: P.PatternSpec, text: Sql, traits: Sql) -> Sql:
             tests.append("(" + " OR ".join([*hits, f"{traits}.folds"]) + ")")
         else:
             tests.append(_GATES[part].format(t=traits, x=text))
-    return "(" + " AND ".join(tests) + ")"
+    return "(" + " AND ".join(tests or ["true"]) + ")"
 
 
 # The letters outside ASCII that a case-blind pattern takes for an ASCII one and lower() does not
@@ -197,6 +197,14 @@ def keep_first_come(candidates: Sql) -> Sql:
     )
 
 
+def joined_findings(overlap: str, *findings: Sql) -> Sql:
+    """Findings to splice: of overlapping ones the first listed stays (``first``), or all do (``raw``)."""
+    if overlap not in ("first", "raw"):
+        raise ValueError(f"overlap must be first or raw, not {overlap!r}")
+    every = f"concat({', '.join(findings)})"
+    return let(every, keep_first_come) if overlap == "first" else every
+
+
 def find_all(text: Sql, specs: Sequence[P.PatternSpec]) -> Sql:
     """Findings of several patterns in precedence order. A null text has no findings."""
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import hashlib
+import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,17 +82,17 @@ def bare_type(label: Sql) -> Sql:
     return f"replace({label}, 'PII:', '')"
 
 
-def placeholder(label: Sql) -> Sql:
-    """Placeholder of a finding label such as ``PII:us_npi``."""
-    cases = " ".join(f"WHEN {lit('PII:' + k)} THEN {lit(v)}" for k, v in P.PLACEHOLDERS.items())
+def placeholder(label: Sql, own: Mapping[str, str] | None = None) -> Sql:
+    """Placeholder of a finding label such as ``PII:us_npi``; ``own`` adds to the fixed ones."""
+    cases = " ".join(f"WHEN {lit('PII:' + k)} THEN {lit(v)}" for k, v in {**P.PLACEHOLDERS, **(own or {})}.items())
     return (
         f"CASE {label} {cases} ELSE CASE WHEN startswith({label}, 'PII:') "
         f"THEN concat('<USER_', upper({bare_type(label)}), '>') ELSE '<REDACTED>' END END"
     )
 
 
-def redact_placeholders(text: Sql, findings: Sql) -> Sql:
-    return splice(text, findings, lambda f: placeholder(f"{f}.type"))
+def redact_placeholders(text: Sql, findings: Sql, own: Mapping[str, str] | None = None) -> Sql:
+    return splice(text, findings, lambda f: placeholder(f"{f}.type", own))
 
 
 def redaction_reasons(findings: Sql) -> Sql:

@@ -26,23 +26,21 @@ def estimate_cost(
     """Add ``tokens`` and ``est_cost``. A model without a price is billed at the fallback model's.
 
     Without ``prices`` the fixed price table is used, with no join. A table of one's own has
-    ``(model, price_in, price_out)`` and must price the fallback model.
+    ``(model, price_in, price_out)``, one row a model; where it does not price the fallback model either,
+    the cost is null.
     """
     wanted = f"coalesce({name(model_col)}, {lit(DEFAULT_MODEL)})"
     counted = compute_once(requests, {"tokens": M.estimate_tokens(name(text_col))})
     if prices is None:
         return counted.withColumn("est_cost", F.expr(M.token_cost("tokens", *M.model_prices(wanted))))
-    fallback = prices.filter(F.col("model") == M.FALLBACK_MODEL).first()
+    fallback = prices.filter(F.col("model") == M.FALLBACK_MODEL)
     table = broadcast_if_small(prices.withColumnRenamed("model", "_model"))
-    cost = M.token_cost(
-        "tokens",
-        f"coalesce(price_in, {fallback['price_in']!r}D)",
-        f"coalesce(price_out, {fallback['price_out']!r}D)",
-    )
+    priced = {f"_{c}": F.coalesce(c, fallback.select(c).scalar()) for c in ("price_in", "price_out")}
     return (
         counted.join(table, F.expr(wanted) == F.col("_model"), "left")
-        .withColumn("est_cost", F.expr(cost))
-        .drop("_model", "price_in", "price_out")
+        .withColumns(priced)
+        .withColumn("est_cost", F.expr(M.token_cost("tokens", "_price_in", "_price_out")))
+        .drop("_model", "price_in", "price_out", *priced)
     )
 
 

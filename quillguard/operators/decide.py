@@ -22,6 +22,7 @@ from quillguard.functions.spans import (
     find_all,
     find_beside,
     find_ssn,
+    joined_findings,
     keep,
     lit,
     name,
@@ -132,12 +133,14 @@ def fallback_over_budget(policy_model: Sql) -> Sql:
 _METADATA_MODEL = "try_element_at(tool_config.metadata, 'model')"
 
 
-def strict_fallback(requests: DataFrame, findings_col: str = "findings", budgets: bool = False) -> DataFrame:
+def strict_fallback(
+    requests: DataFrame, findings_col: str = "findings", budgets: bool = False, overlap: str = "first"
+) -> DataFrame:
     """Redact everything found, password phrases and payment amounts included; allow the rest.
 
     With ``budgets`` the frame carries ``budget_context``, ``tool_config`` and ``model``, and a text
-    that names a payment the budget cannot bear is denied. Passwords and payments may overlap each
-    other; they are then spliced right to left with their original offsets, as specified.
+    that names a payment the budget cannot bear is denied. Of a password phrase and a payment that overlap
+    the password is redacted; ``overlap="raw"`` splices both with their original offsets, as specified.
     """
     found = name(findings_col)
     df = compute_once(
@@ -150,7 +153,7 @@ def strict_fallback(requests: DataFrame, findings_col: str = "findings", budgets
     df = df.withColumns(
         _expressions(
             {
-                "_every": f"concat({found}, _pw, _pay)",
+                "_every": joined_findings(overlap, found, "_pw", "_pay"),
                 "_over": fallback_over_budget("model") if budgets else "false",
             }
         )
@@ -315,13 +318,15 @@ def decide(
     static_on_error: str = "block",
     key: str = "policy_key",
     salt: str = X.DEFAULT_SALT,
+    overlap: str = "first",
 ) -> DataFrame:
     """Decide every request.
 
     ``requests`` needs ``tool, raw_text, direction`` and may carry ``scope, user_id, tool_config,
     budget_context`` and the policy key. ``policies`` has ``(key, doc, form)``. ``mode``:
     ``static`` judges all rows by ``static_policy`` (JSON text of a policy file), ``payload`` all
-    rows by their own policy, ``auto`` by their own policy where there is one.
+    rows by their own policy, ``auto`` by their own policy where there is one. ``overlap`` is that of
+    ``strict_fallback``.
 
     The result has the input columns and ``decision, raw_text_out, reasons, rule_id, budget_status,
     budget_info``, and ``_check``, the budget check ``annotate_budget`` uses.
@@ -350,10 +355,10 @@ def decide(
             "_on_error": F.when(F.col("_static"), F.lit(static_on_error)).otherwise(F.col("_policy.on_error")),
         }
     ).withColumn("_route", F.expr(_route()))
-    return _decide_routed(df, inputs, static_rule_detector, salt)
+    return _decide_routed(df, inputs, static_rule_detector, salt, overlap)
 
 
-def _decide_routed(df: DataFrame, inputs: list[str], static_rule_detector: str, salt: str) -> DataFrame:
+def _decide_routed(df: DataFrame, inputs: list[str], static_rule_detector: str, salt: str, overlap: str) -> DataFrame:
     own_rule, file_rule, fallback = (
         "(NOT _static AND _route = 'rule')",
         "(_static AND _route = 'rule')",
@@ -392,7 +397,7 @@ def _decide_routed(df: DataFrame, inputs: list[str], static_rule_detector: str,
     df = df.withColumns(
         _expressions(
             {
-                "_every": "concat(_found, _pw, _pay)",
+                "_every": joined_findings(overlap, "_found", "_pw", "_pay"),
                 "_over": over,
                 "_blocked": f"CASE WHEN {own_rule} THEN {first_blocked('_found', '_rule.allow_pii')} END",
                 "_calm": f"{own_rule} AND size(_found) = 0",

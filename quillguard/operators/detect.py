@@ -15,11 +15,25 @@ from pyspark.sql import functions as F
 from quillguard.functions import patterns as P
 from quillguard.functions.once import compute_once
 from quillguard.functions.shipping import ship
-from quillguard.functions.spans import Sql, find_all, find_beside, find_ssn, lit, name
+from quillguard.functions.spans import VALIDATORS, Sql, find_all, find_beside, find_ssn, lit, name
 from quillguard.functions.text import is_password_field
 from quillguard.schemas import FINDINGS_DDL
 
 
+def pattern_specs(table: DataFrame) -> list[P.PatternSpec]:
+    """Specs from a table of settings ``(type, pattern, score, priority, validator, placeholder)``, in
+    order of priority; the last two may be null. It is read when the query is built, as the patterns
+    are part of the plan."""
+    rows = table.select("type", "pattern", "score", "priority", "validator", "placeholder").collect()
+    unknown = {r["validator"] for r in rows} - {None, *VALIDATORS}
+    if unknown:
+        raise ValueError(f"no such validator: {sorted(unknown)}")
+    return [
+        P.PatternSpec(r["type"], r["pattern"], float(r["score"]), "", r["validator"], placeholder=r["placeholder"])
+        for r in sorted(rows, key=lambda r: (r["priority"], r["type"]))
+    ]
+
+
 def scan_findings(
     df: DataFrame,
     text_col: str,

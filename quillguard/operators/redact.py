@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from quillguard.functions import json_text as J
 from quillguard.functions import text as X
 from quillguard.functions.once import compute_once
-from quillguard.functions.spans import Sql, each, fresh, keep, let, lit, name, splice
+from quillguard.functions.patterns import PatternSpec
+from quillguard.functions.spans import Sql, each, fresh, joined_findings, keep, let, lit, name, splice
 
 
 def mask_text(df: DataFrame, text_col: str, out: str = "masked", reasons: str = "reasons") -> DataFrame:
@@ -24,15 +25,25 @@ def mask_text(df: DataFrame, text_col: str, out: str = "masked", reasons: str =
 
 
 def redact_placeholders(
-    df: DataFrame, text_col: str, findings_cols: Sequence[str] = ("findings",), out: str = "redacted"
+    df: DataFrame,
+    text_col: str,
+    findings_cols: Sequence[str] = ("findings",),
+    out: str = "redacted",
+    overlap: str = "first",
+    specs: Sequence[PatternSpec] = (),
 ) -> DataFrame:
-    findings = f"concat({', '.join(name(c) for c in findings_cols)})"
-    return df.withColumns(
+    """Replace findings by the placeholders of their types; ``specs`` bring those of types of one's own.
+    Of overlapping findings the one listed first stays; ``overlap="raw"`` splices all of them with their
+    original offsets, as specified for password phrases and payments."""
+    own = {s.pii_type: s.placeholder for s in specs if s.placeholder is not None}
+    findings = joined_findings(overlap, *map(name, findings_cols))
+    done = compute_once(df, {"_every": findings})
+    return done.withColumns(
         {
-            out: F.expr(X.redact_placeholders(name(text_col), findings)),
-            "reasons": F.expr(X.redaction_reasons(findings)),
+            out: F.expr(X.redact_placeholders(name(text_col), "_every", own)),
+            "reasons": F.expr(X.redaction_reasons("_every")),
         }
-    )
+    ).drop("_every")
 
 
 def transform_by_tool(

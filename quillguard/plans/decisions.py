@@ -331,7 +331,7 @@ def decision_steps(mode: str, detector: str = "specific_first") -> K.Steps:
     steps.add(
         over_pay=f"NOT st AND has_budget AND len(pay) > 0 AND (llm_spend + cost) + "
         f"(purchase_spend + coalesce({amount}, 0.0::DOUBLE)) > monthly_limit",
-        every="found || pw || pay",
+        every=K.first_listed("found || pw", "pay"),
         blocked=f"CASE WHEN route = 'rule' AND NOT st THEN "
         f"list_filter(found, lambda f: coalesce({act} IN ('block', 'deny'), false))[1].type END",
     )
@@ -491,7 +491,7 @@ def _fallback_sql() -> str:
     steps.add(
         pw=K.beside("raw_text", "found", P.PASSWORD_SPEC), pay=K.beside("raw_text", "found", P.PAYMENT_SPEC)
     )
-    steps.add(every="found || pw || pay")
+    steps.add(every=K.first_listed("found || pw", "pay"))
     amount = f"try_cast(regexp_extract(pay[1].text, {K.regex(P.PAYMENT_NUMBER)}, 1) AS DOUBLE)"
     model = f"coalesce(CASE WHEN has_tool THEN metadata['model'] END, '{S.DEFAULT_MODEL}')"
     steps.add(
@@ -618,7 +618,7 @@ def _document_steps() -> K.Steps:
     steps.add(
         pw=K.beside("raw_text", "found", P.PASSWORD_SPEC), pay=K.beside("raw_text", "found", P.PAYMENT_SPEC)
     )
-    steps.add(every="found || pw || pay", net=_NET)
+    steps.add(every=K.first_listed("found || pw", "pay"), net=_NET)
     K.mask(steps, "raw_text", "m")
     return steps.add(
         decision="CASE WHEN net OR len(every) > 0 THEN 'transform' ELSE 'allow' END",

@@ -204,9 +204,10 @@ def mask_text_documents(spark, sf):
 def _placeholder_sql(source: str, text: str, key: str) -> str:
     steps = _found(source, text)
     steps.add(
-        every=f"findings || {K.beside(text, 'findings', P.PASSWORD_SPEC)} || "
-        f"{K.beside(text, 'findings', P.PAYMENT_SPEC)}"
+        first=f"findings || {K.beside(text, 'findings', P.PASSWORD_SPEC)}",
+        pay=K.beside(text, "findings", P.PAYMENT_SPEC),
     )
+    steps.add(every=K.first_listed("first", "pay"))
     redacted = K.splice(text, "every", K.placeholder("f.type"))
     return steps.select(f"{key}, {redacted} AS redacted, {K.joined(K.redaction_reasons('every'))} AS reasons")
 
@@ -229,6 +230,31 @@ def redact_placeholders_documents(spark, sf):
     return out.select("doc_id", "redacted", F.array_join("reasons", "|").alias("reasons"))
 
 
+# Types of one's own, as a table of settings; the first takes digits before the second sees them.
+_OWN_TYPES = (
+    ("long_number", r"\d{6,}", 0.6, 1, None, "<NUMBER>"),
+    ("address_v4", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0.8, 2, "ipv4", None),
+)
+
+
+def _own_types_sql() -> str:
+    specs = [P.PatternSpec(t, p, score, "", check) for t, p, score, _, check, _ in _OWN_TYPES]
+    steps = _found("SELECT * FROM documents", "text", specs)
+    label = "CASE f.type WHEN 'PII:long_number' THEN '<NUMBER>' ELSE '<USER_ADDRESS_V4>' END"
+    return steps.select(
+        f"doc_id, {K.splice('text', 'findings', label)} AS redacted, {K.joined(K.redaction_reasons('findings'))} AS reasons"
+    )
+
+
+@query("redact_own_types", _own_types_sql())
+def redact_own_types(spark, sf):
+    settings = "type string, pattern string, score double, priority int, validator string, placeholder string"
+    specs = detect.pattern_specs(spark.createDataFrame(_OWN_TYPES, settings))
+    found = detect.scan_findings(_documents(spark, sf), "text", specs)
+    out = redact.redact_placeholders(found, "text", specs=specs)
+    return out.select("doc_id", "redacted", F.array_join("reasons", "|").alias("reasons"))
+
+
 # Actions by tool: some kept, some tokenised, some unknown, the rest redacted.
 _ALLOW = (
     {"PII:email_address": "pass_through", "PII:us_dea": "tokenize"},

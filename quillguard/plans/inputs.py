@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillguard import schemas as S
+from quillguard.functions.sizing import spread
 
 TOOLS = (
     "python.exec",
@@ -382,7 +383,7 @@ PAYLOADS_SQL = (
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of all events; those of an id that a document has carry its whole text."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"), "event_id")
     return events.join(texts, F.col("doc_id") == F.col("event_id"), "left").select(
         "event_id", "user_id", "event_type", F.expr(payload_expression(SPARK)).alias("payload")
     )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillguard.functions.lineage import shared_dir
 from quillguard.operators import analytics, events
 from quillguard.plans import inputs as I
 from quillguard.plans import sqlkit as K
-from quillguard.plans.catalog import query
+from quillguard.plans.catalog import ORACLES, query
 from quillguard.plans.decisions import pass_steps, passes
 from quillguard.sources import intake, sinks
 
@@ -122,10 +126,13 @@ def decision_events(spark, sf):
 )
 def event_json_fields(spark, sf):
     """Fields read back from the serialised events, as a sink would write them."""
-    line = decision_events_df(spark, sf).select(
-        F.to_json("event", {"ignoreNullFields": "false"}).alias("value")
+    return _event_fields(
+        decision_events_df(spark, sf).select(F.to_json("event", {"ignoreNullFields": "false"}).alias("value"))
     )
-    return line.select(
+
+
+def _event_fields(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.get_json_object("value", "$.idempotencyKey").alias("idempotency_key"),
         F.get_json_object("value", "$.channel").alias("channel"),
         F.get_json_object("value", "$.data.latencyMs").alias("latency_ms"),
@@ -316,6 +323,49 @@ def usage_events(spark, sf):
     return sinks.usage_events(passes(spark, sf))
 
 
+# ------------------------------------------------------------------------ written and read back
+def _written_twice(spark: SparkSession, write: Callable[[str, str], None]) -> str:
+    """Folder that ``write(folder, run)`` filled; its run was written again, as after a failure."""
+    folder = f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
+    for _ in range(2):
+        write(folder, "1")
+    return folder
+
+
+@query("write_decision_events", ORACLES["event_json_fields"])
+def write_decision_events(spark, sf):
+    made = decision_events_df(spark, sf)
+    folder = _written_twice(spark, lambda path, run: sinks.write_decision_events(made, path, run=run))
+    return _event_fields(spark.read.text(folder).select("value"))
+
+
+@query("write_dead_letters", ORACLES["dead_letters"])
+def write_dead_letters(spark, sf):
+    failed = _outcomes(spark, sf)[1].withColumn("event", F.struct("event_id", F.col("event_type").alias("type")))
+    folder = _written_twice(spark, lambda path, run: sinks.write_dead_letters(failed, path, run=run))
+    lines = spark.read.text(folder)
+    return lines.select(
+        F.get_json_object("value", "$.event.event_id").cast("bigint").alias("event_id"),
+        F.get_json_object("value", "$.err").alias("err"),
+        "value",
+    )
+
+
+@query("write_audit_trail", ORACLES["audit_lines"])
+def write_audit_trail(spark, sf):
+    made = passes(spark, sf)
+    folder = _written_twice(spark, lambda path, run: sinks.write_audit_trail(made, path, run=run))
+    return spark.read.text(folder).select("value")
+
+
+@query("write_usage", ORACLES["usage_events"])
+def write_usage(spark, sf):
+    made = passes(spark, sf)
+    folder = _written_twice(spark, lambda path, run: sinks.write_usage(made, path, run=run))
+    schema = sinks.usage_events(made).schema
+    return spark.read.schema(schema).parquet(folder).select(*schema.names)
+
+
 # -------------------------------------------------------------------------------------- histograms
 _BOUNDS = (1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0)
 

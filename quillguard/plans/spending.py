@@ -42,6 +42,31 @@ def estimate_cost(spark, sf):
     )
 
 
+# Prices of one's own: one model per brand of part, and the fallback model.
+_PRICES = "SELECT p_brand AS model, min(p_size) / 1e6 AS price_in, max(p_size) / 1e6 AS price_out FROM {} GROUP BY p_brand"
+_OWN_MODEL = "case when {0} % 3 = 0 then 'no-such-model' else concat('Brand#', {0} % 5 + 1, {0} % 7 + 1) end"
+
+
+def _own_prices_sql() -> str:
+    half = f"floor({K.tokens('text')} * 0.5::DOUBLE)::BIGINT"
+    cost = f"{half} * coalesce(price_in, 0.002::DOUBLE) + {half} * coalesce(price_out, 0.004::DOUBLE)"
+    prices = _PRICES.format("part").replace("1e6", "1e6::DOUBLE")
+    return (
+        f"SELECT doc_id, d.model, {cost} AS est_cost FROM (SELECT *, {_OWN_MODEL.format('doc_id')} AS model FROM documents) d "
+        f"LEFT JOIN ({prices}) p ON d.model = p.model"
+    )
+
+
+@query("estimate_cost_own_prices", _own_prices_sql())
+def estimate_cost_own_prices(spark, sf):
+    parts = I.table(spark, sf, "part").groupBy(F.col("p_brand").alias("model")).agg(
+        (F.min("p_size") / F.lit(1e6)).alias("price_in"), (F.max("p_size") / F.lit(1e6)).alias("price_out")
+    )
+    fallback = spark.range(1).select(F.lit(M.FALLBACK_MODEL).alias("model"), F.lit(0.002).alias("price_in"), F.lit(0.004).alias("price_out"))
+    docs = I.table(spark, sf, "documents").withColumn("model", F.expr(_OWN_MODEL.format("doc_id")))
+    return budget.estimate_cost(docs, parts.union(fallback), text_col="text").select("doc_id", "model", "est_cost")
+
+
 _PURCHASE_SQL = ", ".join(f"try_cast(metadata['{k}'] AS DOUBLE)" for k in M.PURCHASE_FIELDS)
 
 

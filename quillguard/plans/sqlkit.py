@@ -139,6 +139,11 @@ def overlap(f: str, others: str) -> str:
     return f'len(list_filter({others}, lambda o: {f}."end" > o."start" AND {f}."start" < o."end")) > 0'
 
 
+def first_listed(first: str, later: str) -> str:
+    """Findings of two lists; of overlapping ones those of the first stay."""
+    return f"({first}) || list_filter({later}, lambda f: NOT ({overlap('f', f'({first})')}))"
+
+
 def fold(candidates: str) -> str:
     return (
         f"list_reduce(list_prepend({NO_FINDINGS}, list_transform({candidates}, lambda c: [c])), "

@@ -1,4 +1,8 @@
-"""Writing decisions, dead letters, audit lines and usage rows."""
+"""Writing decisions, dead letters, audit lines and usage rows.
+
+Writers append. With ``run``, the rows of that run are a folder of their own that a second attempt
+replaces, so a job that is run again repeats nothing.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_decision_events(events: DataFrame, path: str, fmt: str = "json", mode: str = "append") -> None:
+def _target(path: str, run: str | None) -> tuple[str, str]:
+    """Folder and save mode."""
+    return (path, "append") if run is None else (f"{path}/run={run}", "overwrite")
+
+
+def write_decision_events(events: DataFrame, path: str, fmt: str = "json", run: str | None = None) -> None:
     """One event per decision, in one folder per date. Rebalancing gives each date files of a good
     size: small dates are written by one task, a large one is split over several."""
     flat = events.select("event.*", "event_date").hint("rebalance", F.col("event_date"))
+    folder, mode = _target(path, run)
     writer = flat.write.mode(mode).partitionBy("event_date")
     if fmt == "json":
         writer = writer.option("ignoreNullFields", "false")
-    writer.format(fmt).save(path)
+    writer.format(fmt).save(folder)
 
 
 def dead_letter_lines(failed: DataFrame, err_col: str = "err", event_col: str = "event") -> DataFrame:
@@ -23,8 +33,11 @@ def dead_letter_lines(failed: DataFrame, err_col: str = "err", event_col: str =
     return failed.select(line.alias("value"))
 
 
-def write_dead_letters(failed: DataFrame, path: str, err_col: str = "err", event_col: str = "event") -> None:
-    dead_letter_lines(failed, err_col, event_col).write.mode("append").text(path)
+def write_dead_letters(
+    failed: DataFrame, path: str, err_col: str = "err", event_col: str = "event", run: str | None = None
+) -> None:
+    folder, mode = _target(path, run)
+    dead_letter_lines(failed, err_col, event_col).write.mode(mode).text(folder)
 
 
 def audit_records(decisions: DataFrame) -> DataFrame:
@@ -49,8 +62,9 @@ def audit_lines(decisions: DataFrame) -> DataFrame:
     return records.select(line.alias("value"))
 
 
-def write_audit_trail(decisions: DataFrame, path: str) -> None:
-    audit_lines(decisions).write.mode("append").text(path)
+def write_audit_trail(decisions: DataFrame, path: str, run: str | None = None) -> None:
+    folder, mode = _target(path, run)
+    audit_lines(decisions).write.mode(mode).text(folder)
 
 
 def usage_events(decisions: DataFrame) -> DataFrame:
@@ -66,6 +80,7 @@ def usage_events(decisions: DataFrame) -> DataFrame:
     )
 
 
-def write_usage(decisions: DataFrame, path: str) -> None:
+def write_usage(decisions: DataFrame, path: str, run: str | None = None) -> None:
+    folder, mode = _target(path, run)
     dated = usage_events(decisions).withColumn("usage_date", F.to_date("created_at"))
-    dated.hint("rebalance", F.col("usage_date")).write.mode("append").partitionBy("usage_date").parquet(path)
+    dated.hint("rebalance", F.col("usage_date")).write.mode(mode).partitionBy("usage_date").parquet(folder)

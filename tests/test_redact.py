@@ -40,11 +40,14 @@ def test_placeholders_are_spliced_right_to_left(spark):
     assert row["reasons"] == ["pii.redacted:email_address", "pii.redacted:phone_number"]
 
 
-def test_overlapping_password_and_payment_keep_their_offsets(spark):
+def test_overlapping_password_and_payment(spark):
     df = detect.scan_findings(spark.createDataFrame([("password: $500 ok",)], "t string"), "t")
     both = detect.scan_password_payment(df, "t")
-    row = redact.redact_placeholders(both, "t", ["findings", "password_findings", "payment_findings"]).first()
-    assert row["redacted"] == "<PASSWORD>MENT_AMOUNT> ok"
+    columns = ["findings", "password_findings", "payment_findings"]
+    raw = redact.redact_placeholders(both, "t", columns, overlap="raw").first()
+    assert raw["redacted"] == "<PASSWORD>MENT_AMOUNT> ok"
+    first = redact.redact_placeholders(both, "t", columns).first()
+    assert (first["redacted"], first["reasons"]) == ("<PASSWORD> ok", ["pii.redacted:password"])
 
 
 def test_unknown_types_have_a_made_placeholder(spark):
@@ -229,3 +232,14 @@ def test_paths_without_schema(spark):
         5: (None, []),
         6: ('{"a":{"a":{"b":null}}}', []),
     }
+
+
+def test_types_of_ones_own(spark):
+    table = spark.createDataFrame(
+        [("b", "[0-9]+", 0.5, 2, None, None), ("a", "x[0-9]", 0.5, 1, None, "<A>")],
+        "type string, pattern string, score double, priority int, validator string, placeholder string",
+    )
+    specs = detect.pattern_specs(table)
+    assert [s.pii_type for s in specs] == ["a", "b"]
+    found = detect.scan_findings(spark.createDataFrame([("x1 22",)], "t string"), "t", specs)
+    assert redact.redact_placeholders(found, "t", specs=specs).first()["redacted"] == "<A> <USER_B>"
