@@ -22,6 +22,11 @@ SIGNIFICANT_COST = 0.01
 PURCHASE_FIELDS = ("purchase_amount", "amount", "price", "cost")
 WARNING_PERCENT = 90
 
+# All sums of money and durations are of this type, so that totals do not depend on the order of addition:
+# amounts below 10^18, exact to ten decimals (smaller parts are rounded).
+MONEY_DECIMALS = 10
+MONEY = f"decimal(28,{MONEY_DECIMALS})"
+
 _NUMBER = r"(?i)^[+-]?(?:inf|infinity|nan|(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)$"
 
 

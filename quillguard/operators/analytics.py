@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from quillguard.functions.money import MONEY
 from pyspark.sql import Window
 
 # Upper bounds of the duration buckets, in seconds.
@@ -32,7 +34,7 @@ def latency_histogram(
     ]
     grouped = df.groupBy(*labels).agg(
         *counts,
-        F.sum(F.col(value).cast("decimal(28,10)")).cast("double").alias("total"),
+        F.sum(F.col(value).cast(MONEY)).cast("double").alias("total"),
         F.count(value).alias("n"),
     )
     buckets = F.array(

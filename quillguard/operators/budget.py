@@ -12,8 +12,7 @@ from quillguard.functions.sizing import broadcast_if_small
 from quillguard.operators.ordered import running_totals
 from quillguard.schemas import BUDGET_CONTEXT_DDL, DEFAULT_MODEL
 
-# Money is summed in this type, so totals are the same whatever the order of addition.
-MONEY = "decimal(28,10)"
+MONEY = M.MONEY
 
 # The budget of a user who has none.
 DEFAULT_MONTHLY_LIMIT = 10.0

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillguard.functions.money import MONEY, MONEY_DECIMALS
 from quillguard.functions.shipping import ship
 from quillguard.functions.times import micros
 from quillguard.operators import analytics
@@ -93,55 +94,65 @@ def stream_throttle(
 def stream_budget(transactions: DataFrame, user: str, time_col: str, id_col: str) -> DataFrame:
     """Running spend of the month per user, and what a budget check says when each row arrives.
 
-    Needs ``transaction_type, amount, monthly_limit``. State per user: the current month and its
-    spend, as integers of 10^-10 so that sums are exact. A row of an earlier month is judged against
+    Needs ``amount`` and ``monthly_limit``. State per user: the current month and its spend, as whole
+    and decimal parts in integers, so that sums are exact over the range of ``MONEY``. A row of an earlier month is judged against
     nothing spent and leaves the current month alone.
     """
     ship(transactions.sparkSession)
-    unit = F.lit(10_000_000_000)
+    unit = 10**MONEY_DECIMALS
+    exact = F.coalesce(F.col("amount").cast(MONEY), F.lit(0).cast(MONEY))
+    whole = F.floor(exact)
     narrow = transactions.select(
         user,
         F.col(id_col).alias("id"),
         micros(transactions, time_col).alias("us"),
         (F.year(time_col) * 12 + F.month(time_col) - 1).alias("month"),
-        "transaction_type",
-        (F.col("amount").cast("decimal(28,10)") * unit).cast("bigint").alias("units"),
+        whole.cast("bigint").alias("whole"),
+        ((exact - whole) * F.lit(unit)).cast("bigint").alias("part"),
         F.coalesce("monthly_limit", F.lit(_DEFAULT_LIMIT)).alias("monthly_limit"),
     )
 
     def judge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        month, llm, bought = state.get if state.exists else (-1, 0, 0)
+        month, *kept = state.get if state.exists else (-1, 0, 0)
         rows = pd.concat(list(batches)).sort_values(["us", "id"], kind="stable")
-        months, units = rows["month"].to_numpy(), rows["units"].to_numpy()
+        months = rows["month"].to_numpy()
         latest = np.maximum.accumulate(np.maximum(months, month))  # the month that is current at each row
         current = months == latest
-        sums = pd.Series(np.where(current, units, 0)).groupby(latest).cumsum().to_numpy()
-        carried = np.where(latest == month, llm + bought, 0)
-        spent = np.where(current, carried + sums - units, 0)
-        projected, limits = (spent + units) / 1e10, rows["monthly_limit"].to_numpy()
+        before, after = [], []
+        for own, held in zip((rows["whole"].to_numpy(), rows["part"].to_numpy()), kept):
+            sums = pd.Series(np.where(current, own, 0)).groupby(latest).cumsum().to_numpy()
+            before.append(np.where(current, np.where(latest == month, held, 0) + sums - own, 0))
+            after.append(before[-1] + own)
+        projected, limits = _as_float(*after), rows["monthly_limit"].to_numpy()
         verdicts = np.select(
             [projected > limits, projected > _WARNING_SHARE * limits], ["budget_exceeded", "budget_warning"], "budget_ok"
         )
         if latest[-1] != month:
-            month, llm, bought = int(latest[-1]), 0, 0
+            month, kept = int(latest[-1]), (0, 0)
         of_month = current & (latest == month)
-        is_purchase = (rows["transaction_type"] == "purchase").to_numpy()
-        bought += int(units[of_month & is_purchase].sum())
-        llm += int(units[of_month & ~is_purchase].sum())
-        state.update((month, llm, bought))
-        yield rows.assign(spent_before=spent / 1e10, verdict=verdicts)[[user, "id", "spent_before", "verdict"]]
+        total = [held + int(rows[c].to_numpy()[of_month].sum()) for c, held in zip(("whole", "part"), kept)]
+        state.update((month, total[0] + total[1] // unit, total[1] % unit))
+        yield rows.assign(spent_before=_as_float(*before), verdict=verdicts)[[user, "id", "spent_before", "verdict"]]
 
     user_type = transactions.schema[user].dataType.simpleString()
     id_type = transactions.schema[id_col].dataType.simpleString()
     return narrow.groupBy(user).applyInPandasWithState(
         judge,
         f"{user} {user_type}, id {id_type}, spent_before double, verdict string",
-        "month bigint, llm bigint, bought bigint",
+        "month bigint, whole bigint, part bigint",
         "append",
         GroupStateTimeout.NoTimeout,
     )
 
 
+def _as_float(whole: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Amounts of whole and decimal parts; small ones are divided once, so that they round once."""
+    unit = 10**MONEY_DECIMALS
+    whole, part = whole + part // unit, part % unit
+    small = np.abs(whole) < 2**53 // unit
+    return np.where(small, (np.where(small, whole, 0) * unit + part) / unit, whole + part / unit)
+
+
 def stream_counts(
     rows: DataFrame, time_col: str, by: Sequence[str], width: str = "1 day", lateness: str = "1 hour"
 ) -> DataFrame:

@@ -106,6 +106,17 @@ def test_counts_drop_rows_past_the_watermark(spark):
     assert {(r["window_start"], r["n"]) for r in out.collect()} == {(START, 1), (START + day, 1)}
 
 
+def test_large_amounts_are_exact(spark):
+    rows = [(1, 7, "purchase", 3e12, START, 1e13), (2, 7, "llm", 0.1, START, 1e13), (3, 7, "llm", 0.2, START, 1e13)]
+    df = spark.createDataFrame(rows, "id int, user int, transaction_type string, amount double, at timestamp, monthly_limit double")
+    path = folder(spark)
+    write_batches(df, path, "id", 3)
+    out = jobs.run_to_files(jobs.stream_budget(source(spark, df, path), "user", "at", "id"), folder(spark))
+    assert {r["id"]: (r["spent_before"], r["verdict"]) for r in out.collect()} == {
+        1: (0.0, "budget_ok"), 2: (3e12, "budget_ok"), 3: (3000000000000.1, "budget_ok"),
+    }
+
+
 def test_decisions_follow_the_policy_of_their_batch(spark):
     rows = [(i, "chat", "ingress", "t", "p") for i in range(4)]
     df = spark.createDataFrame(rows, "id int, tool string, direction string, raw_text string, policy_key string")
