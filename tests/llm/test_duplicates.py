@@ -5,10 +5,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from quillguard.llm import decontaminate, passages, simhash
+import corpus_pipeline
+from quillguard.llm import decontaminate, near_copies, passages, simhash
 from quillguard.llm.components import connected_components
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,3 +137,47 @@ def test_decontamination(spark, odd, odd_rows, none):
 def test_kept_digest(odd):
     row = passages.drop_repeats(odd).select("text", F.sha2("text", 256).alias("s")).filter("text <> ''").first()
     assert row.s == hashlib.sha256(row.text.encode()).hexdigest()
+
+
+def test_near_copies(spark, odd, odd_rows, none):
+    rng = np.random.default_rng(8)
+    rows = [(r[0] + 1, r[1]) for r in odd_rows]
+    boiler = [f"b{i}" for i in range(25)]
+    for group in range(12):  # copies with some words changed, about the similarity asked for
+        base = [f"g{group}w{x}" for x in rng.integers(0, 400, 120)] + boiler
+        for _ in range(12):
+            words = list(base)
+            for at in rng.choice(len(words), rng.integers(0, 8), replace=False):
+                words[at] = f"new{rng.integers(10**9)}"
+            rows.append((100_000 + len(rows), " ".join(words)))
+    rows += [(200_000 + i, " ".join([f"u{i}x{j}" for j in range(30)] + boiler)) for i in range(40)]
+
+    def shingles(text):
+        w = BLANK.findall(lowered(text))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, k) for i in range(len(rows)) for k in range(i) if rows[i][0] == rows[k][0] or 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k])]
+    near = [(i, k) for i, k in links if sets[i] != sets[k]]
+    prints = [fingerprint(t) for _, t in rows]
+    assert sum((prints[i] ^ prints[k]).bit_count() > 3 for i, k in near) > 50  # out of reach of op3's radius
+    least = {}
+    for r, g in zip(rows, groups(len(rows), links)):
+        least[g] = min(least.get(g, 10**9), r[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == sorted(set(least.values()))
+    stay = near_copies.representatives(odd)
+    assert stay.columns == odd.columns and near_copies.representatives(none).count() == 0
+
+
+def test_pairs_of_buckets(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = sorted((int(rng.integers(-9, 9)) ** 3, n, i, int(rng.integers(0, n // 5 + 1)), i % 7) for i, n in enumerate(rng.integers(20, 60, 300).tolist()))
+    want = {(min(x[2], y[2]), max(x[2], y[2])) for x in rows for y in rows if x[0] == y[0] and x[4] != y[4] and 9 * min(x[1] - x[3], y[1] - y[3]) >= 4 * (x[1] + y[1])}
+    columns = ("s", "n", "id", "at", "component")
+    batches = [pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in rows[i : i + 7]]) for i in range(0, len(rows), 7)]
+    for tile, part in ((1 << 16, 1 << 16), (10, 4)):
+        monkeypatch.setattr(near_copies, "TILE", tile)
+        monkeypatch.setattr(near_copies, "PAIRS", part)
+        got = [p for b in near_copies._pair_stream(iter(batches)) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())]
+        assert set(got) == want
