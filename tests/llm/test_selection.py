@@ -1,5 +1,6 @@
 """Quality rules, shards, licences, resampling and the registered queries."""
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -73,6 +74,34 @@ def test_license_scan(spark, none, small):
     assert joined.filter("p <> (n_license > 0)").count() == 0
 
 
+LICENSED = {
+    "gpl": ["Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "Distributed under GPLv2"],
+    "lgpl": ["You can use it under the GNU Lesser General Public License, version 2.1.", "Licensed under LGPL-3.0"],
+    "bsd": ["Licensed under the BSD License.", "Available under the 2-clause BSD license"],
+    "mit": ["This code is distributed under the MIT license.", "SPDX-License-Identifier: MIT"],
+    "apache": ["Licensed under Apache 2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "mpl": ["Covered by the Mozilla Public License, v. 2.0"],
+    "cc-by": ["The text is available under CC BY 4.0"],
+    "cc-by-sa": ["Published under a Creative Commons Attribution-ShareAlike 3.0 license"],
+    "unknown": ["Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-ND 4.0.", "Licensed under the GNU Affero General Public License, version 3.", "Licensed under MIT-0"],
+    "apache,mit": ["Licensed under either of the Apache License or the MIT license."],
+    "": ["ein Haus mit Garten und mit Hund", "she studied the apache people and their land"],
+}
+
+
+@pytest.mark.parametrize("families", sorted(LICENSED))
+def test_license_names(families):
+    model = _model()
+    for line in LICENSED[families]:
+        found = licenses.classify(model, [[line]])[0][0]
+        assert ",".join(f for f in found if f != "none") == families, line
+
+
+@functools.cache
+def _model():
+    return licenses.train(["the house stands by the river and the garden is green", "ein Haus mit Garten", "one of the old towns of the land"] * 20)
+
+
 def test_log_ratios_see_what_the_target_lacks():
     raw, target = np.full(1000, 400), np.full(1000, 100)
     target[3], target[4] = 0, 300
