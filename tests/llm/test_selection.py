@@ -102,6 +102,23 @@ def _model():
     return licenses.train(["the house stands by the river and the garden is green", "ein Haus mit Garten", "one of the old towns of the land"] * 20)
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+    "gpl": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3",
+    "lgpl": "it under the terms of the GNU Lesser\nGeneral Public License as published",
+}
+
+
+@pytest.mark.parametrize("family", sorted(WRAPPED))
+def test_wrapped_notices(family):
+    model = _model()
+    found = {f for part in licenses.blocks(WRAPPED[family]) for fs, _ in licenses.classify(model, [part]) for f in fs}
+    assert found - {"none", "unknown"} == {family}
+    apart = licenses.classify(model, licenses.blocks("under the terms of the GNU Lesser\n\nGeneral Public License"))
+    assert apart[1][0] == ["gpl"]
+
+
 def test_log_ratios_see_what_the_target_lacks():
     raw, target = np.full(1000, 400), np.full(1000, 100)
     target[3], target[4] = 0, 300
