@@ -54,6 +54,11 @@ def _known_windows(words: Column, n: int, known: list[int]) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), _gram(words, i, n).alias("gram")))
 
 
+def _row_key() -> Column:
+    """The hash that a row of documents is known by, whatever the type of its doc_id."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key")
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, n, gram, hash: distinct windows of the items. An item of fewer words is one window;
     one without words has none. Repeated items count once, a null item_id is dropped."""
@@ -78,7 +83,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     windows = written(benchmark_windows(benchmark, window), f"{work}/windows")
     sizes = {r.n: r.k for r in windows.groupBy("n").agg(F.count_distinct("hash").alias("k")).collect()}  # at most ten
     small = sum(sizes.values()) <= max_set
-    base = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), words_of(F.col("text")).alias("w"))
+    base = docs.select(F.col("doc_id").cast("long"), _row_key(), words_of(F.col("text")).alias("w"))
     if small:
         hashes = {n: [r.hash for r in windows.filter(F.col("n") == n).select("hash").distinct().collect()] for n in sizes}
 
@@ -131,7 +136,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """``docs`` without what the benchmark holds: whole ``documents`` with a hit, or the hit ``spans``,
     each with the characters after its words; other characters stay. All columns are kept."""
     found = contamination(docs, benchmark, window).filter("contaminated").select("row_key", "spans").dropDuplicates(["row_key"])
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _row_key())
     if mode == "documents":
         return keyed.join(found.select("row_key"), "row_key", "left_anti").select("doc.*")
     if mode != "spans":

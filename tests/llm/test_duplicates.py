@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -134,6 +135,14 @@ def test_decontamination(spark, odd, odd_rows, none):
     assert decontaminate.contamination(none, benchmark).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_decontamination_of_other_ids(spark, kind):
+    docs = spark.createDataFrame([(1, "a clean text"), (2, "one two three")], "doc_id long, text string")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+    benchmark = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    assert [r.text for r in decontaminate.decontaminate(docs, benchmark).collect()] == ["a clean text"]
+
+
 def test_kept_digest(odd):
     row = passages.drop_repeats(odd).select("text", F.sha2("text", 256).alias("s")).filter("text <> ''").first()
     assert row.s == hashlib.sha256(row.text.encode()).hexdigest()
