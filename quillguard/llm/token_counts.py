@@ -139,10 +139,9 @@ class TextCounts:
             plain, other = [w for w, f in zip(words, fit) if f], [w for w, f in zip(words, fit) if not f]
         if plain:
             parts = _PLAIN_PARTS.findall("\0".join(plain).lower()) + ["\0"]
-            self.part_kept["\0"] = 0  # only parts the words
-            self._count_parts(parts)
-            counts = np.fromiter(map(self.part_kept.__getitem__, parts), np.int64, len(parts))
-            closing = np.fromiter((p == "\0" for p in parts), bool, len(parts))
+            closing = np.fromiter((p == "\0" for p in parts), bool, len(parts))  # only parts the words
+            self._count_parts([p for p in parts if p != "\0"])
+            counts = np.fromiter((0 if p == "\0" else self.part_kept[p] for p in parts), np.int64, len(parts))
             totals = np.cumsum(counts)[closing]
             self.kept.update(zip(plain, np.diff(totals, prepend=0).tolist()))
         split = [self._parts_of(w) for w in other]

@@ -77,12 +77,13 @@ class TextIds:
         new = [p for p in dict.fromkeys(pieces) if p not in self.slot]
         if new:
             plain, other = self._sorted_out(new)
+            coded = [self.tokenizer.encode(piece, add_special_tokens=False).ids for piece in other]
             first = len(self.slot)
-            self.slot.update(zip(plain + other, range(first, first + len(new))))
             if plain:
                 self._add_plain(plain)
-            for piece in other:
-                self._add(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            for ids in coded:
+                self._add(ids)
+            self.slot.update(zip(plain + other, range(first, first + len(new))))
         return np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
 
     def _sorted_out(self, pieces: list[str]) -> tuple[list[str], list[str]]:
@@ -103,13 +104,10 @@ class TextIds:
         parts.append("\0")
         known = self.part_slot
         new = [p for p in dict.fromkeys(parts) if p not in known]
-        spelled = "\0".join(new).encode().decode("latin-1").translate(self.letters).split("\0") if new != ["\0"] else ["", ""]
-        if "\0" in new:  # it is kept with no ids
-            at = new.index("\0")
-            del spelled[at + 1]
-        known.update(zip(new, range(len(known), len(known) + len(new))))
+        spelled = iter("\0".join([p for p in new if p != "\0"]).encode().decode("latin-1").translate(self.letters).split("\0"))
         tokenize = self.model.tokenize
-        coded = [[t.id for t in tokenize(p)] if p else [] for p in spelled]
+        coded = [[] if p == "\0" else [t.id for t in tokenize(next(spelled))] for p in new]  # "\0" ends a piece and has no ids
+        known.update(zip(new, range(len(known), len(known) + len(new))))
         self.part_ids.extend([i for ids in coded for i in ids])
         self.part_ends.extend(self.part_ends.seen()[-1] + np.cumsum([len(ids) for ids in coded]))
         slot = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))

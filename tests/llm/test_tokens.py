@@ -5,6 +5,9 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -24,8 +27,6 @@ def library(path, text, end=()):
 @settings(max_examples=300, deadline=None)
 @given(texts=st.lists(st.text(alphabet="ab theTHE \n\t'sé1.<|Z\xa0́　!\0", max_size=40), min_size=1, max_size=4))
 def test_ids_equal_the_library(texts):
-    import pyarrow as pa
-
     for path, split in ((WORD, "word"), (BYTE, "space")):
         ids, counts = _cached(path, split).batch(pa.array(texts, pa.string()), None)
         tk = _library(path)
@@ -114,3 +115,17 @@ def test_packing(odd, odd_rows, none):
 def test_checksum_is_of_little_endian_words(odd):
     row = packing.pack_documents(odd, BYTE, end_id=2).select("ids", F.crc32("ids").alias("c")).first()
     assert row.c == zlib.crc32(bytes(row.ids))
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 5, 8, 200])
+def test_ids_do_not_depend_on_batches(small, rows):
+    """A long-lived encoder that is fed a few rows at a time, among them pieces of known parts only."""
+    texts = ["a 1", "a1", "b", "1a", "1", *pq.read_table(f"{small}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for path, split in ((WORD, "word"), (BYTE, "space")):
+        coder, tk = TextIds(path, split), _library(path)
+        for at in range(0, len(texts), rows):
+            part = texts[at : at + rows]
+            ids, counts = coder.batch(pa.array(part, pa.string()), None)
+            want = [tk.encode(t or "", add_special_tokens=False).ids for t in part]
+            assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == want
+        assert coder.ends.n == len(coder.slot) + 1 and coder.part_ends.n == len(coder.part_slot) + 1
