@@ -147,7 +147,7 @@ def test_kth_largest(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_and_counterpart(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     got = queries.QUERIES[name](spark, small)
     columns = sorted(got.columns)
