@@ -23,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Distinct words folded ahead, and the bytes that such a word may have.
-KEPT_WORDS = 1 << 16
+KEPT_WORDS = 56_000
 KEPT_BYTES = 24
 
 _BYTES = "ISO-8859-1"  # one character for each byte
 _OPEN, _CLOSE = "Ł", "ł"  # marks around a piece, beyond all bytes
+_END = "Ā"  # ends a key
 _HASH_SEED = 42  # that of Spark's function
 
 
@@ -50,51 +51,44 @@ def _bound(value: Column, use) -> Column:
 class LiteralMap:
     """Look-ups in a literal map of distinct byte strings to byte strings, null for any other key.
 
-    The entries are records of one width in one binary literal; a key stands at one of the two places
-    that its hash names. A map literal would be searched key by key, and one of many values takes long
-    to print and to send to each task. Keys above ``widest`` bytes, few, are records of their own width.
+    The entries are records of one width, a power of two, in one binary literal; a key stands at one of
+    the two places that its hash names. A map literal would be searched key by key, and one of many
+    values takes long to print and to send to each task. Expressions in lambdas are interpreted, so a
+    look-up has few. Keys above ``widest`` bytes, few, are records of their own width.
     """
 
     def __init__(self, name: str, entries: dict[bytes, bytes], widest: int):
-        short = {k: v for k, v in entries.items() if len(k) <= widest}
+        short = {k + _END.encode(): v for k, v in entries.items() if len(k) <= widest}
         long = {k: v for k, v in entries.items() if len(k) > widest}
-        if any(not 0 < len(k) <= 256 for k in entries):
-            raise ValueError("keys have 1 to 256 bytes")
         self._rest = LiteralMap(f"{name}_long", long, max(map(len, long))) if long else None
-        self._keys, self._values = max(map(len, short), default=0), max(map(len, short.values()), default=1)
-        self._slots, placed = _places(list(short))
-        records = [bytes([len(k) % 256]) + k.ljust(self._keys, b"\0") + short[k].ljust(self._values) if k is not None else b"\xff" * (1 + self._keys + self._values) for k in placed]
-        self._width, self._name = 1 + self._keys + self._values, name
-        self.tables = {name: F.lit(bytearray(b"".join(records))), "bytes": F.lit(bytearray(range(256)))}
+        self._name, self._keys, self._values = name, max(map(len, short), default=0), max(map(len, short.values()), default=1)
+        width = (self._keys + self._values - 1).bit_length()
+        self._mask, placed = _places(list(short), width)
+        records = [b"" if k is None else k.ljust(self._keys, b"\xff") + short[k].ljust(self._values) for k in placed]
+        self.tables = {name: F.lit(bytearray(b"".join(r.ljust(1 << width, b"\xff") for r in records)))}
         if self._rest:
             self.tables |= self._rest.tables
 
     def value(self, tables: Column, key: Column) -> Column:
-        """The value of a binary key, padded with spaces; ``key`` should cost little."""
-        size = F.octet_length(key)
-        probe = F.concat(F.substring(tables["bytes"], size % 256 + 1, F.lit(1)), key)
-
-        def read(hashed: Column) -> Column:
-            places = [(F.pmod(x, F.lit(self._slots)) * self._width).cast("int") for x in (hashed, F.shiftright(hashed, 32))]
-            found = F.lit(None).cast("binary")
-            for at in reversed(places):
-                found = F.when(F.substring(tables[self._name], at + 1, size + 1) == probe, F.substring(tables[self._name], at + (2 + self._keys), F.lit(self._values))).otherwise(found)
-            return found
-
-        short = F.when(size <= self._keys, _bound(F.xxhash64(key), read))
-        return short if self._rest is None else F.coalesce(short, F.when(size > self._keys, self._rest.value(tables, key)))
-
-
-def _places(keys: list[bytes]) -> tuple[int, list[bytes | None]]:
-    """A number of slots, and the key of each: every key is at one of the two that its hash names."""
-    slots = 5 * len(keys) // 2 + 8
+        """The value, padded with spaces, of a key that is followed by ``_END``; ``key`` should cost little."""
+        hashed, size, spelled = F.xxhash64(key), F.octet_length(key), key.cast("binary")
+        found = F
+        for bits in (hashed, F.shiftright(hashed, 32)):
+            at = bits.bitwiseAND(F.lit(self._mask)).cast("int")
+            found = found.when(F.substring(tables[self._name], at + 1, size) == spelled, F.substring(tables[self._name], at + (1 + self._keys), F.lit(self._values)))
+        return found if self._rest is None else F.when(size <= self._keys, found).otherwise(self._rest.value(tables, key))
+
+
+def _places(keys: list[bytes], width: int) -> tuple[int, list[bytes | None]]:
+    """A mask that makes a hash the place of a record of 2^``width`` bytes, and the key of each record."""
+    slots = 1 << max(1, 9 * len(keys) // 4).bit_length()
     while True:
         at: list[int | None] = [None] * slots
-        signed = [h - (h >> 63 << 64) for h in (xxhash.xxh64_intdigest(k, _HASH_SEED) for k in keys)]
-        homes = [(h % slots, (h >> 32) % slots) for h in signed]
-        if all(_put(at, homes, i) for i in range(len(keys))):
-            return slots, [None if i is None else keys[i] for i in at]
-        slots += slots // 2
+        hashes = [xxhash.xxh64_intdigest(k, _HASH_SEED) for k in keys]
+        homes = [(h >> width & (slots - 1), h >> 32 + width & (slots - 1)) for h in hashes]
+        if 32 + width + slots.bit_length() < 64 and all(_put(at, homes, i) for i in range(len(keys))):
+            return slots - 1 << width, [None if i is None else keys[i] for i in at]
+        slots *= 2
 
 
 def _put(at: list[int | None], homes: list[tuple[int, int]], i: int) -> bool:
@@ -107,6 +101,10 @@ def _put(at: list[int | None], homes: list[tuple[int, int]], i: int) -> bool:
     return False
 
 
+def _ended(word: Column) -> Column:
+    return F.concat(word, F.lit(_END))
+
+
 def _using(maps: list[LiteralMap], use) -> Column:
     """``use`` of a struct of the maps' tables. Each is in the plan once, however often it is looked up:
     plans are printed, and sent to every task."""
@@ -128,8 +126,8 @@ class Vocabulary:
         self._by_id = F.from_json(F.lit(json.dumps(by_id)), "array<string>")
 
     def _rank(self, tables: Column, piece: Column) -> Column:
-        """The rank in decimal, all with as many digits; null for what is no piece."""
-        return self._ranks.value(tables, piece.cast("binary")).cast("string")
+        """The rank of what is followed by ``_END``, in decimal, all with as many digits; null for what is no piece."""
+        return self._ranks.value(tables, piece).cast("string")
 
     def _fold(self, tables: Column, word: Column) -> Column:
         """Ids of a word that is given with one character for each byte, in decimal and joined by one space."""
@@ -142,7 +140,7 @@ class Vocabulary:
 
             def of_pieces(own: Column) -> Column:
                 n = F.size(own) - 1
-                pairs = F.zip_with(F.slice(own, F.lit(1), n), F.slice(own, F.lit(2), n), lambda a, b: F.concat(a, b))
+                pairs = F.zip_with(F.slice(own, F.lit(1), n), F.slice(own, F.lit(2), n), lambda a, b: F.concat(a, b, F.lit(_END)))
 
                 def at_lowest(ranks: Column) -> Column:
                     i = F.array_position(ranks, F.array_min(ranks)).cast("int")
@@ -159,7 +157,7 @@ class Vocabulary:
             return F.when(state["now"] == state["before"], state).otherwise(F.struct(joined(state["now"]).alias("now"), state["now"].alias("before")))
 
         start = F.struct(F.regexp_replace(word, "(?s)(.)", f"{_OPEN}$1{_CLOSE}").alias("now"), F.lit("").alias("before"))
-        ids = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda state: F.transform(pieces(state["now"]), lambda piece: self._rank(tables, piece)))
+        ids = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda state: F.transform(F.transform(pieces(state["now"]), _ended), lambda piece: self._rank(tables, piece)))
         return F.array_join(ids, " ")
 
     def _words_of(self, text: Column) -> Column:
@@ -173,9 +171,9 @@ class Vocabulary:
 
         def of_words(t: Column) -> Column:
             def of_word(w: Column) -> Column:
-                return F.coalesce(F.rtrim(kept.value(t, w.cast("binary")).cast("string")), self._rank(t, w), self._fold(t, w))
+                return F.coalesce(self._rank(t, w), F.rtrim(kept.value(t, w).cast("string")), self._fold(t, F.substring(w, F.lit(1), F.length(w) - 1)))
 
-            return F.array_join(F.transform(self._words_of(text), of_word), " ")
+            return F.array_join(F.transform(F.transform(self._words_of(text), _ended), of_word), " ")
 
         numbers = F.split(_using([self._ranks, kept], of_words), " ")
         return F.transform(F.filter(numbers, lambda i: i != ""), lambda i: i.cast("int"))
@@ -189,7 +187,7 @@ class Vocabulary:
         words of at most ``KEPT_BYTES`` bytes."""
 
         def new(t: Column) -> Column:
-            return F.filter(self._words_of(F.col("text")), lambda w: (F.length(w) <= KEPT_BYTES) & self._rank(t, w).isNull())
+            return F.filter(self._words_of(F.col("text")), lambda w: (F.length(w) <= KEPT_BYTES) & self._rank(t, _ended(w)).isNull())
 
         counted = docs.select(F.explode(_using([self._ranks], new)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         first = counted.orderBy(F.desc("n"), "word").limit(most).select("word")
