@@ -4,30 +4,48 @@ decontamination, packing. Each stage works on all rows that the one before it ke
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillguard.llm import decontaminate, near_copies, packing, passages, quality_rules
+from quillguard.llm import decontaminate, packing, passages, quality_rules, simhash
 from quillguard.llm.common import work_dir, written
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as ``rest``: operators may then add columns of any name."""
+    return docs.select("doc_id", "text", F.struct(F.lit(None).alias(""), *[c for c in _quoted(docs) if c not in ("`doc_id`", "`text`")]).alias("rest"))
+
+
+def _quoted(docs: DataFrame) -> list[str]:
+    return ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+
+
+def _together(rows: DataFrame, docs: DataFrame, **made: Column) -> DataFrame:
+    """The columns of ``docs``, those in ``made`` anew."""
+    own = {"`doc_id`": F.col("doc_id"), "`text`": F.col("text")}
+    return rows.select(*[made.get(c, own.get(quoted, F.col(f"rest.{quoted}"))).alias(c) for c, quoted in zip(docs.columns, _quoted(docs))])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality_rules.assess(docs).filter("quality.kept").select(*docs.columns)
+    return _together(quality_rules.assess(_apart(docs)).filter("quality.kept"), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, Jaccard similarity of 0.8 or
-    more), the one of the smallest doc_id."""
-    return near_copies.representatives(docs)
+    """One document of each group whose fingerprints over 3-word shingles link at three bits or fewer,
+    the one of the smallest doc_id."""
+    return simhash.representatives(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of earlier documents, n_chars to match; documents that lose all
-    their words go."""
-    cut = passages.drop_repeats(docs, keep_spacing=True).filter("n_removed = 0 OR n_removed < n_words")
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", length).select(*docs.columns)
+    """Texts without the passages of earlier documents, n_chars to match where there is such a column;
+    documents that lose all their words go."""
+    cut = passages.drop_repeats(_apart(docs), keep_spacing=True).filter("n_removed = 0 OR n_removed < n_words")
+    made = {}
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("rest.n_chars"))
+    return _together(cut, docs, **made)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +66,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# Fingerprints, components and tokens are beyond SQL; the tests compare with a brute-force run.
+# Fingerprints, components and tokens are beyond SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
