@@ -316,4 +316,4 @@ def representatives(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     heads = found.filter("doc_id = component_id").select("doc_id").distinct()
     stay = docs.filter("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    return stay.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns]).union(docs.filter("doc_id IS NULL"))

@@ -10,7 +10,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quillguard.llm import kd_shards, licenses, quality_rules, queries, resampling
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -155,15 +154,3 @@ def test_query_and_counterpart(spark, small, name):
     names = [d[0] for d in result.description]
     theirs = sorted(tuple(r[names.index(c)] for c in columns) for r in result.fetchall())
     assert sorted(map(tuple, got.select(*columns).collect())) == theirs
-
-
-def test_pipeline_stages(spark, small, tmp_path):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, docs, small).write.parquet(f"{tmp_path}/{i}")
-        docs = spark.read.parquet(f"{tmp_path}/{i}")
-        if i < 4:
-            assert docs.columns == columns and 0 < docs.count() <= before
-            before = docs.count()
-    assert docs.select("doc_id").distinct().count() == before
