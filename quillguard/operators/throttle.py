@@ -24,7 +24,7 @@ DEFAULT_DAILY_LIMIT = 1000
 DEFAULT_MONTHLY_LIMIT = 30000
 
 # The place of rows without a time, before all others.
-_NO_TIME = -(1 << 62)
+NO_TIME = -(1 << 62)
 
 
 def throttle_key(endpoint: Column, user: Column, api_key: Column) -> Column:
@@ -37,7 +37,7 @@ def _slotted(log: DataFrame, key: str, ts_col: str, width: int) -> DataFrame:
     """Rows by time slots as long as the window, each row (``_lag`` 0) beside a copy of its key and
     time in the slot after (``_lag`` 1): the window before a row lies within its slot. A hot key is
     thus spread over its slots. Rows without a time share a slot of their own."""
-    at = F.coalesce(micros(log, ts_col), F.lit(_NO_TIME))
+    at = F.coalesce(micros(log, ts_col), F.lit(NO_TIME))
     own = F.col("_lag") == 0
     both = log.withColumns({"_us": at, "_lag": F.explode(F.array(F.lit(0), F.lit(1)))})
     slot = F.expr(f"(_us - pmod(_us, {width}L)) div {width}L + _lag")
@@ -75,7 +75,7 @@ def throttle_attempts(
         return log.withColumns({"prior": F.lit(0).cast("bigint"), "allowed": F.lit(False)})
     width = int(window_s * 1_000_000)
     counted = _prior(_slotted(log, key, ts_col, width), key, id_col, width).filter("_lag = 0")
-    prior = F.when(F.col("_us") != _NO_TIME, F.col("prior"))
+    prior = F.when(F.col("_us") != NO_TIME, F.col("prior"))
     allowed = F.lit(limit > 0) & F.coalesce(prior < limit, F.lit(False))
     return counted.select(*log.columns, prior.alias("prior"), allowed.alias("allowed"))
 
@@ -109,7 +109,7 @@ def throttle_admitted(
         .withColumn("_run", F.coalesce("_run", "_slot"))
         .drop("_first", "_slot")
     )
-    allowed = F.col("allowed") & (F.col("_us") != _NO_TIME)
+    allowed = F.col("allowed") & (F.col("_us") != NO_TIME)
     judged = _judge(placed, key, id_col, limit, width).filter("_lag = 0")
     return judged.select(*log.columns, allowed.alias("allowed"))
 

@@ -1,8 +1,9 @@
 """Structured Streaming jobs: decisions, throttling, budgets, counts, deduplication and sinks.
 
-Stateless steps reuse the batch operators. The two jobs with order-dependent state keep a bounded
-record per key in the state store and judge the rows of a micro-batch in time order; the trigger's
-input limits (files or offsets per batch) bound what one key can bring at once.
+Stateless steps reuse the batch operators. The two jobs with order-dependent state are stateful
+processors: values and lists per key in the state store, dropped when their time to live is over. They
+judge the rows of a micro-batch in time order, and hold a few numbers for each of a key's rows; the
+trigger's input limits (files or offsets per batch) bound how many one key can bring at once.
 """
 
 from __future__ import annotations
@@ -16,19 +17,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from quillguard.functions.money import MONEY, MONEY_DECIMALS
 from quillguard.functions.shipping import ship
 from quillguard.functions.times import micros
 from quillguard.operators import analytics
 from quillguard.operators.decide import check_pass
-from quillguard.operators.throttle import admit_stretch
+from quillguard.operators.throttle import NO_TIME, admit_stretch
 from quillguard.sources import sinks
 
 # Fixed value: throttle state of a key is dropped after this long without a row.
 IDLE_MS = 3_600_000
 
+# Longer than any month.
+MONTH_MS = 32 * 86_400_000
+
+# Rows that a stateful job sends on at once.
+PART_ROWS = 50_000
+
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # The budget of a user who has none, and the warning level.
 _DEFAULT_LIMIT = 10.0
 _WARNING_SHARE = 0.9
@@ -50,99 +59,134 @@ def stream_decisions(
     return requests.writeStream.foreachBatch(judge)
 
 
+class _Ordered(StatefulProcessor):
+    """Judges the rows of a key in time order. Parts of a micro-batch are read one by one; of each only
+    the numbers that are judged by are kept, and the rows come out again in parts of ``PART_ROWS``."""
+
+    def __init__(self, key: str, numbers: Sequence[str], idle_ms: int | None):
+        self.key, self.numbers, self.idle_ms = key, tuple(numbers), idle_ms
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        parts: dict[str, list[np.ndarray]] = {c: [] for c in ("id", *self.numbers)}
+        for part in rows:
+            for c, held in parts.items():
+                held.append(part[c].to_numpy())
+        held = {c: np.concatenate(parts.pop(c)) for c in tuple(parts)}
+        ids = held["id"]
+        places = pd.factorize(ids, sort=True)[0] if ids.dtype == object else ids
+        order = np.lexsort((places, held[self.numbers[0]]))
+        for c in tuple(held):
+            held[c] = held[c][order]
+        judged = self.judge({c: held[c] for c in self.numbers})
+        for at in range(0, len(order), PART_ROWS):
+            part = slice(at, at + PART_ROWS)
+            n = len(held["id"][part])
+            yield pd.DataFrame({self.key: [key[0]] * n, "id": held["id"][part], **{c: v[part] for c, v in judged.items()}})
+
+    def judge(self, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """New columns for rows in time order; brings the state up to date."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _Throttle(_Ordered):
+    def __init__(self, key: str, limit: int, window_s: int, idle_ms: int | None):
+        super().__init__(key, ["us"], idle_ms)
+        self.limit, self.width = limit, int(window_s * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "at bigint", self.idle_ms)
+
+    def judge(self, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        times = rows["us"]
+        allowed = np.zeros(len(times), bool)
+        timed = times != NO_TIME
+        if self.limit > 0 and self.width > 0 and timed.any():
+            recent = deque(at for (at,) in self.recent.get()) if self.recent.exists() else deque()
+            allowed[timed] = admit_stretch(times[timed], recent, self.limit, self.width)
+            self.recent.put([(at,) for at in recent])
+        return {"us": times, "allowed": allowed}
+
+
+class _Budget(_Ordered):
+    def __init__(self, user: str, idle_ms: int | None):
+        super().__init__(user, ["us", "month", "whole", "part", "monthly_limit"], idle_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.spent = handle.getValueState("spent", "month bigint, whole bigint, part bigint", self.idle_ms)
+
+    def judge(self, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        unit = 10**MONEY_DECIMALS
+        month, *kept = self.spent.get() if self.spent.exists() else (-1, 0, 0)
+        months = rows["month"]
+        latest = np.maximum.accumulate(np.maximum(months, month))  # the month that is current at each row
+        current = months == latest
+        before, after = [], []
+        for own, held in zip((rows["whole"], rows["part"]), kept):
+            sums = pd.Series(np.where(current, own, 0)).groupby(latest).cumsum().to_numpy()
+            before.append(np.where(current, np.where(latest == month, held, 0) + sums - own, 0))
+            after.append(before[-1] + own)
+        projected, limits = _as_float(*after), rows["monthly_limit"]
+        verdicts = np.select([projected > limits, projected > _WARNING_SHARE * limits], ["budget_exceeded", "budget_warning"], "budget_ok")
+        if latest[-1] != month:
+            month, kept = int(latest[-1]), (0, 0)
+        of_month = current & (latest == month)
+        total = [held + int(rows[c][of_month].sum()) for c, held in zip(("whole", "part"), kept)]
+        self.spent.update((month, total[0] + total[1] // unit, total[1] % unit))
+        return {"spent_before": _as_float(*before), "verdict": verdicts}
+
+
+def _with_state(rows: DataFrame, key: str, processor: _Ordered, columns: str) -> DataFrame:
+    """Run ``processor`` for each key of a stream. Lists and times to live need the store that keeps
+    state on disk; it is set for the session's queries that start from here on."""
+    ship(rows.sparkSession)
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    key_type, id_type = (rows.schema[c].dataType.simpleString() for c in (key, "id"))
+    schema = f"`{key}` {key_type}, id {id_type}, {columns}"
+    time_mode = "None" if processor.idle_ms is None else "ProcessingTime"
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time_mode)
+
+
 def stream_throttle(
     log: DataFrame, key: str, ts_col: str, id_col: str, limit: int, window_s: int, idle_ms: int | None = IDLE_MS
 ) -> DataFrame:
-    """Throttle by admitted rows. State per key: the last ``limit`` admissions. Rows of a batch are
-    judged in time order; a row older than those of earlier batches meets the state as it is.
+    """Throttle by admitted rows. State per key: a list of the last ``limit`` admissions. Rows of a batch
+    are judged in time order; a row older than those of earlier batches meets the state as it is, one
+    without a time is not allowed.
 
-    The state of a key without rows for ``idle_ms``, or a whole window if that is longer, is
-    dropped. Processing-time timers keep a query alive, so pass None where the query should end by
-    itself (``availableNow``).
+    The list lives ``idle_ms``, or a whole window if that is longer, from its last change. Times to live
+    keep a query alive, so pass None where the query should end by itself (``availableNow``).
     """
-    ship(log.sparkSession)
-    width = int(window_s * 1_000_000)
-    narrow = log.select(key, F.col(id_col).alias("id"), micros(log, ts_col).alias("us"))
-
-    def judge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values(["us", "id"], kind="stable")
-        times = rows["us"].to_numpy()
-        if limit > 0 and window_s > 0:
-            allowed = admit_stretch(times, recent, limit, width)
-        else:
-            allowed = [False] * len(rows)
-        state.update((list(recent),))
-        if idle_ms is not None:
-            state.setTimeoutDuration(max(idle_ms, window_s * 1000))
-        yield rows.assign(allowed=allowed)[[key, "id", "us", "allowed"]]
-
-    key_type = log.schema[key].dataType.simpleString()
-    id_type = log.schema[id_col].dataType.simpleString()
-    return narrow.groupBy(key).applyInPandasWithState(
-        judge,
-        f"{key} {key_type}, id {id_type}, us bigint, allowed boolean",
-        "recent array<bigint>",
-        "append",
-        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
-    )
+    narrow = log.select(key, F.col(id_col).alias("id"), F.coalesce(micros(log, ts_col), F.lit(NO_TIME)).alias("us"))
+    alive = None if idle_ms is None else max(idle_ms, int(window_s * 1000))
+    judged = _with_state(narrow, key, _Throttle(key, limit, window_s, alive), "us bigint, allowed boolean")
+    return judged.withColumn("us", F.when(F.col("us") != NO_TIME, F.col("us")))
 
 
-def stream_budget(transactions: DataFrame, user: str, time_col: str, id_col: str) -> DataFrame:
+def stream_budget(transactions: DataFrame, user: str, time_col: str, id_col: str, idle_ms: int | None = None) -> DataFrame:
     """Running spend of the month per user, and what a budget check says when each row arrives.
 
     Needs ``amount`` and ``monthly_limit``. State per user: the current month and its spend, as whole
-    and decimal parts in integers, so that sums are exact over the range of ``MONEY``. A row of an earlier month is judged against
-    nothing spent and leaves the current month alone.
+    and decimal parts in integers, so that sums are exact over the range of ``MONEY``. A row of an earlier
+    month is judged against nothing spent and leaves the current month alone; one without a time counts
+    for month 0. With ``idle_ms`` the state of a user without rows for so long is dropped; let it be
+    longer than a month (``MONTH_MS``). Times to live keep a query alive, as for ``stream_throttle``.
     """
-    ship(transactions.sparkSession)
     unit = 10**MONEY_DECIMALS
     exact = F.coalesce(F.col("amount").cast(MONEY), F.lit(0).cast(MONEY))
     whole = F.floor(exact)
     narrow = transactions.select(
         user,
         F.col(id_col).alias("id"),
-        micros(transactions, time_col).alias("us"),
-        (F.year(time_col) * 12 + F.month(time_col) - 1).alias("month"),
+        F.coalesce(micros(transactions, time_col), F.lit(NO_TIME)).alias("us"),
+        F.coalesce(F.year(time_col) * 12 + F.month(time_col) - 1, F.lit(0)).cast("bigint").alias("month"),
         whole.cast("bigint").alias("whole"),
         ((exact - whole) * F.lit(unit)).cast("bigint").alias("part"),
         F.coalesce("monthly_limit", F.lit(_DEFAULT_LIMIT)).alias("monthly_limit"),
     )
-
-    def judge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        month, *kept = state.get if state.exists else (-1, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["us", "id"], kind="stable")
-        months = rows["month"].to_numpy()
-        latest = np.maximum.accumulate(np.maximum(months, month))  # the month that is current at each row
-        current = months == latest
-        before, after = [], []
-        for own, held in zip((rows["whole"].to_numpy(), rows["part"].to_numpy()), kept):
-            sums = pd.Series(np.where(current, own, 0)).groupby(latest).cumsum().to_numpy()
-            before.append(np.where(current, np.where(latest == month, held, 0) + sums - own, 0))
-            after.append(before[-1] + own)
-        projected, limits = _as_float(*after), rows["monthly_limit"].to_numpy()
-        verdicts = np.select(
-            [projected > limits, projected > _WARNING_SHARE * limits], ["budget_exceeded", "budget_warning"], "budget_ok"
-        )
-        if latest[-1] != month:
-            month, kept = int(latest[-1]), (0, 0)
-        of_month = current & (latest == month)
-        total = [held + int(rows[c].to_numpy()[of_month].sum()) for c, held in zip(("whole", "part"), kept)]
-        state.update((month, total[0] + total[1] // unit, total[1] % unit))
-        yield rows.assign(spent_before=_as_float(*before), verdict=verdicts)[[user, "id", "spent_before", "verdict"]]
-
-    user_type = transactions.schema[user].dataType.simpleString()
-    id_type = transactions.schema[id_col].dataType.simpleString()
-    return narrow.groupBy(user).applyInPandasWithState(
-        judge,
-        f"{user} {user_type}, id {id_type}, spent_before double, verdict string",
-        "month bigint, whole bigint, part bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    return _with_state(narrow, user, _Budget(user, idle_ms), "spent_before double, verdict string")
 
 
 def _as_float(whole: np.ndarray, part: np.ndarray) -> np.ndarray:

@@ -163,3 +163,40 @@ def test_replay_equals_batch(spark, small, name):
 
     catalog.load()
     assert catalog.QUERIES[name](spark, small).count() > 0
+
+
+def test_a_million_rows_of_one_key_in_one_batch(spark):
+    n = 1_000_000
+    rows = spark.range(n).select("id", F.lit("hot").alias("key"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1000).alias("ts"))
+    path = folder(spark)
+    rows.repartition(4, F.xxhash64("id")).write.parquet(path)
+    log = spark.readStream.schema(rows.schema).parquet(path)
+    out = jobs.run_to_files(jobs.stream_throttle(log, "key", "ts", "id", 7, 1, idle_ms=None), folder(spark))
+    assert out.count() == n
+    assert [r.id for r in out.filter("allowed AND id < 3000").orderBy("id").collect()] == [*range(7), *range(1000, 1007), *range(2000, 2007)]
+    assert out.filter("allowed").count() == 7 * (n // 1000)
+
+
+def test_budget_state_expires(spark):
+    df = spark.createDataFrame([(1, "u", 6.0, START, 10.0)], "id int, user string, amount double, at timestamp, monthly_limit double")
+    path = folder(spark)
+    write_batches(df, path, "id", 1)
+    query = jobs.stream_budget(source(spark, df, path), "user", "at", "id", idle_ms=1).writeStream.format("noop").outputMode("append").start()
+    totals = []
+    try:
+        for _ in range(60):
+            query.awaitTermination(0.5)
+            totals = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+            if 1 in totals and totals[-1] == 0:
+                break
+    finally:
+        query.stop()
+    assert 1 in totals and totals[-1] == 0
+
+
+def test_rows_without_a_time(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", START), (3, None, START)], "id int, key string, ts timestamp")
+    path = folder(spark)
+    write_batches(df, path, "id", 1)
+    out = jobs.run_to_files(jobs.stream_throttle(source(spark, df, path), "key", "ts", "id", 1, 20, idle_ms=None), folder(spark))
+    assert sorted((r.id, r.key, r.us is None, r.allowed) for r in out.collect()) == [(1, "a", True, False), (2, "a", False, True), (3, None, False, True)]
