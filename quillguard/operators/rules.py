@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from quillguard import schemas as S
+from quillguard.functions.times import micros
 from quillguard.functions.sizing import broadcast_if_small
 
 # A policy is one struct column, so that a decision needs a single join.
@@ -142,29 +145,51 @@ def policy_as_of(
     ts_col: str = "ts",
     from_col: str = "valid_from",
     key: str = "policy_key",
+    piece_s: int = 86_400,
 ) -> DataFrame:
     """Attach the policy version in force when each request arrived.
 
     ``versions`` holds (key, version_id, valid_from, ...). Validity ends where the next version of
-    the same key begins. A request before the first version, or for an unknown key, gets null,
-    which counts as the empty policy. The versions of a key are few and travel as one array: a request
-    meets one row, whatever the number of versions.
+    the same key begins; of versions that begin together the one with the greater ``version_id``, where
+    there is such a column, holds. A request before the first version, for an unknown or no key, or
+    without a time gets null, which counts as the empty policy.
+
+    Requests and versions of a key meet in pieces of time of ``piece_s`` seconds, read in order. The
+    version in force as a piece begins is carried over the list of the key's pieces and enters as one
+    row, so a request scans no versions, and a key with most requests or very many versions is spread
+    over its pieces.
     """
     rest = [c for c in versions.columns if c != key]
 
-    def by_time(left: Column, right: Column) -> Column:
-        earlier, later = left[from_col] < right[from_col], left[from_col] > right[from_col]
-        return F.when(earlier, -1).when(later, 1).otherwise(0)
-
-    packed = (
-        versions.filter(F.col(from_col).isNotNull())
-        .groupBy(F.col(key).alias("_key"))
-        .agg(F.array_sort(F.collect_list(F.struct(*rest)), by_time).alias("_versions"))
-    )
-    begun = F.filter("_versions", lambda v: v[from_col] <= F.col(ts_col))
-    joined = requests.join(packed, F.col(key) == F.col("_key"), "left")
-    picked = joined.withColumn("_picked", F.try_element_at(begun, F.lit(-1)))
-    return picked.select(*requests.columns, *[F.col("_picked")[c].alias(c) for c in rest])
+    def placed(df: DataFrame, at: str, kind: int, rows: str, columns: list[str]) -> DataFrame:
+        us = _moment(df, at)
+        fields = [F.col(key).alias("_key"), us.alias("_us"), F.floor(us / F.lit(piece_s * 1_000_000)).alias("_piece"), F.lit(kind).alias("_kind")]
+        return df.select(*fields, F.struct(*columns).alias(rows))
+
+    own = placed(versions.filter(F.col(key).isNotNull() & F.col(from_col).isNotNull()), from_col, 1, "_version", rest)
+    asked = placed(requests, ts_col, 2, "_request", requests.columns)
+    tie = F.col("_version.version_id") if "version_id" in rest else F.lit(0)
+
+    # the last version of each piece, and pieces that only requests fall into
+    last = own.groupBy("_key", "_piece").agg(F.max_by("_version", F.struct("_us", tie)).alias("_version"))
+    pieces = last.unionByName(asked.select("_key", "_piece").distinct(), allowMissingColumns=True)
+    pieces = pieces.groupBy("_key", "_piece").agg(F.first("_version", ignorenulls=True).alias("_version"))
+    before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select("_key", "_piece", F.lit(0).alias("_kind"), F.last("_version", ignorenulls=True).over(before).alias("_version"))
+
+    together = asked.unionByName(own, allowMissingColumns=True).unionByName(carried.filter("_version IS NOT NULL"), allowMissingColumns=True)
+    order = [F.when(F.col("_kind") == 0, 0).otherwise(1), "_us", "_kind", tie]
+    inside = Window.partitionBy("_key", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = together.withColumn("_version", F.last("_version", ignorenulls=True).over(inside)).filter("_kind = 2")
+    return met.select("_request.*", *[F.col("_version")[c].alias(c) for c in rest])
+
+
+def _moment(df: DataFrame, column: str) -> Column:
+    """Microseconds of a time, or of whole seconds since the epoch."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col(column).cast("long") * 1_000_000
+    return F.unix_micros(F.col(column).cast("timestamp")) if isinstance(kind, T.DateType) else micros(df, column)
 
 
 def exact_rule(rules: Column, tool: Column, direction: Column, accept_both: bool) -> Column:

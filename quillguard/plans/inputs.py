@@ -459,17 +459,23 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_record_expression() -> str:
-    """Request records as JSON text, one in five not acceptable."""
-    body = "concat('\"tool\":\"t', conv_id % 9, '\",\"raw_text\":\"turn ', turn, '\"')"
+    """Request records as JSON text, each with the whole text of its turn; four in ten are acceptable."""
+    escaped = "coalesce(text, '')"
+    for code in (92, 34):
+        escaped = f"replace({escaped}, chr({code}), concat(chr(92), chr({code})))"
+    for code, letter in ((8, "b"), (9, "t"), (10, "n"), (12, "f"), (13, "r")):
+        escaped = f"replace({escaped}, chr({code}), concat(chr(92), '{letter}'))"
+    raw = f"concat('\"turn ', turn, ' ', {escaped}, '\"')"
+    body = f"concat('\"tool\":\"t', conv_id % 9, '\",\"raw_text\":', {raw})"
     return (
         "case (conv_id + turn) % 10 "
-        "when 0 then concat('{\"raw_text\":\"turn ', turn, '\"}') "
-        "when 1 then concat('{\"tool\":', turn, ',\"raw_text\":\"x\",\"scope\":null}') "
-        "when 2 then concat('{\"tool\":\"t', conv_id % 9) "
+        f"when 0 then concat('{{\"raw_text\":', {raw}, '}}') "
+        f"when 1 then concat('{{\"tool\":', turn, ',\"raw_text\":', {raw}, ',\"scope\":null}}') "
+        "when 2 then concat('{', " + body + ") "
         "when 3 then concat('{', " + body + ", ',\"budget_context\":{\"monthly_limit\":\"lots\"}}') "
         "when 4 then concat('{', " + body + ", ',\"budget_context\":{\"monthly_limit\":\"12.5\"},\"extra\":1}') "
         "when 5 then concat('{', " + body + ", ',\"tags\":\"none\",\"user_id\":7}') "
-        "when 6 then concat('[', turn, ']') "
+        f"when 6 then concat('[', {raw}, ']') "
         "else concat('{', " + body + ", ',\"user_id\":\"u', conv_id % 50, '\"}') end"
     )
 

@@ -22,7 +22,7 @@ _BUCKET = "(conv_id + turn) % 10"
 
 @query(
     "request_intake_accepted",
-    f"SELECT conv_id, turn, concat('t', conv_id % 9) AS tool, concat('turn ', turn) AS raw_text, "
+    f"SELECT conv_id, turn, concat('t', conv_id % 9) AS tool, concat('turn ', turn, ' ', coalesce(text, '')) AS raw_text, "
     f"CASE WHEN {_BUCKET} >= 7 THEN concat('u', conv_id % 50) END AS user_id, "
     f"CASE WHEN {_BUCKET} = 4 THEN 12.5::DOUBLE END AS monthly_limit FROM conversations "
     f"WHERE {_BUCKET} IN (4, 7, 8, 9)",

@@ -1,5 +1,7 @@
 import hashlib
 import json
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -301,6 +303,30 @@ def test_policy_as_of(spark):
     assert out == {("p", 9): None, ("p", 10): "v1", ("p", 19): "v1", ("p", 20): "v2", ("q", 15): None}
 
 
+def test_policy_as_of_equals_a_scan(spark):
+    """A key of very many versions, one of most requests, times before all, ties, no key and no time."""
+    rng = random.Random(6)
+    begin = datetime(2024, 1, 1)
+    at = lambda: begin + timedelta(seconds=rng.randrange(0, 40 * 86_400, 900))
+    versions = [("many", f"v{i:05}", at()) for i in range(3000)] + [("hot", "h1", begin + timedelta(days=3)), ("hot", "h2", begin + timedelta(days=30))]
+    versions += [("hot", "h3", begin + timedelta(days=30)), (None, "n", begin), ("hot", "never", None), ("quiet", "q", begin)]
+    asked = [(i, rng.choice(["many", "hot", "hot", "hot", "quiet", "none", None]), None if i % 50 == 0 else at(), "x") for i in range(4000)]
+    vs = spark.createDataFrame(versions, "policy_key string, version_id string, valid_from timestamp")
+    rs = spark.createDataFrame(asked, "id int, policy_key string, ts timestamp, `_piece` string")
+    want = {}
+    for i, k, t, _ in asked:
+        begun = [(f, v) for key, v, f in versions if None not in (key, f, t) and key == k and f <= t]
+        want[i] = max(begun)[1] if begun else None
+    for piece in (3600, 86_400, 10**9):
+        got = R.policy_as_of(rs, vs, piece_s=piece)
+        assert got.columns == ["id", "policy_key", "ts", "_piece", "version_id", "valid_from"]
+        assert {r.id: r.version_id for r in got.collect()} == want
+    plan = R.policy_as_of(rs, vs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
+    assert R.policy_as_of(rs, vs.filter("false")).filter("version_id IS NOT NULL").count() == 0
+    assert R.policy_as_of(rs.filter("false"), vs).count() == 0
+
+
 def test_joins_beyond_the_broadcast_bound_agree(spark, small, monkeypatch):
     from quillguard.functions import sizing
     from quillguard.plans import decisions, inputs
