@@ -187,14 +187,35 @@ def disjoint(findings: Sql) -> Sql:
 
 
 def keep_first_come(candidates: Sql) -> Sql:
-    """Drop each candidate that overlaps one kept before it. Candidates that are all disjoint, as
-    in most texts with many findings, need no pairwise comparison."""
-    kept, c = fresh("kept"), fresh("c")
-    step = f"CASE WHEN {overlaps(c, kept)} THEN {kept} ELSE array_append({kept}, {c}) END"
-    return (
-        f"CASE WHEN size({candidates}) <= 1 THEN {candidates} WHEN {disjoint(candidates)} THEN {candidates} "
-        f"ELSE aggregate({candidates}, {NO_FINDINGS}, ({kept}, {c}) -> {step}) END"
-    )
+    """Drop each candidate that overlaps one kept before it; the order stays.
+
+    Candidates that are all disjoint, as in most texts, need no comparison. Others are swept by their
+    starts: a candidate that begins behind all ends so far closes a cluster, and only candidates of one
+    cluster are compared with each other.
+    """
+    return f"CASE WHEN size({candidates}) <= 1 THEN {candidates} WHEN {disjoint(candidates)} THEN {candidates} ELSE {_swept(candidates)} END"
+
+
+def _swept(candidates: Sql) -> Sql:
+    state, c, x = fresh("s"), fresh("c"), fresh("x")
+    entry = f"array<struct<start:int,ord:int,of:{FINDING_TYPE}>>"
+    none = f"CAST(array() AS {entry})"
+    placed = f"transform({candidates}, ({x}, i) -> named_struct('start', CAST({x}.`start` AS INT), 'ord', i, 'of', {x}))"
+
+    def settled(cluster: Sql) -> Sql:
+        """Of a cluster, what is kept in order of precedence."""
+        kept, one, other = fresh("kept"), fresh("c"), fresh("o")
+        meets = f"exists({kept}, {other} -> {one}.of.`end` > {other}.of.`start` AND {one}.of.`start` < {other}.of.`end`)"
+        by_rank = f"array_sort({cluster}, (l, r) -> l.ord - r.ord)"
+        return f"CASE WHEN size({cluster}) <= 1 THEN {cluster} ELSE aggregate({by_rank}, {none}, ({kept}, {one}) -> CASE WHEN {meets} THEN {kept} ELSE array_append({kept}, {one}) END) END"
+
+    opened = f"named_struct('done', concat({state}.done, {settled(state + '.open')}), 'open', array({c}), 'until', {c}.of.`end`)"
+    joined = f"named_struct('done', {state}.done, 'open', array_append({state}.open, {c}), 'until', greatest({state}.until, {c}.of.`end`))"
+    start = f"named_struct('done', {none}, 'open', {none}, 'until', CAST(0 AS INT))"
+    step = f"CASE WHEN {c}.of.`start` >= {state}.until THEN {opened} ELSE {joined} END"
+    finish = f"z -> array_sort(concat(z.done, {settled('z.open')}), (l, r) -> l.ord - r.ord)"
+    kept = f"aggregate(array_sort({placed}, (l, r) -> CASE WHEN l.start <> r.start THEN l.start - r.start ELSE l.ord - r.ord END), {start}, ({state}, {c}) -> {step}, {finish})"
+    return f"transform({kept}, e -> e.of)"
 
 
 def joined_findings(overlap: str, *findings: Sql) -> Sql:
@@ -268,16 +289,60 @@ def right_to_left(findings: Sql) -> Sql:
 
 
 def splice(text: Sql, findings: Sql, replacement: Callable[[Sql], Sql]) -> Sql:
-    """Replace each finding, rightmost first. A null replacement leaves the span as it is."""
-    acc, f = fresh("acc"), fresh("f")
+    """Replace each finding. A null replacement leaves the span as it is.
 
-    def cut(new: Sql) -> Sql:
-        return (
-            f"CASE WHEN {new} IS NULL THEN {acc} ELSE concat(substring({acc}, 1, {f}.`start`), {new}, "
-            f"substring({acc}, {f}.`end` + 1)) END"
-        )
+    Disjoint findings are spliced in one pass: what stands between them and what replaces them is
+    joined once. Overlapping ones are replaced one after the other, rightmost first, by the offsets that
+    they had in the text.
+    """
+    acc, f, e = fresh("acc"), fresh("f"), fresh("e")
 
-    return (
-        f"CASE WHEN size({findings}) = 0 THEN {text} ELSE aggregate({right_to_left(findings)}, {text}, "
-        f"({acc}, {f}) -> {let(replacement(f), cut)}) END"
+    def cut(edit: Sql) -> Sql:
+        return f"concat(substring({acc}, 1, {edit}.a), {edit}.new, substring({acc}, {edit}.b + 1))"
+
+    new = f"transform({right_to_left(findings)}, {f} -> named_struct('a', {f}.`start`, 'b', {f}.`end`, 'new', {replacement(f)}))"
+
+    def spliced(edits: Sql) -> Sql:
+        one_by_one = f"aggregate({edits}, {text}, ({acc}, {e}) -> {cut(e)})"
+        return f"CASE size({edits}) WHEN 0 THEN {text} WHEN 1 THEN {_in_one_pass(text, edits)} ELSE CASE WHEN {_apart(edits)} THEN {_in_one_pass(text, edits)} ELSE {one_by_one} END END"
+
+    return f"CASE WHEN size({findings}) = 0 THEN {text} ELSE {let(f'filter({new}, e -> e.new IS NOT NULL)', spliced)} END"
+
+
+def _apart(edits: Sql) -> Sql:
+    """True if edits, sorted from the right, do not overlap."""
+    n = f"size({edits}) - 1"
+    return f"forall(zip_with(slice({edits}, 1, {n}), slice({edits}, 2, {n}), (r, l) -> r.a >= l.b), ok -> ok)"
+
+
+# Characters of the blocks that a text with many edits is cut into, and the edits that need none.
+_BLOCK, _FEW_EDITS = 256, 8
+
+
+def _in_one_pass(text: Sql, edits: Sql) -> Sql:
+    """Join the text between disjoint edits, sorted from the right, with what replaces them.
+
+    A substring is found by counting characters from the front; a text with many edits is cut into
+    blocks first, so that counting starts in the block and all is linear.
+    """
+    e, i = fresh("e"), fresh("i")
+
+    def joined(parts: Sql) -> Sql:
+        def between(a: Sql, b: Sql) -> Sql:
+            first = f"{a} div {parts}.width"
+            own = f"array_join(slice({parts}.blocks, CAST({first} + 1 AS INT), CAST(({b} - 1) div {parts}.width - {first} + 1 AS INT)), '')"
+            return f"CASE WHEN {b} > {a} THEN substring({own}, CAST({a} % {parts}.width + 1 AS INT), CAST({b} - {a} AS INT)) ELSE '' END"
+
+        def piece(left: Sql) -> Sql:
+            begin = f"CASE WHEN {i} = 0 THEN 0 ELSE get({left}, {i} - 1).b END"
+            return f"transform({left}, ({e}, {i}) -> concat({between(begin, e + '.a')}, {e}.new))"
+
+        tail = between(f"get({edits}, 0).b", f"{parts}.size")
+        return f"concat(array_join({let(f'reverse({edits})', piece)}, ''), {tail})"
+
+    few = f"size({edits}) <= {_FEW_EDITS}"
+    parts = (
+        f"named_struct('size', length({text}), 'width', CASE WHEN {few} THEN length({text}) + 1 ELSE {_BLOCK} END, "
+        f"'blocks', CASE WHEN {few} THEN array({text}) ELSE regexp_extract_all({text}, {lit(f'(?s).{{1,{_BLOCK}}}')}, 0) END)"
     )
+    return let(parts, joined)

@@ -5,7 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quillguard import schemas as S
 from quillguard.functions import patterns as P
+from quillguard.functions import spans
 from quillguard.functions import text as X
 from quillguard.operators import detect
 
@@ -234,3 +236,49 @@ def test_detection_is_not_repeated_by_a_filter(spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     scans = sum(line.count(P.EMAIL[:20]) > 0 for line in plan.splitlines())
     assert scans == 1 and hits.count() == 1
+
+
+def _plain_first_come(spans):
+    kept = []
+    for c in spans:
+        if not any(c[1] > k[0] and c[0] < k[1] for k in kept):
+            kept.append(c)
+    return kept
+
+
+def test_sweep_keeps_what_comparing_all_pairs_keeps(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        n, width = rng.choice([0, 1, 2, 5, 30, 120]), rng.choice([20, 200, 3000])
+        starts = [rng.randrange(width) for _ in range(n)]
+        rows.append((i, [(s, s + rng.randint(1, 12)) for s in starts]))
+    rows.append((300, [(7 * i, 7 * i + 9) for i in range(4000)]))  # one chain
+    df = spark.createDataFrame(rows, "id int, spans array<struct<a:int,b:int>>")
+    found = df.select("id", F.expr("transform(spans, x -> named_struct('type', 't', 'start', x.a, 'end', x.b, 'score', 0.5D, 'text', ''))").cast(S.FINDINGS_DDL).alias("c"))
+    kept = found.select("id", F.expr(spans.keep_first_come("c")).alias("k")).collect()
+    want = dict(rows)
+    for r in kept:
+        assert [(f.start, f.end) for f in r.k] == _plain_first_come(want[r.id]), r.id
+
+
+def test_splice_of_disjoint_and_overlapping_spans(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        text = "".join(rng.choices("abcé日🙂 \n", k=rng.choice([0, 5, 40, 2000])))
+        bounds = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.choice([0, 1, 3, 12, 100]))))
+        edits = [(bounds[j], bounds[j + 1], rng.choice(["", "<X>", None, "é"])) for j in range(0, len(bounds) - 1, 2)]
+        if i % 4 == 0 and len(text) > 10:
+            edits += [(1, 7, "<LONG>"), (3, 9, "y")]
+        rng.shuffle(edits)
+        rows.append((i, text, edits))
+    long = "x@ " * 100_000
+    rows.append((200, long, [(3 * j, 3 * j + 2, "<E>") for j in range(10_000)]))
+    df = spark.createDataFrame(rows, "id int, t string, s array<struct<start:int,`end`:int,new:string>>")
+    got = {r.id: r.o for r in df.select("id", F.expr(spans.splice("t", "s", lambda f: f"{f}.new")).alias("o")).collect()}
+    for i, text, edits in rows:
+        want = text
+        for a, b, new in sorted(edits, key=lambda f: -f[0]):  # of equal starts the first listed first
+            want = want if new is None else want[:a] + new + want[b:]
+        assert got[i] == want, i
