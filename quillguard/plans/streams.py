@@ -15,6 +15,7 @@ from quillguard.plans.catalog import query
 from quillguard.plans.decisions import pass_steps
 from quillguard.plans.records import _OUTCOMES_SQL
 from quillguard.plans.spending import _ADMITTED_SQL, LIMIT, WINDOW_S
+from quillguard.sources import sinks
 from quillguard.streaming import jobs
 
 
@@ -159,8 +160,8 @@ def stream_sinks(spark, sf):
         .start()
     )
     run.awaitTermination()
-    good = spark.read.schema("event_id bigint, event_type string").json(f"{folder}/events/*")
-    bad = spark.read.schema("err string, event struct<event_id:bigint>").json(f"{folder}/dead_letters/*")
+    good = sinks.read_committed(spark, folder, "events", "json", "event_id bigint, event_type string")
+    bad = sinks.read_committed(spark, folder, "dead_letters", "json", "err string, event struct<event_id:bigint>")
     return good.select("event_id", F.lit("success").alias("status"), F.lit("").alias("err")).unionByName(
         bad.select("event.event_id", F.lit("failed").alias("status"), "err")
     )

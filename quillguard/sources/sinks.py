@@ -2,11 +2,18 @@
 
 Writers append. With ``run``, the rows of that run are a folder of their own that a second attempt
 replaces, so a job that is run again repeats nothing.
+
+Several sinks of one run are written together by ``commit_together``: each attempt writes into folders
+of its own, and a manifest that names the attempt comes last. Readers follow the manifests, so of a job
+that is killed between two sinks neither shows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,3 +91,28 @@ def write_usage(decisions: DataFrame, path: str, run: str | None = None) -> None
     folder, mode = _target(path, run)
     dated = usage_events(decisions).withColumn("usage_date", F.to_date("created_at"))
     dated.hint("rebalance", F.col("usage_date")).write.mode(mode).partitionBy("usage_date").parquet(folder)
+
+
+# Sinks below a folder lie in run=R/attempt=A; a manifest of run R names the attempt that counts.
+_MANIFESTS = "_manifests"
+
+
+def commit_together(spark: SparkSession, path: str, run: str, writers: Mapping[str, Callable[[str], None]]) -> None:
+    """Write all sinks of one run, or none that a reader sees.
+
+    ``writers`` maps each sink's name to a function that writes into the folder it is given. A run that
+    is written again replaces what it wrote before; what an earlier or killed attempt has left is never
+    read.
+    """
+    attempt = uuid.uuid4().hex
+    for name, write in writers.items():
+        write(f"{path}/{name}/run={run}/attempt={attempt}")
+    manifest = spark.range(1).select(F.lit(attempt).alias("attempt"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/{_MANIFESTS}/run={run}")
+
+
+def read_committed(spark: SparkSession, path: str, name: str, fmt: str, schema: str) -> DataFrame:
+    """Rows of a sink from committed runs, each with its ``run``. Only their folders are read."""
+    manifests = spark.read.schema("attempt string, run string").option("mode", "DROPMALFORMED").json(f"{path}/{_MANIFESTS}")
+    rows = spark.read.schema(f"{schema}, run string, attempt string").format(fmt).load(f"{path}/{name}")
+    return rows.join(manifests, ["run", "attempt"], "left_semi").select(*[c for c in rows.columns if c != "attempt"])

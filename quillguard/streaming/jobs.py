@@ -230,19 +230,22 @@ def stream_dedupe(events: DataFrame, keys: Sequence[str], time_col: str, latenes
 
 
 def stream_sinks(outcomes: DataFrame, path: str) -> DataStreamWriter:
-    """Write delivered events and dead letters of each micro-batch. Each batch owns the folders that
-    carry its number, so a batch that is run again replaces what it wrote before.
+    """Write delivered events and dead letters of each micro-batch, both or neither: readers take the
+    committed ones (``sinks.read_committed``). A batch that is run again repeats nothing.
 
     ``outcomes`` has ``event`` (struct), ``status`` and ``err``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
+        good = kept.filter("status = 'success'").select("event.*")
+        failed = sinks.dead_letter_lines(kept.filter("status = 'failed'"))
+        writers = {
+            "events": lambda folder: good.write.option("ignoreNullFields", "false").json(folder),
+            "dead_letters": lambda folder: failed.write.text(folder),
+        }
         try:
-            good = kept.filter("status = 'success'").select("event.*")
-            good.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/events/batch={batch_id}")
-            failed = sinks.dead_letter_lines(kept.filter("status = 'failed'"))
-            failed.write.mode("overwrite").text(f"{path}/dead_letters/batch={batch_id}")
+            sinks.commit_together(batch.sparkSession, path, str(batch_id), writers)
         finally:
             kept.unpersist()
 

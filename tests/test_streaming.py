@@ -2,11 +2,14 @@ import random
 import uuid
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillguard.functions.lineage import cut, shared_dir
 from quillguard.operators import throttle
+from quillguard.plans import catalog
+from quillguard.sources import sinks
 from quillguard.streaming import jobs
 
 START = datetime(2024, 1, 1)
@@ -146,8 +149,32 @@ def test_a_batch_run_again_replaces_its_files(spark):
     for _ in range(2):  # a fresh checkpoint makes the same batch number run twice
         writer = jobs.stream_sinks(spark.readStream.schema(df.schema).parquet(path), out)
         writer.option("checkpointLocation", folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.json(f"{out}/events").count() == 1
-    assert spark.read.text(f"{out}/dead_letters").count() == 1
+    assert read_sinks(spark, out) == ([(1, "0")], [("e", 2, "0")])
+
+
+def read_sinks(spark, out):
+    good = sinks.read_committed(spark, out, "events", "json", "id int")
+    bad = sinks.read_committed(spark, out, "dead_letters", "json", "err string, event struct<id:int>").select("err", "event.id", "run")
+    return sorted(map(tuple, good.collect())), sorted(map(tuple, bad.collect()))
+
+
+def test_a_job_killed_between_two_sinks_shows_neither(spark):
+    out = folder(spark)
+    good = lambda n: lambda where: spark.createDataFrame([(n,)], "id int").write.json(where)
+    bad = lambda n: lambda where: spark.createDataFrame([("e", (n,))], "err string, event struct<id:int>").write.json(where)
+
+    def killed(where):
+        raise KeyboardInterrupt
+
+    sinks.commit_together(spark, out, "0", {"events": good(1), "dead_letters": bad(2)})
+    with pytest.raises(KeyboardInterrupt):
+        sinks.commit_together(spark, out, "1", {"events": good(3), "dead_letters": killed})
+    assert read_sinks(spark, out) == ([(1, "0")], [("e", 2, "0")])
+    with pytest.raises(KeyboardInterrupt):  # a second attempt at a committed run
+        sinks.commit_together(spark, out, "0", {"events": good(7), "dead_letters": killed})
+    assert read_sinks(spark, out) == ([(1, "0")], [("e", 2, "0")])
+    sinks.commit_together(spark, out, "1", {"events": good(3), "dead_letters": bad(4)})
+    assert read_sinks(spark, out) == ([(1, "0"), (3, "1")], [("e", 2, "0"), ("e", 4, "1")])
 
 
 def test_checkpoint_goes_where_the_session_says(spark):
@@ -157,12 +184,16 @@ def test_checkpoint_goes_where_the_session_says(spark):
     assert kept.count() == 5 and kept.rdd is not None
 
 
-@pytest.mark.parametrize("name", ["stream_throttle", "stream_counts"])
+@pytest.mark.parametrize("name", ["stream_throttle", "stream_budget", "stream_counts"])
 def test_replay_equals_batch(spark, small, name):
-    from quillguard.plans import catalog
-
     catalog.load()
-    assert catalog.QUERIES[name](spark, small).count() > 0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{small}/events.parquet'")
+    got = catalog.QUERIES[name](spark, small)
+    columns = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    plain = lambda r: tuple(x.replace(tzinfo=None) if isinstance(x, datetime) else x for x in r)
+    assert sorted(map(plain, got.select(*columns).collect())) == sorted(map(plain, want)) and want
 
 
 def test_a_million_rows_of_one_key_in_one_batch(spark):
