@@ -128,7 +128,6 @@ def unpack_bits(payload: bytes, checkpoints: np.ndarray, taken: np.ndarray, tabl
 
 
 _ENCODED = "doc_id long, n_tokens long, ids binary"
-_CODED = "doc_id long, n_tokens long, payload binary, group_bits binary"
 _BLOCKS = (
     "part int, block long, part_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
     "doc_bytes array<long>, payload binary, checkpoints binary"
@@ -171,7 +170,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     """Write the ids of ``docs`` (doc_id, text; other columns are ignored) as a file set at ``path``.
 
     A null text is empty; ``end_id`` follows every document. Documents stand in ascending order of
-    doc_id, null first; rows of one doc_id in order of their codes. An empty table gives an empty set.
+    doc_id, null first; rows of one doc_id in order of their ids. An empty table gives an empty set.
     """
     spark = docs.sparkSession
     work = work_dir(spark, "tokens")
@@ -195,9 +194,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
                     column[i] = part
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), *map(binary_array, full)], ["doc_id", "n_tokens", "payload", "group_bits"])
 
-    coded = encoded.mapInArrow(code, _CODED)
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "payload")
-    ordered.mapInArrow(_blocks, _BLOCKS).write.parquet(f"{path}/blocks")
+    # ids are dealt out, not codes: ranges are sampled from the rows dealt, which would then be coded twice
+    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    ordered.mapInArrow(lambda batches: _blocks(code(batches)), _BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
