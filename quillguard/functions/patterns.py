@@ -124,7 +124,7 @@ class PatternSpec:
     """One finding type. ``gate`` names cheap tests that all hold for every text with a match:
     ``digit``, ``at``, ``underscore``, and ``words:a,b`` (some word, any case). ``scan`` finds the
     same matches faster: group 1 is text it skips, group 2 the match. ``placeholder`` is for types of
-    one's own."""
+    one's own. ``context`` are words or phrases, in lower case, that make a match more likely."""
 
     pii_type: str
     pattern: str
@@ -133,6 +133,7 @@ class PatternSpec:
     validator: str | None = None
     scan: str | None = None
     placeholder: str | None = None
+    context: tuple[str, ...] = ()
 
     @property
     def label(self) -> str:
@@ -177,3 +178,16 @@ SPECIFIC_FIRST_PROFILE = (
     PHONE_SPEC,
 )
 PROFILES = {"regex": REGEX_PROFILE, "specific_first": SPECIFIC_FIRST_PROFILE}
+
+# By how much a context word raises a score, what it raises it to at least, and how many
+# words before and behind a match are looked at.
+CONTEXT_RAISE = 0.35
+CONTEXT_FLOOR = 0.4
+CONTEXT_BEFORE = 5
+CONTEXT_AFTER = 0
+
+# Characters on a side of a match in which those words are looked for.
+CONTEXT_CHARS = 200
+
+# Runs of ASCII letters and digits and of anything beyond ASCII.
+CONTEXT_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

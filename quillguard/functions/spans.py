@@ -241,6 +241,44 @@ def find_all(text: Sql, specs: Sequence[P.PatternSpec]) -> Sql:
     return f"CASE WHEN {text} IS NULL THEN {NO_FINDINGS} ELSE {let(_traits(text), scan)} END"
 
 
+def near_words(text: Sql, finding: Sql, before: int, after: int) -> Sql:
+    """The words around a finding in lower case, each between blanks. Only ``CONTEXT_CHARS`` characters
+    on each side are read, so that the work is bounded for each finding."""
+    reach = P.CONTEXT_CHARS
+
+    def words(part: Sql) -> Sql:
+        return f"regexp_extract_all(lower({part}), {lit(P.CONTEXT_WORD)}, 0)"
+
+    left = words(f"substring({text}, greatest(1, {finding}.`start` + 1 - {reach}), least({finding}.`start`, {reach}))")
+    last = let(left, lambda w: f"slice({w}, greatest(1, size({w}) - {before - 1}), {before})") if before else "CAST(array() AS array<string>)"
+    first = f"slice({words(f'substring({text}, {finding}.`end` + 1, {reach})')}, 1, {after})"
+    return f"concat(' ', array_join(concat({last}, {first}), ' '), ' ')"
+
+
+def raise_by_context(
+    text: Sql, findings: Sql, specs: Sequence[P.PatternSpec], before: int = P.CONTEXT_BEFORE, after: int = P.CONTEXT_AFTER
+) -> Sql:
+    """Findings with higher scores where a context word of their type stands near them."""
+    told = {s.label: s.context for s in specs if s.context}
+    if not told:
+        return findings
+
+    def raised(f: Sql) -> Sql:
+        def score(near: Sql) -> Sql:
+            hits = " OR ".join(
+                f"({f}.type = {lit(label)} AND ({' OR '.join(f'contains({near}, {lit(chr(32) + word.lower() + chr(32))})' for word in words)}))"
+                for label, words in told.items()
+            )
+            higher = f"least(1D, greatest({P.CONTEXT_FLOOR}D, {f}.score + {P.CONTEXT_RAISE}D))"
+            return f"CASE WHEN {hits} THEN {higher} ELSE {f}.score END"
+
+        labels = ", ".join(map(lit, told))
+        new = f"CASE WHEN {f}.type IN ({labels}) THEN {let(near_words(text, f, before, after), score)} ELSE {f}.score END"
+        return f"CAST(named_struct('type', {f}.type, 'start', {f}.`start`, 'end', {f}.`end`, 'score', {new}, 'text', {f}.text) AS {FINDING_TYPE})"
+
+    return f"CASE WHEN size({findings}) = 0 THEN {findings} ELSE {each(findings, raised)} END"
+
+
 def find_beside(text: Sql, findings: Sql, spec: P.PatternSpec) -> Sql:
     """Matches of one pattern that overlap none of ``findings``."""
 

@@ -15,21 +15,23 @@ from pyspark.sql import functions as F
 from quillguard.functions import patterns as P
 from quillguard.functions.once import compute_once
 from quillguard.functions.shipping import ship
-from quillguard.functions.spans import VALIDATORS, Sql, find_all, find_beside, find_ssn, lit, name
+from quillguard.functions.spans import VALIDATORS, Sql, find_all, find_beside, find_ssn, let, lit, name, raise_by_context
 from quillguard.functions.text import is_password_field
 from quillguard.schemas import FINDINGS_DDL
 
 
 def pattern_specs(table: DataFrame) -> list[P.PatternSpec]:
     """Specs from a table of settings ``(type, pattern, score, priority, validator, placeholder)``, in
-    order of priority; the last two may be null. It is read when the query is built, as the patterns
-    are part of the plan."""
-    rows = table.select("type", "pattern", "score", "priority", "validator", "placeholder").collect()
+    order of priority; the last two may be null. A column ``context`` (array of words or phrases, may be
+    null) names what raises a score nearby. It is read when the query is built, as the patterns are part
+    of the plan."""
+    context = F.col("context") if "context" in table.columns else F.lit(None).cast("array<string>").alias("context")
+    rows = table.select("type", "pattern", "score", "priority", "validator", "placeholder", context).collect()
     unknown = {r["validator"] for r in rows} - {None, *VALIDATORS}
     if unknown:
         raise ValueError(f"no such validator: {sorted(unknown)}")
     return [
-        P.PatternSpec(r["type"], r["pattern"], float(r["score"]), "", r["validator"], placeholder=r["placeholder"])
+        P.PatternSpec(r["type"], r["pattern"], float(r["score"]), "", r["validator"], placeholder=r["placeholder"], context=tuple(w for w in r["context"] or () if w))
         for r in sorted(rows, key=lambda r: (r["priority"], r["type"]))
     ]
 
@@ -40,15 +42,22 @@ def scan_findings(
     profile: str | Sequence[P.PatternSpec] = "regex",
     engine: str = "native",
     out: str = "findings",
+    context_before: int = P.CONTEXT_BEFORE,
+    context_after: int = P.CONTEXT_AFTER,
 ) -> DataFrame:
     """Add a findings column. ``profile`` is ``regex`` (phone before card and NPI, as specified),
     ``specific_first`` or a list of pattern specs in order of precedence; ``engine`` is
-    ``native`` (column expressions) or ``arrow`` (batched Python)."""
+    ``native`` (column expressions) or ``arrow`` (batched Python, without context words). The score of
+    a finding rises where a context word of its spec is among the ``context_before`` words before it or
+    the ``context_after`` words behind it."""
     specs = P.PROFILES[profile] if isinstance(profile, str) else tuple(profile)
     if engine == "arrow":
         ship(df.sparkSession)
         return df.withColumn(out, _arrow_finder(specs)(F.col(text_col)))
-    return compute_once(df, {out: find_all(name(text_col), specs)})
+    found = find_all(name(text_col), specs)
+    if any(s.context for s in specs):
+        found = let(found, lambda f: raise_by_context(name(text_col), f, specs, context_before, context_after))
+    return compute_once(df, {out: found})
 
 
 def scan_ssn_context(df: DataFrame, text_col: str, findings_col: str = "findings") -> DataFrame:

@@ -255,6 +255,40 @@ def redact_own_types(spark, sf):
     return out.select("doc_id", "redacted", F.array_join("reasons", "|").alias("reasons"))
 
 
+# Types of one's own with words that raise their score, of the languages of the texts.
+_CONTEXT_TYPES = (
+    ("digits", r"\d{4,}", 0.3, 1, None, None, ["the", "und", "de la", "que"]),
+    ("mail_name", r"[a-z0-9.]+@", 0.7, 2, None, None, ["of", "der", "et", "el", "that"]),
+    ("address_v4", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0.8, 3, "ipv4", None, None),
+)
+
+
+def _context_sql() -> str:
+    specs = [P.PatternSpec(t, p, score, "", check) for t, p, score, _, check, _, _ in _CONTEXT_TYPES]
+    steps = _found("SELECT * FROM documents", "text", specs)
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    left = f"regexp_extract_all(lower(substring(text, greatest(1, f.\"start\" - 199), least(f.\"start\", 200))), '{word}')"
+    right = f"regexp_extract_all(lower(substring(text, f.\"end\" + 1, 200)), '{word}')"
+    found = steps.select("doc_id, text, unnest(findings) AS f")
+    near = f"SELECT doc_id, f, ' ' || array_to_string({left}[-5:] || {right}[1:2], ' ') || ' ' AS near FROM ({found})"
+    hits = " OR ".join(
+        f"f.type = 'PII:{t}' AND ({' OR '.join(f'contains(near, {chr(39)} {w} {chr(39)})' for w in words)})" for t, _, _, _, _, _, words in _CONTEXT_TYPES if words
+    )
+    return (
+        f"SELECT doc_id, f.type AS pii_type, f.\"start\" AS \"start\", f.text AS found, "
+        f"CASE WHEN {hits} THEN least(1.0, greatest(0.4, f.score + 0.35::DOUBLE)) ELSE f.score END::DOUBLE AS score FROM ({near})"
+    )
+
+
+@query("scan_context_words", _context_sql())
+def scan_context_words(spark, sf):
+    settings = "type string, pattern string, score double, priority int, validator string, placeholder string, context array<string>"
+    specs = detect.pattern_specs(spark.createDataFrame(_CONTEXT_TYPES, settings))
+    found = detect.scan_findings(_documents(spark, sf), "text", specs, context_after=2)
+    rows = found.select("doc_id", F.explode("findings").alias("f"))
+    return rows.select("doc_id", F.col("f.type").alias("pii_type"), F.col("f.start").alias("start"), F.col("f.text").alias("found"), F.col("f.score").alias("score"))
+
+
 # Actions by tool: some kept, some tokenised, some unknown, the rest redacted.
 _ALLOW = (
     {"PII:email_address": "pass_through", "PII:us_dea": "tokenize"},

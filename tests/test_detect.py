@@ -282,3 +282,31 @@ def test_splice_of_disjoint_and_overlapping_spans(spark):
         for a, b, new in sorted(edits, key=lambda f: -f[0]):  # of equal starts the first listed first
             want = want if new is None else want[:a] + new + want[b:]
         assert got[i] == want, i
+
+
+@pytest.mark.parametrize(
+    ("text", "score"),
+    [
+        ("Order Number 123456", 0.75),
+        ("order, (number): 123456", 0.75),
+        ("number order 123456", 0.4),
+        ("123456", 0.4),
+        ("order number a b c 123456", 0.75),
+        ("order number a b c d 123456", 0.4),
+        ("123456 order number", 0.4),
+        ("border numbers 123456", 0.4),
+        ("order number " + "x" * 300 + " 123456", 0.4),
+    ],
+)
+def test_context_words_raise_scores(spark, text, score):
+    specs = [P.PatternSpec("ticket", r"\d{6}", 0.4, "", context=("order number",))]
+    df = spark.createDataFrame([(text,)], "t string")
+    (found,) = detect.scan_findings(df, "t", specs).first()["findings"]
+    assert found["score"] == pytest.approx(score) and found["text"] == "123456"
+
+
+def test_context_behind_floor_and_ceiling(spark):
+    specs = [P.PatternSpec("low", r"\d{3}", 0.01, "", context=("code",)), P.PatternSpec("high", "[A-Z]{3}", 0.9, "", context=("code",))]
+    df = spark.createDataFrame([("123 is the code, code ABC",), (None,)], "t string")
+    rows = detect.scan_findings(df, "t", specs, context_after=3).collect()
+    assert [(f["text"], f["score"]) for f in rows[0]["findings"]] == [("123", 0.4), ("ABC", 1.0)] and rows[1]["findings"] == []
