@@ -358,17 +358,19 @@ def quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_expression(d: Dialect) -> str:
-    """JSON text of one payload per event, in six shapes: two kinds of object, types that differ from
-    row to row, a list at top level, a bare string, and text that breaks off."""
+    """JSON text of one payload per event, in six shapes, each with the whole text of the event's
+    document: two kinds of object, types that differ from row to row, a list at top level, a bare string,
+    and text that breaks off."""
     email = "concat('user', user_id, '@example.com')"
     quoted = f"case when event_id % 4 = 0 then 'null' else concat('\"', {email}, '\"') end"
+    said = f"coalesce({d.json_string('text')}, 'null')"
     shapes = (
-        f"""concat('{{"user":{{"email":', {quoted}, ',"id":', user_id, ',"password":"pw', event_id, '"}},"note":"call 555-201-7788 ref ', event_id % 7, '","flag":true,"tags":["', event_type, '","m', user_id, '@mail.org"]}}')""",
-        f"""concat('{{"props": ', props, ', "note": ', coalesce({d.json_string('text')}, 'null'), ', "user": {{"id": "', user_id, '"}} }}')""",
-        f"""concat('{{"user":', user_id, ',"note":', {d.pick(["'7.50'", "'[]'", "'null'", f"concat('[', {quoted}, ']')"], 'event_id % 4')}, ',"Auth_Code":["x","m@mill.test"]}}')""",
-        f"""concat('[', {quoted}, ', {{"api_key" : "k', event_id, '", "say": "', chr(92), '"', {email}, chr(92), '" ', chr(92), 'u0041"}}, ', value, ']')""",
-        f"""concat('"mail ', {email}, '"')""",
-        f"""concat('{{"note":"mail ', {email}, '", "user":')""",
+        f"""concat('{{"user":{{"email":', {quoted}, ',"id":', user_id, ',"password":"pw', event_id, '"}},"note":"call 555-201-7788 ref ', event_id % 7, '","said":', {said}, ',"flag":true,"tags":["', event_type, '","m', user_id, '@mail.org"]}}')""",
+        f"""concat('{{"props": ', props, ', "note": ', {said}, ', "user": {{"id": "', user_id, '"}} }}')""",
+        f"""concat('{{"user":', user_id, ',"note":', {d.pick(["'7.50'", "'[]'", "'null'", f"concat('[', {quoted}, ']')"], 'event_id % 4')}, ',"said":[', {said}, '],"Auth_Code":["x","m@mill.test"]}}')""",
+        f"""concat('[', {quoted}, ', {{"api_key" : "k', event_id, '", "say": "', chr(92), '"', {email}, chr(92), '" ', chr(92), 'u0041"}}, ', value, ', ', {said}, ']')""",
+        f"""coalesce({d.json_string('text')}, concat('"mail ', {email}, '"'))""",
+        f"""concat('{{"note":"mail ', {email}, '", "said":', {said}, ', "user":')""",
     )
     cases = " ".join(f"when {i} then {shape}" for i, shape in enumerate(shapes))
     return f"case event_id % 6 {cases} end"
