@@ -163,6 +163,31 @@ def drop_false_positives(spark, sf):
     return detect.drop_false_positives(candidates, "field_name", "whole_value")
 
 
+def _real_candidates_sql() -> str:
+    """SSN and other findings of the requests, each with the tool it was sent to as its field."""
+    steps = K.ssn(_found(I.REQUESTS_SQL, "raw_text", (P.EMAIL_SPEC,)), "raw_text", "findings")
+    steps.raw("SELECT request_id, tool, raw_text, unnest(findings) AS f FROM {prev}")
+    steps.raw(
+        "SELECT request_id, f.\"type\" AS type, f.\"start\" AS span_start, f.text AS span_text, "
+        "CASE WHEN length(raw_text) % 3 = 0 THEN 'password_' || tool ELSE tool END AS field_name, "
+        "replace(f.text, '-', '') AS whole_value FROM {prev}"
+    )
+    return steps.select(
+        "request_id, type, span_start, span_text",
+        f"WHERE NOT (type = 'PII:us_ssn' AND (coalesce({_FIELD_HIT}, false) OR lower(whole_value) IN ('password', 'pwd', 'pass') "
+        "OR (length(whole_value) = 9 AND whole_value = repeat(whole_value[1], 9) AND regexp_matches(whole_value, '^[0-9]{9}$'))))",
+    )
+
+
+@query("drop_false_positives_findings", _real_candidates_sql())
+def drop_false_positives_findings(spark, sf):
+    found = detect.scan_findings(_requests(spark, sf), "raw_text", profile=(P.EMAIL_SPEC,))
+    rows = detect.findings_long(detect.scan_ssn_context(found, "raw_text"), ["request_id", "tool", "raw_text"])
+    field = F.when(F.length("raw_text") % 3 == 0, F.concat(F.lit("password_"), "tool")).otherwise(F.col("tool"))
+    candidates = rows.select("request_id", "type", F.col("start").alias("span_start"), F.col("text").alias("span_text"), field.alias("field_name"), F.replace("text", F.lit("-"), F.lit("")).alias("whole_value"))
+    return detect.drop_false_positives(candidates, "field_name", "whole_value").select("request_id", "type", "span_start", "span_text")
+
+
 def _profile_sql() -> str:
     steps = _found("SELECT * FROM documents", "text")
     steps.raw("SELECT doc_id, lang, source, unnest(findings) AS f FROM {prev}")

@@ -161,24 +161,31 @@ def _reason_expr(d: I.Dialect) -> str:
     return d.pick(sets, f"event_id % {len(_REASON_SETS)}")
 
 
-def _summary_sql() -> str:
-    steps = K.Steps(f"SELECT event_id, {_reason_expr(I.DUCK)} AS reasons FROM events")
+def _summary_sql(source: str, key: str) -> str:
+    steps = K.Steps(source)
     steps.add(parts=f"list_transform({_PARTS}, lambda r: string_split(r, ':'))")
     score = "CASE p[2] WHEN 'allowed' THEN 0.9::DOUBLE WHEN 'tokenized' THEN 0.8::DOUBLE WHEN 'redacted' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END"
     fold = f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(parts, lambda p: {score})), lambda a, x: a + x)"
     return steps.select(
-        "event_id, array_to_string(list_transform(parts, lambda p: p[3]), '|') AS pii_types, "
+        f"{key}, array_to_string(list_transform(parts, lambda p: p[3]), '|') AS pii_types, "
         f"CASE WHEN len(parts) = 0 THEN 0.95::DOUBLE ELSE {fold} / len(parts) END AS confidence"
     )
 
 
-@query("detector_summary", _summary_sql())
+@query("detector_summary", _summary_sql(f"SELECT event_id, {_reason_expr(I.DUCK)} AS reasons FROM events", "event_id"))
 def detector_summary(spark, sf):
     coded = I.table(spark, sf, "events").select("event_id", F.expr(_reason_expr(I.SPARK)).alias("reasons"))
     out = events.detector_summary(coded)
     return out.select("event_id", F.array_join("pii_types", "|").alias("pii_types"), "confidence")
 
 
+@query("detector_summary_passes", _summary_sql(pass_steps().select("request_id, pass, reasons"), "request_id, pass"))
+def detector_summary_passes(spark, sf):
+    """Of the reasons that both passes give for every request."""
+    out = events.detector_summary(passes(spark, sf))
+    return out.select("request_id", "pass", F.array_join("pii_types", "|").alias("pii_types"), "confidence")
+
+
 @query(
     "dedupe_events",
     "SELECT user_id, event_type, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id, "
