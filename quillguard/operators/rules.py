@@ -260,10 +260,13 @@ def match_tool_rule(
         return requests.join(broadcast_if_small(named), [key, "tool", "direction"], "left")
     if mode != "payload":
         raise ValueError(f"mode must be static or payload, not {mode!r}")
-    suffixes = F.expr("transform(sequence(1, length(tool) + 1), i -> substring(tool, i))")
+    # a name has a row for each length that the tool names of its policy have, not for each letter
+    lengths = one_per_rule.groupBy(key).agg(F.collect_set(F.length("rule_tool")).alias("_lengths"))
+    suffixes = F.expr("transform(filter(_lengths, n -> n <= length(tool)), n -> substring(tool, length(tool) - n + 1))")
     asked = (
         requests.select(key, "tool", "direction")
         .distinct()
+        .join(broadcast_if_small(lengths), key)
         .select(key, "tool", "direction", F.explode(suffixes).alias("rule_tool"))
     )
     ranked = (

@@ -57,7 +57,7 @@ def test_specific_first_finds_the_specific_type(spark):
         spark,
         [
             "Card: 4111111111111111",
-            "Not a card: 1234567890123456",
+            "lot 1234567890123456 of the barn",
             "NPI: 1234567890",
             "host 10.0.0.1 not 300.1.1.1",
             "pay DE89 3704 0044 0532 0130 00 not DE88370400440532013000",
@@ -153,7 +153,7 @@ def test_false_positives(spark):
 
 def test_profile_counts(spark):
     df = spark.createDataFrame(
-        [("en", "a@x.com b@x.com 555-867-5309"), ("en", "c@x.com"), ("de", "none")], "lang string, t string"
+        [("en", "a@x.com b@x.com 555-201-7788"), ("en", "c@x.com"), ("de", "none")], "lang string, t string"
     )
     rows = detect.corpus_pii_profile(detect.scan_findings(df, "t"), ["lang"]).collect()
     assert {(r["lang"], r["type"]): (r["n_findings"], r["n_rows"]) for r in rows} == {
@@ -181,7 +181,7 @@ def brute_force(text, specs):
 def random_texts(n):
     rng = random.Random(7)
     parts = [
-        "a@b.com", "é", "🙂", " ", "  ", "555-867-5309", "4111111111111111", "4111 1111 1111 1111", "MRN: A1234567",
+        "a@b.com", "é", "🙂", " ", "  ", "555-201-7788", "4111111111111111", "4111 1111 1111 1111", "MRN: A1234567",
         "mrn#ab-12-34", "Member ID 99-ABC-1", "NPI: 1234567890", "DEA AB1234567", "DOB: 1/2/1990", "cvv 123",
         "exp: 12/29", "valid thru 01/2031", "x", "@", "12", "٣٤٥٦٧٨٩٠١٢", " ", "\x1c", "\n", "+1 (555) 867-5309", ".",
         "policy number: QWERTY12", "security code: 9999", "-", " ", "word", "ſsn", "patIent id K12345678",
