@@ -90,42 +90,58 @@ def throttle_admitted(
 ) -> DataFrame:
     """Allow a row while fewer than ``limit`` admitted rows lie in the window before it.
 
-    A row with fewer than ``limit`` attempts before it is admitted whatever came earlier. Slots that
-    hold others are busy; only runs of consecutive busy slots must be read in order, beginning with
-    the rows of the calm slot before, all of them admitted. Each run is read as a stream in time
-    order; a task holds the last ``limit`` admissions and one batch, never a whole group. A key over
-    the limit without a break stays in one task. A row without a time is not allowed.
+    What is judged is how many rows of a key and instant are admitted, so rows are first counted by
+    instant, combined in each task. An instant before whose last row fewer than ``limit`` attempts lie
+    is admitted whatever came earlier. Slots that hold others are busy; only runs of consecutive busy
+    slots must be read in order, beginning with the instants of the calm slot before, all of them
+    admitted. Each run is read as a stream in time order; a task holds the last ``limit`` admissions and
+    one batch, never a whole group. The rows themselves stay spread by key and instant, and the first
+    ones by ``id`` take what their instant was given. A row without a time is not allowed.
+
+    A key over the limit without a break is one run, whose counts (not rows) go through one task: the
+    window's phase carries over from each admission to the next, however far.
     """
     if limit <= 0 or window_s <= 0:
         return log.withColumn("allowed", F.lit(False))
     ship(log.sparkSession)
     width = int(window_s * 1_000_000)
-    slotted = _slotted(log, key, ts_col, width)
-    runs = _busy_runs(_prior(slotted, key, id_col, width), key, limit)
-    marked = slotted.unionByName(runs.withColumn("_lag", F.lit(2)), allowMissingColumns=True)
-    placed = (
-        marked.withColumn("_run", F.max("_first").over(Window.partitionBy(key, "_slot")))
-        .filter("_lag = 0 OR (_lag = 1 AND _slot = _run)")
-        .withColumn("_run", F.coalesce("_run", "_slot"))
-        .drop("_first", "_slot")
-    )
-    allowed = F.col("allowed") & (F.col("_us") != NO_TIME)
-    judged = _judge(placed, key, id_col, limit, width).filter("_lag = 0")
-    return judged.select(*log.columns, allowed.alias("allowed"))
+    at = F.coalesce(micros(log, ts_col), F.lit(NO_TIME))
+    instants = log.select(F.col(key).alias("_key"), at.alias("_us")).groupBy("_key", "_us").agg(F.count("*").alias("_n"))
+    given = _given(instants.filter(F.col("_us") != NO_TIME), limit, width).withColumnRenamed("_key", key)
+
+    # what an instant was given enters as a row beside its own, so rows are dealt out once
+    met = log.withColumns({"_us": at, "_own": F.lit(True)}).unionByName(given, allowMissingColumns=True)
+    instant = Window.partitionBy(key, "_us")
+    nth = F.row_number().over(instant.orderBy(F.col("_own").desc_nulls_last(), id_col))
+    counted = met.withColumns({"_nth": nth, "_given": F.max("_given").over(instant)}).filter("_own")
+    allowed = (F.col("_us") != NO_TIME) & F.coalesce(F.col("_nth") <= F.col("_given"), F.lit(True))
+    return counted.select(*log.columns, allowed.alias("allowed"))
 
 
-def _busy_runs(counted: DataFrame, key: str, limit: int) -> DataFrame:
-    """Slots with a row of ``limit`` attempts or more before it, and the first slot of their run."""
-    busy = counted.filter(f"_lag = 0 AND prior >= {limit}").groupBy(key, "_slot").agg(F.count("*").alias("_n"))
-    island = F.col("_slot") - F.row_number().over(Window.partitionBy(key).orderBy("_slot"))
-    first = F.min("_slot").over(Window.partitionBy(key, "_island"))
-    return busy.withColumn("_island", island).select(key, "_slot", first.alias("_first"))
+def _given(instants: DataFrame, limit: int, width: int) -> DataFrame:
+    """How many rows are admitted of each instant in a busy slot."""
+    slot = F.expr(f"(_us - pmod(_us, {width}L)) div {width}L + _lag")
+    slotted = instants.withColumn("_lag", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slot", slot)
+    in_slot = Window.partitionBy("_key", "_slot").orderBy("_us")
+    so_far = F.sum("_n").over(in_slot)
+    gone = F.coalesce(F.sum("_n").over(in_slot.rangeBetween(Window.unboundedPreceding, -width)), F.lit(0))
+    counted = slotted.withColumn("_prior", so_far - 1 - gone)  # attempts before the last row of the instant
 
+    busy = counted.filter(f"_lag = 0 AND _prior >= {limit}").select("_key", "_slot").distinct()
+    island = F.col("_slot") - F.row_number().over(Window.partitionBy("_key").orderBy("_slot"))
+    runs = busy.withColumn("_island", island)
+    runs = runs.select("_key", "_slot", F.min("_slot").over(Window.partitionBy("_key", "_island")).alias("_first"))
 
-def _judge(placed: DataFrame, key: str, id_col: str, limit: int, width: int) -> DataFrame:
-    ordered = placed.repartition(key, "_run").sortWithinPartitions(key, "_run", "_us", id_col)
-    schema = T.StructType([*ordered.schema.fields, T.StructField("allowed", T.BooleanType())])
-    return ordered.mapInArrow(_admit(key, limit, width), schema)
+    marked = slotted.unionByName(runs.withColumn("_lag", F.lit(2)), allowMissingColumns=True)
+    placed = (
+        marked.withColumn("_run", F.max("_first").over(Window.partitionBy("_key", "_slot")))
+        .filter("_run IS NOT NULL AND (_lag = 0 OR (_lag = 1 AND _slot = _run))")
+        .select("_key", "_run", "_us", "_n", "_lag")
+    )
+    ordered = placed.repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_us")
+    schema = T.StructType([placed.schema["_key"], placed.schema["_us"], placed.schema["_lag"], T.StructField("_given", T.LongType())])
+    judged = ordered.mapInArrow(_admit(limit, width), schema).filter("_lag = 0")
+    return judged.select("_key", "_us", "_given")
 
 
 def admit_stretch(times: np.ndarray, recent: deque, limit: int, width: int) -> np.ndarray:
@@ -145,23 +161,27 @@ def admit_stretch(times: np.ndarray, recent: deque, limit: int, width: int) -> n
     return allowed
 
 
-def _admit(key: str, limit: int, width: int):
+def _admit(limit: int, width: int):
+    """Admissions of each instant, for sorted instants of keys and runs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, recent = None, deque()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            allowed = np.zeros(batch.num_rows, dtype=bool)
-            times = batch.column("_us").to_numpy()
-            keys, runs = batch.column(key), batch.column("_run").to_numpy()
+            given = np.zeros(batch.num_rows, np.int64)
+            times, runs = batch.column("_us").to_numpy(), batch.column("_run").to_numpy()
+            tried = np.minimum(batch.column("_n").to_numpy(), limit)  # of an instant, no more can be admitted
+            keys = batch.column("_key")
             codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             change = np.flatnonzero((codes[1:] != codes[:-1]) | (runs[1:] != runs[:-1])) + 1
             bounds = [0, *change.tolist(), batch.num_rows]
             for lo, hi in zip(bounds, bounds[1:]):
                 if (keys[lo].as_py(), runs[lo]) != current:
                     current, recent = (keys[lo].as_py(), runs[lo]), deque()
-                allowed[lo:hi] = admit_stretch(times[lo:hi], recent, limit, width)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed)], [*batch.schema.names, "allowed"])
+                allowed = admit_stretch(np.repeat(times[lo:hi], tried[lo:hi]), recent, limit, width)
+                given[lo:hi] = np.add.reduceat(allowed, np.cumsum(tried[lo:hi]) - tried[lo:hi], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([keys, batch.column("_us"), batch.column("_lag"), pa.array(given)], ["_key", "_us", "_lag", "_given"])
 
     return run
 
