@@ -20,8 +20,10 @@ from quillguard.streaming import jobs
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table as a stream, be it one file or a folder of files. A stream reads folders only, but
+    takes a pattern for either; this one matches that table alone."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _folder(spark: SparkSession) -> str:

@@ -231,3 +231,13 @@ def test_rows_without_a_time(spark):
     write_batches(df, path, "id", 1)
     out = jobs.run_to_files(jobs.stream_throttle(source(spark, df, path), "key", "ts", "id", 1, 20, idle_ms=None), folder(spark))
     assert sorted((r.id, r.key, r.us is None, r.allowed) for r in out.collect()) == [(1, "a", True, False), (2, "a", False, True), (3, None, False, True)]
+
+
+@pytest.mark.parametrize("name,tables", [("stream_decisions", ["conversations", "supplier"]), ("stream_dedupe", ["events"])])
+def test_streams_read_tables_that_are_folders(spark, small, tmp_path, name, tables):
+    for table in tables:
+        spark.read.parquet(f"{small}/{table}.parquet").repartition(2).write.parquet(str(tmp_path / f"{table}.parquet"))
+    catalog.load()
+    run = catalog.QUERIES[name]
+    got, want = (sorted(map(tuple, run(spark, sf).collect())) for sf in (str(tmp_path), small))
+    assert got == want and got
