@@ -243,3 +243,14 @@ def test_types_of_ones_own(spark):
     assert [s.pii_type for s in specs] == ["a", "b"]
     found = detect.scan_findings(spark.createDataFrame([("x1 22",)], "t string"), "t", specs)
     assert redact.redact_placeholders(found, "t", specs=specs).first()["redacted"] == "<A> <USER_B>"
+
+
+def test_collisions_are_dealt_out_once(spark):
+    rows = [(f"v{i % 70}", f"t{i % 70 // 2 if i % 70 < 20 else i % 70}") for i in range(700)] + [(None, "t99"), ("x", "t99"), ("x", None), ("y", None)]
+    df = spark.createDataFrame(rows, "v string, t string")
+    for parts in (None, 3):
+        out = redact.token_collisions(df, "v", "t", parts)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+        want = df.filter("v IS NOT NULL").groupBy("t").agg(F.countDistinct("v").alias("n")).filter("n > 1")
+        assert sorted(out.collect(), key=str) == sorted(want.collect(), key=str)
+        assert out.schema["n_values"].dataType.simpleString() == "bigint"
