@@ -1,5 +1,7 @@
 """Shapes of physical plans that must hold at scale."""
 
+import re
+
 import pytest
 
 from quillguard.plans import catalog
@@ -57,3 +59,13 @@ def test_counting_is_linear_in_the_window(spark, small):
     """Frames of the attempts throttle only grow; none slides."""
     plan = physical(catalog.QUERIES["throttle_attempts"](spark, small))
     assert "unboundedpreceding" in plan.lower() and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["redact_nested", "redact_paths"])
+def test_payload_work_is_dealt_out_by_size(spark, small, monkeypatch, name):
+    from quillguard.plans import inputs
+
+    monkeypatch.setattr(inputs, "_EVENT_BYTES", 1 << 10, raising=False)
+    plan = physical(catalog.QUERIES[name](spark, small))
+    dealt = re.findall(r"hashpartitioning\(event_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert dealt and all(int(n) > 8 for n in dealt)
