@@ -1,7 +1,8 @@
 """Structured Streaming jobs: decisions, throttling, budgets, counts, deduplication and sinks.
 
 Stateless steps reuse the batch operators. The two jobs with order-dependent state are stateful
-processors: values and lists per key in the state store, dropped when their time to live is over. They
+processors: one value per key in the state store, dropped when its time to live is over. It is asked
+for once and set once in each batch that has rows of the key, as each request goes to another process. They
 judge the rows of a micro-batch in time order, and hold a few numbers for each of a key's rows; the
 trigger's input limits (files or offsets per batch) bound how many one key can bring at once.
 """
@@ -97,16 +98,17 @@ class _Throttle(_Ordered):
         self.limit, self.width = limit, int(window_s * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "at bigint", self.idle_ms)
+        self.recent = handle.getValueState("recent", "at binary", self.idle_ms)
 
     def judge(self, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         times = rows["us"]
         allowed = np.zeros(len(times), bool)
         timed = times != NO_TIME
         if self.limit > 0 and self.width > 0 and timed.any():
-            recent = deque(at for (at,) in self.recent.get()) if self.recent.exists() else deque()
+            held = self.recent.get()
+            recent = deque(np.frombuffer(held[0], np.int64).tolist() if held else ())
             allowed[timed] = admit_stretch(times[timed], recent, self.limit, self.width)
-            self.recent.put([(at,) for at in recent])
+            self.recent.update((np.array(recent, np.int64).tobytes(),))
         return {"us": times, "allowed": allowed}
 
 
@@ -119,7 +121,7 @@ class _Budget(_Ordered):
 
     def judge(self, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         unit = 10**MONEY_DECIMALS
-        month, *kept = self.spent.get() if self.spent.exists() else (-1, 0, 0)
+        month, *kept = self.spent.get() or (-1, 0, 0)
         months = rows["month"]
         latest = np.maximum.accumulate(np.maximum(months, month))  # the month that is current at each row
         current = months == latest
@@ -139,7 +141,7 @@ class _Budget(_Ordered):
 
 
 def _with_state(rows: DataFrame, key: str, processor: _Ordered, columns: str) -> DataFrame:
-    """Run ``processor`` for each key of a stream. Lists and times to live need the store that keeps
+    """Run ``processor`` for each key of a stream. Times to live need the store that keeps
     state on disk; it is set for the session's queries that start from here on."""
     ship(rows.sparkSession)
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
@@ -152,11 +154,11 @@ def _with_state(rows: DataFrame, key: str, processor: _Ordered, columns: str) ->
 def stream_throttle(
     log: DataFrame, key: str, ts_col: str, id_col: str, limit: int, window_s: int, idle_ms: int | None = IDLE_MS
 ) -> DataFrame:
-    """Throttle by admitted rows. State per key: a list of the last ``limit`` admissions. Rows of a batch
+    """Throttle by admitted rows. State per key: the times of the last ``limit`` admissions, as one value. Rows of a batch
     are judged in time order; a row older than those of earlier batches meets the state as it is, one
     without a time is not allowed.
 
-    The list lives ``idle_ms``, or a whole window if that is longer, from its last change. Times to live
+    The value lives ``idle_ms``, or a whole window if that is longer, from its last change. Times to live
     keep a query alive, so pass None where the query should end by itself (``availableNow``).
     """
     narrow = log.select(key, F.col(id_col).alias("id"), F.coalesce(micros(log, ts_col), F.lit(NO_TIME)).alias("us"))

@@ -3,6 +3,7 @@ import uuid
 from datetime import datetime, timedelta
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,33 @@ def test_streams_read_tables_that_are_folders(spark, small, tmp_path, name, tabl
     run = catalog.QUERIES[name]
     got, want = (sorted(map(tuple, run(spark, sf).collect())) for sf in (str(tmp_path), small))
     assert got == want and got
+
+
+def test_state_of_a_key_is_read_and_set_once_a_batch():
+    held, asked = {}, []
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            asked.append("get")
+            return held.get(self.name)
+
+        def update(self, value):
+            asked.append("update")
+            held[self.name] = value
+
+    class Handle:
+        def getValueState(self, name, schema, ttl=None):
+            return Value(name)
+
+    processor = jobs._Throttle("key", 3, 10, None)
+    processor.init(Handle())
+    allowed = []
+    for us in ([0, 1, 2, 3], [4, 10_000_000, 10_000_001]):
+        part = pd.DataFrame({"key": "a", "id": us, "us": us})
+        for out in processor.handleInputRows(("a",), iter([part]), None):
+            allowed += out["allowed"].tolist()
+    assert allowed == [True, True, True, False, False, True, True]
+    assert asked == ["get", "update"] * 2
