@@ -1,35 +1,43 @@
 """Byte-level BPE with Spark's own higher-order functions.
 
-The ranks of a vocabulary are a literal map: records in one binary value, where a piece's hash names the
-two places at which its rank can stand. A word is held as a string with one character for each of its bytes,
-its pieces between marks that no byte has. Each step of the fold reads the ranks of all neighbouring
-pieces, takes the pair of lowest rank and joins it at all its places, from the left, until no pair has
-a rank. A pair's rank is above those of its pieces, so this is what merging one pair at a time gives.
-
-Words are cut by the pattern given. A word of the vocabulary is one id. Of the others, the ones that
-occur most often in all texts are folded once, as a table of distinct words of bounded size, which
-becomes a literal as well; the rest are folded where they stand. Decoding looks the pieces up by id,
-concatenates them and turns the characters back into bytes. No step shuffles texts or ids.
+Texts are cut into words by the pattern given; a task numbers the words it meets, and each new one
+goes on once, as the ids of its bytes (a word of the vocabulary: as its one id). Higher-order functions
+fold them: each step joins the leftmost pair of lowest rank, until no neighbours have a rank. A word is
+held as its ids and the ranks of all neighbouring pairs; a step asks for two new ranks only. Then the
+ids of a text are put together from those of its words, and decoding looks the pieces up by id.
+
+The rank of a pair of ids, which is the id of the joined piece too, stands in literal arrays at a place
+that no other pair has: look-ups in lambdas are interpreted, so one has few expressions.
+
+What a task has numbered is forgotten once it is too much, and then numbered anew. No step shuffles
+texts, words or ids.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
-import xxhash
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Distinct words folded ahead, and the bytes that such a word may have.
-KEPT_WORDS = 56_000
-KEPT_BYTES = 24
+from quillguard.functions.shipping import ship
+from quillguard.llm.common import ragged, small_batches
+from quillguard.llm.vocab import _Rows
+
+# Words that a task keeps the ids of; beyond it the numbering starts anew.
+KEPT_WORDS = 1 << 19
+# Text bytes that a task cuts at once.
+CUT_BYTES = 2 << 20
 
 _BYTES = "ISO-8859-1"  # one character for each byte
-_OPEN, _CLOSE = "Ł", "ł"  # marks around a piece, beyond all bytes
-_END = "Ā"  # ends a key
-_HASH_SEED = 42  # that of Spark's function
+_NO_RANK = 1 << 40
+
+_CUT = "doc_ids array<long>, counts array<int>, numbers binary, first int, words array<array<long>>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,152 +56,168 @@ def _bound(value: Column, use) -> Column:
     return _only(F.transform(F.array(value), use))
 
 
-class LiteralMap:
-    """Look-ups in a literal map of distinct byte strings to byte strings, null for any other key.
-
-    The entries are records of one width, a power of two, in one binary literal; a key stands at one of
-    the two places that its hash names. A map literal would be searched key by key, and one of many
-    values takes long to print and to send to each task. Expressions in lambdas are interpreted, so a
-    look-up has few. Keys above ``widest`` bytes, few, are records of their own width.
-    """
-
-    def __init__(self, name: str, entries: dict[bytes, bytes], widest: int):
-        short = {k + _END.encode(): v for k, v in entries.items() if len(k) <= widest}
-        long = {k: v for k, v in entries.items() if len(k) > widest}
-        self._rest = LiteralMap(f"{name}_long", long, max(map(len, long))) if long else None
-        self._name, self._keys, self._values = name, max(map(len, short), default=0), max(map(len, short.values()), default=1)
-        width = (self._keys + self._values - 1).bit_length()
-        self._mask, placed = _places(list(short), width)
-        records = [b"" if k is None else k.ljust(self._keys, b"\xff") + short[k].ljust(self._values) for k in placed]
-        self.tables = {name: F.lit(bytearray(b"".join(r.ljust(1 << width, b"\xff") for r in records)))}
-        if self._rest:
-            self.tables |= self._rest.tables
-
-    def value(self, tables: Column, key: Column) -> Column:
-        """The value, padded with spaces, of a key that is followed by ``_END``; ``key`` should cost little."""
-        hashed, size, spelled = F.xxhash64(key), F.octet_length(key), key.cast("binary")
-        found = F
-        for bits in (hashed, F.shiftright(hashed, 32)):
-            at = bits.bitwiseAND(F.lit(self._mask)).cast("int")
-            found = found.when(F.substring(tables[self._name], at + 1, size) == spelled, F.substring(tables[self._name], at + (1 + self._keys), F.lit(self._values)))
-        return found if self._rest is None else F.when(size <= self._keys, found).otherwise(self._rest.value(tables, key))
-
-
-def _places(keys: list[bytes], width: int) -> tuple[int, list[bytes | None]]:
-    """A mask that makes a hash the place of a record of 2^``width`` bytes, and the key of each record."""
-    slots = 1 << max(1, 9 * len(keys) // 4).bit_length()
-    while True:
-        at: list[int | None] = [None] * slots
-        hashes = [xxhash.xxh64_intdigest(k, _HASH_SEED) for k in keys]
-        homes = [(h >> width & (slots - 1), h >> 32 + width & (slots - 1)) for h in hashes]
-        if 32 + width + slots.bit_length() < 64 and all(_put(at, homes, i) for i in range(len(keys))):
-            return slots - 1 << width, [None if i is None else keys[i] for i in at]
-        slots *= 2
-
-
-def _put(at: list[int | None], homes: list[tuple[int, int]], i: int) -> bool:
-    slot = homes[i][0]
-    for _ in range(500):
-        at[slot], i = i, at[slot]
-        if i is None:
-            return True
-        slot = homes[i][0] + homes[i][1] - slot
-    return False
-
-
-def _ended(word: Column) -> Column:
-    return F.concat(word, F.lit(_END))
-
-
-def _using(maps: list[LiteralMap], use) -> Column:
-    """``use`` of a struct of the maps' tables. Each is in the plan once, however often it is looked up:
-    plans are printed, and sent to every task."""
-    tables = {name: table for m in maps for name, table in m.tables.items()}
-    return _bound(F.struct(*[table.alias(name) for name, table in tables.items()]), use)
+class PairRanks:
+    """Ranks of pairs of ids: any two pieces that make up a piece, as merging takes them. The key of a pair
+    is ``left * ids + right``; it stands ``shift[key % groups]`` places behind ``key % places``."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ids = max(ranks.values(), default=0) + 1
+        found: dict[int, int] = {}
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if left is not None and right is not None:
+                    found[left * self.ids + right] = rank
+        # keys of a group have different homes: groups and places have no common divisor
+        self.groups = len(found) // 2 + 1 | 1
+        self.places = 1 << max(1 + (2 * len(found)).bit_length(), (self.ids**2 // self.groups).bit_length())
+        grouped: dict[int, list[int]] = {}
+        for key in found:
+            grouped.setdefault(key % self.groups, []).append(key)
+        free = bytearray(b"\1") * self.places
+        self.shift, self.keys, self.ranks = [0] * self.groups, [-1] * self.places, [-1] * self.places
+        for group, keys in sorted(grouped.items(), key=lambda g: -len(g[1])):
+            shift, homes = 0, [k % self.places for k in keys]
+            while not all(free[(h + shift) % self.places] for h in homes):
+                shift += 1
+            self.shift[group] = shift
+            for home, key in zip(homes, keys):
+                at = (home + shift) % self.places
+                free[at], self.keys[at], self.ranks[at] = 0, key, found[key]
+        # places behind the last one take the shifts that would pass it
+        behind = max(self.shift)
+        self.keys += self.keys[:behind]
+        self.ranks += self.ranks[:behind]
+
+
+def _literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
 class Vocabulary:
     """Expressions over the ranks of a file; ``pattern`` cuts texts into words."""
 
     def __init__(self, path: str, pattern: str):
-        self.pattern = f"(?U){pattern}"
-        by_rank = sorted((rank, piece.decode("latin-1")) for piece, rank in read_ranks(path).items())
-        digits = len(str(by_rank[-1][0])) if by_rank else 1
-        self._ranks = LiteralMap("ranks", {piece.encode(): str(rank).zfill(digits).encode() for rank, piece in by_rank}, 20)
-        by_id = [""] * (by_rank[-1][0] + 1 if by_rank else 0)
-        for rank, piece in by_rank:
-            by_id[rank] = piece
-        self._by_id = F.from_json(F.lit(json.dumps(by_id)), "array<string>")
+        self.path, self.pattern = path, pattern
+        ranks = read_ranks(path)
+        by_id = [""] * (max(ranks.values(), default=-1) + 1)
+        for piece, rank in ranks.items():
+            by_id[rank] = piece.decode("latin-1")
+        self._by_id = _literal(by_id, "string")
+        self._pairs = PairRanks(ranks)
 
-    def _rank(self, tables: Column, piece: Column) -> Column:
-        """The rank of what is followed by ``_END``, in decimal, all with as many digits; null for what is no piece."""
-        return self._ranks.value(tables, piece).cast("string")
+    def fold(self, words: Column) -> Column:
+        """Ids of words (array<array<long>>), each given by the ids of its bytes or already folded."""
 
-    def _fold(self, tables: Column, word: Column) -> Column:
-        """Ids of a word that is given with one character for each byte, in decimal and joined by one space."""
+        pairs = self._pairs
+        tables = F.struct(*[_literal(values, kind).alias(c) for c, values, kind in (("shift", pairs.shift, "int"), ("keys", pairs.keys, "long"), ("ranks", pairs.ranks, "long"))])
 
-        def pieces(marked: Column) -> Column:
-            return F.split(F.substring(marked, F.lit(2), F.length(marked) - 2), f"{_CLOSE}{_OPEN}")
+        def all_folded(t: Column) -> Column:
+            def rank(left: Column, right: Column) -> Column:
+                key = left * F.lit(pairs.ids) + right
+                at = F.get(t["shift"], (key % F.lit(pairs.groups)).cast("int")) + key.bitwiseAND(F.lit(pairs.places - 1)).cast("int")
+                return F.when(F.get(t["keys"], at) == key, F.get(t["ranks"], at)).otherwise(F.lit(_NO_RANK))
 
-        def joined(marked: Column) -> Column:
-            """The marked word with its pair of lowest rank joined everywhere, itself if no pair has a rank."""
+            def step(state: Column, _: Column) -> Column:
+                """state: ids, and the ranks of their neighbouring pairs between two that are none."""
+                ids, ranks = state["ids"], state["ranks"]
 
-            def of_pieces(own: Column) -> Column:
-                n = F.size(own) - 1
-                pairs = F.zip_with(F.slice(own, F.lit(1), n), F.slice(own, F.lit(2), n), lambda a, b: F.concat(a, b, F.lit(_END)))
+                def at_lowest(low: Column) -> Column:
+                    def joined(p: Column) -> Column:
+                        now = F.concat(F.slice(ids, F.lit(1), p - 2), F.array(low), F.slice(ids, p + 1, F.size(ids)))
+                        beside = F.array(rank(F.get(ids, p - 3), low), rank(low, F.get(ids, p)))
+                        return F.struct(now.alias("ids"), F.concat(F.slice(ranks, F.lit(1), p - 2), beside, F.slice(ranks, p + 2, F.size(ids))).alias("ranks"))
 
-                def at_lowest(ranks: Column) -> Column:
-                    i = F.array_position(ranks, F.array_min(ranks)).cast("int")
-                    both = F.slice(own, i, F.lit(2))
-                    apart = F.concat(F.lit(_OPEN), F.array_join(both, _CLOSE + _OPEN), F.lit(_CLOSE))
-                    return F.when(F.array_min(ranks).isNull(), marked).otherwise(F.replace(marked, apart, F.concat(F.lit(_OPEN), F.array_join(both, ""), F.lit(_CLOSE))))
+                    return F.when(low == _NO_RANK, state).otherwise(_bound(F.array_position(ranks, low).cast("int"), joined))
 
-                return _bound(F.transform(pairs, lambda pair: self._rank(tables, pair)), at_lowest)
+                return _bound(F.array_min(ranks), at_lowest)
 
-            return _bound(pieces(marked), of_pieces)
+            def folded(word: Column) -> Column:
+                n = F.size(word) - 1
+                none = F.array(F.lit(_NO_RANK))
+                beside = F.zip_with(F.slice(word, F.lit(1), n), F.slice(word, F.lit(2), n), rank)
+                start = F.struct(word.alias("ids"), F.concat(none, beside, none).alias("ranks"))
+                return F.when(n < 1, word).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["ids"]))
 
-        def step(state: Column, _: Column) -> Column:
-            """state: the marked word, and the one before it; equal ones end the fold."""
-            return F.when(state["now"] == state["before"], state).otherwise(F.struct(joined(state["now"]).alias("now"), state["now"].alias("before")))
+            return F.transform(words, folded)
 
-        start = F.struct(F.regexp_replace(word, "(?s)(.)", f"{_OPEN}$1{_CLOSE}").alias("now"), F.lit("").alias("before"))
-        ids = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda state: F.transform(F.transform(pieces(state["now"]), _ended), lambda piece: self._rank(tables, piece)))
-        return F.array_join(ids, " ")
-
-    def _words_of(self, text: Column) -> Column:
-        """The words of a text, one character for each byte."""
-        found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
-        return F.transform(found, lambda w: F.decode(F.encode(w, "UTF-8"), _BYTES))
-
-    def ids(self, text: Column, folded: dict[str, str] | None = None) -> Column:
-        """Ids of a text; ``folded`` are ids of words, as ``common_words`` gives them. A null text is empty."""
-        kept = LiteralMap("kept", {w.encode(): ids.encode() for w, ids in (folded or {}).items()}, 2 * KEPT_BYTES)
-
-        def of_words(t: Column) -> Column:
-            def of_word(w: Column) -> Column:
-                return F.coalesce(self._rank(t, w), F.rtrim(kept.value(t, w).cast("string")), self._fold(t, F.substring(w, F.lit(1), F.length(w) - 1)))
-
-            return F.array_join(F.transform(F.transform(self._words_of(text), _ended), of_word), " ")
-
-        numbers = F.split(_using([self._ranks, kept], of_words), " ")
-        return F.transform(F.filter(numbers, lambda i: i != ""), lambda i: i.cast("int"))
+        return _bound(tables, all_folded)
 
     def bytes_of(self, ids: Column) -> Column:
         """The bytes that ids stand for; ids outside the vocabulary have none."""
         return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self._by_id, i)), ""), _BYTES)
 
-    def common_words(self, docs: DataFrame, most: int = KEPT_WORDS) -> dict[str, str]:
-        """Ids of the words outside the vocabulary that occur most often in all texts, at most ``most``
-        words of at most ``KEPT_BYTES`` bytes."""
-
-        def new(t: Column) -> Column:
-            return F.filter(self._words_of(F.col("text")), lambda w: (F.length(w) <= KEPT_BYTES) & self._rank(t, _ended(w)).isNull())
 
-        counted = docs.select(F.explode(_using([self._ranks], new)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        first = counted.orderBy(F.desc("n"), "word").limit(most).select("word")
-        dealt = first.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
-        folded = _using([self._ranks], lambda t: self._fold(t, F.col("word")))
-        return {r.word: r.ids for r in dealt.select("word", folded.alias("ids")).collect()}
+class _Numbers(dict):
+    """Numbers of words in the order they are met; ``new`` are those met since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def cut(docs: DataFrame, ranks: str, pattern: str, most: int) -> DataFrame:
+    """Words of the texts of ``docs`` (doc_id, text), a row for some documents: their ids and counts of
+    words, the numbers of all their words, the number of the first new word and the ids of all new ones'
+    bytes. Numbers start anew with a row whose ``first`` is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        found, pieces = regex.compile(pattern).findall, read_ranks(ranks)
+        of_byte = [pieces.get(bytes([b])) for b in range(256)]
+        numbers = _Numbers()
+        for batch in small_batches(batches, limit=CUT_BYTES):
+            if len(numbers) > most:
+                numbers = _Numbers()
+            first = len(numbers)
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            words = [found((t or b"").decode("utf-8", "replace")) for t in texts]
+            taken = np.concatenate([np.zeros(0, "<i4"), *(np.fromiter(map(numbers.__getitem__, w), "<i4", len(w)) for w in words)])
+            new = [w.encode() for w in numbers.new]
+            numbers.new.clear()
+            row = {
+                "doc_ids": batch.column("doc_id").to_pylist(), "counts": [len(w) for w in words], "numbers": taken.tobytes(), "first": first,
+                "words": [[pieces[w]] if w in pieces else [of_byte[b] for b in w] for w in new],
+            }
+            yield pa.RecordBatch.from_pylist([row], _CUT_ARROW)
+
+    return docs.mapInArrow(run, _CUT)
+
+
+_CUT_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("numbers", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.list_(pa.int64())))])
+
+
+def put_together(folded: DataFrame) -> DataFrame:
+    """doc_id and ids of all documents of rows as ``cut`` gives them, in their order, with words folded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ends = _Rows(np.int32), _Rows(np.int64, [0])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                if row["first"].as_py() == 0:
+                    ids.n, ends.n = 0, 1
+                words = row["words"].values
+                last = ends.seen()[-1]
+                if len(words):
+                    bounds = words.offsets.to_numpy().astype(np.int64)
+                    ids.extend(words.flatten().to_numpy(zero_copy_only=False))
+                    ends.extend(last + bounds[1:] - bounds[0])
+                at = np.frombuffer(row["numbers"].as_buffer(), "<i4")
+                starts = ends.seen()[at]
+                lengths = ends.seen()[at + 1] - starts
+                counts = row["counts"].values.to_numpy()
+                before = np.r_[0, np.cumsum(lengths)]
+                offsets = before[np.r_[0, np.cumsum(counts, dtype=np.int64)]]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.seen()[ragged(starts, lengths)]))
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, lists], ["doc_id", "ids"])
+
+    return folded.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, most: int = KEPT_WORDS) -> DataFrame:
@@ -202,9 +226,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, most: int = KEPT_WORDS) ->
 
     Ids are those of the vocabulary in the file ``ranks``, each match of ``pattern`` encoded by itself;
     strings of special tokens are ordinary text. A null or empty text has no ids and decodes to no
-    bytes; repeated rows are encoded each. ``most`` words are folded ahead; results do not depend on it.
+    bytes; repeated rows are encoded each. A task forgets its words when it has met more than ``most``;
+    results do not depend on it.
     """
+    ship(docs.sparkSession)
     vocabulary = Vocabulary(ranks, pattern)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    coded = rows.select("doc_id", vocabulary.ids(F.col("text"), vocabulary.common_words(rows, most)).alias("ids"))
+    words = cut(docs.select(F.col("doc_id").cast("long"), "text"), ranks, pattern, most)
+    coded = put_together(words.withColumn("words", vocabulary.fold(F.col("words"))))
     return coded.select("doc_id", "ids", vocabulary.bytes_of(F.col("ids")).alias("decoded"))

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -152,6 +153,15 @@ def test_byte_bpe(spark, odd, odd_rows, none, library):
     assert byte_bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_folds_a_word_of_a_task_once(spark, library):
+    texts = ["theheonand qzxj", "qzxj theheonand", "theheonand theheonand qzxj \U00011f04\U00011f05", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = byte_bpe.cut(docs, RANKS, public_tokenizers.PATTERN, 100).collect()
+    assert sum(map(len, (r.words for r in rows))) == len(set(regex.findall(public_tokenizers.PATTERN, "|".join(t or "" for t in texts))) - {"|"})
+    got = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    assert sorted((r.doc_id, r.ids) for r in got.collect()) == [(i, library.encode_ordinary(t or "")) for i, t in enumerate(texts)]
+
+
 def test_bytes_of_unknown_ids(spark):
     vocabulary = byte_bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
     row = spark.createDataFrame([([262, -1, 10**6, None, 278],)], "ids array<int>").select(vocabulary.bytes_of(F.col("ids")).alias("b")).first()
