@@ -102,44 +102,55 @@ class Tree:
         self.ids, self.labels, self.vectors, self.nodes, self.angles = ids, labels, vectors, nodes, angles
         self.real = vectors.astype(float)
         self.longest = float(np.sqrt((self.real**2).sum(axis=1)).max()) if len(ids) else 0.0
-        self.single = nodes[:, 2] - nodes[:, 1] == 1
+        self.leaf = nodes[:, 3] == nodes[:, 4]
+        self.centres = self.real[nodes[:, 0]]
 
-    def search(self, query: np.ndarray, best: Best) -> None:
-        """Offer to ``best`` all rows that could be among them."""
+    def search(self, query: np.ndarray, best: Best, opened: dict[int, tuple] | None = None) -> None:
+        """Offer to ``best`` all rows that could be among them. ``opened`` keeps what the nodes hold for
+        this query, for further searches by it."""
+        opened = {} if opened is None else opened
         real = query.astype(float)
         reach = float(np.sqrt((real**2).sum())) * self.longest
-        slack = 0.25 + 1e-6 * reach  # scores are whole numbers; angles are rounded
         order = count()
-
-        def ranges(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not reach:
-                return np.zeros(len(nodes)), np.zeros(len(nodes))
-            to_centre = np.arccos(np.clip(self.real[self.nodes[nodes, 0]] @ real / reach, -1.0, 1.0))
-            wide = self.angles[nodes]
-            return reach * np.cos(np.minimum(to_centre + wide, np.pi)) - slack, reach * np.cos(np.maximum(to_centre - wide, 0.0)) + slack
-
         heap: list[tuple[float, int, int]] = [(-np.inf, next(order), 0)]
         while heap:
             bound, _, node = heapq.heappop(heap)
             if -bound < best.floor():
                 return
-            _, begin, end, first, last = self.nodes[node].tolist()
-            if first == last:
-                self._verify(query, np.arange(begin, end), best)
-                continue
-            children = np.arange(first, last)
-            low, high = ranges(children)
+            if node not in opened:
+                opened[node] = self._open(node, query, real, reach)
+            rows, scores, children, low, high = opened[node]
+            self._verify(rows, scores, best)
             seen = (high >= best.floor()) & (low <= best.ceiling)
-            alone = children[seen & self.single[children]]
-            if len(alone):
-                self._verify(query, self.nodes[alone, 1], best)
-            for child, top in zip(children[seen & ~self.single[children]].tolist(), high[seen & ~self.single[children]].tolist()):
+            for child, top in zip(children[seen].tolist(), high[seen].tolist()):
                 heapq.heappush(heap, (-min(top, best.ceiling), next(order), child))
 
-    def _verify(self, query: np.ndarray, rows: np.ndarray, best: Best) -> None:
-        scores = self.vectors[rows] @ query
-        fit = best.accepts(self.labels[rows], self.ids[rows]) & (scores >= best.floor()) & (scores <= best.ceiling)
-        if fit.any():
+    def _open(self, node: int, query: np.ndarray, real: np.ndarray, reach: float) -> tuple:
+        """Rows of a leaf, or of the children that are leaves, with their scores; the other children and the
+        bounds of their scores."""
+        _, begin, end, first, last = self.nodes[node].tolist()
+        rows, children = np.arange(begin, end), np.arange(first, last)
+        low = high = np.zeros(0)
+        if first < last:
+            leaf = self.leaf[first:last]
+            sizes = self.nodes[first:last, 2] - self.nodes[first:last, 1]
+            rows, children = rows[np.repeat(leaf, sizes)], children[~leaf]
+        if len(children):
+            slack = 0.25 + 1e-6 * reach  # scores are whole numbers; angles are rounded
+            to_centre = np.arccos(np.clip(self.centres[children] @ real / (reach or 1.0), -1.0, 1.0))
+            wide = self.angles[children]
+            low, high = reach * np.cos(np.minimum(to_centre + wide, np.pi)) - slack, reach * np.cos(np.maximum(to_centre - wide, 0.0)) + slack
+        own = self.real[begin:end] if len(rows) == end - begin else self.real[rows]
+        return rows, self._scores(rows, own @ real, query, reach), children, low, high
+
+    def _scores(self, rows: np.ndarray, dots: np.ndarray, query: np.ndarray, reach: float) -> np.ndarray:
+        """Exact inner products: no partial sum of ``dots`` passes ``reach``, so below 2^52 none is rounded."""
+        return dots.astype(np.int64) if reach < 1 << 52 else self.vectors[rows] @ query
+
+    def _verify(self, rows: np.ndarray, scores: np.ndarray, best: Best) -> None:
+        fit = np.flatnonzero((scores >= best.floor()) & (scores <= best.ceiling))
+        fit = fit[best.accepts(self.labels[rows[fit]], self.ids[rows[fit]])]
+        if len(fit):
             best.offer(scores[fit], self.ids[rows[fit]])
 
 
@@ -159,6 +170,8 @@ class Best:
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
         if len(ids) > self.k:
+            high = scores >= np.partition(scores, -self.k)[-self.k]
+            scores, ids = scores[high], ids[high]
             top = np.lexsort((ids, -scores))[: self.k]
             scores, ids = scores[top], ids[top]
         self.rows = sorted([*self.rows, *zip((-scores).tolist(), ids.tolist())])[: self.k]
@@ -211,8 +224,11 @@ def _searched(trees: DataFrame, wanted: list[tuple], vectors: np.ndarray) -> Dat
         wanted, vectors = sent.value
         found = [Best(*args) for _, _, *args in wanted]
         for tree in _trees(batches):
+            last, opened = None, {}
             for (_, row, *_), best in zip(wanted, found):
-                tree.search(vectors[row], best)
+                if row != last:  # searches of one anchor follow each other
+                    last, opened = row, {}
+                tree.search(vectors[row], best, opened)
         for (key, *_), best in zip(wanted, found):
             if best.rows:
                 keys = pa.array([key] * len(best.rows), pa.int64())

@@ -166,3 +166,21 @@ def test_bytes_of_unknown_ids(spark):
     vocabulary = byte_bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
     row = spark.createDataFrame([([262, -1, 10**6, None, 278],)], "ids array<int>").select(vocabulary.bytes_of(F.col("ids")).alias("b")).first()
     assert bytes(row.b) == b" theing"
+
+
+def test_searches_of_one_anchor_open_a_node_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    for largest in (200, hard_negatives.LARGEST):  # products of the second are not exact as floats
+        vectors = rng.integers(-largest, largest + 1, (600, 64))
+        order, nodes, angles = hard_negatives.cover_tree(vectors)
+        tree = hard_negatives.Tree(order, order % 3, vectors[order], nodes, angles)
+        scores = vectors[order] @ vectors[0]
+        opened, calls = {}, []
+        one = hard_negatives.Tree._open
+        monkeypatch.setattr(hard_negatives.Tree, "_open", lambda self, node, *args: calls.append(node) or one(self, node, *args))
+        for ceiling in sorted(scores.tolist())[-40::8]:
+            best = hard_negatives.Best(5, 0, 0, False, 0, ceiling)
+            tree.search(vectors[0], best, opened)
+            assert best.rows == sorted((-s, i) for s, i in zip(scores.tolist(), order.tolist()) if i % 3 and 0 <= s <= ceiling)[:5]
+        assert calls and len(calls) == len(set(calls))
+        monkeypatch.undo()
