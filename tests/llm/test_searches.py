@@ -162,6 +162,31 @@ def test_byte_bpe_folds_a_word_of_a_task_once(spark, library):
     assert sorted((r.doc_id, r.ids) for r in got.collect()) == [(i, library.encode_ordinary(t or "")) for i, t in enumerate(texts)]
 
 
+def test_byte_bpe_folds_words_of_a_long_in_order_of_rank(spark, library):
+    texts = ["a" * n for n in (1, 2, 3, 61, 62, 63, 130)] + ["thesat" * 10 + "it", "thesat" * 10 + "its", "the", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    words = [w for r in byte_bpe.cut(docs, RANKS, public_tokenizers.PATTERN, 100).collect() for w in r.words]
+    assert [w.marks.bit_length() - 1 for w in words if w.marks] == [len(t) for t in texts if 0 < len(t) <= 62]
+    assert [bool(w.marks) for w in words] == [not w.parts for w in words] == [bool(w.spans) for w in words]
+    got = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    assert sorted((r.doc_id, r.ids) for r in got.collect()) == [(i, library.encode_ordinary(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("pieces, in_order", [(["ab", "bc", "abc", "aa", "aaa", "aaaa"], True), (["abc", "ab", "cab", "aa"], False), (["abcd", "bc"], False)])
+def test_byte_bpe_of_other_vocabularies(spark, tmp_path, pieces, in_order):
+    """Pieces whose parts come later are met by the lowest rank of all neighbours, not in one pass."""
+    ranks = {bytes([b]): 255 - b for b in range(256)} | {p.encode(): 256 + i for i, p in enumerate(pieces)}
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(b"%s %d\n" % (base64.b64encode(p), r) for p, r in ranks.items()))
+    assert byte_bpe.joins_in_order(ranks) == in_order
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcd ", [6, 4, 3, 1, 1], k=rng.randint(0, 90))) for _ in range(150)]
+    own = tiktoken.Encoding("other", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = byte_bpe.encode(docs, str(path), public_tokenizers.PATTERN)
+    assert sorted((r.doc_id, r.ids, bytes(r.decoded).decode()) for r in got.collect()) == [(i, own.encode_ordinary(t), t) for i, t in enumerate(texts)]
+
+
 def test_bytes_of_unknown_ids(spark):
     vocabulary = byte_bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
     row = spark.createDataFrame([([262, -1, 10**6, None, 278],)], "ids array<int>").select(vocabulary.bytes_of(F.col("ids")).alias("b")).first()
