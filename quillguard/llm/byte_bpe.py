@@ -41,7 +41,7 @@ from quillguard.llm.vocab import _Rows
 # Words that a task keeps the ids of; beyond it the numbering starts anew.
 KEPT_WORDS = 1 << 19
 # Text bytes that a task cuts at once.
-CUT_BYTES = 512 << 10
+CUT_BYTES = 128 << 10
 # Bytes of words whose boundaries a long holds.
 LONG_BYTES = 62
 
